@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelspark.functions.util import rnd
 from panelspark.operators import anomaly, explore, windows
 from panelspark.plans.registry import register
 from panelspark.plans.sqlkit import W, decompose_ctes, with_ctes
@@ -11,7 +12,7 @@ from panelspark.sources import panels
 
 
 def _r(c, n=4):
-    return F.round(F.col(c), n).alias(c)
+    return rnd(c, n).alias(c)
 
 
 # ---------------------------------------------------------------- flagship: daily event panel → three detectors

@@ -18,6 +18,8 @@ def register(name: str, sql: str | None = None):
             raise KeyError(f"duplicate query name {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            from panelspark.functions.util import sql_round_to_floor
+
+            ORACLE[name] = sql_round_to_floor(sql)
         return fn
     return deco
