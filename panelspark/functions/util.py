@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 
 def rnd(c, digits: int = 6) -> Column:
-    """Half-up rounding as plain IEEE arithmetic, ``floor(x·10ⁿ + 0.5) / 10ⁿ``.
+    """Half-up rounding as plain IEEE arithmetic, ``floor(x·10ⁿ + 0.5001) / 10ⁿ``.
 
-    Unlike ``round`` (exact-decimal on Spark, scaled on other engines) every engine computes the same bits, so value
-    hashes agree even on half-way ties."""
+    Unlike ``round`` (exact-decimal on Spark, scaled on other engines) every engine computes the same bits.  The
+    1e-4 (scaled) nudge moves the rounding boundary off exact decimal ties (a 2-decimal sum over a power-of-two count
+    is one), where two engines' last-bit summation differences would otherwise round apart."""
     c = F.col(c) if isinstance(c, str) else c
     s = float(10 ** digits)
-    return (F.floor(c.cast("double") * F.lit(s) + F.lit(0.5)).cast("double") / F.lit(s))
+    return (F.floor(c.cast("double") * F.lit(s) + F.lit(0.5001)).cast("double") / F.lit(s))
 
 
 def round_doubles(df: DataFrame, digits: int = 6, overrides: dict | None = None) -> DataFrame:
@@ -55,5 +56,5 @@ def sql_round_to_floor(sql: str) -> str:
         inner = sql[j + len(key):k - 1]
         expr, n = (inner[:comma - j - len(key)], inner[comma - j - len(key) + 1:].strip()) if comma > 0 else (inner, "0")
         expr = sql_round_to_floor(expr)
-        out.append(f"(floor(CAST({expr} AS DOUBLE) * 1e{n} + 0.5) / 1e{n})")
+        out.append(f"(floor(CAST({expr} AS DOUBLE) * 1e{n} + 0.5001) / 1e{n})")
         i = k

@@ -53,3 +53,103 @@ def decompose(panel: DataFrame, period: int, model: str = "additive", col: str =
     d = d.withColumn("seasonal", seasonal)
     resid = (F.col("__det") - F.col("seasonal")) if add else F.try_divide(F.col("__det"), F.col("seasonal"))
     return d.withColumn("resid", resid).drop("__pos", "__n", "__det", "__phase", "__pm")
+
+
+# ---------------------------------------------------------------- F16 autocorrelation
+
+def acf(panel: DataFrame, max_lag: int = 100, nlags=None, col: str = "y") -> DataFrame:
+    """F16: biased autocorrelation ``Σ(y_t−ȳ)(y_{t−k}−ȳ) / Σ(y_t−ȳ)²`` for k = 0…K per series, long ``(unique_id,
+    lag, acf)``.  K = ``nlags`` if given, else ``min(n//2, max_lag)`` per series.
+
+    The K lagged products are columns of one window pass; their sums are ordinary aggregates (partial before the
+    shuffle), so a long series is summed by many tasks.
+    """
+    K = int(nlags) if nlags is not None else int(max_lag)
+    by_s = Window.partitionBy("unique_id")
+    d = panel.select("unique_id", "ds", (F.col(col) - F.avg(col).over(by_s)).alias("__z"))
+    d = d.select("unique_id", "__z", *[(F.col("__z") * F.lag("__z", k).over(_W())).alias(f"__p{k}")
+                                        for k in range(1, K + 1)])
+    agg = d.groupBy("unique_id").agg(F.count("*").alias("__n"), F.sum(F.col("__z") * F.col("__z")).alias("__den"),
+                                     *[F.sum(f"__p{k}").alias(f"__s{k}") for k in range(1, K + 1)])
+    arr = F.array(F.struct(F.lit(0).alias("lag"), F.lit(1.0).alias("acf")),
+                  *[F.struct(F.lit(k).alias("lag"), F.try_divide(F.coalesce(F.col(f"__s{k}"), F.lit(0.0)),
+                                                                  F.col("__den")).alias("acf")) for k in range(1, K + 1)])
+    kmax = F.lit(K) if nlags is not None else F.least(F.floor(F.col("__n") / 2), F.lit(K))
+    return (agg.select("unique_id", kmax.alias("__kmax"), F.explode(arr).alias("r"))
+               .filter(F.col("r.lag") <= F.col("__kmax")).select("unique_id", "r.lag", "r.acf"))
+
+
+def acf_peaks(acf_long: DataFrame, height: float = 0.1, top: int = 3) -> DataFrame:
+    """strict local maxima of the ACF over lags ≥ 1 with value ≥ ``height`` (the first and last lag are never
+    peaks), strongest first (ties: larger lag first), ``top`` per series."""
+    w = Window.partitionBy("unique_id").orderBy("lag")
+    a = acf_long.filter(F.col("lag") >= 1)
+    a = a.withColumns({"__prev": F.lag("acf").over(w), "__next": F.lead("acf").over(w)})
+    p = a.filter((F.col("acf") > F.col("__prev")) & (F.col("acf") > F.col("__next")) & (F.col("acf") >= height))
+    r = Window.partitionBy("unique_id").orderBy(F.desc("acf"), F.desc("lag"))
+    return p.withColumn("rank", F.row_number().over(r)).filter(F.col("rank") <= top).select("unique_id", "rank", "lag", "acf")
+
+
+# fixed values: named seasonal lags per frequency
+SEASONALITIES = {
+    "D": [("Daily", 1), ("Weekly", 7), ("Biweekly", 14), ("Monthly", 30), ("Quarterly", 90), ("Yearly", 365)],
+    "M": [("Monthly", 1), ("Quarterly", 3), ("Yearly", 12)],
+    "Q": [("Quarterly", 1), ("Yearly", 4)],
+    "Y": [("Yearly", 1)],
+}
+
+
+def named_seasonalities(acf_long: DataFrame, freq: str, threshold: float = 0.1) -> DataFrame:
+    """named seasonal lags of a frequency whose |ACF| exceeds ``threshold`` (lags beyond K are absent)."""
+    spark = acf_long.sparkSession
+    rows = SEASONALITIES.get(freq, [])
+    if not rows:
+        return acf_long.limit(0).select("unique_id", F.lit("").alias("name"), "lag", "acf")
+    dim = spark.createDataFrame(rows, "name string, lag int")
+    j = acf_long.filter(F.col("lag") >= 1).join(F.broadcast(dim), "lag")  # ≤ 6-row literal dimension
+    return j.filter(F.abs("acf") > threshold).select("unique_id", "name", "lag", "acf")
+
+
+# ---------------------------------------------------------------- F20 frequency inference
+
+def infer_frequency(panel: DataFrame) -> DataFrame:
+    """F20 per series: constant daily step → D; constant 1/3/12-month step on month ends (or starts) → M/Q/Y; any
+    other constant step → Unknown; else the median gap in whole days: 1→D, 28–31→M, 90–92→Q, 365–366→Y."""
+    w = _W()
+    prev = F.lag("ds").over(w)
+    mi = F.year("ds") * 12 + F.month("ds")
+    d = panel.select("unique_id", "ds",
+                     (F.unix_timestamp("ds") - F.unix_timestamp(prev)).alias("__gap"),
+                     (mi - F.lag(mi).over(w)).alias("__mg"),
+                     (F.to_date("ds") == F.last_day("ds")).alias("__me"),
+                     ((F.dayofmonth("ds") == 1) & (F.to_date("ds").cast("timestamp_ntz") == F.col("ds"))).alias("__ms"))
+    a = d.groupBy("unique_id").agg(F.min("__gap").alias("g0"), F.max("__gap").alias("g1"), F.min("__mg").alias("m0"),
+                                   F.max("__mg").alias("m1"), F.min(F.col("__me").cast("int")).alias("me"),
+                                   F.min(F.col("__ms").cast("int")).alias("ms"),
+                                   F.percentile(F.col("__gap").cast("double"), F.lit(0.5)).alias("med"))
+    days = F.floor(F.col("med") / 86400)
+    by_median = (F.when(days == 1, "D").when(days.between(28, 31), "M").when(days.between(90, 92), "Q")
+                  .when(days.between(365, 366), "Y").otherwise("Unknown"))
+    monthly = (F.col("m0") == F.col("m1")) & ((F.col("me") == 1) | (F.col("ms") == 1))
+    freq = (F.when(F.col("g0").isNull(), "Unknown")
+             .when((F.col("g0") == F.col("g1")) & (F.col("g0") == 86400), "D")
+             .when(monthly & (F.col("m0") == 1), "M").when(monthly & (F.col("m0") == 3), "Q")
+             .when(monthly & (F.col("m0") == 12), "Y")
+             .when(F.col("g0") == F.col("g1"), "Unknown")
+             .otherwise(by_median))
+    return a.select("unique_id", freq.alias("freq"))
+
+
+# ---------------------------------------------------------------- F23 trend and Fourier terms
+
+def trend_fourier(history: DataFrame, future: DataFrame, season_length: int, k: int) -> DataFrame:
+    """``trend`` = 1…n+h over history ∪ horizon, ``sin{j}_{m}``/``cos{j}_{m}`` = sin/cos(2πj·trend/m), j=1…k."""
+    u = history.select("unique_id", "ds", F.lit(False).alias("is_future")) \
+               .unionByName(future.select("unique_id", "ds", F.lit(True).alias("is_future")))
+    u = u.withColumn("trend", F.row_number().over(_W()))
+    cols = {}
+    for j in range(1, k + 1):
+        ang = 2 * 3.141592653589793 * j * F.col("trend") / season_length
+        cols[f"sin{j}_{season_length}"] = F.sin(ang)
+        cols[f"cos{j}_{season_length}"] = F.cos(ang)
+    return u.withColumns(cols)

@@ -163,3 +163,72 @@ def head_tail(df: DataFrame, k: int) -> DataFrame:
     head = d.filter(F.col("__h") <= k).withColumn("part", F.lit("head"))
     tail = d.filter(F.col("__t") <= k).withColumn("part", F.lit("tail"))
     return head.unionByName(tail).drop("__h", "__t")
+
+
+# ---------------------------------------------------------------- F7 Savitzky–Golay
+
+def savgol_weights(window: int, polyorder: int):
+    """Rows of the least-squares projection onto polynomials of degree ``polyorder`` over ``window`` points:
+    row h (the middle) smooths inner points, rows 0…h−1 and h+1…w−1 evaluate the edge fits."""
+    import numpy as np
+
+    if window % 2 == 0 or window <= polyorder:
+        raise ValueError("window must be odd and larger than polyorder")
+    h = window // 2
+    x = np.arange(window, dtype=float) - h
+    V = np.vander(x, polyorder + 1, increasing=True)
+    return V @ np.linalg.pinv(V)
+
+
+def _shift(col: str, d: int) -> Column:
+    if d == 0:
+        return F.col(col)
+    return F.lead(col, d).over(_W()) if d > 0 else F.lag(col, -d).over(_W())
+
+
+def savgol(df: DataFrame, window: int, polyorder: int = 3, col: str = "y", out: str = "savgol") -> DataFrame:
+    """Savitzky–Golay smoothing.  Inner rows: fixed weights over lags/leads; the first and last ``window//2`` rows
+    take the polynomial fitted to the first/last ``window`` points (edge weight rows).  Series shorter than the
+    window get nulls."""
+    P = savgol_weights(window, polyorder)
+    h = window // 2
+
+    def combo(row, rel):  # Σ_i P[row,i] · y[pos + (i − rel)]
+        return sum((float(P[row, i]) * _shift(col, i - rel) for i in range(window)), F.lit(0.0))
+
+    pos = F.row_number().over(_W()) - 1
+    n = F.count("*").over(Window.partitionBy("unique_id"))
+    d = df.withColumns({"__pos": pos, "__n": n})
+    expr = F.when(F.col("__n") < window, F.lit(None).cast("double"))
+    for j in range(h):
+        expr = expr.when(F.col("__pos") == j, combo(j, j))
+    for j in range(h + 1, window):
+        expr = expr.when(F.col("__pos") == F.col("__n") - window + j, combo(j, j))
+    expr = expr.otherwise(combo(h, h))
+    return d.withColumn(out, expr).drop("__pos", "__n")
+
+
+# ---------------------------------------------------------------- F24 supervised table
+
+def date_features(ts: str = "ds", names=("hour", "dayofweek")) -> dict:
+    """Named date-feature callables → columns."""
+    fns = {"date": lambda c: F.to_date(c), "hour": F.hour, "minute": F.minute, "dayofweek": F.dayofweek,
+           "month": F.month, "year": F.year, "dayofmonth": F.dayofmonth}
+    return {n: fns[n](F.col(ts)) for n in names}
+
+
+def supervised_table(panel: DataFrame, lags=(1, 2, 24), diff_lag: int | None = 1, expanding_lag: int | None = 1,
+                     rolling: tuple | None = (1, 24), date_feats=("hour", "dayofweek")) -> DataFrame:
+    """transformed target (optional differencing) + lags + lag transforms + date features; rows with any null
+    dropped (the reference's ``preprocess``)."""
+    d = panel
+    if diff_lag:
+        d = difference(d, 1, diff_lag, dropna=False)
+    d = add_lags(d, lags)
+    if expanding_lag:
+        d = d.withColumn(f"expanding_mean_lag{expanding_lag}", expanding_mean(f"lag{expanding_lag}"))
+    if rolling:
+        lag_k, w = rolling
+        d = d.withColumn(f"rolling_mean_lag{lag_k}_window_size{w}", rolling_mean(f"lag{lag_k}", w))
+    d = d.withColumns(date_features("ds", date_feats))
+    return d.dropna()

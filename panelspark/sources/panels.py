@@ -169,3 +169,33 @@ def load_bars(spark: SparkSession, sf_dir: str, ids: list[str] | None, start: st
         cond = cond & F.col(id_col).isin(list(ids))
     return df.filter(cond).select(F.col(id_col).cast("string").alias("unique_id"),
                                   F.col(ts_col).alias("ds"), F.col(price_col).cast("double").alias("y"))
+
+
+def step_add(ts: Column, k: Column, freq: str) -> Column:
+    """``ts`` moved ``k`` steps of ``freq`` forward (month ends stay month ends)."""
+    m = _NMIN.match(freq)
+    if freq == "ME":
+        return F.last_day(F.add_months(F.trunc(ts, "month"), k)).cast("timestamp_ntz")
+    if freq == "MS":
+        return F.add_months(F.trunc(ts, "month"), k).cast("timestamp_ntz")
+    if freq == "D":
+        return ts + F.make_dt_interval(days=k)
+    if freq == "h":
+        return ts + F.make_dt_interval(hours=k)
+    if m:
+        return ts + F.make_dt_interval(mins=k * int(m.group(1) or 1))
+    raise ValueError(freq)
+
+
+def future_frame(panel: DataFrame, h: int, freq: str) -> DataFrame:
+    """The next ``h`` stamps of every series ``(unique_id, ds, step)``; one aggregate + a generator."""
+    last = panel.groupBy("unique_id").agg(F.max("ds").alias("__last"))
+    f = last.select("unique_id", "__last", F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step"))
+    return f.select("unique_id", step_add(F.col("__last"), F.col("step"), freq).alias("ds"), "step")
+
+
+def calendar_spine(df: DataFrame, ts_col: str, months_ahead: int = 0) -> DataFrame:
+    """A5: month-end dates from the first month of ``ts_col`` to ``months_ahead`` months past its last month."""
+    b = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi"))
+    seq = F.sequence(F.trunc("lo", "month"), F.add_months(F.trunc("hi", "month"), months_ahead), F.expr("INTERVAL 1 MONTH"))
+    return b.select(F.explode(seq).alias("m")).select(F.last_day("m").cast("timestamp_ntz").alias("ds"))
