@@ -72,9 +72,11 @@ def distinct_in_arrays(df: DataFrame, key: str, arr: str, name: str) -> DataFram
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:
     """Pearson correlation of every ordered column pair in one aggregate, long form; empty input → no rows."""
     pairs = [(a, b) for a in cols for b in cols]
-    agg = df.agg(F.count("*").alias("__n"), *[F.corr(a, b).alias(f"__c{i}") for i, (a, b) in enumerate(pairs)])
-    arr = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                             F.when(~F.isnan(F.col(f"__c{i}")), F.col(f"__c{i}")).alias("corr"))
+    # covariance over σ·σ with try_divide: a constant column gives null (ANSI ``corr`` would raise)
+    agg = df.agg(F.count("*").alias("__n"),
+                 *[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"__c{i}")
+                   for i, (a, b) in enumerate(pairs)])
+    arr = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"__c{i}").alias("corr"))
                     for i, (a, b) in enumerate(pairs)])
     return agg.filter(F.col("__n") > 0).select(F.explode(arr).alias("r")).select("r.*")
 

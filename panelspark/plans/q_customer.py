@@ -330,7 +330,7 @@ def d9_distinct_products(spark, sf_dir):
 
 @register("d11_usage_correlation", sql(
     *feature_ctes(1, 3), "r AS (SELECT * FROM features WHERE RedFlag = 1)",
-    " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS corr FROM r HAVING count(*) > 0"
+    " UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(covar_pop({a}, {b}) / NULLIF(stddev_pop({a}) * stddev_pop({b}), 0), 6) AS corr FROM r HAVING count(*) > 0"
                        for a in USAGE for b in USAGE)))
 def d11_usage_correlation(spark, sf_dir):
     f = cu.customer_features(spark, sf_dir, 1, 3).filter("RedFlag = 1")
