@@ -152,13 +152,17 @@ def kde(df: DataFrame, key: str, col: str, grid: int = 200, cut: float = 3.0) ->
 def standard_scale(df: DataFrame, cols, fit_filter: Column | None = None, suffix: str = "") -> DataFrame:
     """``(x−μ)/σ`` with μ, σ (population) fitted on ``fit_filter`` rows only; σ = 0 → 1.
 
-    μ and σ are scalar subqueries (Spark merges them into one aggregate job); nothing is collected."""
+    Fit/transform like ``pyspark.ml``'s scaler: one aggregate job returns the 2·k statistics (size fixed by the
+    column count, not the data) and the transform applies them as literals."""
     fit = df.filter(fit_filter) if fit_filter is not None else df
+    row = fit.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                  *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     out = {}
-    for c in cols:
-        m = fit.agg(F.avg(c)).scalar()
-        s = fit.agg(F.stddev_pop(c)).scalar()
-        out[c + suffix] = (F.col(c) - m) / F.when(s.isNull() | (s == 0), F.lit(1.0)).otherwise(s)
+    for i, c in enumerate(cols):
+        m, s = row[f"m{i}"], row[f"s{i}"]
+        m = 0.0 if m is None else float(m)
+        s = 1.0 if (s is None or s == 0) else float(s)
+        out[c + suffix] = (F.col(c) - F.lit(m)) / F.lit(s)
     return df.withColumns(out)
 
 
