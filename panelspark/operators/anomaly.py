@@ -61,3 +61,115 @@ def vote(df: DataFrame, flags, min_votes: int = 3, keep_only: bool = True) -> Da
     count = sum((F.col(c).cast("int") for c in flags[1:]), F.col(flags[0]).cast("int"))
     d = df.withColumn("anomaly_count", count).withColumn("is_anomaly", F.col("anomaly_count") >= min_votes)
     return d.filter("is_anomaly") if keep_only else d
+
+
+# ---------------------------------------------------------------- G3 isolation forest (1-D, per series)
+
+def _c(n: float) -> float:
+    """Average unsuccessful-search path length of a BST with n nodes: 2H(n−1) − 2(n−1)/n."""
+    import math
+
+    if n <= 1:
+        return 0.0
+    if n == 2:
+        return 1.0
+    return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
+
+
+def _grow_tree_deltas(pdf, sample: int, max_depth: int, seed: int):
+    """One isolation tree on the sampled values of a (series, tree) group, returned as its step function:
+    the path length left of every split point (``base``) and the jump at each breakpoint (``delta``)."""
+    import numpy as np
+    import pandas as pd
+    import zlib
+
+    uid, tree = pdf["unique_id"].iat[0], int(pdf["tree"].iat[0])
+    rng = np.random.default_rng([seed, tree, zlib.crc32(str(uid).encode())])
+    vals = np.sort(pdf["y"].to_numpy(dtype=float))
+    segs = []  # (lo_exclusive_left_bound, path) in ascending order of the interval
+
+    def grow(v, depth, lo):
+        if depth >= max_depth or len(v) <= 1 or v[0] == v[-1]:
+            segs.append((lo, depth + _c(len(v))))
+            return
+        split = rng.uniform(v[0], v[-1])
+        k = int(np.searchsorted(v, split, side="left"))  # x < split goes left
+        grow(v[:k], depth + 1, lo)
+        grow(v[k:], depth + 1, split)
+
+    grow(vals, 0, -np.inf)
+    base = segs[0][1]
+    rows = [(uid, tree, float(b), float(p - prev)) for (b, p), (_, prev) in zip(segs[1:], segs[:-1])]
+    rows.append((uid, tree, float("-inf"), float(base)))  # the base path length, at −∞
+    return pd.DataFrame(rows, columns=["unique_id", "tree", "b", "delta"])
+
+
+def isolation_forest(panel: DataFrame, n_trees: int = 100, sample: int = 256, contamination: float = 0.01,
+                     seed: int = 42, col: str = "y") -> DataFrame:
+    """Per-series isolation forest on ``y``; ``iso_score`` = 2^(−E[h]/c(sample)); ``iso_forest_anomaly`` when the
+    score exceeds the series' (1−contamination) quantile.
+
+    Each tree sees a seeded Bernoulli sample of ≈``sample`` rows (a hash per (row, tree): no row is copied beyond
+    its sampled trees), trees grow in parallel (one small ``applyInPandas`` group per (series, tree)), and a 1-D tree
+    is a step function of y: the forest's mean depth at y is a running sum of per-breakpoint jumps.  Scoring is a
+    union of rows and breakpoints plus one cumulative window per series."""
+    import math
+
+    check_panel(panel)
+    max_depth = int(math.ceil(math.log2(max(sample, 2))))
+    d = panel.select("unique_id", "ds", F.col(col).alias("y"))
+    d = d.withColumn("__n", F.count("*").over(_by_series()))
+    frac = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("__n"))
+    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
+    u = (F.xxhash64(F.col("unique_id"), F.col("ds"), F.col("tree"), F.lit(seed)) % 1000003).cast("double") / 1000003.0
+    sampled = d.select("unique_id", "ds", "y", frac.alias("__f"), trees).filter(F.abs(u) < F.col("__f"))
+    steps = sampled.select("unique_id", "tree", "y").groupBy("unique_id", "tree").applyInPandas(
+        lambda p: _grow_tree_deltas(p, sample, max_depth, seed), "unique_id string, tree int, b double, delta double")
+    ev = steps.groupBy("unique_id", "b").agg(F.sum("delta").alias("delta"))  # forests share breakpoints rarely
+    ev = ev.select("unique_id", F.col("b").alias("v"), F.lit(0).alias("__kind"), "delta",
+                   F.lit(None).cast("timestamp_ntz").alias("ds"))
+    rows = d.select("unique_id", F.col("y").alias("v"), F.lit(1).alias("__kind"), F.lit(0.0).alias("delta"), "ds")
+    w = Window.partitionBy("unique_id").orderBy("v", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    u2 = ev.unionByName(rows).withColumn("__depth", F.sum("delta").over(w) / n_trees).filter(F.col("__kind") == 1)
+    score = F.pow(F.lit(2.0), -F.col("__depth") / F.lit(_c(sample)))
+    s = u2.select("unique_id", "ds", score.alias("iso_score"))
+    cut = s.groupBy("unique_id").agg(F.percentile("iso_score", F.lit(1 - contamination)).alias("__cut"))
+    s = s.join(cut, "unique_id").withColumn("iso_forest_anomaly", F.col("iso_score") > F.col("__cut")).drop("__cut")
+    return panel.join(s, ["unique_id", "ds"], "left")
+
+
+# ---------------------------------------------------------------- G4 kernel novelty by random Fourier features
+
+def kernel_novelty(panel: DataFrame, nu: float = 0.1, n_features: int = 64, gamma: float = 1.0, seed: int = 42,
+                   col: str = "y") -> DataFrame:
+    """G4 (re-aim of the one-class SVM): z-score y per series, map to ``n_features`` seeded random Fourier features of
+    the RBF kernel exp(−γ·Δz²), score each row by its mean kernel similarity to its series (φ(z)·mean φ), flag the
+    lowest ``nu`` share.  All JVM-side expressions; the quantile is an approximate sketch (bounded memory)."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    w = rng.normal(0.0, np.sqrt(2 * gamma), n_features)
+    b = rng.uniform(0.0, 2 * np.pi, n_features)
+    by = _by_series()
+    z = F.try_divide(F.col(col) - F.avg(col).over(by), F.stddev_pop(col).over(by))
+    d = panel.withColumn("__z", F.coalesce(z, F.lit(0.0)))
+    scale = float(np.sqrt(2.0 / n_features))
+    phi = {f"__phi{i}": scale * F.cos(float(w[i]) * F.col("__z") + float(b[i])) for i in range(n_features)}
+    d = d.withColumns(phi)
+    score = sum((F.col(f"__phi{i}") * F.avg(f"__phi{i}").over(by) for i in range(n_features)), F.lit(0.0))
+    d = d.withColumn("svm_score", score).drop("__z", *phi)
+    cut = d.groupBy("unique_id").agg(F.percentile_approx("svm_score", nu, 100000).alias("__cut"))
+    return d.join(cut, "unique_id").withColumn("svm_anomaly", F.col("svm_score") < F.col("__cut")).drop("__cut")
+
+
+def detect_anomalies_all(panel: DataFrame, min_votes: int = 3, keep_only: bool = True, **kw) -> DataFrame:
+    """The five detectors (band, residual, isolation forest, kernel novelty, z-score) and their vote."""
+    d = band_flag(panel)
+    d = residual_flag(d, kw.get("decomp_period", 7))
+    d = zscore_flag(d)
+    base = d.select("unique_id", "ds", "y", "ma_anomaly", "decomp_anomaly", "zscore_anomaly")
+    iso = isolation_forest(panel.select("unique_id", "ds", "y")).select("unique_id", "ds", "iso_forest_anomaly")
+    svm = kernel_novelty(panel.select("unique_id", "ds", "y")).select("unique_id", "ds", "svm_anomaly")
+    allf = base.join(iso, ["unique_id", "ds"]).join(svm, ["unique_id", "ds"])
+    return vote(allf, ["ma_anomaly", "decomp_anomaly", "iso_forest_anomaly", "svm_anomaly", "zscore_anomaly"],
+                min_votes, keep_only)

@@ -107,3 +107,23 @@ def g2_residual_flag(spark, sf_dir):
 def g5_zscore_flag(spark, sf_dir):
     d = anomaly.zscore_flag(panels.events_hourly(spark, sf_dir))
     return d.select("unique_id", "ds", _r("z_score"), "zscore_anomaly")
+
+
+# ---------------------------------------------------------------- G3 / G4 / G6 (rows-only; pinned by pytest)
+
+@register("g3_isolation_forest")
+def g3_isolation_forest(spark, sf_dir):
+    d = anomaly.isolation_forest(panels.events_hourly(spark, sf_dir))
+    return d.select("unique_id", "ds", _r("iso_score", 6), "iso_forest_anomaly")
+
+
+@register("g4_kernel_novelty")
+def g4_kernel_novelty(spark, sf_dir):
+    d = anomaly.kernel_novelty(panels.events_hourly(spark, sf_dir))
+    return d.select("unique_id", "ds", _r("svm_score", 6), "svm_anomaly")
+
+
+@register("g6_anomaly_vote")
+def g6_anomaly_vote(spark, sf_dir):
+    return anomaly.detect_anomalies_all(panels.events_daily(spark, sf_dir), keep_only=False) \
+                  .withColumn("anomaly_count", F.col("anomaly_count").cast("bigint"))

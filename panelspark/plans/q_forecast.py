@@ -299,3 +299,18 @@ def i1_trade_signals(spark, sf_dir):
 def g7_interval_breach(spark, sf_dir):
     b = bt.breach(bt.seasonal_one_step_band(panels.events_hourly(spark, sf_dir), 24, 0.9, 0.8))
     return b.select("unique_id", "ds", "breach")
+
+
+# ---------------------------------------------------------------- I2 / I3 (rows-only; the fold is pinned by pytest)
+
+@register("i2_position_fold")
+def i2_position_fold(spark, sf_dir):
+    s = bt.signals(bt.seasonal_one_step_band(panels.events_hourly(spark, sf_dir), 24, 0.9, 0.8))
+    return round_doubles(bt.position_fold(s), 4)
+
+
+@register("i3_backtest_summary")
+def i3_backtest_summary(spark, sf_dir):
+    b = bt.seasonal_one_step_band(panels.events_hourly(spark, sf_dir), 24, 0.9, 0.8)
+    s = bt.signals(b)
+    return round_doubles(bt.summary(bt.position_fold(s), b), 4)
