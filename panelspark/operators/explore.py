@@ -153,3 +153,138 @@ def trend_fourier(history: DataFrame, future: DataFrame, season_length: int, k:
         cols[f"sin{j}_{season_length}"] = F.sin(ang)
         cols[f"cos{j}_{season_length}"] = F.cos(ang)
     return u.withColumns(cols)
+
+
+# ---------------------------------------------------------------- F17 partial autocorrelation
+
+def _durbin_levinson(pdf):
+    import numpy as np
+    import pandas as pd
+
+    pdf = pdf.sort_values("lag")
+    r = pdf["acf"].to_numpy(dtype=float)
+    K = len(r) - 1
+    out = [1.0]
+    phi_prev = np.zeros(0)
+    for k in range(1, K + 1):
+        if k == 1:
+            phi_kk = r[1]
+            phi = np.array([phi_kk])
+        else:
+            num = r[k] - np.sum(phi_prev * r[k - 1:0:-1])
+            den = 1.0 - np.sum(phi_prev * r[1:k])
+            phi_kk = num / den if den != 0 else float("nan")
+            phi = np.append(phi_prev - phi_kk * phi_prev[::-1], phi_kk)
+        out.append(float(phi_kk))
+        phi_prev = phi
+    return pd.DataFrame({"unique_id": pdf["unique_id"].iloc[0], "lag": np.arange(K + 1, dtype="int32"), "pacf": out})
+
+
+def pacf(acf_long: DataFrame) -> DataFrame:
+    """Yule–Walker partial autocorrelation by Durbin–Levinson on each series' ACF (≤ K+1 values per group:
+    the group size is the lag count, never the series length)."""
+    return acf_long.groupBy("unique_id").applyInPandas(_durbin_levinson, "unique_id string, lag int, pacf double")
+
+
+# ---------------------------------------------------------------- F11 automatic seasonality and differencing
+
+def auto_differences(panel: DataFrame, max_season_length: int = 12, max_diffs: int = 1,
+                     strength_threshold: float = 0.64) -> DataFrame:
+    """F11 (our definition): season length = lag of the largest ACF local maximum > 0.1 in 2…max; seasonal
+    difference iff seasonal strength 1 − var(resid)/var(detrended) > 0.64; then regular differences while the ADF
+    p-value ≥ 0.05, at most ``max_diffs``.  One row per series.
+
+    Decomposition needs one period per call: the set of chosen periods is at most ``max_season_length`` values, so
+    the work is one keyed pass per distinct period (never per series)."""
+    from panelspark.operators.regression import adf
+    from panelspark.operators.windows import difference
+
+    a = acf(panel, nlags=max_season_length + 1)
+    pk = acf_peaks(a.filter(F.col("lag") <= max_season_length + 1), 0.1, 10_000).filter(F.col("lag") >= 2)
+    period = pk.groupBy("unique_id").agg(F.max_by("lag", F.struct("acf", "lag")).alias("season_length"))
+    per = panel.select("unique_id").distinct().join(period, "unique_id", "left")
+    periods = [r[0] for r in period.select("season_length").distinct().collect()]  # ≤ max_season_length values
+    strengths = []
+    for m in periods:
+        ids = per.filter(F.col("season_length") == m).select("unique_id")
+        d = decompose(panel.join(ids, "unique_id", "left_semi"), m)
+        det = F.col("seasonal") + F.col("resid")
+        strengths.append(d.groupBy("unique_id").agg(
+            (1 - F.try_divide(F.var_pop("resid"), F.var_pop(F.when(F.col("resid").isNotNull(), det)))).alias("strength")))
+    st = strengths[0] if strengths else None
+    for s in strengths[1:]:
+        st = st.unionByName(s)
+    res = per if st is None else per.join(st, "unique_id", "left")
+    res = res.withColumn("seasonal_diff", F.coalesce(F.col("strength") > strength_threshold, F.lit(False)))
+    # regular differences on the (seasonally differenced) series while non-stationary
+    cur = panel.join(res.select("unique_id", "season_length", "seasonal_diff"), "unique_id")
+    seasonal_sets = []
+    for m in periods:
+        sub = cur.filter(F.col("seasonal_diff") & (F.col("season_length") == m)).select("unique_id", "ds", "y")
+        seasonal_sets.append(difference(sub, 1, lag=int(m)))
+    base = cur.filter(~F.col("seasonal_diff")).select("unique_id", "ds", "y")
+    for s in seasonal_sets:
+        base = base.unionByName(s)
+    ndiff = res.select("unique_id").withColumn("diffs", F.lit(0))
+    series = base
+    for k in range(1, max_diffs + 1):
+        t = adf(series).select("unique_id", (F.col("p_value") >= 0.05).alias(f"__ns{k}"))
+        ndiff = ndiff.join(t, "unique_id", "left").withColumn(
+            "diffs", F.col("diffs") + F.coalesce(F.col(f"__ns{k}"), F.lit(False)).cast("int")).drop(f"__ns{k}")
+        series = difference(series.join(t.filter(f"__ns{k}"), "unique_id", "left_semi"), 1)
+    return res.join(ndiff, "unique_id", "left").select("unique_id", "season_length", "strength", "seasonal_diff", "diffs")
+
+
+# ---------------------------------------------------------------- F22 per-series insight report
+
+DECOMP_PERIOD = {"M": 30, "Q": 90, "Y": 365}  # fixed values: the reference's decomposition period by frequency
+
+
+def insight_report(panel: DataFrame, freq: str | None = None, max_lag: int = 100) -> DataFrame:
+    """one row per series — frequency, ADF, named seasonalities, top-3 ACF peaks, decomposition period."""
+    from panelspark.operators.regression import adf
+
+    fr = infer_frequency(panel) if freq is None else panel.select("unique_id").distinct().withColumn("freq", F.lit(freq))
+    a = acf(panel, max_lag)
+    peaks = acf_peaks(a).groupBy("unique_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "lag", "acf"))),
+                                 lambda s: F.format_string("lag %d: %.3f", s["lag"], s["acf"])), "; ").alias("top_peaks"))
+    named = []
+    for f in ("D", "M", "Q", "Y"):
+        ids = fr.filter(F.col("freq") == f).select("unique_id")
+        named.append(named_seasonalities(a.join(ids, "unique_id", "left_semi"), f))
+    ns = named[0]
+    for x in named[1:]:
+        ns = ns.unionByName(x)
+    ns = ns.groupBy("unique_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lag", "name", "acf"))),
+                                                              lambda s: F.format_string("%s (lag %d): %.3f", s["name"], s["lag"], s["acf"])),
+                                                  "; ").alias("seasonalities"))
+    st = adf(panel).select("unique_id", "adf_stat", "p_value", "stationary")
+    dp = F.create_map(*[F.lit(x) for kv in DECOMP_PERIOD.items() for x in kv])
+    out = fr.join(st, "unique_id", "left").join(ns, "unique_id", "left").join(peaks, "unique_id", "left")
+    return out.withColumn("decomposition_period", F.coalesce(dp[F.col("freq")], F.lit(7)))
+
+
+# ---------------------------------------------------------------- D18 normal Q–Q points
+
+def qq_points(df: DataFrame, col: str, key: str = "unique_id") -> DataFrame:
+    """Ordered values with normal quantiles at Filliben positions (ends 1−0.5^(1/n) and 0.5^(1/n), inside
+    (i−0.3175)/(n+0.365)) and the least-squares line through them (slope, intercept per key)."""
+    from pyspark.sql.functions import pandas_udf
+
+    from panelspark.functions.linalg import norm_ppf
+
+    @pandas_udf("double")
+    def ppf(p):
+        return __import__("pandas").Series(norm_ppf(p.to_numpy()))
+
+    w = Window.partitionBy(key).orderBy("sample")
+    d = df.filter(F.col(col).isNotNull()).select(key, F.col(col).alias("sample"))
+    d = d.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(key))})
+    m = (F.when(F.col("i") == 1, 1 - F.pow(F.lit(0.5), 1 / F.col("n")))
+          .when(F.col("i") == F.col("n"), F.pow(F.lit(0.5), 1 / F.col("n")))
+          .otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365)))
+    d = d.withColumn("theoretical", ppf(m))
+    line = d.groupBy(key).agg(F.regr_slope("sample", "theoretical").alias("slope"),
+                              F.regr_intercept("sample", "theoretical").alias("intercept"))
+    return d.join(line, key).select(key, "i", "theoretical", "sample", "slope", "intercept")

@@ -224,3 +224,129 @@ def arma_grid_aic(panel: DataFrame, max_p: int = 2, max_q: int = 2, long_ar: int
 def best_order(grid: DataFrame) -> DataFrame:
     return grid.groupBy("unique_id").agg(F.min_by("order", F.struct("aic", "order")).alias("order"),
                                          F.min("aic").alias("aic"))
+
+
+# ---------------------------------------------------------------- H13 forecasting from given coefficients
+
+def ar_forecast(panel: DataFrame, coefs: DataFrame, h: int, p: int, col: str = "y") -> DataFrame:
+    """H13 (and H11 forecasts): recursion ``ŷ = c + Σ φ_i·ŷ_{t−i}`` for h steps from given coefficients
+    ``coefs(unique_id, coef=[c, φ1…φp])`` — no optimisation.  The state is the last p values per series; the
+    recursion is one SQL ``aggregate`` over ``sequence(1, h)`` (JVM-side), returned as ``(unique_id, step, yhat)``."""
+    w = Window.partitionBy("unique_id").orderBy(F.desc("ds"))
+    last = panel.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= p)
+    st = last.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct(F.col("__r"), F.col(col)))).alias("__l"))
+    # most recent first → reverse into time order
+    st = st.select("unique_id", F.reverse(F.transform("__l", lambda s: s[col])).alias("hist"))
+    j = st.join(coefs.select("unique_id", "coef"), "unique_id")
+
+    def step(acc, _k):
+        nxt = F.col("coef")[0]
+        for i in range(1, p + 1):
+            nxt = nxt + F.col("coef")[i] * F.element_at(acc, -i)
+        return F.concat(acc, F.array(nxt))
+
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(h)), F.col("hist"), step)
+    return j.select("unique_id", F.posexplode(F.slice(path, p + 1, h)).alias("__i", "yhat")) \
+            .select("unique_id", (F.col("__i") + 1).alias("step"), "yhat")
+
+
+# ---------------------------------------------------------------- H5 pooled split-conformal interval
+
+def split_conformal(df: DataFrame, keys, xcols, y: str, alpha: float = 0.1, n_splits: int = 5, seed: int = 42,
+                    id_col: str = "ds") -> DataFrame:
+    """H5: ``n_splits`` seeded random 80/20 splits (hash of row id and split); per (key, split) a least-squares fit
+    on the 80 %; the absolute test errors of all splits pooled; ``q`` = their exact (1−α) quantile per key.  Returns
+    ``keys…, q`` and the full-data coefficients (for ŷ ± q)."""
+    keys = list(keys)
+    splits = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("split")
+    d = df.select("*", splits)
+    u = (F.abs(F.xxhash64(F.col(id_col), F.col("split"), F.lit(seed))) % 10007) / 10007.0
+    d = d.withColumn("__train", u < 0.8)
+    coefs = fit_linear(d.filter("__train"), [*keys, "split"], xcols, y)
+    test = predict_linear(d.filter(~F.col("__train")), coefs, [*keys, "split"], xcols, "__p")
+    q = test.groupBy(*keys).agg(F.percentile(F.abs(F.col(y) - F.col("__p")), F.lit(1 - alpha)).alias("q"))
+    full = fit_linear(df, keys, xcols, y)
+    return full.join(q, keys)
+
+
+# ---------------------------------------------------------------- H19 per-series regularisation search
+
+def ridge_alpha_search(df: DataFrame, xcols, y: str, h: int, n_windows: int, alphas=(0.0, 0.1, 1.0, 10.0, 100.0)):
+    """Every series gets its own ridge α by rolling-origin error, in ONE aggregate pass.
+
+    Rows are tagged with their segment between consecutive origins; fold i trains on segments ≤ i and tests on
+    segment i+1, so the train Gram of a fold is a *sum of segment Grams* and the test SSE of any β is
+    ``yy − 2β'b + β'Aβ`` on the test segment's Gram — no row is replicated per fold or per α."""
+    w = _W()
+    d = df.withColumns({"__pos": F.row_number().over(w) - 1, "__n": F.count("*").over(Window.partitionBy("unique_id"))})
+    first = F.col("__n") - n_windows * h
+    seg = F.when(F.col("__pos") < first, 0).otherwise(F.floor((F.col("__pos") - first) / h) + 1).cast("int")
+    g = gram(d.withColumn("seg", seg), ["unique_id", "seg"], xcols, y)
+    P = len(xcols)
+    per = g.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("seg", "n", "xtx", "xty", "yy"))).alias("segs"))
+
+    def search(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                segs = {int(s["seg"]): s for s in r.segs}
+                A = np.zeros((P, P)); bb = np.zeros(P); yy = 0.0; n = 0
+                errs = {a: [] for a in alphas}
+                for i in range(n_windows):
+                    s = segs.get(i)
+                    if s is not None:
+                        A += unpack(s["xtx"], P); bb += np.asarray(s["xty"], float); yy += s["yy"]; n += int(s["n"])
+                    t = segs.get(i + 1)
+                    if t is None or n <= P:
+                        continue
+                    At, bt, yt, nt = unpack(t["xtx"], P), np.asarray(t["xty"], float), float(t["yy"]), int(t["n"])
+                    for a in alphas:
+                        beta, *_ = ols(A, bb, yy, n, ridge=a)
+                        sse = yt - 2 * beta @ bt + beta @ At @ beta
+                        errs[a].append(max(sse, 0.0) / nt)
+                scored = [(float(np.mean(v)), a) for a, v in errs.items() if v]
+                if scored:
+                    mse, best = min(scored)
+                    out.append((r.unique_id, float(best), float(np.sqrt(mse))))
+            yield pd.DataFrame(out, columns=["unique_id", "alpha", "cv_rmse"])
+
+    return per.mapInPandas(search, "unique_id string, alpha double, cv_rmse double")
+
+
+# ---------------------------------------------------------------- H16 Theta (re-aim)
+
+def theta_forecast(panel: DataFrame, h: int, freq: str, season_length: int | None = None) -> DataFrame:
+    """H16 re-aim: Theta ≡ simple exponential smoothing with drift = half the linear-trend slope.  SES is ARIMA(0,1,1),
+    fitted per series by Hannan–Rissanen on Δy (θ; smoothing α = 1+θ), its last level l_n = y_n + θ·ε_n; forecast
+    ``l_n + b/2·k``.  With ``season_length`` the series is additively deseasonalised first (F14) and the phase's
+    seasonal component added back."""
+    from panelspark.operators.explore import decompose
+    from panelspark.sources.panels import future_frame
+
+    base = panel
+    if season_length:
+        dec = decompose(panel, season_length).withColumn("__pos", F.row_number().over(_W()) - 1)
+        seas = dec.select("unique_id", (F.col("__pos") % season_length).alias("__ph"), "seasonal").dropDuplicates(["unique_id", "__ph"])
+        base = dec.select("unique_id", "ds", (F.col("y") - F.coalesce(F.col("seasonal"), F.lit(0.0))).alias("y"))
+    w = _W()
+    d = base.withColumn("__dy", F.col("y") - F.lag("y", 1).over(w))
+    d = d.withColumns({"__one": F.lit(1.0), **{f"__la{i}": F.lag("__dy", i).over(w) for i in range(1, 5)}})
+    xl = ["__one", *[f"__la{i}" for i in range(1, 5)]]
+    c1 = fit_linear(d, ["unique_id"], xl, "__dy")
+    d = predict_linear(d, c1, ["unique_id"], xl, "__fit").withColumn("__eps", F.col("__dy") - F.col("__fit"))
+    d = d.withColumn("__eps1", F.lag("__eps", 1).over(w))
+    ma = fit_linear(d, ["unique_id"], ["__one", "__eps1"], "__dy")  # Δy = c + ε + θ·ε₋₁
+    trend = base.withColumns({"__one": F.lit(1.0), "__t": F.row_number().over(w).cast("double")})
+    b = fit_linear(trend, ["unique_id"], ["__one", "__t"], "y")
+    last = d.withColumn("__r", F.row_number().over(Window.partitionBy("unique_id").orderBy(F.desc("ds")))).filter("__r = 1") \
+            .select("unique_id", F.col("y").alias("__yn"), F.coalesce(F.col("__eps"), F.lit(0.0)).alias("__en"))
+    st = last.join(ma.select("unique_id", F.col("coef")[1].alias("theta")), "unique_id") \
+             .join(b.select("unique_id", F.col("coef")[1].alias("slope")), "unique_id") \
+             .withColumn("level", F.col("__yn") + F.col("theta") * F.col("__en"))
+    fut = future_frame(panel, h, freq).join(st, "unique_id")
+    f = fut.withColumn("Theta", F.col("level") + F.col("slope") / 2 * F.col("step"))
+    if season_length:
+        n = panel.groupBy("unique_id").agg(F.count("*").alias("__n"))
+        f = f.join(n, "unique_id").withColumn("__ph", (F.col("__n") + F.col("step") - 1) % season_length) \
+             .join(seas, ["unique_id", "__ph"], "left").withColumn("Theta", F.col("Theta") + F.coalesce("seasonal", F.lit(0.0)))
+    return f.select("unique_id", "ds", "step", "Theta", (1 + F.col("theta")).alias("alpha"))
