@@ -23,8 +23,10 @@ def seasonal_one_step_band(panel: DataFrame, season_length: int, q: float = 0.9,
     d = panel.withColumns({"__pos": F.row_number().over(w), "__n": n,
                            "__err": F.abs(F.col("y") - F.lag("y", season_length).over(w)),
                            "next_pred": F.lag("y", season_length - 1).over(w)})
-    qs = d.filter(F.col("__pos") <= F.floor(F.col("__n") * train_frac)) \
-          .groupBy("unique_id").agg(F.percentile("__err", F.lit(q)).alias("__q"))
+    from panelspark.operators.relational import exact_percentiles
+
+    qs = exact_percentiles(d.filter(F.col("__pos") <= F.floor(F.col("__n") * train_frac)), ["unique_id"], "__err", [q],
+                           ["__q"])
     d = d.join(qs, "unique_id", "left")
     return d.withColumns({"lower": F.col("next_pred") - F.col("__q"), "upper": F.col("next_pred") + F.col("__q")}) \
             .drop("__n", "__err", "__q")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.chunking import chunked
 from panelspark.operators.windows import _W
 from panelspark.sources.panels import check_panel
 
@@ -57,7 +58,8 @@ def decompose(panel: DataFrame, period: int, model: str = "additive", col: str =
 
 # ---------------------------------------------------------------- F16 autocorrelation
 
-def acf(panel: DataFrame, max_lag: int = 100, nlags=None, col: str = "y") -> DataFrame:
+def acf(panel: DataFrame, max_lag: int = 100, nlags=None, col: str = "y", chunk_rows: int | None = None,
+        time_bucket: str = "day") -> DataFrame:
     """F16: biased autocorrelation ``Σ(y_t−ȳ)(y_{t−k}−ȳ) / Σ(y_t−ȳ)²`` for k = 0…K per series, long ``(unique_id,
     lag, acf)``.  K = ``nlags`` if given, else ``min(n//2, max_lag)`` per series.
 
@@ -65,10 +67,18 @@ def acf(panel: DataFrame, max_lag: int = 100, nlags=None, col: str = "y") -> Dat
     shuffle), so a long series is summed by many tasks.
     """
     K = int(nlags) if nlags is not None else int(max_lag)
-    by_s = Window.partitionBy("unique_id")
-    d = panel.select("unique_id", "ds", (F.col(col) - F.avg(col).over(by_s)).alias("__z"))
-    d = d.select("unique_id", "__z", *[(F.col("__z") * F.lag("__z", k).over(_W())).alias(f"__p{k}")
-                                        for k in range(1, K + 1)])
+
+    def products(x):
+        return x.withColumns({f"__p{k}": F.col("__z") * F.lag("__z", k).over(_W()) for k in range(1, K + 1)})
+
+    if chunk_rows:
+        # skew-safe: series mean by a (partial) aggregate, lag products chunk-wise with a K-row halo
+        mu = panel.groupBy("unique_id").agg(F.avg(col).alias("__mu"))
+        z = panel.join(mu, "unique_id").select("unique_id", "ds", (F.col(col) - F.col("__mu")).alias("__z"))
+        d = chunked(z, products, back=K, chunk_rows=chunk_rows, time_bucket=time_bucket)
+    else:
+        by_s = Window.partitionBy("unique_id")
+        d = products(panel.select("unique_id", "ds", (F.col(col) - F.avg(col).over(by_s)).alias("__z")))
     agg = d.groupBy("unique_id").agg(F.count("*").alias("__n"), F.sum(F.col("__z") * F.col("__z")).alias("__den"),
                                      *[F.sum(f"__p{k}").alias(f"__s{k}") for k in range(1, K + 1)])
     arr = F.array(F.struct(F.lit(0).alias("lag"), F.lit(1.0).alias("acf")),
@@ -125,8 +135,10 @@ def infer_frequency(panel: DataFrame) -> DataFrame:
                      ((F.dayofmonth("ds") == 1) & (F.to_date("ds").cast("timestamp_ntz") == F.col("ds"))).alias("__ms"))
     a = d.groupBy("unique_id").agg(F.min("__gap").alias("g0"), F.max("__gap").alias("g1"), F.min("__mg").alias("m0"),
                                    F.max("__mg").alias("m1"), F.min(F.col("__me").cast("int")).alias("me"),
-                                   F.min(F.col("__ms").cast("int")).alias("ms"),
-                                   F.percentile(F.col("__gap").cast("double"), F.lit(0.5)).alias("med"))
+                                   F.min(F.col("__ms").cast("int")).alias("ms"))
+    from panelspark.operators.relational import exact_percentiles
+
+    a = a.join(exact_percentiles(d, ["unique_id"], "__gap", [0.5], ["med"]), "unique_id", "left")
     days = F.floor(F.col("med") / 86400)
     by_median = (F.when(days == 1, "D").when(days.between(28, 31), "M").when(days.between(90, 92), "Q")
                   .when(days.between(365, 366), "Y").otherwise("Unknown"))

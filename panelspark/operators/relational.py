@@ -82,25 +82,59 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
 
 
 def describe(df: DataFrame, cols) -> DataFrame:
-    """Count, mean, sample std, min, exact interpolated quartiles, max — one aggregate pass, long per column."""
+    """Count, mean, sample std, min, exact interpolated quartiles, max per column (long).  Moments are one
+    partial/final aggregate; the quartiles come from ``exact_percentiles`` on the unpivoted values (distributed
+    ranks, no single-task buffer)."""
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"),
-                 F.min(c).cast("double").alias(f"lo{i}"), F.percentile(c, [0.25, 0.5, 0.75]).alias(f"q{i}"),
-                 F.max(c).cast("double").alias(f"hi{i}")]
+                 F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}")]
     a = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"n{i}").alias("count"), F.col(f"m{i}").alias("mean"),
-                              F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"q{i}")[0].alias("q25"),
-                              F.col(f"q{i}")[1].alias("q50"), F.col(f"q{i}")[2].alias("q75"),
+                              F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
                               F.col(f"hi{i}").alias("max")) for i, c in enumerate(cols)])
-    return a.select(F.explode(rows).alias("r")).select("r.*")
+    mom = a.select(F.explode(rows).alias("r")).select("r.*")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v"))
+                                         for c in cols])).alias("r")).select("r.*")
+    q = exact_percentiles(long, ["col"], "v", [0.25, 0.5, 0.75], ["q25", "q50", "q75"])
+    return mom.join(q, "col", "left").select("col", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def exact_quantile(col: str, q: float) -> Column:
-    """Exact interpolated quantile (the ``linear`` rule; DuckDB ``quantile_cont``)."""
+    """Exact interpolated quantile as an aggregate Column — for groups of *bounded* size only (the aggregation
+    buffer holds every distinct value of a group).  For unbounded groups use ``exact_percentiles``."""
     return F.percentile(F.col(col), F.lit(q))
 
 
+def exact_percentiles(df: DataFrame, keys, col: str, probs, names=None) -> DataFrame:
+    """Exact interpolated percentiles (rank ``h = p·(n−1)``, linear between neighbours — DuckDB
+    ``quantile_cont``) per key, without holding a group in one task.
+
+    Rows are range-partitioned on ``(keys…, value)``, so a hot key spans many partitions; counts per (key, partition)
+    give each partition's rank offset (a table of #keys×#partitions rows); ``row_number`` inside (key, partition)
+    completes the global rank; only the ≤ 2·len(probs) rows per key at the needed ranks survive to the interpolation."""
+    keys = list(keys)
+    names = names or [f"p{int(round(p * 100)):02d}" if abs(p * 100 - round(p * 100)) < 1e-9 else f"p{p}" for p in probs]
+    d = df.select(*keys, F.col(col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    r = d.repartitionByRange(*keys, "__v").withColumn("__pid", F.spark_partition_id())
+    pc = r.groupBy(*keys, "__pid").agg(F.count("*").alias("__c"))
+    wk = Window.partitionBy(*keys).orderBy("__pid")
+    off = pc.select(*keys, "__pid", F.coalesce(F.sum("__c").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
+                                               F.lit(0)).alias("__off"), F.sum("__c").over(Window.partitionBy(*keys)).alias("__n"))
+    rk = r.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__pid").orderBy("__v")) - 1)
+    rk = rk.join(off, [*keys, "__pid"]).withColumn("__rank", F.col("__off") + F.col("__r"))
+    tgt = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    need = rk.select(*keys, "__v", "__rank", "__n", F.explode(tgt).alias("__t"))
+    h = F.col("__t.p") * (F.col("__n") - 1)
+    need = need.filter((F.col("__rank") == F.floor(h)) | (F.col("__rank") == F.ceil(h)))
+    picked = need.groupBy(*keys, F.col("__t.i").alias("__i"), F.col("__t.p").alias("__p"), "__n").agg(
+        F.min_by("__v", "__rank").alias("__lo"), F.max_by("__v", "__rank").alias("__hi"))
+    hh = F.col("__p") * (F.col("__n") - 1)
+    val = F.col("__lo") + (hh - F.floor(hh)) * (F.col("__hi") - F.col("__lo"))
+    out = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, val)).alias(nm) for i, nm in enumerate(names)])
+    return out
+
+
 def kpi_row(f: DataFrame) -> DataFrame:
     """One row of totals, shares, filtered means and rates over the customer feature table."""
     red = F.col("RedFlag") == 1

@@ -11,11 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.chunking import chunked, series_keys
 from panelspark.sources.panels import check_panel
 
 
-def series_window(id_col: str = "unique_id", order_col: str = "ds") -> Window:
-    return Window.partitionBy(id_col).orderBy(order_col)
+def series_window(id_col: str | None = None, order_col: str | None = None) -> Window:
+    """``partitionBy(unique_id).orderBy(ds)`` — or ``(unique_id, chunk)`` by position inside ``chunking.chunked``."""
+    if id_col is not None or order_col is not None:
+        return Window.partitionBy(id_col or "unique_id").orderBy(order_col or "ds")
+    keys, order = series_keys()
+    return Window.partitionBy(*keys).orderBy(order)
 
 
 def _W() -> Window:
@@ -30,8 +35,13 @@ def __getattr__(name):  # ``from ...windows import W`` without needing a session
 
 # ---------------------------------------------------------------- F1–F3 lag features
 
-def add_lags(df: DataFrame, lags, col: str = "y", prefix: str = "lag") -> DataFrame:
-    """``lag{k}`` columns (null where the history is too short)."""
+def add_lags(df: DataFrame, lags, col: str = "y", prefix: str = "lag", chunk_rows: int | None = None,
+             time_bucket: str = "day") -> DataFrame:
+    """``lag{k}`` columns (null where the history is too short).  ``chunk_rows``: skew-safe chunked evaluation
+    (a long series is spread over many tasks; see ``functions.chunking``)."""
+    if chunk_rows:
+        return chunked(df, lambda d: add_lags(d, lags, col, prefix), back=max(lags), chunk_rows=chunk_rows,
+                       time_bucket=time_bucket)
     return df.withColumns({f"{prefix}{k}": F.lag(col, k).over(_W()) for k in lags})
 
 
@@ -53,9 +63,13 @@ def rolling_std(col: str, window: int, min_periods: int | None = None) -> Column
     return F.when(F.count(col).over(frame) >= need, F.stddev_samp(col).over(frame))
 
 
-def rolling_band(df: DataFrame, window: int = 20, n_sigmas: float = 2.0, col: str = "y") -> DataFrame:
+def rolling_band(df: DataFrame, window: int = 20, n_sigmas: float = 2.0, col: str = "y", chunk_rows: int | None = None,
+                 time_bucket: str = "day") -> DataFrame:
     """trailing mean and sample std (null until the window is full) with a ±kσ band."""
     check_panel(df)
+    if chunk_rows:
+        return chunked(df, lambda d: rolling_band(d, window, n_sigmas, col), back=window - 1, chunk_rows=chunk_rows,
+                       time_bucket=time_bucket)
     return (df.withColumns({"ma": rolling_mean(col, window), "ma_std": rolling_std(col, window)})
               .withColumns({"ma_lower": F.col("ma") - n_sigmas * F.col("ma_std"),
                             "ma_upper": F.col("ma") + n_sigmas * F.col("ma_std")}))

@@ -127,3 +127,14 @@ def g4_kernel_novelty(spark, sf_dir):
 def g6_anomaly_vote(spark, sf_dir):
     return anomaly.detect_anomalies_all(panels.events_daily(spark, sf_dir), keep_only=False) \
                   .withColumn("anomaly_count", F.col("anomaly_count").cast("bigint"))
+
+
+@register("f4_rolling_band_chunked", with_ctes(
+    "events_hourly",
+    f"b AS (SELECT *, CASE WHEN count(y) OVER {_FRAME20} = 20 THEN avg(y) OVER {_FRAME20} END AS ma, "
+    f"CASE WHEN count(y) OVER {_FRAME20} = 20 THEN stddev_samp(y) OVER {_FRAME20} END AS ma_std FROM events_hourly)",
+    "SELECT unique_id, ds, round(ma, 4) AS ma, round(ma_std, 4) AS ma_std, round(ma - 2 * ma_std, 4) AS ma_lower, "
+    "round(ma + 2 * ma_std, 4) AS ma_upper FROM b"))
+def f4_rolling_band_chunked(spark, sf_dir):
+    d = windows.rolling_band(panels.events_hourly(spark, sf_dir), 20, 2.0, chunk_rows=64)
+    return d.select("unique_id", "ds", _r("ma"), _r("ma_std"), _r("ma_lower"), _r("ma_upper"))

@@ -139,7 +139,8 @@ def d1_group_sizes(spark, sf_dir):
 def d14_exact_quantile(spark, sf_dir):
     p = panels.events_hourly(spark, sf_dir)
     e = p.select("unique_id", F.abs(F.col("y") - F.lag("y", 24).over(wn.series_window())).alias("err"))
-    return e.groupBy("unique_id").agg(rnd(rel.exact_quantile("err", 0.9), 4).alias("q90"))
+    q = rel.exact_percentiles(e, ["unique_id"], "err", [0.9], ["q90"])
+    return q.select("unique_id", rnd("q90", 4).alias("q90"))
 
 
 @register("d16_histogram", with_ctes(
@@ -375,3 +376,17 @@ def f23_trend_fourier(spark, sf_dir):
     "AND rolling_mean_lag1_window_size24 IS NOT NULL"))
 def f24_supervised_table(spark, sf_dir):
     return round_doubles(wn.supervised_table(panels.events_hourly(spark, sf_dir)), 4)
+
+
+# ---------------------------------------------------------------- skew-safe (chunked) twins: same SQL, same answers
+
+@register("f1_lags_chunked", with_ctes("events_hourly", "SELECT unique_id, ds, " + ", ".join(f"round(lag(y, {k}) OVER {W()}, 4) AS lag{k}" for k in _LAGS) + " FROM events_hourly"))
+def f1_lags_chunked(spark, sf_dir):
+    """F1 with every series cut into 100-row chunks (+24-row halos): a hot series spreads over many tasks."""
+    d = wn.add_lags(panels.events_hourly(spark, sf_dir), _LAGS, chunk_rows=100)
+    return round_doubles(d.select("unique_id", "ds", *[f"lag{k}" for k in _LAGS]), 4)
+
+
+@register("f16_acf_hourly_chunked", with_ctes("events_hourly", *_acf_sql("events_hourly"), "SELECT unique_id, lag, round(acf, 4) AS acf FROM acf_l"))
+def f16_acf_hourly_chunked(spark, sf_dir):
+    return round_doubles(explore.acf(panels.events_hourly(spark, sf_dir), chunk_rows=150), 4)
