@@ -300,3 +300,25 @@ def qq_points(df: DataFrame, col: str, key: str = "unique_id") -> DataFrame:
     line = d.groupBy(key).agg(F.regr_slope("sample", "theoretical").alias("slope"),
                               F.regr_intercept("sample", "theoretical").alias("intercept"))
     return d.join(line, key).select(key, "i", "theoretical", "sample", "slope", "intercept")
+
+
+# ---------------------------------------------------------------- F15 multiple seasonal decomposition (re-aim)
+
+def multi_seasonal_decompose(panel: DataFrame, periods=(24, 168), iterations: int = 2, col: str = "y") -> DataFrame:
+    """F15 re-aim of MSTL: periods in ascending order; each pass re-estimates ``seasonal_m`` by the classical
+    steps on y minus the other seasonal components; after ``iterations`` passes, ``trend`` is the centred moving
+    average (largest period) of the deseasonalised series and ``remainder`` = y − trend − Σ seasonal.  Every step is a
+    window over the same series partitioning (one shuffle)."""
+    periods = sorted(periods)
+    names = [f"seasonal{m}" for m in periods]
+    d = panel.select("unique_id", "ds", F.col(col).alias("__y0"), *[F.lit(0.0).alias(n) for n in names])
+    for _ in range(iterations):
+        for m, nm in zip(periods, names):
+            others = sum((F.col(o) for o in names if o != nm), F.lit(0.0))
+            x = d.withColumn("y", F.col("__y0") - others)
+            dec = decompose(x, m)
+            d = dec.withColumn(nm, F.col("seasonal")).drop("seasonal", "trend", "resid", "y")
+    total = sum((F.col(n) for n in names), F.lit(0.0))
+    d = d.withColumn("y", F.col("__y0") - total).withColumn("trend", centered_trend("y", periods[-1]))
+    return d.select("unique_id", "ds", F.col("__y0").alias(col), "trend", *names,
+                    (F.col("__y0") - F.col("trend") - total).alias("remainder"))

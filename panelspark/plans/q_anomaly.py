@@ -138,3 +138,35 @@ def g6_anomaly_vote(spark, sf_dir):
 def f4_rolling_band_chunked(spark, sf_dir):
     d = windows.rolling_band(panels.events_hourly(spark, sf_dir), 20, 2.0, chunk_rows=64)
     return d.select("unique_id", "ds", _r("ma"), _r("ma_std"), _r("ma_lower"), _r("ma_upper"))
+
+
+# ---------------------------------------------------------------- F15 multi-season decomposition
+
+def _mstl_sql(panel="events_hourly", periods=(24, 168), iterations=2):
+    names = [f"seasonal{m}" for m in periods]
+    ctes = [f"m0 AS (SELECT unique_id, ds, y AS y0, {', '.join('0.0 AS ' + n for n in names)} FROM {panel})"]
+    prev, k = "m0", 0
+    for _ in range(iterations):
+        for m, nm in zip(periods, names):
+            k += 1
+            others = " + ".join([o for o in names if o != nm]) or "0.0"
+            ctes.append(f"x{k} AS (SELECT unique_id, ds, y0, {', '.join(names)}, y0 - ({others}) AS y FROM {prev})")
+            ctes += decompose_ctes(f"x{k}", m, out=f"d{k}")
+            keep = ", ".join(("seasonal AS " + n) if n == nm else n for n in names)
+            ctes.append(f"m{k} AS (SELECT unique_id, ds, y0, {keep} FROM d{k})")
+            prev = f"m{k}"
+    total = " + ".join(names)
+    big, h = periods[-1], periods[-1] // 2
+    fr = W(f"ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING")
+    trend = (f"CASE WHEN count(y) OVER {fr} = {big + 1} THEN (sum(y) OVER {fr} - 0.5 * (lag(y, {h}) OVER {W()} + lead(y, {h}) OVER {W()})) / {big} END"
+             if big % 2 == 0 else f"CASE WHEN count(y) OVER {fr} = {big} THEN avg(y) OVER {fr} END")
+    ctes.append(f"fin AS (SELECT *, {trend} AS trend FROM (SELECT *, y0 - ({total}) AS y FROM {prev}))")
+    body = ("SELECT unique_id, ds, round(trend, 4) AS trend, " + ", ".join(f"round({n}, 4) AS {n}" for n in names)
+            + f", round(y0 - trend - ({total}), 4) AS remainder FROM fin")
+    return with_ctes(panel, *ctes, body)
+
+
+@register("f15_multi_seasonal_decompose", _mstl_sql())
+def f15_multi_seasonal_decompose(spark, sf_dir):
+    d = explore.multi_seasonal_decompose(panels.events_hourly(spark, sf_dir), (24, 168), 2)
+    return d.select("unique_id", "ds", _r("trend"), _r("seasonal24"), _r("seasonal168"), _r("remainder"))

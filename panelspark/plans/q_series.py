@@ -390,3 +390,33 @@ def f1_lags_chunked(spark, sf_dir):
 @register("f16_acf_hourly_chunked", with_ctes("events_hourly", *_acf_sql("events_hourly"), "SELECT unique_id, lag, round(acf, 4) AS acf FROM acf_l"))
 def f16_acf_hourly_chunked(spark, sf_dir):
     return round_doubles(explore.acf(panels.events_hourly(spark, sf_dir), chunk_rows=150), 4)
+
+
+# ---------------------------------------------------------------- F10 inverse differencing, E3 sort, E4 bottom-n
+
+@register("f10_undifference_forecast", with_ctes(
+    "events_hourly", f"d AS (SELECT unique_id, ds, y, y - lag(y) OVER {W()} AS dy, row_number() OVER {W()} AS r, count(*) OVER {UW} AS n FROM events_hourly)",
+    "last AS (SELECT unique_id, max_by(y, r) AS lvl, max(ds) AS mx FROM d GROUP BY 1)",
+    "sn AS (SELECT unique_id, r - (n - 24) AS step, dy FROM d WHERE r > n - 24)",
+    f"SELECT sn.unique_id, mx + to_hours(CAST(step AS BIGINT)) AS ds, round(lvl + sum(dy) OVER (PARTITION BY sn.unique_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS y "
+    "FROM sn JOIN last ON sn.unique_id = last.unique_id"))
+def f10_undifference_forecast(spark, sf_dir):
+    """Seasonal-naive forecast (m = 24) of the differenced series, integrated back to levels from the last level."""
+    from panelspark.operators import forecast as fc
+
+    p = panels.events_hourly(spark, sf_dir)
+    dif = wn.difference(p, 1)
+    f = fc.forecast_baselines(dif, 24, "h", 24, ["SeasonalNaive"]).withColumnRenamed("SeasonalNaive", "y")
+    return round_doubles(wn.undifference(f, p, 1).select("unique_id", "ds", "y"), 4)
+
+
+@register("e3_multi_key_sort", "SELECT c_mktsegment, c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey")
+def e3_multi_key_sort(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer", ["c_mktsegment", "c_custkey", "c_acctbal"])
+    return c.orderBy("c_mktsegment", F.desc("c_acctbal"), "c_custkey").select("c_mktsegment", "c_custkey", rnd("c_acctbal", 2).alias("c_acctbal"))
+
+
+@register("e4_bottom_n_customers", "SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal FROM customer ORDER BY c_acctbal ASC, c_custkey ASC LIMIT 10")
+def e4_bottom_n_customers(spark, sf_dir):
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_acctbal"])
+    return c.orderBy(F.asc("c_acctbal"), F.asc("c_custkey")).limit(10).select("c_custkey", "c_name", rnd("c_acctbal", 2).alias("c_acctbal"))
