@@ -340,13 +340,13 @@ def theta_forecast(panel: DataFrame, h: int, freq: str, season_length: int | Non
     b = fit_linear(trend, ["unique_id"], ["__one", "__t"], "y")
     last = d.withColumn("__r", F.row_number().over(Window.partitionBy("unique_id").orderBy(F.desc("ds")))).filter("__r = 1") \
             .select("unique_id", F.col("y").alias("__yn"), F.coalesce(F.col("__eps"), F.lit(0.0)).alias("__en"))
-    st = last.join(ma.select("unique_id", F.col("coef")[1].alias("theta")), "unique_id") \
+    st = last.join(ma.select("unique_id", F.col("coef")[1].alias("__ma1")), "unique_id") \
              .join(b.select("unique_id", F.col("coef")[1].alias("slope")), "unique_id") \
-             .withColumn("level", F.col("__yn") + F.col("theta") * F.col("__en"))
+             .withColumn("level", F.col("__yn") + F.col("__ma1") * F.col("__en"))
     fut = future_frame(panel, h, freq).join(st, "unique_id")
     f = fut.withColumn("Theta", F.col("level") + F.col("slope") / 2 * F.col("step"))
     if season_length:
         n = panel.groupBy("unique_id").agg(F.count("*").alias("__n"))
         f = f.join(n, "unique_id").withColumn("__ph", (F.col("__n") + F.col("step") - 1) % season_length) \
              .join(seas, ["unique_id", "__ph"], "left").withColumn("Theta", F.col("Theta") + F.coalesce("seasonal", F.lit(0.0)))
-    return f.select("unique_id", "ds", "step", "Theta", (1 + F.col("theta")).alias("alpha"))
+    return f.select("unique_id", "ds", "step", "Theta", (1 + F.col("__ma1")).alias("alpha"))

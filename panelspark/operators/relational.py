@@ -203,3 +203,13 @@ def standard_scale(df: DataFrame, cols, fit_filter: Column | None = None, suffix
 def mean_over(col: str, key: str) -> Column:
     """Group mean broadcast to every row of the group."""
     return F.avg(col).over(Window.partitionBy(key))
+
+
+def random_distinct(df: DataFrame, col: str, k: int, seed: int = 42) -> DataFrame:
+    """K distinct values drawn without replacement (seeded hash order), returned sorted; error when k exceeds the
+    number of distinct values.  The ``limit`` is the sampling feature itself."""
+    d = df.select(col).distinct()
+    n = d.count()
+    if k > n:
+        raise ValueError(f"cannot draw {k} distinct values from {n}")
+    return d.orderBy(F.xxhash64(F.col(col), F.lit(seed)), col).limit(k).orderBy(col)

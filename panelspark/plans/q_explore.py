@@ -115,10 +115,8 @@ def h25_forecast_comparison(spark, sf_dir):
 @register("e6_random_order_dates")
 def e6_random_order_dates(spark, sf_dir):
     """k random distinct order dates without replacement (seeded hash order; the limit is the sampling feature)."""
-    o = read_table(spark, sf_dir, "orders", ["o_orderdate"]).select(F.to_date("o_orderdate").alias("date")).distinct()
-    k = 10
-    pick = o.orderBy(F.xxhash64("date", F.lit(42)), "date").limit(k)
-    return pick.orderBy("date")
+    o = read_table(spark, sf_dir, "orders", ["o_orderdate"]).select(F.to_date("o_orderdate").alias("date"))
+    return rel.random_distinct(o, "date", 10, 42)
 
 
 def _detrend(pdf: pd.DataFrame) -> pd.DataFrame:
