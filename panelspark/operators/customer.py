@@ -53,9 +53,11 @@ def customer_panel(spark: SparkSession, sf_dir: str, products=PRODUCTS, start_ye
     period = (F.year("o_orderdate") - start_year).alias("TimePeriod")
     o = orders.select(F.col("o_orderkey"), F.col("o_custkey").alias("CustomerID"), period, "o_totalprice") \
               .filter(F.col("TimePeriod").between(0, n_periods - 1))
+    # one partial/final aggregate with a conditional sum per product (a pivot would add a second aggregate and
+    # exchange); partial aggregation also folds a very active customer's rows map-side before the shuffle
     usage = (li.join(o, li.l_orderkey == o.o_orderkey).join(part, li.l_partkey == part.p_partkey)
-               .groupBy("CustomerID", "TimePeriod").pivot("p_type", list(products)).agg(F.sum("l_quantity")))
-    usage = usage.select("CustomerID", "TimePeriod", *[F.col(p).alias(usage_col(p)) for p in products])
+               .groupBy("CustomerID", "TimePeriod")
+               .agg(*[F.sum(F.when(F.col("p_type") == p, F.col("l_quantity"))).alias(usage_col(p)) for p in products]))
     spend = o.groupBy("CustomerID", "TimePeriod").agg(F.sum("o_totalprice").alias("TotalSpend"))
     ctype = F.create_map(*[F.lit(x) for kv in SEGMENT_TYPE.items() for x in kv])[F.col("c_mktsegment")]
     size = (F.when(F.col("c_acctbal") < ACCTBAL_THIRDS[0], "Small")
