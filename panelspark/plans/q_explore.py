@@ -47,17 +47,36 @@ def d18_qq_points(spark, sf_dir):
     return round_doubles(explore.qq_points(_residuals(spark, sf_dir), "y"), 6)
 
 
-@register("h17_residual_acf")
+_RESID = f"res AS (SELECT unique_id, ds, y FROM (SELECT unique_id, ds, y - lag(y, 24) OVER {W()} AS y FROM events_hourly) WHERE y IS NOT NULL)"
+
+
+def _resid_acf_sql():
+    from panelspark.plans.q_series import _acf_sql
+
+    return with_ctes("events_hourly", _RESID, *_acf_sql("res", K=48), "SELECT unique_id, lag, round(acf, 6) AS acf FROM acf_l")
+
+
+@register("h17_residual_acf", _resid_acf_sql())
 def h17_residual_acf(spark, sf_dir):
     return round_doubles(explore.acf(_residuals(spark, sf_dir), nlags=48), 6)
 
 
-@register("h17_residual_histogram")
+@register("h17_residual_histogram", with_ctes(
+    "events_hourly", _RESID, "st AS (SELECT unique_id, min(y) AS lo, max(y) AS hi, count(y) AS n FROM res GROUP BY 1)",
+    "b AS (SELECT p.unique_id, lo, hi, n, CAST(COALESCE(least(floor((y - lo) / NULLIF((hi - lo) / 20, 0)), 19), 0) AS INTEGER) AS bin "
+    "FROM res p JOIN st ON p.unique_id = st.unique_id)",
+    "SELECT unique_id, bin, round(lo + bin * ((hi - lo) / 20), 6) AS \"left\", round(lo + (bin + 1) * ((hi - lo) / 20), 6) AS \"right\", "
+    "count(*) AS count, round(count(*) / (n * ((hi - lo) / 20)), 6) AS density FROM b GROUP BY unique_id, bin, lo, hi, n"))
 def h17_residual_histogram(spark, sf_dir):
     return round_doubles(rel.histogram(_residuals(spark, sf_dir), "y", 20, "unique_id"), 6)
 
 
-@register("h17_residual_density")
+@register("h17_residual_density", with_ctes(
+    "events_hourly", _RESID,
+    "st AS (SELECT unique_id, count(y) AS n, min(y) AS lo, max(y) AS hi, stddev_samp(y) * pow(count(y), -0.2) AS bw FROM res GROUP BY 1)",
+    "g AS (SELECT unique_id, i, lo - 3 * bw + i * ((hi - lo) + 6 * bw) / 199 AS x, n, bw FROM st, range(200) t(i) WHERE bw > 0)",
+    "SELECT g.unique_id, CAST(i AS INTEGER) AS i, round(x, 6) AS x, round(sum(exp(-0.5 * pow((x - r.y) / bw, 2))) / (n * bw * sqrt(2 * pi())), 6) AS density "
+    "FROM g JOIN res r ON r.unique_id = g.unique_id GROUP BY g.unique_id, i, x, n, bw"))
 def h17_residual_density(spark, sf_dir):
     return round_doubles(rel.kde(_residuals(spark, sf_dir), "unique_id", "y", 200), 6)
 
