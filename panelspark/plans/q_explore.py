@@ -103,12 +103,24 @@ def h19_per_series_alpha_search(spark, sf_dir):
     return rg.ridge_alpha_search(d.filter(~F.col("is_future")), x, "y", 12, 3)
 
 
-@register("h13_forecast_from_given_coefficients")
+def _h13_sql():
+    body = with_ctes(
+        "events_daily",
+        f"l2 AS (SELECT unique_id, max(y) FILTER (WHERE r = 1) AS a, max(y) FILTER (WHERE r = 2) AS b FROM "
+        f"(SELECT unique_id, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS r FROM events_daily) GROUP BY 1)",
+        "rec(unique_id, step, a, b) AS (SELECT unique_id, 0, a, b FROM l2 UNION ALL "
+        "SELECT unique_id, step + 1, 50.0 + 0.6 * a + 0.3 * b, a FROM rec WHERE step < 7)",
+        "SELECT unique_id, step, round(a, 4) AS yhat FROM rec WHERE step >= 1")
+    return "WITH RECURSIVE " + body[len("WITH "):]
+
+
+@register("h13_forecast_from_given_coefficients", _h13_sql())
 def h13_forecast_from_given_coefficients(spark, sf_dir):
     p = panels.events_daily(spark, sf_dir)
     given = spark.createDataFrame([(u, [50.0, 0.6, 0.3]) for u in ("click", "error", "purchase", "signup", "view")],
                                   "unique_id string, coef array<double>")
-    return round_doubles(rg.ar_forecast(p, given.join(p.select("unique_id").distinct(), "unique_id"), 7, 2), 4)
+    f = rg.ar_forecast(p, given.join(p.select("unique_id").distinct(), "unique_id"), 7, 2)
+    return round_doubles(f.withColumn("step", F.col("step").cast("int")), 4)
 
 
 @register("h16_theta")

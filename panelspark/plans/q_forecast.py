@@ -303,14 +303,47 @@ def g7_interval_breach(spark, sf_dir):
 
 # ---------------------------------------------------------------- I2 / I3 (rows-only; the fold is pinned by pytest)
 
-@register("i2_position_fold")
+def _fold_sql(extra_body: str, extra_ctes=()) -> str:
+    sig = ("sg AS (SELECT unique_id, ds, y, CAST(ds AS DATE) AS session, row_number() OVER (PARTITION BY unique_id, CAST(ds AS DATE) ORDER BY ds) AS rn, "
+           "next_pred, CASE WHEN pos <= 11 THEN 'HOLD' WHEN y < lower AND next_pred > y THEN 'BUY' WHEN y > upper AND next_pred < y THEN 'SELL' "
+           "ELSE 'HOLD' END AS signal FROM bd)")
+
+    def step(cash, shares):
+        buy = f"(s.signal = 'BUY' AND {cash} > s.y AND s.y > 0)"
+        sell = f"(s.signal = 'SELL' AND {shares} > 0)"
+        return (f"CASE WHEN {buy} THEN {cash} - floor({cash} / s.y) * s.y WHEN {sell} THEN {cash} + s.y * {shares} ELSE {cash} END",
+                f"CASE WHEN {buy} THEN {shares} + floor({cash} / s.y) WHEN {sell} THEN 0.0 ELSE {shares} END",
+                f"CASE WHEN {buy} THEN 'BUY' WHEN {sell} THEN 'SELL' ELSE 'HOLD' END")
+
+    c0, s0, a0 = step("10000.0", "0.0")
+    c1, s1, a1 = step("r.cash", "r.shares")
+    rec = (f"fold(unique_id, session, rn, ds, y, signal, action, cash, shares) AS ("
+           f"SELECT s.unique_id, s.session, s.rn, s.ds, s.y, s.signal, {a0}, {c0}, {s0} FROM sg s WHERE s.rn = 1 UNION ALL "
+           f"SELECT s.unique_id, s.session, s.rn, s.ds, s.y, s.signal, {a1}, {c1}, {s1} FROM fold r JOIN sg s "
+           f"ON s.unique_id = r.unique_id AND s.session = r.session AND s.rn = r.rn + 1)")
+    body = with_ctes("events_hourly", *_band_sql(), sig, rec, *extra_ctes, extra_body)
+    return "WITH RECURSIVE " + body[len("WITH "):]
+
+
+@register("i2_position_fold", _fold_sql(
+    "SELECT unique_id, strftime(session, '%Y-%m-%d') AS session, ds, round(y, 4) AS y, signal, action, round(cash, 4) AS cash, "
+    "round(shares, 4) AS shares, round(cash + shares * y, 4) AS value FROM fold"))
 def i2_position_fold(spark, sf_dir):
     s = bt.signals(bt.seasonal_one_step_band(panels.events_hourly(spark, sf_dir), 24, 0.9, 0.8))
-    return round_doubles(bt.position_fold(s), 4)
-
-
-@register("i3_backtest_summary")
+    f = bt.position_fold(s).withColumn("session", F.date_format("session", "yyyy-MM-dd"))
+    return round_doubles(f, 4)
+
+
+@register("i3_backtest_summary", _fold_sql(
+    "SELECT fs.unique_id, strftime(fs.session, '%Y-%m-%d') AS session, round(final_value, 4) AS final_value, trades, buys, sells, "
+    "round((final_value - 10000.0) / 10000.0 * 100, 4) AS total_return_pct, round(mae, 4) AS mae, round(rmse, 4) AS rmse "
+    "FROM fs LEFT JOIN em ON fs.unique_id = em.unique_id AND fs.session = em.session",
+    ["fs AS (SELECT unique_id, session, max_by(cash + shares * y, ds) AS final_value, CAST(sum(CASE WHEN action <> 'HOLD' THEN 1 ELSE 0 END) AS INTEGER) AS trades, "
+     "CAST(sum(CASE WHEN action = 'BUY' THEN 1 ELSE 0 END) AS INTEGER) AS buys, CAST(sum(CASE WHEN action = 'SELL' THEN 1 ELSE 0 END) AS INTEGER) AS sells FROM fold GROUP BY 1, 2)",
+     f"er AS (SELECT unique_id, CAST(ds AS DATE) AS session, lead(y) OVER {W()} - next_pred AS e FROM bd)",
+     "em AS (SELECT unique_id, session, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse FROM er GROUP BY 1, 2)"]))
 def i3_backtest_summary(spark, sf_dir):
     b = bt.seasonal_one_step_band(panels.events_hourly(spark, sf_dir), 24, 0.9, 0.8)
     s = bt.signals(b)
-    return round_doubles(bt.summary(bt.position_fold(s), b), 4)
+    out = bt.summary(bt.position_fold(s), b).withColumn("session", F.date_format("session", "yyyy-MM-dd"))
+    return round_doubles(out, 4)
