@@ -212,4 +212,9 @@ def random_distinct(df: DataFrame, col: str, k: int, seed: int = 42) -> DataFram
     n = d.count()
     if k > n:
         raise ValueError(f"cannot draw {k} distinct values from {n}")
-    return d.orderBy(F.xxhash64(F.col(col), F.lit(seed)), col).limit(k).orderBy(col)
+    if dict(df.dtypes)[col] == "date":  # engine-independent multiplicative hash of the epoch day
+        key = F.datediff(F.col(col), F.lit("1970-01-01").cast("date")).cast("bigint")
+        h = (key * F.lit(2654435761) + F.lit(seed * 40503 + 12345)) % F.lit(4294967296)
+    else:
+        h = F.xxhash64(F.col(col), F.lit(seed))
+    return d.orderBy(h, col).limit(k).orderBy(col)

@@ -143,11 +143,12 @@ def h25_forecast_comparison(spark, sf_dir):
     return round_doubles(ev.evaluate(j, models, history=train, season_length=12), 6)
 
 
-@register("e6_random_order_dates")
+@register("e6_random_order_dates", "SELECT strftime(d, '%Y-%m-%d') AS date FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) "
+          "ORDER BY ((CAST(d - DATE '1970-01-01' AS BIGINT) * 2654435761 + 1713471) % 4294967296), d LIMIT 10")
 def e6_random_order_dates(spark, sf_dir):
     """k random distinct order dates without replacement (seeded hash order; the limit is the sampling feature)."""
     o = read_table(spark, sf_dir, "orders", ["o_orderdate"]).select(F.to_date("o_orderdate").alias("date"))
-    return rel.random_distinct(o, "date", 10, 42)
+    return rel.random_distinct(o, "date", 10, 42).select(F.date_format("date", "yyyy-MM-dd").alias("date"))
 
 
 def _detrend(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -161,12 +162,16 @@ def _detrend(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["unique_id", "day", "ds", "y", "detrended"]]
 
 
-@register("l1_apply_per_group")
+@register("l1_apply_per_group", with_ctes(
+    "events_hourly", "g AS (SELECT unique_id, CAST(ds AS DATE) AS day, ds, y, CAST(row_number() OVER (PARTITION BY unique_id, CAST(ds AS DATE) ORDER BY ds) - 1 AS DOUBLE) AS t FROM events_hourly)",
+    "c AS (SELECT unique_id, day, regr_slope(y, t) AS b, regr_intercept(y, t) AS a, count(*) AS n FROM g GROUP BY 1, 2)",
+    "SELECT g.unique_id, strftime(g.day, '%Y-%m-%d') AS day, g.ds, round(g.y, 4) AS y, round(CASE WHEN n > 1 THEN g.y - (a + b * t) ELSE 0.0 END, 4) AS detrended "
+    "FROM g JOIN c ON g.unique_id = c.unique_id AND g.day = c.day"))
 def l1_apply_per_group(spark, sf_dir):
     p = panels.events_hourly(spark, sf_dir).withColumn("day", F.to_date("ds"))
     out = userfn.apply_per_group(p, ["unique_id", "day"], _detrend,
                                  "unique_id string, day date, ds timestamp_ntz, y double, detrended double")
-    return round_doubles(out, 4)
+    return round_doubles(out.withColumn("day", F.date_format("day", "yyyy-MM-dd")), 4)
 
 
 @register("l2_group_transform", with_ctes("events_daily", "SELECT unique_id, ds, round(y - avg(y) OVER (PARTITION BY unique_id), 4) AS y_demeaned, "
