@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.chunking import chunked
 from panelspark.operators.windows import _W
-from panelspark.sources.panels import check_panel
+from panelspark.sources.panels import check_panel, epoch_seconds
 
 
 # ---------------------------------------------------------------- F14 classical decomposition
@@ -129,7 +129,7 @@ def infer_frequency(panel: DataFrame) -> DataFrame:
     prev = F.lag("ds").over(w)
     mi = F.year("ds") * 12 + F.month("ds")
     d = panel.select("unique_id", "ds",
-                     (F.unix_timestamp("ds") - F.unix_timestamp(prev)).alias("__gap"),
+                     (epoch_seconds("ds") - epoch_seconds(prev)).alias("__gap"),
                      (mi - F.lag(mi).over(w)).alias("__mg"),
                      (F.to_date("ds") == F.last_day("ds")).alias("__me"),
                      ((F.dayofmonth("ds") == 1) & (F.to_date("ds").cast("timestamp_ntz") == F.col("ds"))).alias("__ms"))

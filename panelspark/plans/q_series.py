@@ -60,16 +60,16 @@ def a6_future_frame(spark, sf_dir):
           "make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000) AS ds FROM events")
 def b1_epoch_roundtrip(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts"])
-    e = F.unix_timestamp("ts")
-    return ev.select("event_id", e.alias("epoch_s"), F.timestamp_seconds(e).cast("timestamp_ntz").alias("ds"))
+    e = panels.epoch_seconds("ts")
+    return ev.select("event_id", e.alias("epoch_s"), panels.from_epoch_seconds(e).alias("ds"))
 
 
 @register("b2_local_midnight", "SELECT event_id, date_trunc('day', timezone('America/New_York', timezone('UTC', ts))) AS local_midnight, "
           "date_trunc('day', timezone('America/New_York', timezone('UTC', ts))) - INTERVAL 3 DAY AS lookback_start FROM events")
 def b2_local_midnight(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events", ["event_id", "ts"])
-    local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), "America/New_York")
-    mid = F.date_trunc("day", local).cast("timestamp_ntz")
+    local = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts"))  # wall clock → wall clock
+    mid = F.to_date(local).cast("timestamp_ntz")
     return ev.select("event_id", mid.alias("local_midnight"), (mid - F.expr("INTERVAL 3 DAYS")).alias("lookback_start"))
 
 

@@ -12,7 +12,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
-    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.session.timeZone": os.environ.get("PANELSPARK_TZ", "UTC"),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

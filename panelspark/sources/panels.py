@@ -34,8 +34,24 @@ def check_panel(df: DataFrame, extra_ok: bool = True) -> DataFrame:
 _NMIN = re.compile(r"^(\d*)min$")
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def epoch_seconds(ts: Column | str) -> Column:
+    """Whole seconds since 1970-01-01 of a wall-clock ``timestamp_ntz`` — independent of the session time zone
+    (``unix_timestamp`` would read the wall clock in the session zone)."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts)).cast("bigint")
+
+
+def from_epoch_seconds(secs: Column) -> Column:
+    """Inverse of ``epoch_seconds`` (a ``timestamp_ntz``), also zone independent."""
+    return F.lit(EPOCH_NTZ).cast("timestamp_ntz") + F.make_dt_interval(secs=secs.cast("decimal(18,6)"))
+
+
 def bucket(ts: Column | str, freq: str) -> Column:
-    """Map a timestamp to the stamp of its interval (``timestamp_ntz``; session time zone is UTC).
+    """Map a wall-clock timestamp to the stamp of its interval (``timestamp_ntz``), whatever the session time zone.
 
     freq: ``'Nmin'`` (N minutes, default 1), ``'h'``, ``'D'``, ``'ME'`` (month end), ``'MS'`` (month start).
     """
@@ -43,10 +59,9 @@ def bucket(ts: Column | str, freq: str) -> Column:
     m = _NMIN.match(freq)
     if m:
         n = int(m.group(1) or 1)
-        secs = F.floor(F.unix_timestamp(ts) / (60 * n)) * (60 * n)
-        return F.timestamp_seconds(secs).cast("timestamp_ntz")
+        return from_epoch_seconds(F.floor(epoch_seconds(ts) / (60 * n)) * (60 * n))
     if freq == "h":
-        return F.date_trunc("hour", ts).cast("timestamp_ntz")
+        return from_epoch_seconds(F.floor(epoch_seconds(ts) / 3600) * 3600)
     if freq == "D":
         return F.to_date(ts).cast("timestamp_ntz")
     if freq == "ME":
