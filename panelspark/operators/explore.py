@@ -63,30 +63,30 @@ def acf(panel: DataFrame, max_lag: int = 100, nlags=None, col: str = "y", chunk_
     """F16: biased autocorrelation ``Σ(y_t−ȳ)(y_{t−k}−ȳ) / Σ(y_t−ȳ)²`` for k = 0…K per series, long ``(unique_id,
     lag, acf)``.  K = ``nlags`` if given, else ``min(n//2, max_lag)`` per series.
 
-    The K lagged products are columns of one window pass; their sums are ordinary aggregates (partial before the
-    shuffle), so a long series is summed by many tasks.
-    """
+    Each row carries its last K+1 centred values (``collect_list`` over a bounded ``rowsBetween(-K, 0)`` frame),
+    explodes them into (lag, product) pairs and the products are summed by (series, lag) — an ordinary aggregate,
+    partial in every map task, so a long series is summed by many tasks and only (series, lag) partials shuffle.
+    ``chunk_rows`` additionally spreads the frame computation of one long series over chunks (K-row halos)."""
     K = int(nlags) if nlags is not None else int(max_lag)
 
-    def products(x):
-        return x.withColumns({f"__p{k}": F.col("__z") * F.lag("__z", k).over(_W()) for k in range(1, K + 1)})
+    def frames(x):
+        return x.withColumn("__h", F.collect_list("__z").over(_W().rowsBetween(-K, 0)))
 
     if chunk_rows:
-        # skew-safe: series mean by a (partial) aggregate, lag products chunk-wise with a K-row halo
-        mu = panel.groupBy("unique_id").agg(F.avg(col).alias("__mu"))
-        z = panel.join(mu, "unique_id").select("unique_id", "ds", (F.col(col) - F.col("__mu")).alias("__z"))
-        d = chunked(z, products, back=K, chunk_rows=chunk_rows, time_bucket=time_bucket)
+        # skew-safe: series mean by a (partial) aggregate, frames chunk-wise with a K-row halo
+        mu = panel.groupBy("unique_id").agg(F.avg(col).alias("__mu"), F.count("*").alias("__n"))
+        z = panel.join(mu, "unique_id").select("unique_id", "ds", "__n", (F.col(col) - F.col("__mu")).alias("__z"))
+        d = chunked(z, frames, back=K, chunk_rows=chunk_rows, time_bucket=time_bucket)
     else:
         by_s = Window.partitionBy("unique_id")
-        d = products(panel.select("unique_id", "ds", (F.col(col) - F.avg(col).over(by_s)).alias("__z")))
-    agg = d.groupBy("unique_id").agg(F.count("*").alias("__n"), F.sum(F.col("__z") * F.col("__z")).alias("__den"),
-                                     *[F.sum(f"__p{k}").alias(f"__s{k}") for k in range(1, K + 1)])
-    arr = F.array(F.struct(F.lit(0).alias("lag"), F.lit(1.0).alias("acf")),
-                  *[F.struct(F.lit(k).alias("lag"), F.try_divide(F.coalesce(F.col(f"__s{k}"), F.lit(0.0)),
-                                                                  F.col("__den")).alias("acf")) for k in range(1, K + 1)])
+        d = frames(panel.select("unique_id", "ds", F.count("*").over(by_s).alias("__n"),
+                                (F.col(col) - F.avg(col).over(by_s)).alias("__z")))
+    e = d.select("unique_id", "__n", "__z", F.posexplode(F.reverse("__h")).alias("lag", "__zl"))
+    s = e.groupBy("unique_id", "lag").agg(F.sum(F.col("__z") * F.col("__zl")).alias("__s"), F.max("__n").alias("__n"))
     kmax = F.lit(K) if nlags is not None else F.least(F.floor(F.col("__n") / 2), F.lit(K))
-    return (agg.select("unique_id", kmax.alias("__kmax"), F.explode(arr).alias("r"))
-               .filter(F.col("r.lag") <= F.col("__kmax")).select("unique_id", "r.lag", "r.acf"))
+    den = F.sum(F.when(F.col("lag") == 0, F.col("__s"))).over(Window.partitionBy("unique_id"))
+    out = s.withColumn("acf", F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(F.try_divide(F.col("__s"), den)))
+    return out.filter(F.col("lag") <= kmax).select("unique_id", F.col("lag").cast("int").alias("lag"), "acf")
 
 
 def acf_peaks(acf_long: DataFrame, height: float = 0.1, top: int = 3) -> DataFrame:
