@@ -66,10 +66,12 @@ def with_halo(d: DataFrame, back: int, fwd: int, chunk_rows: int) -> DataFrame:
 
 
 def chunked(panel: DataFrame, fn, back: int = 0, fwd: int = 0, chunk_rows: int = 100_000,
-            time_bucket: str = "month") -> DataFrame:
+            time_bucket: str = "month", keep_pos: bool = False) -> DataFrame:
     """Apply a local window operator ``fn(DataFrame) -> DataFrame`` chunk-wise (see module doc).  The result equals
-    ``fn(panel)`` for every row whose windows reach at most ``back`` rows behind and ``fwd`` rows ahead."""
+    ``fn(panel)`` for every row whose windows reach at most ``back`` rows behind and ``fwd`` rows ahead.
+    ``keep_pos`` keeps the 0-based series position ``__pos``."""
     d = with_halo(positions(panel, time_bucket), back, fwd, chunk_rows)
     with chunked_windows():
         out = fn(d)
-    return out.filter(~F.col("__halo")).drop("__chunk", "__halo", "__pos")
+    out = out.filter(~F.col("__halo")).drop("__chunk", "__halo")
+    return out if keep_pos else out.drop("__pos")

@@ -13,28 +13,38 @@ def _by_series():
     return Window.partitionBy("unique_id")
 
 
-def band_flag(df: DataFrame, window: int = 20, n_sigmas: float = 2.0) -> DataFrame:
+def _series_stats(df: DataFrame, col: str, chunk_rows) -> tuple:
+    """Mean and population σ of ``col`` per series: a window over the series, or — skew-safe — an aggregate
+    (partial before the shuffle) joined back."""
+    if not chunk_rows:
+        return df, F.avg(col).over(_by_series()), F.stddev_pop(col).over(_by_series())
+    st = df.groupBy("unique_id").agg(F.avg(col).alias(f"__mu_{col}"), F.stddev_pop(col).alias(f"__sd_{col}"))
+    return df.join(st, "unique_id"), F.col(f"__mu_{col}"), F.col(f"__sd_{col}")
+
+
+def band_flag(df: DataFrame, window: int = 20, n_sigmas: float = 2.0, chunk_rows: int | None = None) -> DataFrame:
     """G1: ``y`` outside the trailing mean ± kσ band (null band → false)."""
-    d = rolling_band(df, window, n_sigmas)
+    d = rolling_band(df, window, n_sigmas, chunk_rows=chunk_rows)
     return d.withColumn("ma_anomaly",
                         F.coalesce((F.col("y") < F.col("ma_lower")) | (F.col("y") > F.col("ma_upper")), F.lit(False)))
 
 
-def residual_flag(df: DataFrame, period: int = 7, n_sigmas: float = 2.0, model: str = "additive") -> DataFrame:
+def residual_flag(df: DataFrame, period: int = 7, n_sigmas: float = 2.0, model: str = "additive",
+                  chunk_rows: int | None = None) -> DataFrame:
     """Decomposition residual outside its series mean ± k·(population σ); nulls skipped, null resid → false."""
-    d = decompose(df, period, model)
-    mu = F.avg("resid").over(_by_series())
-    sd = F.stddev_pop("resid").over(_by_series())
+    d = decompose(df, period, model, chunk_rows=chunk_rows)
+    d, mu, sd = _series_stats(d, "resid", chunk_rows)
     flag = (F.col("resid") < mu - n_sigmas * sd) | (F.col("resid") > mu + n_sigmas * sd)
-    return d.withColumn("decomp_anomaly", F.coalesce(flag, F.lit(False)))
+    return d.withColumn("decomp_anomaly", F.coalesce(flag, F.lit(False))).drop("__mu_resid", "__sd_resid")
 
 
-def zscore_flag(df: DataFrame, threshold: float = 3.0) -> DataFrame:
+def zscore_flag(df: DataFrame, threshold: float = 3.0, chunk_rows: int | None = None) -> DataFrame:
     """|z| > threshold with the series' population σ."""
     check_panel(df)
-    z = F.try_divide(F.col("y") - F.avg("y").over(_by_series()), F.stddev_pop("y").over(_by_series()))
-    return df.withColumn("z_score", z).withColumn("zscore_anomaly",
-                                                  F.coalesce(F.abs(F.col("z_score")) > threshold, F.lit(False)))
+    d, mu, sd = _series_stats(df, "y", chunk_rows)
+    z = F.try_divide(F.col("y") - mu, sd)
+    return d.withColumn("z_score", z).withColumn("zscore_anomaly", F.coalesce(F.abs(F.col("z_score")) > threshold,
+                                                                               F.lit(False))).drop("__mu_y", "__sd_y")
 
 
 def interval_breach(df: DataFrame, actual: str = "y", lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -46,11 +56,13 @@ FLAG_COLS = ("ma_anomaly", "decomp_anomaly", "zscore_anomaly")
 
 
 def detect_anomalies(panel: DataFrame, ma_window: int = 20, ma_n_sigmas: float = 2.0, decomp_period: int = 7,
-                     decomp_n_sigmas: float = 2.0, zscore_threshold: float = 3.0, extra_flags=()) -> DataFrame:
-    """Band, residual and z-score flags on one pass (all windows share ``partitionBy(unique_id)``: one shuffle)."""
-    d = band_flag(panel, ma_window, ma_n_sigmas)
-    d = residual_flag(d, decomp_period, decomp_n_sigmas)
-    d = zscore_flag(d, zscore_threshold)
+                     decomp_n_sigmas: float = 2.0, zscore_threshold: float = 3.0, extra_flags=(),
+                     chunk_rows: int | None = None) -> DataFrame:
+    """Band, residual and z-score flags on one pass (all windows share ``partitionBy(unique_id)``: one shuffle).
+    ``chunk_rows``: skew-safe mode — windows chunk-wise with halos, series statistics by aggregates."""
+    d = band_flag(panel, ma_window, ma_n_sigmas, chunk_rows=chunk_rows)
+    d = residual_flag(d, decomp_period, decomp_n_sigmas, chunk_rows=chunk_rows)
+    d = zscore_flag(d, zscore_threshold, chunk_rows=chunk_rows)
     flags = list(FLAG_COLS) + list(extra_flags)
     count = sum((F.col(c).cast("int") for c in flags[1:]), F.col(flags[0]).cast("int"))
     return d.withColumn("anomaly_count", count)

@@ -29,7 +29,8 @@ def centered_trend(col: str, period: int):
                   (F.sum(col).over(frame) - 0.5 * ends) / period)
 
 
-def decompose(panel: DataFrame, period: int, model: str = "additive", col: str = "y") -> DataFrame:
+def decompose(panel: DataFrame, period: int, model: str = "additive", col: str = "y", chunk_rows: int | None = None,
+              time_bucket: str = "day") -> DataFrame:
     """classical decomposition → adds ``trend``, ``seasonal``, ``resid``.
 
     Seasonal = phase mean (phase = position mod m) of the detrended series, re-centred so the m phase means average 0
@@ -40,6 +41,8 @@ def decompose(panel: DataFrame, period: int, model: str = "additive", col: str =
         raise ValueError("model must be 'additive' or 'multiplicative'")
     m = period
     add = model == "additive"
+    if chunk_rows:
+        return _decompose_chunked(panel, m, add, col, chunk_rows, time_bucket)
     d = panel.withColumns({"__pos": F.row_number().over(_W()) - 1,
                            "__n": F.count("*").over(Window.partitionBy("unique_id")),
                            "trend": centered_trend(col, m)})
@@ -56,6 +59,25 @@ def decompose(panel: DataFrame, period: int, model: str = "additive", col: str =
     return d.withColumn("resid", resid).drop("__pos", "__n", "__det", "__phase", "__pm")
 
 
+def _decompose_chunked(panel: DataFrame, m: int, add: bool, col: str, chunk_rows: int, time_bucket: str) -> DataFrame:
+    """Skew-safe F14: trend chunk-wise (±m/2 halos); phase means, their centre and the series length are
+    aggregates joined back (tables of #series·m rows), so no window spans a whole series."""
+    h = m // 2
+    d = chunked(panel, lambda x: x.withColumn("trend", centered_trend(col, m)), back=h, fwd=h, chunk_rows=chunk_rows,
+                time_bucket=time_bucket, keep_pos=True)
+    n = panel.groupBy("unique_id").agg(F.count("*").alias("__n"))
+    d = d.join(n, "unique_id").withColumn("trend", F.when(F.col("__n") >= 2 * m, F.col("trend")))
+    det = (F.col(col) - F.col("trend")) if add else F.try_divide(F.col(col), F.col("trend"))
+    d = d.withColumns({"__det": det, "__phase": F.col("__pos") % m})
+    pm = d.groupBy("unique_id", "__phase").agg(F.avg("__det").alias("__pm"))
+    centre = pm.groupBy("unique_id").agg(F.avg("__pm").alias("__c"))
+    d = d.join(pm, ["unique_id", "__phase"]).join(centre, "unique_id")
+    seasonal = (F.col("__pm") - F.col("__c")) if add else F.try_divide(F.col("__pm"), F.col("__c"))
+    d = d.withColumn("seasonal", F.when(F.col("__n") >= 2 * m, seasonal))
+    resid = (F.col("__det") - F.col("seasonal")) if add else F.try_divide(F.col("__det"), F.col("seasonal"))
+    return d.withColumn("resid", resid).drop("__pos", "__n", "__det", "__phase", "__pm", "__c")
+
+
 # ---------------------------------------------------------------- F16 autocorrelation
 
 def acf(panel: DataFrame, max_lag: int = 100, nlags=None, col: str = "y", chunk_rows: int | None = None,

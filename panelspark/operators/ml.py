@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import windows as wn
 from panelspark.session import cut_lineage
-from panelspark.sources.panels import future_frame
+from panelspark.sources.panels import future_frame, tail_rows
 
 DEFAULT_LAGS = (1, 2, 3, 4, 5, 15, 30, 60)
 
@@ -62,8 +62,7 @@ def recursive_forecast(model, panel: DataFrame, h: int, freq: str, lags=DEFAULT_
     """H2: h rounds of (features from the last values → model → append).  State per series = last ``max(lags)+1``
     levels; lineage is cut with ``checkpoint()`` (reliable, shared folder) every ``checkpoint_every`` rounds."""
     L = max(lags) + 1
-    w = Window.partitionBy("unique_id").orderBy(F.desc("ds"))
-    tail = panel.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= L)
+    tail = tail_rows(panel, L, freq)  # per-series last stamp + arithmetic: no window over a whole series
     state = tail.groupBy("unique_id").agg(F.max("ds").alias("last_ds"),
                                           F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("__h"))
     state = state.select("unique_id", "last_ds", F.transform("__h", lambda s: s["y"]).alias("hist"))

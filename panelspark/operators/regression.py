@@ -228,15 +228,15 @@ def best_order(grid: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- H13 forecasting from given coefficients
 
-def ar_forecast(panel: DataFrame, coefs: DataFrame, h: int, p: int, col: str = "y") -> DataFrame:
+def ar_forecast(panel: DataFrame, coefs: DataFrame, h: int, p: int, col: str = "y", freq: str | None = None) -> DataFrame:
     """H13 (and H11 forecasts): recursion ``ŷ = c + Σ φ_i·ŷ_{t−i}`` for h steps from given coefficients
     ``coefs(unique_id, coef=[c, φ1…φp])`` — no optimisation.  The state is the last p values per series; the
     recursion is one SQL ``aggregate`` over ``sequence(1, h)`` (JVM-side), returned as ``(unique_id, step, yhat)``."""
-    w = Window.partitionBy("unique_id").orderBy(F.desc("ds"))
-    last = panel.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= p)
-    st = last.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct(F.col("__r"), F.col(col)))).alias("__l"))
-    # most recent first → reverse into time order
-    st = st.select("unique_id", F.reverse(F.transform("__l", lambda s: s[col])).alias("hist"))
+    from panelspark.sources.panels import tail_rows
+
+    last = tail_rows(panel, p, freq)  # ≤ p rows per series
+    st = last.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct(F.col("ds"), F.col(col)))).alias("__l"))
+    st = st.select("unique_id", F.transform("__l", lambda s: s[col]).alias("hist"))
     j = st.join(coefs.select("unique_id", "coef"), "unique_id")
 
     def step(acc, _k):

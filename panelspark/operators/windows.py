@@ -111,17 +111,20 @@ def difference(df: DataFrame, order: int = 1, lag: int = 1, col: str = "y", out:
     return df.filter(F.col(out).isNotNull()) if dropna else df
 
 
-def undifference(forecast: DataFrame, last_levels: DataFrame, lag: int = 1, col: str = "y") -> DataFrame:
+def undifference(forecast: DataFrame, last_levels: DataFrame, lag: int = 1, col: str = "y",
+                 freq: str | None = None) -> DataFrame:
     """turn forecasts of ``y_t - y_{t-lag}`` back into levels.
 
     ``forecast``: ``(unique_id, ds, col)`` differenced forecasts; ``last_levels``: ``(unique_id, ds, y)`` — the last
     ``lag`` observed levels per series.  Step k adds to the level observed ``lag`` steps before, i.e. a running sum
     within each residue class ``step % lag`` started from the matching last level.
     """
+    from panelspark.sources.panels import tail_rows
+
     wf = series_window()
-    f = forecast.withColumn("__step", F.row_number().over(wf) - 1)
-    lv = (last_levels.withColumn("__r", F.row_number().over(Window.partitionBy("unique_id").orderBy(F.desc("ds"))))
-          .filter(F.col("__r") <= lag)
+    f = forecast.withColumn("__step", F.row_number().over(wf) - 1)  # the forecast horizon: h rows per series
+    tail = tail_rows(last_levels, lag, freq)  # the last `lag` levels without ordering whole series (given freq)
+    lv = (tail.withColumn("__r", F.row_number().over(Window.partitionBy("unique_id").orderBy(F.desc("ds"))))
           .select("unique_id", ((F.lit(lag) - F.col("__r")) % lag).alias("__cls"), F.col("y").alias("__base")))
     f = f.withColumn("__cls", F.col("__step") % lag)
     wc = Window.partitionBy("unique_id", "__cls").orderBy("__step").rowsBetween(Window.unboundedPreceding, 0)

@@ -42,6 +42,17 @@ FLAGSHIP_SQL = with_ctes(
 register("flagship_anomalies", FLAGSHIP_SQL)(flagship)
 
 
+@register("flagship_anomalies_chunked", FLAGSHIP_SQL)
+def flagship_chunked(spark, sf_dir):
+    """The flagship in skew-safe mode (every series cut into 20-row chunks with halos, statistics by aggregates)."""
+    d = anomaly.detect_anomalies(panels.events_daily(spark, sf_dir), chunk_rows=20)
+    return d.select("unique_id", "ds", _r("y"), "ma_anomaly", "decomp_anomaly", "zscore_anomaly",
+                    F.col("anomaly_count").cast("bigint").alias("anomaly_count"))
+
+
+
+
+
 # ---------------------------------------------------------------- F4 / G1 band
 
 @register("f4_rolling_band", with_ctes(
@@ -170,3 +181,9 @@ def _mstl_sql(panel="events_hourly", periods=(24, 168), iterations=2):
 def f15_multi_seasonal_decompose(spark, sf_dir):
     d = explore.multi_seasonal_decompose(panels.events_hourly(spark, sf_dir), (24, 168), 2)
     return d.select("unique_id", "ds", _r("trend"), _r("seasonal24"), _r("seasonal168"), _r("remainder"))
+
+
+@register("f14_decompose_monthly_chunked", _dec_sql("orders_monthly", 12, "additive"))
+def f14_decompose_monthly_chunked(spark, sf_dir):
+    d = explore.decompose(panels.orders_monthly(spark, sf_dir), 12, "additive", chunk_rows=16, time_bucket="year")
+    return d.select("unique_id", "ds", _r("trend", 4), _r("seasonal", 4), _r("resid", 4))

@@ -407,7 +407,7 @@ def f10_undifference_forecast(spark, sf_dir):
     p = panels.events_hourly(spark, sf_dir)
     dif = wn.difference(p, 1)
     f = fc.forecast_baselines(dif, 24, "h", 24, ["SeasonalNaive"]).withColumnRenamed("SeasonalNaive", "y")
-    return round_doubles(wn.undifference(f, p, 1).select("unique_id", "ds", "y"), 4)
+    return round_doubles(wn.undifference(f, p, 1, freq="h").select("unique_id", "ds", "y"), 4)
 
 
 @register("e3_multi_key_sort", "SELECT c_mktsegment, c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey")

@@ -199,6 +199,8 @@ def step_add(ts: Column, k: Column, freq: str) -> Column:
         return ts + F.make_dt_interval(hours=k)
     if m:
         return ts + F.make_dt_interval(mins=k * int(m.group(1) or 1))
+    if freq == "W":
+        return ts + F.make_dt_interval(days=k * 7)
     raise ValueError(freq)
 
 
@@ -214,3 +216,15 @@ def calendar_spine(df: DataFrame, ts_col: str, months_ahead: int = 0) -> DataFra
     b = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi"))
     seq = F.sequence(F.trunc("lo", "month"), F.add_months(F.trunc("hi", "month"), months_ahead), F.expr("INTERVAL 1 MONTH"))
     return b.select(F.explode(seq).alias("m")).select(F.last_day("m").cast("timestamp_ntz").alias("ds"))
+
+
+def tail_rows(panel: DataFrame, k: int, freq: str | None = None) -> DataFrame:
+    """The last ``k`` rows of every series.  With ``freq`` (a regular, spine-filled panel) the tail is found from the
+    per-series last stamp (a partial/final aggregate) and stamp arithmetic — no window orders a whole series.
+    Without ``freq``, a descending ``row_number`` is used (bounded by the series length)."""
+    if freq is None:
+        w = Window.partitionBy("unique_id").orderBy(F.desc("ds"))
+        return panel.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
+    last = panel.groupBy("unique_id").agg(F.max("ds").alias("__last"))
+    lo = step_add(F.col("__last"), F.lit(-(k - 1)), freq)
+    return panel.join(last, "unique_id").filter(F.col("ds") >= lo).drop("__last")
