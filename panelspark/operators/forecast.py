@@ -19,9 +19,27 @@ from panelspark.sources.panels import check_panel, future_frame
 BASELINES = ("Naive", "SeasonalNaive", "HistoricAverage", "RandomWalkWithDrift")
 
 
-def index_series(panel: DataFrame) -> DataFrame:
-    """``pos`` (0-based), ``n``, running mean and first value per series — one window pass."""
+def index_series(panel: DataFrame, time_bucket: str | None = None) -> DataFrame:
+    """``pos`` (0-based), ``n``, running mean and first value per series — one window pass.
+
+    ``time_bucket`` (skew-safe): no window spans a whole series.  Counts and sums per (series, bucket) give prefix
+    offsets over that small table; only within-bucket windows run, so a hot series is indexed by many tasks."""
     check_panel(panel)
+    if time_bucket:
+        b = F.date_trunc(time_bucket, F.col("ds"))
+        d = panel.withColumn("__b", b)
+        agg = d.groupBy("unique_id", "__b").agg(F.count("*").alias("__c"), F.sum("y").alias("__s"))
+        wb = Window.partitionBy("unique_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        agg = agg.select("unique_id", "__b", F.coalesce(F.sum("__c").over(wb), F.lit(0)).alias("__off"),
+                         F.coalesce(F.sum("__s").over(wb), F.lit(0.0)).alias("__soff"),
+                         F.sum("__c").over(Window.partitionBy("unique_id")).alias("n"))
+        wi = Window.partitionBy("unique_id", "__b").orderBy("ds")
+        d = d.join(agg, ["unique_id", "__b"]).withColumns({
+            "pos": F.col("__off") + F.row_number().over(wi) - 1,
+            "__run": F.col("__soff") + F.sum("y").over(wi.rowsBetween(Window.unboundedPreceding, 0))})
+        d = d.withColumn("__cummean", F.col("__run") / (F.col("pos") + 1))
+        first = d.filter(F.col("pos") == 0).select("unique_id", F.col("y").alias("__first"))
+        return d.join(first, "unique_id").select("unique_id", "ds", "y", "pos", "n", "__cummean", "__first")
     run = _W().rowsBetween(Window.unboundedPreceding, 0)
     return panel.select("unique_id", "ds", "y", (F.row_number().over(_W()) - 1).alias("pos"),
                         F.count("*").over(Window.partitionBy("unique_id")).alias("n"),
@@ -60,12 +78,12 @@ def forecast_baselines(panel: DataFrame, h: int, freq: str, season_length: int,
 
 
 def cross_validation(panel: DataFrame, h: int, n_windows: int, season_length: int, step: int | None = None,
-                     models=BASELINES) -> DataFrame:
+                     models=BASELINES, time_bucket: str | None = None) -> DataFrame:
     """H6: rolling origins; window i (0…w−1) trains on the first ``n − h − (w−1−i)·step`` rows and tests the next h.
 
     Output: ``unique_id, ds, cutoff, step, y, <model>…`` (``cutoff`` = last training stamp)."""
     step = step or h
-    idx = index_series(panel)
+    idx = index_series(panel, time_bucket)
     first_c = F.col("n") - h - (n_windows - 1) * step
     cand = idx.filter(F.col("pos") >= first_c)
     folds = cand.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1))).alias("__fold"))
