@@ -35,7 +35,7 @@ def index_series(panel: DataFrame, time_bucket: str | None = None) -> DataFrame:
                          F.sum("__c").over(Window.partitionBy("unique_id")).alias("n"))
         wi = Window.partitionBy("unique_id", "__b").orderBy("ds")
         d = d.join(agg, ["unique_id", "__b"]).withColumns({
-            "pos": F.col("__off") + F.row_number().over(wi) - 1,
+            "pos": (F.col("__off") + F.row_number().over(wi) - 1).cast("int"),
             "__run": F.col("__soff") + F.sum("y").over(wi.rowsBetween(Window.unboundedPreceding, 0))})
         d = d.withColumn("__cummean", F.col("__run") / (F.col("pos") + 1))
         first = d.filter(F.col("pos") == 0).select("unique_id", F.col("y").alias("__first"))

@@ -120,3 +120,21 @@ def test_theta_on_a_line_continues_the_line(spark):
     # Theta = mean of the regression line (slope b) and SES of the θ=2 line (flat at y_n): slope b/2 from y_n
     assert np.allclose(f["Theta"], y[-1] + 1.0 * f["step"], atol=0.05)
     assert np.all((f["alpha"] >= 0) & (f["alpha"] <= 1))
+
+
+@pytest.mark.parametrize("model", ["additive", "multiplicative"])
+def test_chunked_decomposition_equals_windowed(spark, model):
+    rng = np.random.default_rng(21)
+    y = 50 + np.tile(rng.normal(size=12), 20) + rng.normal(size=240).cumsum() * 0.1
+    df = _frame(spark, {"a": y, "b": y[:40] + 1.0}, freq="h")
+    a = explore.decompose(df, 12, model).orderBy("unique_id", "ds").toPandas()
+    b = explore.decompose(df, 12, model, chunk_rows=13).orderBy("unique_id", "ds").toPandas()
+    pd.testing.assert_frame_equal(a[b.columns], b, check_exact=False, rtol=1e-9, atol=1e-9)
+
+
+def test_bucketed_index_equals_windowed(spark):
+    rng = np.random.default_rng(22)
+    df = _frame(spark, {"a": rng.normal(size=300), "b": rng.normal(size=5)}, freq="h")
+    a = fc.index_series(df).orderBy("unique_id", "ds").toPandas()
+    b = fc.index_series(df, "day").orderBy("unique_id", "ds").toPandas()
+    pd.testing.assert_frame_equal(a, b[a.columns], check_exact=False, rtol=1e-12, atol=1e-12)
