@@ -346,8 +346,8 @@ def i2_position_fold(spark, sf_dir):
     "SELECT fs.unique_id, strftime(fs.session, '%Y-%m-%d') AS session, round(final_value, 4) AS final_value, trades, buys, sells, "
     "round((final_value - 10000.0) / 10000.0 * 100, 4) AS total_return_pct, round(mae, 4) AS mae, round(rmse, 4) AS rmse "
     "FROM fs LEFT JOIN em ON fs.unique_id = em.unique_id AND fs.session = em.session",
-    ["fs AS (SELECT unique_id, session, max_by(cash + shares * y, ds) AS final_value, CAST(sum(CASE WHEN action <> 'HOLD' THEN 1 ELSE 0 END) AS INTEGER) AS trades, "
-     "CAST(sum(CASE WHEN action = 'BUY' THEN 1 ELSE 0 END) AS INTEGER) AS buys, CAST(sum(CASE WHEN action = 'SELL' THEN 1 ELSE 0 END) AS INTEGER) AS sells FROM fold GROUP BY 1, 2)",
+    ["fs AS (SELECT unique_id, session, max_by(cash + shares * y, ds) AS final_value, CAST(sum(CASE WHEN action <> 'HOLD' THEN 1 ELSE 0 END) AS BIGINT) AS trades, "
+     "CAST(sum(CASE WHEN action = 'BUY' THEN 1 ELSE 0 END) AS BIGINT) AS buys, CAST(sum(CASE WHEN action = 'SELL' THEN 1 ELSE 0 END) AS BIGINT) AS sells FROM fold GROUP BY 1, 2)",
      f"er AS (SELECT unique_id, CAST(ds AS DATE) AS session, lead(y) OVER {W()} - next_pred AS e FROM bd)",
      "em AS (SELECT unique_id, session, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse FROM er GROUP BY 1, 2)"]))
 def i3_backtest_summary(spark, sf_dir):
