@@ -141,8 +141,15 @@ def isolation_forest(panel: DataFrame, n_trees: int = 100, sample: int = 256, co
     ev = ev.select("unique_id", F.col("b").alias("v"), F.lit(0).alias("__kind"), "delta",
                    F.lit(None).cast("timestamp_ntz").alias("ds"))
     rows = d.select("unique_id", F.col("y").alias("v"), F.lit(1).alias("__kind"), F.lit(0.0).alias("delta"), "ds")
-    w = Window.partitionBy("unique_id").orderBy("v", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    u2 = ev.unionByName(rows).withColumn("__depth", F.sum("delta").over(w) / n_trees).filter(F.col("__kind") == 1)
+    # cumulative sum of jumps in value order, without a whole-series window: range-partition on (series, value),
+    # prefix offsets from per-(series, partition) sums (a tiny table), running sums inside each partition
+    u = ev.unionByName(rows).repartitionByRange("unique_id", "v", "__kind").withColumn("__pid", F.spark_partition_id())
+    ps = u.groupBy("unique_id", "__pid").agg(F.sum("delta").alias("__ps"))
+    wo = Window.partitionBy("unique_id").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = ps.select("unique_id", "__pid", F.coalesce(F.sum("__ps").over(wo), F.lit(0.0)).alias("__off"))
+    wi = Window.partitionBy("unique_id", "__pid").orderBy("v", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    u2 = u.join(off, ["unique_id", "__pid"]).withColumn("__depth", (F.col("__off") + F.sum("delta").over(wi)) / n_trees) \
+          .filter(F.col("__kind") == 1)
     score = F.pow(F.lit(2.0), -F.col("__depth") / F.lit(_c(sample)))
     s = u2.select("unique_id", "ds", score.alias("iso_score"))
     cut = s.groupBy("unique_id").agg(F.percentile("iso_score", F.lit(1 - contamination)).alias("__cut"))
@@ -162,14 +169,19 @@ def kernel_novelty(panel: DataFrame, nu: float = 0.1, n_features: int = 64, gamm
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, np.sqrt(2 * gamma), n_features)
     b = rng.uniform(0.0, 2 * np.pi, n_features)
-    by = _by_series()
-    z = F.try_divide(F.col(col) - F.avg(col).over(by), F.stddev_pop(col).over(by))
-    d = panel.withColumn("__z", F.coalesce(z, F.lit(0.0)))
+    # series statistics and mean embeddings are aggregates (partial before the shuffle) joined back: no
+    # whole-series window, so a hot series is spread over many tasks
+    st = panel.groupBy("unique_id").agg(F.avg(col).alias("__mu"), F.stddev_pop(col).alias("__sd"))
+    d = panel.join(st, "unique_id")
+    z = F.try_divide(F.col(col) - F.col("__mu"), F.col("__sd"))
+    d = d.withColumn("__z", F.coalesce(z, F.lit(0.0)))
     scale = float(np.sqrt(2.0 / n_features))
     phi = {f"__phi{i}": scale * F.cos(float(w[i]) * F.col("__z") + float(b[i])) for i in range(n_features)}
     d = d.withColumns(phi)
-    score = sum((F.col(f"__phi{i}") * F.avg(f"__phi{i}").over(by) for i in range(n_features)), F.lit(0.0))
-    d = d.withColumn("svm_score", score).drop("__z", *phi)
+    emb = d.groupBy("unique_id").agg(*[F.avg(f"__phi{i}").alias(f"__m{i}") for i in range(n_features)])
+    d = d.join(emb, "unique_id")
+    score = sum((F.col(f"__phi{i}") * F.col(f"__m{i}") for i in range(n_features)), F.lit(0.0))
+    d = d.withColumn("svm_score", score).drop("__z", "__mu", "__sd", *phi, *[f"__m{i}" for i in range(n_features)])
     cut = d.groupBy("unique_id").agg(F.percentile_approx("svm_score", nu, 100000).alias("__cut"))
     return d.join(cut, "unique_id").withColumn("svm_anomaly", F.col("svm_score") < F.col("__cut")).drop("__cut")
 
