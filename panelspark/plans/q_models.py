@@ -49,7 +49,6 @@ def h9_regularised_family(spark, sf_dir):
     """Linear, ridge, lasso and elastic-net per series on trend + Fourier terms, forecasting the 12 future months."""
     d, xcols = _fourier_design(spark, sf_dir)
     hist = d.filter(~F.col("is_future"))
-    # standardise regressors per series (coordinate descent and ridge assume comparable scales)
     out = None
     for name, kw in {"linear": {}, "ridge": {"method": "ridge", "alpha": 1.0},
                      "lasso": {"method": "lasso", "alpha": 0.1}, "elastic": {"method": "elastic", "alpha": 0.1}}.items():
@@ -95,3 +94,18 @@ def h12_arma_with_exog_promo(spark, sf_dir):
     cal = _promo_calendar(spark, sf_dir)
     d = wn.difference(p, 1, lag=12).join(cal, "ds", "left").withColumn("promo", F.col("promo").cast("double"))
     return rg.hannan_rissanen(d, 1, 0, long_ar=4, exog=("promo",)).select("unique_id", "order", "coef", "sigma2", "n")
+
+
+@register("h15_model_comparison_ship_daily", with_ctes(
+    "ship_daily",
+    f"ar AS (SELECT unique_id, y, lag(y) OVER {W()} AS x FROM ship_daily)",
+    f"tr AS (SELECT unique_id, y, CAST(row_number() OVER {W()} AS DOUBLE) AS x FROM ship_daily)",
+    "ca AS (SELECT unique_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM ar GROUP BY 1)",
+    "ct AS (SELECT unique_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM tr GROUP BY 1)",
+    "s AS (SELECT ar.unique_id, 'AR(1)' AS model, sum(pow(y - a - b * x, 2)) AS ssr, count(*) AS n FROM ar JOIN ca ON ar.unique_id = ca.unique_id "
+    "WHERE x IS NOT NULL GROUP BY 1 UNION ALL SELECT tr.unique_id, 'linear trend', sum(pow(y - a - b * x, 2)), count(*) FROM tr JOIN ct "
+    "ON tr.unique_id = ct.unique_id GROUP BY 1)",
+    "l AS (SELECT unique_id, model, n, -n / 2 * (ln(2 * pi()) + ln(ssr / n) + 1) AS ll FROM s)",
+    "SELECT unique_id, model, round(ll, 4) AS loglik, round(6 - 2 * ll, 4) AS aic, round(3 * ln(n) - 2 * ll, 4) AS bic, n FROM l"))
+def h15_model_comparison_ship_daily(spark, sf_dir):
+    return round_doubles(rg.model_comparison(panels.ship_daily(spark, sf_dir)), 4)

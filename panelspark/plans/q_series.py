@@ -420,3 +420,28 @@ def e3_multi_key_sort(spark, sf_dir):
 def e4_bottom_n_customers(spark, sf_dir):
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_acctbal"])
     return c.orderBy(F.asc("c_acctbal"), F.asc("c_custkey")).limit(10).select("c_custkey", "c_name", rnd("c_acctbal", 2).alias("c_acctbal"))
+
+
+# ---------------------------------------------------------------- the long daily series (ship_daily): F16, F18, F21, H15
+
+@register("f16_acf_ship_daily", with_ctes("ship_daily", *_acf_sql("ship_daily"), "SELECT unique_id, lag, round(acf, 4) AS acf FROM acf_l"))
+def f16_acf_ship_daily(spark, sf_dir):
+    return round_doubles(explore.acf(panels.ship_daily(spark, sf_dir)), 4)
+
+
+@register("f16_acf_ship_daily_chunked", with_ctes("ship_daily", *_acf_sql("ship_daily"), "SELECT unique_id, lag, round(acf, 4) AS acf FROM acf_l"))
+def f16_acf_ship_daily_chunked(spark, sf_dir):
+    """The long series cut into 400-row chunks with 100-row halos (bucketed positions by month)."""
+    return round_doubles(explore.acf(panels.ship_daily(spark, sf_dir), chunk_rows=400, time_bucket="month"), 4)
+
+
+@register("f18_acf_peaks_ship_daily", with_ctes("ship_daily", *_acf_sql("ship_daily"), *_PEAKS))
+def f18_acf_peaks_ship_daily(spark, sf_dir):
+    return round_doubles(explore.acf_peaks(explore.acf(panels.ship_daily(spark, sf_dir))), 4).withColumn("rank", F.col("rank").cast("int"))
+
+
+@register("f21_adf_ship_daily")
+def f21_adf_ship_daily(spark, sf_dir):
+    from panelspark.operators import regression as rg
+
+    return rg.adf(panels.ship_daily(spark, sf_dir))
