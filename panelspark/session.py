@@ -49,12 +49,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="panelspark-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            # executors cannot see a machine-local folder: the cluster must name a shared one
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
+        path = tempfile.mkdtemp(prefix="panelspark-ckpt-")  # local mode only (tests)
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def stream_checkpoint(spark: SparkSession, name: str) -> str:
+    """Checkpoint location of a streaming query: a sub-folder of the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+
+
 def cut_lineage(df):
     """Reliable checkpoint (survives executor loss) into the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)

@@ -135,8 +135,13 @@ def online_portfolio(stream: DataFrame, coefs: dict, initial_cash: float = 10000
         "cash double, shares double, n long, last timestamp_ntz", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str):
-    """Drain everything available into a memory table (tests / one-off backfills) and return it as a DataFrame."""
+def run_available(df: DataFrame, name: str, checkpoint: str | None = None):
+    """Drain everything available into a memory table (tests / one-off backfills) and return it as a DataFrame.
+    The checkpoint defaults to ``<spark.checkpoint.dir>/streams/<name>`` (shared, survives executor loss)."""
+    if checkpoint is None:
+        from panelspark.session import stream_checkpoint
+
+        checkpoint = stream_checkpoint(df.sparkSession, name)
     q = (df.writeStream.format("memory").queryName(name).outputMode("append")
            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
