@@ -21,7 +21,22 @@ from panelspark.sources import panels
 from panelspark.sources.tables import read_table
 
 
-@register("f17_pacf_hourly")
+def _pacf_sql():
+    from panelspark.plans.q_series import _acf_sql
+
+    body = with_ctes(
+        "events_hourly", *_acf_sql("events_hourly"),
+        "rl AS (SELECT unique_id, list(acf ORDER BY lag) AS r, max(lag) AS kmax FROM acf_l GROUP BY 1)",
+        "dl(unique_id, k, phi, pkk) AS (SELECT unique_id, 1, [r[2]], r[2] FROM rl WHERE kmax >= 1 UNION ALL "
+        "SELECT unique_id, k + 1, list_append(list_transform(phi, lambda x, i: x - p * phi[k + 1 - i]), p), p FROM ("
+        "SELECT d.unique_id, d.k, d.phi, (rl.r[d.k + 2] - list_dot_product(d.phi, list_reverse(list_slice(rl.r, 2, d.k + 1)))) "
+        "/ (1 - list_dot_product(d.phi, list_slice(rl.r, 2, d.k + 1))) AS p FROM dl d JOIN rl ON d.unique_id = rl.unique_id "
+        "WHERE d.k < rl.kmax))",
+        "SELECT unique_id, 0 AS lag, 1.0::DOUBLE AS pacf FROM rl UNION ALL SELECT unique_id, k AS lag, round(pkk, 6) AS pacf FROM dl")
+    return "WITH RECURSIVE " + body[len("WITH "):]
+
+
+@register("f17_pacf_hourly", _pacf_sql())
 def f17_pacf_hourly(spark, sf_dir):
     return round_doubles(explore.pacf(explore.acf(panels.events_hourly(spark, sf_dir))), 6)
 
