@@ -167,8 +167,15 @@ def position(df: DataFrame) -> DataFrame:
     return df.withColumn("pos", F.row_number().over(_W()))
 
 
-def train_test_flag(df: DataFrame, frac: float) -> DataFrame:
-    """First ``int(n*frac)`` rows of each series are train (``is_train`` true), the rest test."""
+def train_test_flag(df: DataFrame, frac: float, time_bucket: str | None = None) -> DataFrame:
+    """First ``int(n*frac)`` rows of each series are train (``is_train`` true), the rest test.
+    ``time_bucket``: skew-safe positions (bucket prefix counts) and ``n`` by aggregate — no whole-series window."""
+    if time_bucket:
+        from panelspark.functions.chunking import positions
+
+        n = df.groupBy("unique_id").agg(F.count("*").alias("__n"))
+        d = positions(df, time_bucket).join(n, "unique_id")
+        return d.withColumn("is_train", F.col("__pos") + 1 <= F.floor(F.col("__n") * F.lit(frac))).drop("__pos", "__n")
     n = F.count("*").over(Window.partitionBy("unique_id"))
     return df.withColumn("is_train", F.row_number().over(_W()) <= F.floor(n * F.lit(frac)))
 

@@ -445,3 +445,19 @@ def f21_adf_ship_daily(spark, sf_dir):
     from panelspark.operators import regression as rg
 
     return rg.adf(panels.ship_daily(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- the hourly panel itself, plain and skew-safe
+
+_HOURLY_SQL = with_ctes("events_hourly", "SELECT unique_id, ds, round(y, 4) AS y FROM events_hourly")
+
+
+@register("a3_events_hourly_panel", _HOURLY_SQL)
+def a3_events_hourly_panel(spark, sf_dir):
+    return round_doubles(panels.events_hourly(spark, sf_dir), 4)
+
+
+@register("a3_events_hourly_panel_chunked", _HOURLY_SQL)
+def a3_events_hourly_panel_chunked(spark, sf_dir):
+    """Gap filling with 50-row chunks and a one-row forward halo (positions by day buckets)."""
+    return round_doubles(panels.events_panel(spark, sf_dir, "h", chunk_rows=50), 4)

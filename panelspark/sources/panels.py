@@ -119,18 +119,29 @@ def _before(ts: Column, freq: str) -> Column:
     return ts - step_interval(freq)
 
 
-def fill_gaps(panel: DataFrame, freq: str, fill=0.0) -> DataFrame:
+def fill_gaps(panel: DataFrame, freq: str, fill=0.0, chunk_rows: int | None = None,
+              time_bucket: str = "month") -> DataFrame:
     """Spine-fill each series between its own first and last stamp; missing ``y`` become ``fill``.
 
     Each observed row expands into itself plus the missing stamps up to the next observed one
     (``lead(ds)`` + ``posexplode``): one window pass on the series partitioning, no calendar join and no second scan
     of the source.  Extra columns are carried on the observed rows and null on the filled ones.
+    ``chunk_rows``: skew-safe — the next stamp comes from chunk-wise windows with a one-row forward halo.
     """
-    w = Window.partitionBy("unique_id").orderBy("ds")
     nxt = F.col("__next")
     seq = F.when(nxt.isNull(), F.array(F.col("ds"))).otherwise(stamp_sequence(F.col("ds"), _before(nxt, freq), freq))
     extra = [c for c in panel.columns if c not in PANEL_COLS]
-    d = panel.withColumn("__next", F.lead("ds").over(w)).select("*", F.posexplode(seq).alias("__k", "__ds"))
+    if chunk_rows:  # skew-safe: the next stamp from chunk-wise windows with a one-row forward halo
+        from panelspark.functions.chunking import chunked, series_keys
+
+        def with_next(x):
+            keys, order = series_keys()
+            return x.withColumn("__next", F.lead("ds").over(Window.partitionBy(*keys).orderBy(order)))
+
+        d = chunked(panel, with_next, fwd=1, chunk_rows=chunk_rows, time_bucket=time_bucket)
+    else:
+        d = panel.withColumn("__next", F.lead("ds").over(Window.partitionBy("unique_id").orderBy("ds")))
+    d = d.select("*", F.posexplode(seq).alias("__k", "__ds"))
     out = d.select("unique_id", F.col("__ds").alias("ds"),
                    F.when(F.col("__k") == 0, F.col("y")).otherwise(F.lit(fill)).cast("double").alias("y"),
                    *[F.when(F.col("__k") == 0, F.col(c)).alias(c) for c in extra])
@@ -141,9 +152,9 @@ def fill_gaps(panel: DataFrame, freq: str, fill=0.0) -> DataFrame:
 # Panels derived from the stored tables (FIXTURES.md §3)
 # ---------------------------------------------------------------------------------------------------------------
 
-def events_panel(spark: SparkSession, sf_dir: str, freq: str = "D") -> DataFrame:
+def events_panel(spark: SparkSession, sf_dir: str, freq: str = "D", chunk_rows: int | None = None) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["event_type", "ts", "value"])
-    return fill_gaps(build_panel(ev, "event_type", "ts", "value", freq), freq)
+    return fill_gaps(build_panel(ev, "event_type", "ts", "value", freq), freq, chunk_rows=chunk_rows, time_bucket="day")
 
 
 def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:

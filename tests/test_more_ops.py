@@ -138,3 +138,20 @@ def test_bucketed_index_equals_windowed(spark):
     a = fc.index_series(df).orderBy("unique_id", "ds").toPandas()
     b = fc.index_series(df, "day").orderBy("unique_id", "ds").toPandas()
     pd.testing.assert_frame_equal(a, b[a.columns], check_exact=False, rtol=1e-12, atol=1e-12)
+
+
+def test_chunked_fill_gaps_and_bucketed_split_equal_plain(spark):
+    from panelspark.sources import panels
+
+    rng = np.random.default_rng(23)
+    days = pd.date_range("2020-01-01", periods=400, freq="D")
+    keep = rng.random(400) < 0.6
+    rows = [("a", d.to_pydatetime(), float(v)) for d, v, k in zip(days, rng.normal(size=400), keep) if k]
+    rows += [("b", days[3].to_pydatetime(), 1.0), ("b", days[9].to_pydatetime(), 2.0)]
+    df = panel_df(spark, rows)
+    a = panels.fill_gaps(df, "D").orderBy("unique_id", "ds").toPandas()
+    b = panels.fill_gaps(df, "D", chunk_rows=17, time_bucket="month").orderBy("unique_id", "ds").toPandas()
+    pd.testing.assert_frame_equal(a, b[a.columns])
+    s1 = wn.train_test_flag(df, 0.8).orderBy("unique_id", "ds").toPandas()
+    s2 = wn.train_test_flag(df, 0.8, time_bucket="month").orderBy("unique_id", "ds").toPandas()
+    pd.testing.assert_frame_equal(s1, s2[s1.columns])
