@@ -252,26 +252,39 @@ def h24_custom_loss(spark, sf_dir):
 _CM = ["Naive", "SeasonalNaive"]
 
 
-def _conformal_sql():
+def _conformal_sql(panel="orders_monthly", h=12, w=4, m=12, step_sql=ME_STEP, levels=(80, 95), models=tuple(_CM)):
+    qs = ", ".join(f"quantile_cont(z, {(100 - L) / 200!r}) AS lo{L}, quantile_cont(z, {(100 + L) / 200!r}) AS hi{L}" for L in levels)
     body = [
         "sc AS (SELECT unique_id, step, model, z FROM (SELECT unique_id, step, model, abs(y - yhat) AS s FROM "
-        "(UNPIVOT cv ON Naive, SeasonalNaive INTO NAME model VALUE yhat)), LATERAL (SELECT UNNEST([s, -s]) AS z))",
-        "q AS (SELECT unique_id, step, model, quantile_cont(z, 0.1) AS lo80, quantile_cont(z, 0.9) AS hi80, "
-        "quantile_cont(z, 0.025) AS lo95, quantile_cont(z, 0.975) AS hi95 FROM sc GROUP BY 1, 2, 3)",
-        "fl AS (SELECT unique_id, ds, step, model, yhat FROM (UNPIVOT fut ON Naive, SeasonalNaive INTO NAME model VALUE yhat))",
-        "j AS (SELECT fl.*, yhat + lo80 AS lo_80, yhat + hi80 AS hi_80, yhat + lo95 AS lo_95, yhat + hi95 AS hi_95 FROM fl "
+        f"(UNPIVOT cv ON {', '.join(models)} INTO NAME model VALUE yhat)), LATERAL (SELECT UNNEST([s, -s]) AS z))",
+        f"q AS (SELECT unique_id, step, model, {qs} FROM sc GROUP BY 1, 2, 3)",
+        f"fl AS (SELECT unique_id, ds, step, model, yhat FROM (UNPIVOT fut ON {', '.join(models)} INTO NAME model VALUE yhat))",
+        "j AS (SELECT fl.*, " + ", ".join(f"yhat + lo{L} AS lo_{L}, yhat + hi{L} AS hi_{L}" for L in levels) + " FROM fl "
         "LEFT JOIN q ON fl.unique_id = q.unique_id AND fl.step = q.step AND fl.model = q.model)",
     ]
     cols = []
-    for m in _CM:
-        cols.append(f"round(max(yhat) FILTER (WHERE model = '{m}'), 2) AS {m}")
-        for L in (80, 95):
-            cols.append(f"round(max(lo_{L}) FILTER (WHERE model = '{m}'), 2) AS {m}_lo_{L}")
-            cols.append(f"round(max(hi_{L}) FILTER (WHERE model = '{m}'), 2) AS {m}_hi_{L}")
-    return with_ctes("orders_monthly", *_cv_ctes("orders_monthly", 12, 4, 12, _CM), *_future_ctes("orders_monthly", 12, 12, ME_STEP, _CM),
+    for mdl in models:
+        cols.append(f"round(max(yhat) FILTER (WHERE model = '{mdl}'), 2) AS {mdl}")
+        for L in levels:
+            cols.append(f"round(max(lo_{L}) FILTER (WHERE model = '{mdl}'), 2) AS {mdl}_lo_{L}")
+            cols.append(f"round(max(hi_{L}) FILTER (WHERE model = '{mdl}'), 2) AS {mdl}_hi_{L}")
+    return with_ctes(panel, *_cv_ctes(panel, h, w, m, list(models)), *_future_ctes(panel, h, m, step_sql, list(models)),
                      *body, f"SELECT unique_id, ds, step, {', '.join(cols)} FROM j GROUP BY unique_id, ds, step")
 
 
+H_STEP = "mx + to_hours(CAST(k AS BIGINT))"
+
+
+@register("h4_conformal_one_step_hourly", _conformal_sql("events_hourly", 1, 10, 24, H_STEP, (99,)))
+def h4_conformal_one_step_hourly(spark, sf_dir):
+    """The replay's setting: 10 one-step backtest windows, level 99, next-hour intervals."""
+    p = panels.events_hourly(spark, sf_dir)
+    cv = fc.cross_validation(p, 1, 10, 24, models=_CM)
+    f = fc.forecast_with_step(p, 1, "h", 24, _CM)
+    out = fc.conformal_intervals(cv, f, _CM, (99,))
+    return round_doubles(out.withColumn("step", F.col("step").cast("int")), 2)
+
+
 @register("h4_conformal_intervals", _conformal_sql())
 def h4_conformal_intervals(spark, sf_dir):
     p = panels.orders_monthly(spark, sf_dir)
@@ -355,3 +368,25 @@ def i3_backtest_summary(spark, sf_dir):
     s = bt.signals(b)
     out = bt.summary(bt.position_fold(s), b).withColumn("session", F.date_format("session", "yyyy-MM-dd"))
     return round_doubles(out, 4)
+
+
+
+# ---------------------------------------------------------------- B13 report strings: money, percent, interval
+
+@register("b13_report_strings", with_ctes(
+    "orders_monthly", *_future_ctes("orders_monthly", 12, 12, ME_STEP, ["SeasonalNaive"]),
+    "SELECT unique_id, strftime(ds, '%Y-%m') AS month, printf('$%.2f', round(SeasonalNaive, 2)) AS forecast, "
+    "printf('[%.2f, %.2f]', round(SeasonalNaive * 0.9, 2), round(SeasonalNaive * 1.1, 2)) AS band, "
+    "printf('%.2f%%', round(100.0 * SeasonalNaive / sum(SeasonalNaive) OVER (PARTITION BY ds), 2)) AS share FROM fut"))
+def b13_report_strings(spark, sf_dir):
+    """Forecast report lines: money, a ±10 % interval string and each segment's share of the month (values are
+    rounded half-up first, so the text never depends on a formatter's tie rule)."""
+    from panelspark.functions.util import rnd
+
+    f = fc.forecast_baselines(panels.orders_monthly(spark, sf_dir), 12, "ME", 12, ["SeasonalNaive"])
+    share = 100.0 * F.col("SeasonalNaive") / F.sum("SeasonalNaive").over(Window.partitionBy("ds"))
+    return f.select("unique_id", F.date_format("ds", "yyyy-MM").alias("month"),
+                    F.format_string("$%.2f", rnd("SeasonalNaive", 2)).alias("forecast"),
+                    F.format_string("[%.2f, %.2f]", rnd(F.col("SeasonalNaive") * 0.9, 2),
+                                    rnd(F.col("SeasonalNaive") * 1.1, 2)).alias("band"),
+                    F.format_string("%.2f%%", rnd(share, 2)).alias("share"))
