@@ -3,6 +3,7 @@ H21, J8–J12."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.util import round_doubles
@@ -118,3 +119,44 @@ def j12_misclassified_summary(spark, sf_dir):
     _, pred, _ = _classifier(spark, sf_dir)
     mis = pred.filter(F.col("label") != F.col("prediction"))
     return rel.describe(mis, ["OverallGrowthTrend", "ProductDiversityTrend", "SignificantShift", "label"])
+
+
+
+# ---------------------------------------------------------------- the reference's replay on minute bars
+
+BAR_LAGS = (1, 2, 3, 4, 5, 15, 30, 60, 120)  # fixed values: the replay's lag set (its band level is 60)
+
+
+def _minute_replay(spark, sf_dir, level: float = 0.60):
+    """Fit on day t−1, replay day t one step at a time with the true history; band = ± the ``level`` quantile of
+    the training day's absolute one-step errors; the band tested at row i is the forecast for row i+1."""
+    from panelspark.operators import backtest as bt
+    from panelspark.operators import relational as rel2
+
+    bars = panels.last_two_days(panels.minute_bars(spark, sf_dir))
+    feats = ml.lag_features(bars.drop("day_rank"), BAR_LAGS, date_feats=("hour", "minute")).join(
+        bars.select("unique_id", "ds", "day_rank"), ["unique_id", "ds"])
+    names = ml.feature_names(BAR_LAGS, ("hour", "minute"))
+    m = ml.fit_global(feats.filter("day_rank = 2"), names, "gbt", maxIter=20, maxDepth=4)
+    fitted = ml.one_step_replay(m, feats, F.col("day_rank") == 2)
+    q = rel2.exact_percentiles(fitted.select("unique_id", F.abs(F.col("y") - F.col("yhat")).alias("e")),
+                               ["unique_id"], "e", [level], ["q"])
+    rep = ml.one_step_replay(m, feats, F.col("day_rank") == 1).join(q, "unique_id", "left")
+    w = Window.partitionBy("unique_id").orderBy("ds")
+    rep = rep.withColumn("next_pred", F.lead("yhat").over(w)) \
+             .withColumns({"lower": F.col("next_pred") - F.col("q"), "upper": F.col("next_pred") + F.col("q")})
+    return bt.signals(rep)
+
+
+@register("h3_replay_minute_bars")
+def h3_replay_minute_bars(spark, sf_dir):
+    r = _minute_replay(spark, sf_dir)
+    return round_doubles(r.select("unique_id", "ds", "y", "yhat", "lower", "upper", "signal"), 4)
+
+
+@register("i3_replay_minute_bars_summary")
+def i3_replay_minute_bars_summary(spark, sf_dir):
+    from panelspark.operators import backtest as bt
+
+    r = _minute_replay(spark, sf_dir)
+    return round_doubles(bt.summary(bt.position_fold(r), r), 4)

@@ -101,13 +101,15 @@ def build_panel(df: DataFrame, id_col, ts_col: str, value_col: str, freq: str, a
         uid = F.col(id_col).cast("string")
     fn = {"sum": F.sum, "mean": F.avg, "last": F.last, "first": F.first, "max": F.max, "min": F.min,
           "count": F.count}[agg]
+    extra = []
     if agg in ("last", "first"):
         # last/first by time, deterministic
         pick = F.max_by if agg == "last" else F.min_by
-        yexpr = pick(F.col(value_col), F.col(ts_col))
+        yexpr = pick(F.col(value_col), F.col("__ts"))
+        extra = [F.col(ts_col).alias("__ts")]
     else:
         yexpr = fn(F.col(value_col))
-    return (df.select(uid.alias("unique_id"), bucket(ts_col, freq).alias("ds"), F.col(value_col))
+    return (df.select(uid.alias("unique_id"), bucket(ts_col, freq).alias("ds"), F.col(value_col), *extra)
               .groupBy("unique_id", "ds").agg(yexpr.cast("double").alias("y")))
 
 
@@ -123,6 +125,7 @@ def fill_gaps(panel: DataFrame, freq: str, fill=0.0, chunk_rows: int | None = No
               time_bucket: str = "month") -> DataFrame:
     """Spine-fill each series between its own first and last stamp; missing ``y`` become ``fill``.
 
+    ``fill="ffill"`` carries the last observed value forward (prices / bars).
     Each observed row expands into itself plus the missing stamps up to the next observed one
     (``lead(ds)`` + ``posexplode``): one window pass on the series partitioning, no calendar join and no second scan
     of the source.  Extra columns are carried on the observed rows and null on the filled ones.
@@ -142,8 +145,9 @@ def fill_gaps(panel: DataFrame, freq: str, fill=0.0, chunk_rows: int | None = No
     else:
         d = panel.withColumn("__next", F.lead("ds").over(Window.partitionBy("unique_id").orderBy("ds")))
     d = d.select("*", F.posexplode(seq).alias("__k", "__ds"))
+    filled = F.col("y") if fill == "ffill" else F.lit(fill)  # ffill: a price carries over the missing stamps
     out = d.select("unique_id", F.col("__ds").alias("ds"),
-                   F.when(F.col("__k") == 0, F.col("y")).otherwise(F.lit(fill)).cast("double").alias("y"),
+                   F.when(F.col("__k") == 0, F.col("y")).otherwise(filled).cast("double").alias("y"),
                    *[F.when(F.col("__k") == 0, F.col(c)).alias(c) for c in extra])
     return out
 
@@ -244,3 +248,18 @@ def tail_rows(panel: DataFrame, k: int, freq: str | None = None) -> DataFrame:
     last = panel.groupBy("unique_id").agg(F.max("ds").alias("__last"))
     lo = step_add(F.col("__last"), F.lit(-(k - 1)), freq)
     return panel.join(last, "unique_id").filter(F.col("ds") >= lo).drop("__last")
+
+
+def minute_bars(spark: SparkSession, sf_dir: str, freq: str = "1min") -> DataFrame:
+    """Price bars from the stored events: last ``value`` per (event_type, minute), forward-filled."""
+    ev = read_table(spark, sf_dir, "events", ["event_type", "ts", "value"])
+    return fill_gaps(build_panel(ev, "event_type", "ts", "value", freq, agg="last"), freq, fill="ffill")
+
+
+def last_two_days(panel: DataFrame) -> DataFrame:
+    """B7 on a panel: ``day_rank`` 1 (last calendar day present) and 2 (the one before) per series; ranks the small
+    set of distinct days, not the rows."""
+    days = panel.select("unique_id", F.to_date("ds").alias("__day")).distinct()
+    days = days.withColumn("day_rank", F.row_number().over(Window.partitionBy("unique_id").orderBy(F.desc("__day")))) \
+               .filter(F.col("day_rank") <= 2)
+    return panel.withColumn("__day", F.to_date("ds")).join(days, ["unique_id", "__day"]).drop("__day")
