@@ -82,6 +82,15 @@ def j6_split(spark, sf_dir):
     return cu.split(f, "CustomerID", 0.8, 42).select("CustomerID", "RedFlag", "is_train")
 
 
+@register("j6_split_stratified", sql(*feature_ctes(3), f"h AS (SELECT CustomerID, RedFlag, {_HASH.format(k=42 * 40503 + 12345)} AS u FROM features)",
+                                      "t AS (SELECT RedFlag, quantile_cont(u, 0.8) AS thr FROM h GROUP BY 1)",
+                                      "SELECT h.CustomerID, h.RedFlag, h.u <= t.thr AS is_train FROM h JOIN t ON h.RedFlag = t.RedFlag"))
+def j6_split_stratified(spark, sf_dir):
+    """Stratified by the label: each class is split 80/20 (up to one row), as ``stratify=y`` does."""
+    f = cu.customer_features(spark, sf_dir, 3)
+    return cu.split(f, "CustomerID", 0.8, 42, stratify="RedFlag").select("CustomerID", "RedFlag", "is_train")
+
+
 _SCALE = ["OverallGrowthTrend", "ProductDiversity", "ProductDiversityTrend"]
 
 

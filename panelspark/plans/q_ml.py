@@ -85,7 +85,7 @@ def h20_best_configs(spark, sf_dir):
 # ---------------------------------------------------------------- red-flag classifier
 
 def _classifier(spark, sf_dir):
-    f = cu.split(cu.customer_features(spark, sf_dir, 1, 3), "CustomerID", 0.8, 42)
+    f = cu.split(cu.customer_features(spark, sf_dir, 1, 3), "CustomerID", 0.8, 42, stratify="RedFlag")
     cols = cu.feature_cols()
     f = rel.standard_scale(f, cols, fit_filter=F.col("is_train")).fillna(0.0, subset=cols)  # undefined trends → 0
     m = ml.fit_classifier(f.filter("is_train"), cols, "RedFlag", balanced=True, trees=100)
