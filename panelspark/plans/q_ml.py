@@ -17,11 +17,15 @@ LAGS = (1, 2, 3, 24)
 SPLIT = "2024-01-29"  # the last two days of the event month are the replayed "day t"
 
 
-def _feats(spark, sf_dir, series_id=False):
+def _feats(spark, sf_dir, series_id=False, materialise=False):
     p = panels.events_hourly(spark, sf_dir)
     f = ml.lag_features(p, LAGS)
     if series_id:
         f = ml.add_series_index(f)
+    if materialise:  # several fits / scorings read it: checkpoint once (shared folder) instead of recomputing
+        from panelspark.session import cut_lineage
+
+        f = cut_lineage(f)
     return f
 
 
@@ -56,7 +60,7 @@ def h7_insample_fitted_values(spark, sf_dir):
 @register("h8_many_models_merged")
 def h8_many_models_merged(spark, sf_dir):
     """GBT, random forest, linear and Huber (H10) fitted on the same rows; one-step test predictions merged."""
-    f = _feats(spark, sf_dir)
+    f = _feats(spark, sf_dir, materialise=True)
     tr, te = _train_test()
     feats = ml.feature_names(LAGS)
     tables = []
@@ -72,7 +76,7 @@ def h8_many_models_merged(spark, sf_dir):
 
 @register("h18_random_search_trials")
 def h18_random_search_trials(spark, sf_dir):
-    f = _feats(spark, sf_dir, series_id=True)
+    f = _feats(spark, sf_dir, series_id=True, materialise=True)
     tr, te = _train_test()
     return ml.random_search(f, ml.feature_names(LAGS), [(tr, te)], families=("ridge", "huber", "gbt"), n_trials=2)
 
@@ -85,7 +89,11 @@ def h20_best_configs(spark, sf_dir):
 # ---------------------------------------------------------------- red-flag classifier
 
 def _classifier(spark, sf_dir):
-    f = cu.split(cu.customer_features(spark, sf_dir, 1, 3), "CustomerID", 0.8, 42, stratify="RedFlag")
+    from panelspark.session import cut_lineage
+
+    # one row per customer, reused by the scaler fit, the class quantiles, the forest fit and the scoring:
+    # materialise it once (reliable checkpoint in the shared folder) instead of re-running the joins per action
+    f = cut_lineage(cu.split(cu.customer_features(spark, sf_dir, 1, 3), "CustomerID", 0.8, 42, stratify="RedFlag"))
     cols = cu.feature_cols()
     f = rel.standard_scale(f, cols, fit_filter=F.col("is_train")).fillna(0.0, subset=cols)  # undefined trends → 0
     m = ml.fit_classifier(f.filter("is_train"), cols, "RedFlag", balanced=True, trees=100)
@@ -133,9 +141,11 @@ def _minute_replay(spark, sf_dir, level: float = 0.60):
     from panelspark.operators import backtest as bt
     from panelspark.operators import relational as rel2
 
+    from panelspark.session import cut_lineage
+
     bars = panels.last_two_days(panels.minute_bars(spark, sf_dir))
-    feats = ml.lag_features(bars.drop("day_rank"), BAR_LAGS, date_feats=("hour", "minute")).join(
-        bars.select("unique_id", "ds", "day_rank"), ["unique_id", "ds"])
+    feats = cut_lineage(ml.lag_features(bars.drop("day_rank"), BAR_LAGS, date_feats=("hour", "minute")).join(
+        bars.select("unique_id", "ds", "day_rank"), ["unique_id", "ds"]))  # read by the fit and two replays
     names = ml.feature_names(BAR_LAGS, ("hour", "minute"))
     m = ml.fit_global(feats.filter("day_rank = 2"), names, "gbt", maxIter=20, maxDepth=4)
     fitted = ml.one_step_replay(m, feats, F.col("day_rank") == 2)
