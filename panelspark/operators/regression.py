@@ -350,3 +350,78 @@ def theta_forecast(panel: DataFrame, h: int, freq: str, season_length: int | Non
         f = f.join(n, "unique_id").withColumn("__ph", (F.col("__n") + F.col("step") - 1) % season_length) \
              .join(seas, ["unique_id", "__ph"], "left").withColumn("Theta", F.col("Theta") + F.coalesce("seasonal", F.lit(0.0)))
     return f.select("unique_id", "ds", "step", "Theta", (1 + F.col("__ma1")).alias("alpha"))
+
+
+# ---------------------------------------------------------------- H11 forecasts with bounds
+
+def arima_forecast(panel: DataFrame, p: int, q: int, h: int, freq: str, d: int = 0, long_ar: int = 8,
+                   levels=(95,), col: str = "y") -> DataFrame:
+    """ARIMA(p, d, q) (d ∈ {0, 1}) by Hannan–Rissanen, h-step forecasts with normal bounds.
+
+    Per series only the model's state leaves the JVM: coefficients, σ², the last max(p, q) values and innovations
+    (``tail_rows``: no window over a whole series).  The recursion (future innovations 0), ψ-weights
+    (ψ₀=1, ψ_j = θ_j + Σ φ_i ψ_{j−i}; integrated by cumulative sums when d = 1) and the bounds
+    ``ŷ ± z·σ·√Σψ²`` run in ``mapInPandas`` on those small rows."""
+    from panelspark.functions.linalg import norm_ppf
+    from panelspark.operators.windows import difference
+    from panelspark.sources.panels import future_frame, tail_rows
+
+    base = difference(panel, 1) if d == 1 else panel
+    dd = ar_design(base, long_ar, col, "__la")
+    xl = ["__one", *[f"__la{i}" for i in range(1, long_ar + 1)]]
+    c1 = fit_linear(dd, ["unique_id"], xl, col)
+    dd = predict_linear(dd, c1, ["unique_id"], xl, "__fit").withColumn("__eps", F.col(col) - F.col("__fit"))
+    w = _W()
+    dd = dd.withColumns({**{f"ar{i}": F.lag(col, i).over(w) for i in range(1, p + 1)},
+                         **{f"ma{j}": F.lag("__eps", j).over(w) for j in range(1, q + 1)}})
+    x2 = ["__one", *[f"ar{i}" for i in range(1, p + 1)], *[f"ma{j}" for j in range(1, q + 1)]]
+    fit = fit_linear(dd, ["unique_id"], x2, col)
+    k = max(p, q, 1)
+    tail = tail_rows(dd.select("unique_id", "ds", col, "__eps"), k, freq)
+    st = tail.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("ds", col, "__eps"))).alias("__t"))
+    st = st.select("unique_id", F.transform("__t", lambda s: s[col]).alias("ys"),
+                   F.transform("__t", lambda s: F.coalesce(s["__eps"], F.lit(0.0))).alias("es"))
+    if d == 1:
+        last = tail_rows(panel.select("unique_id", "ds", col), 1, freq).select("unique_id", F.col(col).alias("level"))
+        st = st.join(last, "unique_id")
+    else:
+        st = st.withColumn("level", F.lit(0.0))
+    st = st.join(fit.select("unique_id", "coef", "sigma2"), "unique_id")
+    zs = [float(norm_ppf(0.5 + L / 200.0)) for L in levels]
+    cols = ["unique_id", "step", "yhat", *[f"{s}_{L}" for L in levels for s in ("lo", "hi")]]
+    schema = ", ".join(["unique_id string", "step int", "yhat double"] +
+                       [f"{s}_{L} double" for L in levels for s in ("lo", "hi")])
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                coef = np.asarray(r.coef, float)
+                c, phi, theta = coef[0], coef[1:1 + p], coef[1 + p:1 + p + q]
+                ys, es = list(map(float, r.ys)), list(map(float, r.es))
+                fc = []
+                for _ in range(h):
+                    v = c + sum(phi[i] * ys[-1 - i] for i in range(p)) + sum(theta[j] * es[-1 - j] for j in range(q))
+                    fc.append(v)
+                    ys.append(v)
+                    es.append(0.0)
+                psi = [1.0]
+                for j in range(1, h):
+                    psi.append((theta[j - 1] if j - 1 < q else 0.0) + sum(phi[i] * psi[j - 1 - i] for i in range(min(p, j))))
+                psi = np.asarray(psi)
+                if d == 1:
+                    fc = list(float(r.level) + np.cumsum(fc))
+                    psi = np.cumsum(psi)
+                sd = np.sqrt(max(float(r.sigma2), 0.0) * np.cumsum(psi ** 2))
+                for s in range(h):
+                    row = [r.unique_id, s + 1, fc[s]]
+                    for z in zs:
+                        row += [fc[s] - z * sd[s], fc[s] + z * sd[s]]
+                    out.append(row)
+            yield pd.DataFrame(out, columns=cols)
+
+    f = st.mapInPandas(run, schema)
+    return future_frame(panel, h, freq).join(f, ["unique_id", "step"])

@@ -109,3 +109,10 @@ def h12_arma_with_exog_promo(spark, sf_dir):
     "SELECT unique_id, model, round(ll, 4) AS loglik, round(6 - 2 * ll, 4) AS aic, round(3 * ln(n) - 2 * ll, 4) AS bic, n FROM l"))
 def h15_model_comparison_ship_daily(spark, sf_dir):
     return round_doubles(rg.model_comparison(panels.ship_daily(spark, sf_dir)), 4)
+
+
+@register("h11_arima_forecast_bounds")
+def h11_arima_forecast_bounds(spark, sf_dir):
+    """ARIMA(1,1,1) on the daily event panel: 7-day forecasts with 80 % and 95 % bounds."""
+    f = rg.arima_forecast(panels.events_daily(spark, sf_dir), 1, 1, 7, "D", d=1, long_ar=4, levels=(80, 95))
+    return round_doubles(f, 4)

@@ -85,3 +85,21 @@ def test_hand_computed_portfolio(spark):
     assert f["cash"].tolist() == [0.0, 0.0, 1200.0, 1200.0, 0.0]
     assert f["shares"].tolist() == [10.0, 10.0, 0.0, 0.0, 20.0]
     assert f["value"].tolist() == [1000.0, 900.0, 1200.0, 1200.0, 1200.0]
+
+
+def test_arima_forecast_matches_closed_form_ar1(spark):
+    rng = np.random.default_rng(31)
+    y = np.zeros(400)
+    for t in range(1, 400):
+        y[t] = 2.0 + 0.8 * y[t - 1] + rng.normal()
+    df = _frame(spark, {"a": y})
+    f = rg.arima_forecast(df, 1, 0, 5, "D", d=0, long_ar=4, levels=(95,)).orderBy("step").toPandas()
+    fit = rg.fit_ar(df, 1).first()
+    c, phi = fit.coef
+    want, v = [], y[-1]
+    for _ in range(5):
+        v = c + phi * v
+        want.append(v)
+    assert np.allclose(f["yhat"], want, atol=1e-9)
+    sd = np.sqrt(fit.sigma2 * np.cumsum([phi ** (2 * j) for j in range(5)]))
+    assert np.allclose(f["hi_95"] - f["yhat"], 1.959963985 * sd, rtol=1e-6)
