@@ -355,13 +355,16 @@ def theta_forecast(panel: DataFrame, h: int, freq: str, season_length: int | Non
 # ---------------------------------------------------------------- H11 forecasts with bounds
 
 def arima_forecast(panel: DataFrame, p: int, q: int, h: int, freq: str, d: int = 0, long_ar: int = 8,
-                   levels=(95,), col: str = "y") -> DataFrame:
+                   levels=(95,), col: str = "y", exog=(), future_exog: DataFrame | None = None) -> DataFrame:
     """ARIMA(p, d, q) (d ∈ {0, 1}) by Hannan–Rissanen, h-step forecasts with normal bounds.
 
     Per series only the model's state leaves the JVM: coefficients, σ², the last max(p, q) values and innovations
     (``tail_rows``: no window over a whole series).  The recursion (future innovations 0), ψ-weights
     (ψ₀=1, ψ_j = θ_j + Σ φ_i ψ_{j−i}; integrated by cumulative sums when d = 1) and the bounds
-    ``ŷ ± z·σ·√Σψ²`` run in ``mapInPandas`` on those small rows."""
+    ``ŷ ± z·σ·√Σψ²`` run in ``mapInPandas`` on those small rows.
+
+    H12: ``exog`` columns of ``panel`` enter the regression; ``future_exog`` (``ds`` [, ``unique_id``] + the same
+    columns) supplies their known future values, collected per series as h-long arrays."""
     from panelspark.functions.linalg import norm_ppf
     from panelspark.operators.windows import difference
     from panelspark.sources.panels import future_frame, tail_rows
@@ -374,9 +377,10 @@ def arima_forecast(panel: DataFrame, p: int, q: int, h: int, freq: str, d: int =
     w = _W()
     dd = dd.withColumns({**{f"ar{i}": F.lag(col, i).over(w) for i in range(1, p + 1)},
                          **{f"ma{j}": F.lag("__eps", j).over(w) for j in range(1, q + 1)}})
-    x2 = ["__one", *[f"ar{i}" for i in range(1, p + 1)], *[f"ma{j}" for j in range(1, q + 1)]]
+    x2 = ["__one", *[f"ar{i}" for i in range(1, p + 1)], *[f"ma{j}" for j in range(1, q + 1)], *exog]
     fit = fit_linear(dd, ["unique_id"], x2, col)
     k = max(p, q, 1)
+    fut = future_frame(panel, h, freq)
     tail = tail_rows(dd.select("unique_id", "ds", col, "__eps"), k, freq)
     st = tail.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("ds", col, "__eps"))).alias("__t"))
     st = st.select("unique_id", F.transform("__t", lambda s: s[col]).alias("ys"),
@@ -387,6 +391,15 @@ def arima_forecast(panel: DataFrame, p: int, q: int, h: int, freq: str, d: int =
     else:
         st = st.withColumn("level", F.lit(0.0))
     st = st.join(fit.select("unique_id", "coef", "sigma2"), "unique_id")
+    if exog:
+        keys = ["ds"] + (["unique_id"] if "unique_id" in future_exog.columns else [])
+        fx = fut.join(future_exog.select(*keys, *exog), keys, "left")
+        fx = fx.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("step", *exog))).alias("__x"))  # h rows
+        def pick(e):  # one-argument lambda (a second argument would be taken as the element index)
+            return lambda s: F.coalesce(s[e].cast("double"), F.lit(0.0))
+
+        st = st.join(fx.select("unique_id", *[F.transform("__x", pick(e)).alias(f"fxv_{e}") for e in exog]),
+                     "unique_id", "left")
     zs = [float(norm_ppf(0.5 + L / 200.0)) for L in levels]
     cols = ["unique_id", "step", "yhat", *[f"{s}_{L}" for L in levels for s in ("lo", "hi")]]
     schema = ", ".join(["unique_id string", "step int", "yhat double"] +
@@ -401,10 +414,13 @@ def arima_forecast(panel: DataFrame, p: int, q: int, h: int, freq: str, d: int =
             for r in b.itertuples(index=False):
                 coef = np.asarray(r.coef, float)
                 c, phi, theta = coef[0], coef[1:1 + p], coef[1 + p:1 + p + q]
+                beta = coef[1 + p + q:]
+                fx = [list(getattr(r, f"fxv_{e}")) for e in exog]
                 ys, es = list(map(float, r.ys)), list(map(float, r.es))
                 fc = []
-                for _ in range(h):
+                for t in range(h):
                     v = c + sum(phi[i] * ys[-1 - i] for i in range(p)) + sum(theta[j] * es[-1 - j] for j in range(q))
+                    v += sum(beta[m] * fx[m][t] for m in range(len(exog)))
                     fc.append(v)
                     ys.append(v)
                     es.append(0.0)
@@ -424,4 +440,4 @@ def arima_forecast(panel: DataFrame, p: int, q: int, h: int, freq: str, d: int =
             yield pd.DataFrame(out, columns=cols)
 
     f = st.mapInPandas(run, schema)
-    return future_frame(panel, h, freq).join(f, ["unique_id", "step"])
+    return fut.join(f, ["unique_id", "step"])

@@ -116,3 +116,15 @@ def h11_arima_forecast_bounds(spark, sf_dir):
     """ARIMA(1,1,1) on the daily event panel: 7-day forecasts with 80 % and 95 % bounds."""
     f = rg.arima_forecast(panels.events_daily(spark, sf_dir), 1, 1, 7, "D", d=1, long_ar=4, levels=(80, 95))
     return round_doubles(f, 4)
+
+
+
+@register("h12_forecast_with_future_promo")
+def h12_forecast_with_future_promo(spark, sf_dir):
+    """AR(1) + promo flag on the monthly panel, 12 months ahead with the known future promo calendar (A5 + B4)."""
+    from panelspark.plans.q_forecast import _promo_calendar
+
+    cal = _promo_calendar(spark, sf_dir).withColumn("promo", F.col("promo").cast("double"))
+    p = panels.orders_monthly(spark, sf_dir).join(cal, "ds", "left")
+    f = rg.arima_forecast(p, 1, 0, 12, "ME", d=0, long_ar=4, levels=(95,), exog=("promo",), future_exog=cal)
+    return round_doubles(f, 2)

@@ -103,3 +103,22 @@ def test_arima_forecast_matches_closed_form_ar1(spark):
     assert np.allclose(f["yhat"], want, atol=1e-9)
     sd = np.sqrt(fit.sigma2 * np.cumsum([phi ** (2 * j) for j in range(5)]))
     assert np.allclose(f["hi_95"] - f["yhat"], 1.959963985 * sd, rtol=1e-6)
+
+
+def test_arima_forecast_uses_future_exog(spark):
+    rng = np.random.default_rng(32)
+    n = 300
+    x = (rng.random(n + 5) < 0.3).astype(float)
+    y = np.zeros(n)
+    for t in range(1, n):
+        y[t] = 1.0 + 0.5 * y[t - 1] + 4.0 * x[t] + rng.normal(scale=0.1)
+    ds = pd.date_range("2020-01-01", periods=n + 5, freq="D")
+    df = spark.createDataFrame(pd.DataFrame({"unique_id": "a", "ds": ds[:n], "y": y, "x": x[:n]}))
+    fut = spark.createDataFrame(pd.DataFrame({"ds": ds[n:], "x": x[n:]}))
+    f = rg.arima_forecast(df, 1, 0, 5, "D", exog=("x",), future_exog=fut).orderBy("step").toPandas()
+    c, phi, b = rg.fit_linear(rg.ar_design(df, 1).withColumn("one", F.lit(1.0)), ["unique_id"], ["one", "ar1", "x"], "y").first().coef
+    v, want = y[-1], []
+    for t in range(5):
+        v = c + phi * v + b * x[n + t]
+        want.append(v)
+    assert abs(b - 4.0) < 0.1 and np.allclose(f["yhat"], want, atol=1e-9)
