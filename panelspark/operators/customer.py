@@ -234,21 +234,7 @@ def split(df: DataFrame, key: str = "CustomerID", train_frac: float = 0.8, seed:
     return d.join(thr, stratify, "left").withColumn("is_train", F.col("__u") <= F.col("__thr")).drop("__u", "__thr")
 
 
-def fit_standard_scaler(train: DataFrame, cols) -> dict:
-    """J7 fit: population mean/σ per column from train rows (one aggregate row: 2·k numbers reach the driver)."""
-    row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                    *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
-    return {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in cols}
-
-
-def apply_standard_scaler(df: DataFrame, params: dict, suffix: str = "") -> DataFrame:
-    """J7 transform: ``(x-μ)/σ`` (σ=0 → 0 as sklearn does)."""
-    out = {}
-    for c, (m, s) in params.items():
-        m = 0.0 if m is None else float(m)
-        s = 1.0 if not s else float(s)
-        out[c + suffix] = (F.col(c) - F.lit(m)) / F.lit(s)
-    return df.withColumns(out)
+# J7 (standard scaling fitted on train rows only) is ``relational.standard_scale(df, cols, fit_filter=...)``.
 
 
 # ---------------------------------------------------------------------------------------------------------------
