@@ -441,3 +441,23 @@ def arima_forecast(panel: DataFrame, p: int, q: int, h: int, freq: str, d: int =
 
     f = st.mapInPandas(run, schema)
     return fut.join(f, ["unique_id", "step"])
+
+
+def auto_arima_forecast(panel: DataFrame, h: int, freq: str, d: int = 0, max_p: int = 2, max_q: int = 2,
+                        long_ar: int = 8, levels=(95,)) -> DataFrame:
+    """H14 + H11: every series gets its AIC-best (p, q) from one Gram (``arma_grid_aic``) and is forecast with it.
+    Series are grouped by their chosen order: the loop runs over the ≤ (max_p+1)(max_q+1) distinct orders, never
+    over series."""
+    from panelspark.operators.windows import difference
+
+    base = difference(panel, 1) if d == 1 else panel
+    best = best_order(arma_grid_aic(base, max_p, max_q, long_ar))
+    orders = [r[0] for r in best.select("order").distinct().collect()]  # bounded by the order grid
+    out = None
+    for o in sorted(orders):
+        p, q = (int(x) for x in o.strip("()").split(","))
+        ids = best.filter(F.col("order") == o).select("unique_id")
+        f = arima_forecast(panel.join(ids, "unique_id", "left_semi"), p, q, h, freq, d, long_ar, levels) \
+            .withColumn("order", F.lit(f"({p},{d},{q})"))
+        out = f if out is None else out.unionByName(f)
+    return out

@@ -128,3 +128,9 @@ def h12_forecast_with_future_promo(spark, sf_dir):
     p = panels.orders_monthly(spark, sf_dir).join(cal, "ds", "left")
     f = rg.arima_forecast(p, 1, 0, 12, "ME", d=0, long_ar=4, levels=(95,), exog=("promo",), future_exog=cal)
     return round_doubles(f, 2)
+
+
+@register("h14_auto_arima_forecast")
+def h14_auto_arima_forecast(spark, sf_dir):
+    """Per-series best ARIMA(p,1,q), p,q ≤ 2, on the daily event panel; 7-day forecasts with 95 % bounds."""
+    return round_doubles(rg.auto_arima_forecast(panels.events_daily(spark, sf_dir), 7, "D", d=1, long_ar=4), 4)
