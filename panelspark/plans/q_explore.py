@@ -57,12 +57,47 @@ def _residuals(spark, sf_dir):
     return p.select("unique_id", "ds", (F.col("y") - F.lag("y", 24).over(wn.series_window())).alias("y")).dropna()
 
 
-@register("d18_qq_points")
+_RESID = f"res AS (SELECT unique_id, ds, y FROM (SELECT unique_id, ds, y - lag(y, 24) OVER {W()} AS y FROM events_hourly) WHERE y IS NOT NULL)"
+
+
+def _acklam_sql(p: str) -> str:
+    """Inverse normal CDF in SQL (Acklam's rational approximation, relative error ≈ 1e-9)."""
+    a = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02, 1.383577518672690e+02,
+         -3.066479806614716e+01, 2.506628277459239e+00]
+    b = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02, 6.680131188771972e+01,
+         -1.328068155288572e+01]
+    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00, -2.549732539343734e+00,
+         4.374664141464968e+00, 2.938163982698783e+00]
+    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00]
+
+    def horner(coefs, v):
+        out = f"{coefs[0]!r}"
+        for k in coefs[1:]:
+            out = f"({out}) * {v} + {k!r}"
+        return out
+
+    tail = lambda q: f"({horner(c, q)}) / (({horner(d, q)}) * {q} + 1)"
+    ql, qu = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    r = f"(({p}) - 0.5) * (({p}) - 0.5)"
+    mid = f"({horner(a, r)}) * (({p}) - 0.5) / (({horner(b, r)}) * {r} + 1)"
+    return f"CASE WHEN {p} < 0.02425 THEN {tail(ql)} WHEN {p} > 0.97575 THEN -({tail(qu)}) ELSE {mid} END"
+
+
+_QQ_SQL = with_ctes(
+    "events_hourly", _RESID,
+    "o AS (SELECT unique_id, y AS sample, row_number() OVER (PARTITION BY unique_id ORDER BY y) AS i, count(*) OVER (PARTITION BY unique_id) AS n FROM res)",
+    "m AS (SELECT *, CASE WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n) WHEN i = n THEN pow(0.5, 1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END AS pm FROM o)",
+    f"t AS (SELECT unique_id, i, sample, {_acklam_sql('pm')} AS theoretical FROM m)",
+    "l AS (SELECT unique_id, regr_slope(sample, theoretical) AS slope, regr_intercept(sample, theoretical) AS intercept FROM t GROUP BY 1)",
+    "SELECT t.unique_id, CAST(i AS INTEGER) AS i, round(theoretical, 6) AS theoretical, round(sample, 6) AS sample, round(slope, 6) AS slope, "
+    "round(intercept, 6) AS intercept FROM t JOIN l ON t.unique_id = l.unique_id")
+
+
+@register("d18_qq_points", _QQ_SQL)
 def d18_qq_points(spark, sf_dir):
     return round_doubles(explore.qq_points(_residuals(spark, sf_dir), "y"), 6)
 
 
-_RESID = f"res AS (SELECT unique_id, ds, y FROM (SELECT unique_id, ds, y - lag(y, 24) OVER {W()} AS y FROM events_hourly) WHERE y IS NOT NULL)"
 
 
 def _resid_acf_sql():
