@@ -178,3 +178,37 @@ def feature_importance(model, features, top: int | None = None):
 def importance_frame(spark, model, features, top: int | None = None) -> DataFrame:
     return spark.createDataFrame([(f, float(v)) for f, v in feature_importance(model, features, top)],
                                  "feature string, importance double")
+
+
+def conformal_scores_global(feats: DataFrame, features, n_windows: int = 10, model: str = "gbt", seed: int = 42,
+                            **params) -> DataFrame:
+    """H4 for a global model: ``n_windows`` one-step rolling origins at the end of every series; window i refits on
+    rows before its origin and scores the origin row with the true history.  The loop runs over windows (bounded by
+    ``n_windows``), each fit is one distributed ``pyspark.ml`` fit.  Returns ``(unique_id, window, score)``."""
+    w = Window.partitionBy("unique_id").orderBy("ds")
+    d = feats.withColumns({"__pos": F.row_number().over(w) - 1, "__n": F.count("*").over(Window.partitionBy("unique_id"))})
+    out = None
+    for i in range(n_windows):
+        origin = F.col("__n") - (n_windows - i)
+        m = fit_global(d.filter(F.col("__pos") < origin), features, model, seed, **params)
+        s = one_step_replay(m, d, F.col("__pos") == origin).select(
+            "unique_id", F.lit(i).alias("window"), F.abs(F.col("y") - F.col("yhat")).alias("score"))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def conformal_one_step(feats: DataFrame, panel: DataFrame, features, lags, freq: str, n_windows: int = 10,
+                       levels=(99,), model: str = "gbt", date_feats=("hour",), **params) -> DataFrame:
+    """Next-step forecast of a global model with conformal bounds: ŷ ± the per-series quantile of the backtest
+    scores (the symmetric set {±s}), as ``PredictionIntervals(n_windows, h=1)``."""
+    sc = conformal_scores_global(feats, features, n_windows, model, **params)
+    sym = sc.select("unique_id", F.explode(F.array(F.col("score"), -F.col("score"))).alias("z"))
+    probs = [p for L in levels for p in ((100 - L) / 200, (100 + L) / 200)]
+    q = sym.groupBy("unique_id").agg(F.percentile("z", probs).alias("__q"))  # 2·n_windows values per series
+    m = fit_global(feats, features, model, **params)
+    f = recursive_forecast(m, panel, 1, freq, lags, date_feats).join(q, "unique_id", "left")
+    cols = {}
+    for i, L in enumerate(levels):
+        cols[f"lo_{L}"] = F.col("yhat") + F.col("__q")[2 * i]
+        cols[f"hi_{L}"] = F.col("yhat") + F.col("__q")[2 * i + 1]
+    return f.withColumns(cols).drop("__q")

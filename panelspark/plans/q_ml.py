@@ -170,3 +170,12 @@ def i3_replay_minute_bars_summary(spark, sf_dir):
 
     r = _minute_replay(spark, sf_dir)
     return round_doubles(bt.summary(bt.position_fold(r), r), 4)
+
+
+@register("h4_conformal_gbt_one_step")
+def h4_conformal_gbt_one_step(spark, sf_dir):
+    """The replay's interval setting for the boosted-tree model: 10 refitted one-step windows, level 99."""
+    f = _feats(spark, sf_dir, materialise=True)
+    out = ml.conformal_one_step(f, panels.events_hourly(spark, sf_dir), ml.feature_names(LAGS), LAGS, "h", 10, (99,),
+                                maxIter=10, maxDepth=4)
+    return round_doubles(out, 4)
