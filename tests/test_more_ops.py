@@ -155,3 +155,23 @@ def test_chunked_fill_gaps_and_bucketed_split_equal_plain(spark):
     s1 = wn.train_test_flag(df, 0.8).orderBy("unique_id", "ds").toPandas()
     s2 = wn.train_test_flag(df, 0.8, time_bucket="month").orderBy("unique_id", "ds").toPandas()
     pd.testing.assert_frame_equal(s1, s2[s1.columns])
+
+
+@pytest.mark.parametrize("op", ["acf", "cv", "flags", "percentiles"])
+def test_results_do_not_depend_on_row_order_or_partitioning(spark, op):
+    from panelspark.operators import anomaly
+
+    rng = np.random.default_rng(40)
+    df = _frame(spark, {"a": rng.normal(size=120).cumsum(), "b": rng.normal(size=90)})
+    shuffled = df.repartition(7).sortWithinPartitions(F.rand(3))
+    fns = {"acf": lambda d: explore.acf(d, nlags=20),
+           "cv": lambda d: fc.cross_validation(d, 5, 3, 7),
+           "flags": lambda d: anomaly.detect_anomalies(d).select("unique_id", "ds", "ma_anomaly", "decomp_anomaly",
+                                                                  "zscore_anomaly", "anomaly_count"),
+           "percentiles": lambda d: rel.exact_percentiles(d, ["unique_id"], "y", [0.1, 0.5, 0.9])}
+    a = fns[op](df).toPandas()
+    b = fns[op](shuffled).toPandas()
+    keys = [c for c in ("unique_id", "ds", "lag") if c in a.columns]
+    a = a.sort_values(keys).reset_index(drop=True)
+    b = b.sort_values(keys).reset_index(drop=True)
+    pd.testing.assert_frame_equal(a, b[a.columns], check_exact=False, rtol=1e-9, atol=1e-9)
