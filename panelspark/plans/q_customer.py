@@ -10,7 +10,7 @@ from panelspark.functions.util import rnd, round_doubles, sql_select
 from panelspark.operators import customer as cu
 from panelspark.operators import relational as rel
 from panelspark.plans.registry import register
-from panelspark.plans.sql_customer import CW, P, feature_ctes, health_ctes, panel_ctes, risk_case, sql
+from panelspark.plans.sql_customer import P, feature_ctes, health_ctes, panel_ctes, risk_case, sql
 
 USAGE = [f"{p}_Usage" for p in P]
 GROWTH = [f"{p}_Growth" for p in P]

@@ -4,7 +4,6 @@ import math
 
 import numpy as np
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import panel_df
