@@ -175,3 +175,14 @@ def test_results_do_not_depend_on_row_order_or_partitioning(spark, op):
     a = a.sort_values(keys).reset_index(drop=True)
     b = b.sort_values(keys).reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b[a.columns], check_exact=False, rtol=1e-9, atol=1e-9)
+
+
+def test_conformal_intervals_collapse_on_a_perfectly_seasonal_series(spark):
+    season = np.array([5.0, 1.0, 3.0, 8.0, 2.0, 6.0, 4.0])
+    df = _frame(spark, {"s": np.tile(season, 10)})
+    cv = fc.cross_validation(df, 7, 3, 7, models=["SeasonalNaive"])
+    f = fc.forecast_with_step(df, 7, "D", 7, ["SeasonalNaive"])
+    out = fc.conformal_intervals(cv, f, ["SeasonalNaive"], (80, 95)).orderBy("step").toPandas()
+    assert np.allclose(out["SeasonalNaive"], season)
+    for L in (80, 95):
+        assert np.allclose(out[f"SeasonalNaive_lo_{L}"], season) and np.allclose(out[f"SeasonalNaive_hi_{L}"], season)
