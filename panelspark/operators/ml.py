@@ -212,3 +212,9 @@ def conformal_one_step(feats: DataFrame, panel: DataFrame, features, lags, freq:
         cols[f"lo_{L}"] = F.col("yhat") + F.col("__q")[2 * i]
         cols[f"hi_{L}"] = F.col("yhat") + F.col("__q")[2 * i + 1]
     return f.withColumns(cols).drop("__q")
+
+
+def conformal_halfwidths(scores: DataFrame, level: float = 0.99) -> DataFrame:
+    """Per-series half-width ``q`` (the ``level`` quantile of the backtest scores, ``n_windows`` values per series):
+    the static table the streaming band alerts join (K2: ``online.band_alerts(forecasts, halfwidths)``)."""
+    return scores.groupBy("unique_id").agg(F.percentile(F.abs("score"), F.lit(level)).alias("q"))

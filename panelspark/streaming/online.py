@@ -74,7 +74,7 @@ def online_forecast(stream: DataFrame, model, lags=(1, 2, 3), date_feats=("hour"
     return model.transform(f).withColumn("yhat", F.col("level_prev") + F.col("prediction")).drop("features", "prediction")
 
 
-def band_alerts(forecasts: DataFrame, halfwidths: DataFrame) -> DataFrame:
+def band_alerts(forecasts: DataFrame, halfwidths: DataFrame) -> DataFrame:  # halfwidths: ml.conformal_halfwidths
     """K2: stream ⋈ static per-series half-width (conformal quantile) → rows whose actual breaches ŷ ± q."""
     j = forecasts.join(F.broadcast(halfwidths), "unique_id")  # one row per series
     return j.withColumns({"lower": F.col("yhat") - F.col("q"), "upper": F.col("yhat") + F.col("q")}) \

@@ -122,3 +122,11 @@ def test_arima_forecast_uses_future_exog(spark):
         v = c + phi * v + b * x[n + t]
         want.append(v)
     assert abs(b - 4.0) < 0.1 and np.allclose(f["yhat"], want, atol=1e-9)
+
+
+def test_conformal_halfwidths_table(spark):
+    from panelspark.operators import ml
+
+    sc = spark.createDataFrame([("a", i, float(i)) for i in range(11)] + [("b", 0, 2.0)], "unique_id string, window int, score double")
+    got = {r.unique_id: r.q for r in ml.conformal_halfwidths(sc, 0.9).collect()}
+    assert got == {"a": 9.0, "b": 2.0}
