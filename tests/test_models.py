@@ -130,3 +130,16 @@ def test_conformal_halfwidths_table(spark):
     sc = spark.createDataFrame([("a", i, float(i)) for i in range(11)] + [("b", 0, 2.0)], "unique_id string, window int, score double")
     got = {r.unique_id: r.q for r in ml.conformal_halfwidths(sc, 0.9).collect()}
     assert got == {"a": 9.0, "b": 2.0}
+
+
+def test_auto_arima_uses_the_aic_best_order(spark):
+    rng = np.random.default_rng(41)
+    y = np.zeros(500)
+    for t in range(1, 500):
+        y[t] = 0.85 * y[t - 1] + rng.normal()
+    df = _frame(spark, {"a": y})
+    f = rg.auto_arima_forecast(df, 4, "D", d=0, max_p=2, max_q=1, long_ar=6).toPandas()
+    grid = rg.arma_grid_aic(df, 2, 1, 6).toPandas()
+    best = grid.sort_values(["aic", "order"]).iloc[0]
+    assert len(f) == 4 and set(f["order"]) == {f"({best.p},0,{best.q})"}
+    assert np.all(f["lo_95"] < f["yhat"]) and np.all(f["yhat"] < f["hi_95"])
