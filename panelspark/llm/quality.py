@@ -6,8 +6,9 @@ hold at least ``min_content`` of its word characters.  ``base_failed`` texts (un
 ``MAX_REPEAT_PERCENT`` of the words in repeated 8-word windows) are never kept.
 
 The field is fitted by maximum likelihood (forward-backward, Adam) on a bounded sample of labelled documents: at most
-``sample`` of either quality label, those with the smallest hash of their id.  The lines of a document take its label.
-Only their features reach the driver: for each document at most ``MAX_FIT_LINES`` lines.  Scoring uses every line.
+``sample`` of them, those with the smallest hash of their id.  The lines of a good document are content; those of a bad one are boilerplate
+if they look so on their own (a first fit with each line as a chain), as a bad text also holds ordinary lines.  Only
+their features reach the driver: for each document at most ``MAX_FIT_LINES`` lines.  Scoring uses every line.
 
 Defined cases: a null or empty text has no words, so it fails the base rule; null ids are scored like others and stay
 null; repeated rows are scored each; an empty table gives an empty result; without labels of both kinds the field
@@ -30,7 +31,7 @@ from panelspark.llm import textkit as K
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-SAMPLE = 1500
+SAMPLE = 4000
 MIN_CONTENT = 0.5
 MAX_FIT_LINES = 32
 
@@ -150,6 +151,8 @@ def train(owner: np.ndarray, features: np.ndarray, labels: np.ndarray, steps: in
     order = np.argsort(-length, kind="stable")
     at, length = at[order], length[order]
     deep, k = int(length[0]), features.shape[1]
+    scale = np.maximum(np.sqrt((features ** 2).mean(axis=0)), 1e-6)
+    features = features / scale
     index = np.minimum(at[:, None] + np.arange(deep), len(owner) - 1)
     alive = np.arange(deep) < length[:, None]
     pairs = alive[:, 1:]
@@ -183,7 +186,7 @@ def train(owner: np.ndarray, features: np.ndarray, labels: np.ndarray, steps: in
         slope = slope / len(at) - ridge * theta
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope ** 2
         theta = theta + rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    return Field(theta[:k], float(theta[k]), theta[k + 1:].reshape(2, 2))
+    return Field(theta[:k] / scale, float(theta[k]), theta[k + 1:].reshape(2, 2))
 
 
 def all_content() -> Field:
@@ -193,13 +196,11 @@ def all_content() -> Field:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on at most ``sample`` documents of either label (``quality`` 0 or 1)."""
-    by_hash = F.xxhash64(F.lit(5), "doc_id")
-    picked = None
-    for value in (0, 1):
-        part = (labels.where((F.col("quality") == value) & F.col("doc_id").isNotNull())
-                .select("doc_id", F.lit(value).alias("quality")).distinct().orderBy(by_hash, "doc_id").limit(sample))
-        picked = part if picked is None else picked.union(part)
+    """Fit on at most ``sample`` labelled documents (``quality`` 0 or 1)."""
+    # both kinds in their natural proportion; the sample holds ``sample`` ids at most
+    picked = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+              .select("doc_id", "quality").distinct()
+              .orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id", "quality").limit(sample))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.document_groups(batches):
@@ -213,7 +214,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
                 [owner.cast(pa.string()), pa.array(rank[use], pa.int32()), label.cast(pa.int32()),
                  pa.array(list(found.features[use]), pa.list_(pa.float64()))], ["doc", "rank", "label", "features"])
 
-    # the sample holds 2 * sample ids at most
     rows = (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
             .mapInArrow(lines, "doc string, rank int, label int, features array<double>").toPandas())
     if rows["label"].nunique() < 2:
@@ -221,7 +221,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     rows = rows.sort_values(["doc", "rank"], kind="stable")
     rows = rows.drop_duplicates(["doc", "rank"])
     boilerplate = 1 - rows["label"].to_numpy()
-    return train(rows["doc"].to_numpy(), np.array(rows["features"].tolist()), boilerplate)
+    features = np.array(rows["features"].tolist())
+    alone = train(np.arange(len(rows)), features, boilerplate)
+    looks = features @ alone.weights + alone.start > 0
+    return train(rows["doc"].to_numpy(), features, boilerplate * looks)
 
 
 def judge(texts: K.Texts, field: Field, min_content: float) -> dict[str, np.ndarray]:

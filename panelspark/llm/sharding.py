@@ -39,7 +39,7 @@ def two_pass_shuffle(records: DataFrame, shards: int, size: str, seed: int = SEE
                         F.sum(F.coalesce(F.col(size), F.lit(0)) + ROW_BYTES).alias("bytes")).first()
     buckets = max(1, -(-int(total["bytes"] or 0) // bucket_bytes))
     copies = counted.select("record", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    place = F.pmod(F.xxhash64(F.lit(seed), F.to_json("record"), "copy"), F.lit(buckets))
+    place = F.pmod(F.xxhash64(F.lit(seed), "record", "copy"), F.lit(buckets))
     scattered = copies.select(place.alias("bucket"), F.struct("copy", "record").alias("item"))
     held = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list("item")).alias("items"))
     mixed = held.sortWithinPartitions("bucket").select(
