@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import embeddings, lm, packing, quality, sharding, simhash, substrings, urlrules
+from panelspark.llm import chunkcode, embeddings, lm, packing, quality, sharding, simhash, substrings, urlrules
 from panelspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@register("op3_bpe_encoding")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkcode.encode_decode(table(spark, sf_dir, "documents"))
+
+
 @register("op4_lm_scoring")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.ctw_scores(table(spark, sf_dir, "documents"))
