@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import chunkcode, embeddings, lm, packing, quality, sharding, simhash, substrings, urlrules
+from panelspark.llm import chunkcode, embeddings, lm, packing, quality, sharding, simhash, substrings, suffixdedup, urlrules
 from panelspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,11 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("op1_suffix_array_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @register("op2_embedding_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
