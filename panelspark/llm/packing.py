@@ -2,10 +2,10 @@
 
 Pieces of at most ``capacity`` tokens go into as few sequences as possible.  Only the number of pieces of each length
 decides, and there are at most ``capacity`` lengths, so the plan is made from that histogram and is bounded whatever the
-input.  From the longest length down, the gap beside a piece is looked up among the sums of one, two and three of the
-available lengths; a combination that fills the gap exactly is consumed as often as its scarcest length allows.  Lengths
-without such a combination are residuals: each of their pieces takes the longest length that still fits, again and
-again (best fit), also as often as the counts allow.  Each entry of the plan is (lengths of a sequence, how many such
+input.  First with one, then with two, then with three others: from the longest length down, the gap beside a piece is looked up
+among the sums of that many available lengths; a combination that fills the gap exactly is consumed as often as its
+scarcest length allows.  What is left are residuals: each piece takes the longest length that still fits, again and again
+(best fit), also as often as the counts allow.  Each entry of the plan is (lengths of a sequence, how many such
 sequences).
 
 Pieces are then numbered inside their length by counts of (length, hash bucket) and their prefix sums, so that a length
@@ -64,72 +64,87 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int =
         cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _exact(gap: int, have: np.ndarray, present: np.ndarray) -> list[int] | None:
-    """One, two or three available lengths that sum to ``gap``; counts of equal lengths are respected."""
-    if gap < len(have) and have[gap] > 0:
-        return [gap]
+def _pair(total: int, have: np.ndarray, present: np.ndarray, used: int = 0) -> list[int] | None:
+    """Two available lengths that sum to ``total``, the longest possible first; one piece of ``used`` is taken."""
+    a = present[(present * 2 >= total) & (present < total)]
+    b = total - a  # the complements of all lengths at once
+    ok = (have[a] - (a == used) > 0) & (have[b] - (b == used) - (a == b) > 0)
+    hit = np.flatnonzero(ok)
+    return [int(a[hit[-1]]), int(b[hit[-1]])] if len(hit) else None
 
-    def pair(total: int, used: int = 0) -> list[int] | None:
-        # complements of all present lengths at once; the longest first
-        a = present[(present * 2 >= total) & (present < total)]
-        b = total - a
-        ok = (have[a] - (a == used) > 0) & (have[b] - (b == used) - (a == b) > 0)
-        hit = np.flatnonzero(ok)
-        return [int(a[hit[-1]]), int(b[hit[-1]])] if len(hit) else None
 
-    two = pair(gap)
-    if two:
-        return two
-    for c in present[present < gap][::-1]:
+def _exact(gap: int, parts: int, have: np.ndarray) -> list[int] | None:
+    """``parts`` (one to three) available lengths that sum to ``gap``; counts of equal lengths are respected."""
+    if parts == 1:
+        return [gap] if have[gap] > 0 else None
+    present = np.flatnonzero(have[:gap])
+    if parts == 2:
+        return _pair(gap, have, present)
+    for c in present[::-1].tolist():
         if 3 * c < gap:
             break
-        rest = pair(gap - int(c), int(c))
-        if rest and have[c] > rest.count(int(c)):
-            return [int(c), *rest]
+        rest = _pair(gap - c, have, present[present <= c], c)
+        if rest and have[c] > rest.count(c):
+            return [c, *rest]
     return None
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths, number of sequences): every piece of ``counts`` (length → pieces) is in one sequence."""
-    have = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        have[length] = n
-    out: list[tuple[list[int], int]] = []
-    residual = np.zeros_like(have)
-
-    def consume(lengths: list[int]) -> None:
-        each = np.bincount(lengths, minlength=capacity + 1)
+class _Stock:
+    """Pieces left of each length, and the sequences made of the others."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.have = np.zeros(capacity + 1, np.int64)
+        self.have[list(counts)] = list(counts.values())
+        self.made: list[tuple[list[int], int]] = []
+
+    def consume(self, lengths: list[int]) -> None:
+        """As many sequences of these lengths as the scarcest allows."""
+        each = np.bincount(lengths, minlength=len(self.have))
         used = np.flatnonzero(each)
-        times = int((have[used] // each[used]).min())
-        have[used] -= times * each[used]
-        out.append((lengths, times))
-
-    for longest in range(capacity, 0, -1):
-        while have[longest] > 0:
-            if longest == capacity:
-                consume([capacity])
-                continue
-            have[longest] -= 1
-            found = _exact(capacity - longest, have, np.flatnonzero(have))
-            have[longest] += 1
-            if found is None:
-                residual[longest], have[longest] = have[longest], 0
-            else:
-                consume([longest, *found])
-    have = residual
-    for longest in range(capacity, 0, -1):
-        while have[longest] > 0:
-            taken, lengths, free = np.zeros_like(have), [longest], capacity - longest
-            taken[longest] = 1
-            while free:
-                fit = np.flatnonzero((have - taken)[:free + 1] > 0)
-                if not len(fit):
-                    break
-                lengths.append(int(fit[-1]))
-                taken[fit[-1]] += 1
-                free -= int(fit[-1])
-            consume(lengths)
-    return out
+        times = int((self.have[used] // each[used]).min())
+        self.have[used] -= times * each[used]
+        self.made.append((lengths, times))
+
+    def fill_exactly(self) -> None:
+        capacity = len(self.have) - 1
+        if self.have[capacity]:
+            self.consume([capacity])
+        for parts in (1, 2, 3):
+            for longest in range(capacity - 1, 0, -1):
+                while self.have[longest] > 0:
+                    self.have[longest] -= 1
+                    found = _exact(capacity - longest, parts, self.have)
+                    self.have[longest] += 1
+                    if found is None:
+                        break
+                    self.consume([longest, *found])
+
+    def best_fit(self) -> list[tuple[list[int], int]]:
+        """From the longest down, the longest piece that still fits, again and again."""
+        capacity = len(self.have) - 1
+        for longest in range(capacity, 0, -1):
+            while self.have[longest] > 0:
+                left, lengths, free = self.have.copy(), [longest], capacity - longest
+                left[longest] -= 1
+                while free:
+                    fit = np.flatnonzero(left[:free + 1] > 0)
+                    if not len(fit):
+                        break
+                    lengths.append(int(fit[-1]))
+                    left[fit[-1]] -= 1
+                    free -= int(fit[-1])
+                self.consume(lengths)
+        return self.made
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """(lengths, number of sequences): every piece of ``counts`` (length → pieces) is in one sequence.
+
+    Exact combinations, then best fit for the rest; where short pieces are too few for that (most lengths beyond half the
+    capacity), best fit for all, if it needs fewer sequences."""
+    stock = _Stock(counts, capacity)
+    stock.fill_exactly()
+    return min(stock.best_fit(), _Stock(counts, capacity).best_fit(), key=lambda made: sum(n for _, n in made))
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
