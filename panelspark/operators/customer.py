@@ -18,11 +18,9 @@ from panelspark.functions.util import rnd
 from panelspark.sources.tables import read_table
 
 # ---- fixed values (must stay as they are for the derived panel to match FIXTURES.md §3)
-PRODUCTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]  # p_type values
 SEGMENT_TYPE = {"FURNITURE": "Stable", "AUTOMOBILE": "Stable", "BUILDING": "Growing", "MACHINERY": "Declining",
                 "HOUSEHOLD": "Shifting"}
-ACCTBAL_THIRDS = (2666.67, 6333.33)  # c_acctbal range [-999.99, 9999.99] cut in thirds → Small / Medium / Large
-START_YEAR, N_PERIODS = 1995, 7
+DEFAULT_TYPE = "Stable"  # a segment that the mapping does not name
 RISK_BINS = [(-0.2, "Very High"), (-0.1, "High"), (0.0, "Medium"), (0.1, "Low"), (None, "Very Low")]
 STATUS_ORDER = ["New", "Red Flag", "Shifting", "Growing", "Declining", "Stable"]
 
@@ -39,29 +37,42 @@ def growth_col(p: str) -> str:
     return f"{p}_Growth"
 
 
+def products_of(df: DataFrame) -> list[str]:
+    """The products of a wide panel or feature table, from its usage columns."""
+    return [c[:-len("_Usage")] for c in df.columns if c.endswith("_Usage")]
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # panel
 # ---------------------------------------------------------------------------------------------------------------
 
-def customer_panel(spark: SparkSession, sf_dir: str, products=PRODUCTS, start_year: int = START_YEAR,
-                   n_periods: int = N_PERIODS) -> DataFrame:
-    """Wide customer × period panel (unfilled growth columns): ids, type, size, ``TotalSpend``, ``{p}_Usage``."""
+def customer_panel(spark: SparkSession, sf_dir: str, products: list[str] | None = None) -> DataFrame:
+    """Wide customer × period panel (unfilled growth columns): ids, type, size, ``TotalSpend``, ``{p}_Usage``.
+
+    Nothing is cut: the periods run from the first to the last order year, the products are the distinct part types and
+    the sizes are thirds of the balance range, all read from the tables (three small aggregates)."""
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_quantity"])
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_type"])
     cust = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"])
+    if products is None:
+        products = [r[0] for r in part.select("p_type").dropna().distinct().orderBy("p_type").collect()]
+    years = orders.agg(F.min(F.year("o_orderdate")).alias("lo"), F.max(F.year("o_orderdate")).alias("hi")).first()
+    start_year, n_periods = (years["lo"], years["hi"] - years["lo"] + 1) if years["lo"] is not None else (0, 1)
+    bal = cust.agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi")).first()
+    third = ((bal["hi"] or 0.0) - (bal["lo"] or 0.0)) / 3.0
+    cuts = ((bal["lo"] or 0.0) + third, (bal["lo"] or 0.0) + 2.0 * third)
     period = (F.year("o_orderdate") - start_year).alias("TimePeriod")
-    o = orders.select(F.col("o_orderkey"), F.col("o_custkey").alias("CustomerID"), period, "o_totalprice") \
-              .filter(F.col("TimePeriod").between(0, n_periods - 1))
+    o = orders.select(F.col("o_orderkey"), F.col("o_custkey").alias("CustomerID"), period, "o_totalprice")
     # one partial/final aggregate with a conditional sum per product (a pivot would add a second aggregate and
     # exchange); partial aggregation also folds a very active customer's rows map-side before the shuffle
     usage = (li.join(o, li.l_orderkey == o.o_orderkey).join(part, li.l_partkey == part.p_partkey)
                .groupBy("CustomerID", "TimePeriod")
                .agg(*[F.sum(F.when(F.col("p_type") == p, F.col("l_quantity"))).alias(usage_col(p)) for p in products]))
     spend = o.groupBy("CustomerID", "TimePeriod").agg(F.sum("o_totalprice").alias("TotalSpend"))
-    ctype = F.create_map(*[F.lit(x) for kv in SEGMENT_TYPE.items() for x in kv])[F.col("c_mktsegment")]
-    size = (F.when(F.col("c_acctbal") < ACCTBAL_THIRDS[0], "Small")
-             .when(F.col("c_acctbal") < ACCTBAL_THIRDS[1], "Medium").otherwise("Large"))
+    kinds = F.create_map(*[F.lit(x) for kv in SEGMENT_TYPE.items() for x in kv])
+    ctype = F.coalesce(F.try_element_at(kinds, F.col("c_mktsegment")), F.lit(DEFAULT_TYPE))
+    size = F.when(F.col("c_acctbal") < cuts[0], "Small").when(F.col("c_acctbal") < cuts[1], "Medium").otherwise("Large")
     spine = cust.select(F.col("c_custkey").alias("CustomerID"), F.col("c_name").alias("CompanyName"),
                         size.alias("CompanySize"), ctype.alias("CustomerType"),
                         F.explode(F.sequence(F.lit(0), F.lit(n_periods - 1))).alias("TimePeriod"))
@@ -72,11 +83,12 @@ def customer_panel(spark: SparkSession, sf_dir: str, products=PRODUCTS, start_ye
     return panel.withColumns(fills)
 
 
-def assigned_products(panel: DataFrame, products=PRODUCTS) -> DataFrame:
-    """``AssignedProducts``: products the customer ever used, in product order (array<string>)."""
-    by_c = Window.partitionBy("CustomerID")
-    arr = F.filter(F.array(*[F.when(F.sum(usage_col(p)).over(by_c) > 0, F.lit(p)) for p in products]),
-                   lambda x: x.isNotNull())
+def assigned_products(panel: DataFrame, products=None) -> DataFrame:
+    """``AssignedProducts``: products the customer has used up to and including the period, in product order
+    (array<string>); the set only grows, and no later period is looked at."""
+    so_far = _cw().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    arr = F.filter(F.array(*[F.when(F.sum(usage_col(p)).over(so_far) > 0, F.lit(p))
+                             for p in products or products_of(panel)]), lambda x: x.isNotNull())
     return panel.withColumn("AssignedProducts", arr)
 
 
@@ -84,13 +96,13 @@ def assigned_products(panel: DataFrame, products=PRODUCTS) -> DataFrame:
 # J1–J3 growth, adoption, status
 # ---------------------------------------------------------------------------------------------------------------
 
-def add_growth(panel: DataFrame, products=PRODUCTS, variant: int = 1) -> DataFrame:
+def add_growth(panel: DataFrame, products=None, variant: int = 1) -> DataFrame:
     """``{p}_Growth`` (0 at the first period or on a zero base), ``TotalGrowth``, ``NewProductAdoption``.
 
     The spine is complete, so ``lag`` is the previous-period row (C5).  Variant 2 averages growth over the
     customer's assigned products only and names the adopted product.
     """
-    w = _cw()
+    w, products = _cw(), products or products_of(panel)
     prev = {p: F.lag(usage_col(p), 1).over(w) for p in products}
     d = panel.withColumns({f"__prev_{p}": prev[p] for p in products})
     g = {growth_col(p): F.coalesce(F.try_divide(F.col(usage_col(p)) - F.col(f"__prev_{p}"),
@@ -112,16 +124,16 @@ def add_growth(panel: DataFrame, products=PRODUCTS, variant: int = 1) -> DataFra
     return d.drop(*[f"__prev_{p}" for p in products])
 
 
-def significant_shift(variant: int, products=PRODUCTS) -> Column:
+def significant_shift(variant: int, products) -> Column:
     if variant == 3:
         return reduce(lambda a, b: a | b, [F.abs(F.col(growth_col(p))) > 0.3 for p in products])
     return F.abs(F.col("TotalGrowth")) > 0.2
 
 
-def add_status(d: DataFrame, variant: int = 1, products=PRODUCTS) -> DataFrame:
+def add_status(d: DataFrame, variant: int = 1, products=None) -> DataFrame:
     """Ordered rule chain → ``Status``.  Variants differ in the shift test and the red-flag test."""
     adopt = F.col("NewProductAdoption").isNotNull()
-    shift = significant_shift(variant, products)
+    shift = significant_shift(variant, products or products_of(d))
     red = (F.col("CustomerType") == "Declining") & (F.col("TotalGrowth") < -0.1) & ~adopt
     if variant == 2:
         red = red & ~shift
@@ -134,7 +146,7 @@ def add_status(d: DataFrame, variant: int = 1, products=PRODUCTS) -> DataFrame:
     return d.withColumn("Status", status)
 
 
-def health_panel(spark: SparkSession, sf_dir: str, variant: int = 1, products=PRODUCTS) -> DataFrame:
+def health_panel(spark: SparkSession, sf_dir: str, variant: int = 1, products=None) -> DataFrame:
     """Panel + growth + status (the reference's generated table, rebuilt from stored rows)."""
     p = customer_panel(spark, sf_dir, products)
     if variant == 2:
@@ -156,16 +168,16 @@ def _last(col: str) -> Column:
     return F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.col("TimePeriod")))
 
 
-def feature_cols(products=PRODUCTS) -> list[str]:
+def feature_cols(products) -> list[str]:
     return ([f"{p}_GrowthTrend" for p in products] + [f"{p}_UsageTrend" for p in products]
             + ["OverallGrowthTrend", "SpendTrend", "ProductDiversity", "ProductDiversityTrend", "SignificantShift"])
 
 
-def engineer_features(health: DataFrame, variant: int = 1, products=PRODUCTS) -> DataFrame:
+def engineer_features(health: DataFrame, variant: int = 1, products=None) -> DataFrame:
     """J4 + D8: one row per customer — trends (group means), diversity and its trend, shift flag, and the latest
     non-null value of every panel column.  Variant 2 guards percentage changes (0 unless >1 row and first value > 0)
     and measures diversity as the number of assigned products."""
-    w = _cw()
+    w, products = _cw(), products or products_of(health)
     if variant == 2:
         div = F.size("AssignedProducts")
     else:
@@ -203,7 +215,7 @@ def add_label(features: DataFrame, variant: int = 1) -> DataFrame:
 
 
 def customer_features(spark: SparkSession, sf_dir: str, variant: int = 1, label_variant: int | None = None,
-                      products=PRODUCTS) -> DataFrame:
+                      products=None) -> DataFrame:
     h = health_panel(spark, sf_dir, variant, products)
     return add_label(engineer_features(h, variant, products), label_variant or variant)
 
@@ -213,9 +225,13 @@ def customer_features(spark: SparkSession, sf_dir: str, variant: int = 1, label_
 # ---------------------------------------------------------------------------------------------------------------
 
 def hash_fraction(col: str, seed: int = 42) -> Column:
-    """Deterministic uniform number in [0,1) from an integer key (multiplicative hashing, engine independent)."""
-    return ((F.col(col).cast("bigint") * F.lit(2654435761) + F.lit(seed * 40503 + 12345)) % F.lit(4294967296)) \
-        / F.lit(4294967296.0)
+    """Deterministic uniform number in [0,1) from any integer key, in engine-independent integer arithmetic: the key is
+    reduced first (no overflow, negative keys too), then two multiply-and-shift rounds mix all its bits."""
+    x = F.pmod(F.col(col).cast("bigint"), F.lit(2147483647).cast("bigint"))
+    x = (x * F.lit(2654435761) + F.lit(seed * 40503 + 12345)) % F.lit(4294967296)
+    x = (x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(1103515245).cast("bigint") + F.lit(12345)) % F.lit(4294967296)
+    x = x.bitwiseXOR(F.shiftright(x, 13))
+    return x.cast("double") / F.lit(4294967296.0)
 
 
 def split(df: DataFrame, key: str = "CustomerID", train_frac: float = 0.8, seed: int = 42,
@@ -284,13 +300,14 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
 # J13–J20 analyses
 # ---------------------------------------------------------------------------------------------------------------
 
-def top_decliners(features: DataFrame, n: int = 10, products=PRODUCTS, red_only: bool = False) -> DataFrame:
+def top_decliners(features: DataFrame, n: int = 10, products=None, red_only: bool = False) -> DataFrame:
     """The n customers with the lowest overall growth trend (id breaks ties), with formatted product detail."""
     f = features.filter(F.col("RedFlag") == 1) if red_only else features
     top = f.orderBy(F.col("OverallGrowthTrend").asc(), F.col("CustomerID").asc()).limit(n)
     # values are rounded half-up before printing so the text does not depend on a formatter's tie rule
     detail = F.concat_ws("; ", *[F.format_string("%s: %.0f (Growth: %.2f%%)", F.lit(p), rnd(F.col(usage_col(p)), 0),
-                                                 rnd(F.col(f"{p}_GrowthTrend") * 100, 2)) for p in products])
+                                                 rnd(F.col(f"{p}_GrowthTrend") * 100, 2))
+                                 for p in products or products_of(features)])
     return top.select("CustomerID", "CompanyName", "CustomerType",
                       F.format_string("%.2f%%", rnd(F.col("OverallGrowthTrend") * 100, 2)).alias("overall_growth"),
                       F.col("ProductDiversity").cast("bigint").alias("ProductDiversity"),
@@ -315,24 +332,26 @@ def churn_risk_distribution(features: DataFrame) -> DataFrame:
             .select("ord", "risk", F.coalesce("n", F.lit(0)).cast("bigint").alias("customers")))
 
 
-def long_usage(panel: DataFrame, products=PRODUCTS, ids=("CustomerID", "TimePeriod")) -> DataFrame:
+def long_usage(panel: DataFrame, products=None, ids=("CustomerID", "TimePeriod")) -> DataFrame:
     """E1 + B11: wide usage columns → ``(ids…, Product, Usage)`` with the ``_Usage`` suffix stripped."""
-    long = panel.unpivot(list(ids), [usage_col(p) for p in products], "Product", "Usage")
+    long = panel.unpivot(list(ids), [usage_col(p) for p in products or products_of(panel)], "Product", "Usage")
     return long.withColumn("Product", F.regexp_replace("Product", "_Usage$", ""))
 
 
-def workload_shifts(panel: DataFrame, threshold: float = 100.0, products=PRODUCTS) -> DataFrame:
-    """|usage − usage at period−1| > threshold, one row per (customer, period, product)."""
-    long = long_usage(panel, products)
-    prev = long.select("CustomerID", (F.col("TimePeriod") + 1).alias("TimePeriod"), "Product",
-                       F.col("Usage").alias("prev_usage"))
-    j = long.join(prev, ["CustomerID", "TimePeriod", "Product"])  # C5: exact period−1 (a gap ⇒ no match)
-    return (j.select("CustomerID", "TimePeriod", "Product", (F.col("Usage") - F.col("prev_usage")).alias("UsageChange"))
-             .filter(F.abs("UsageChange") > threshold))
+def workload_shifts(panel: DataFrame, threshold: float = 100.0, products=None) -> DataFrame:
+    """|usage − usage at period−1| > threshold, one row per (customer, period, product).  The change is a ``lag`` on
+    the wide panel (a period that is not the next one gives no change), so the panel is read once and not joined."""
+    w, products = _cw(), products or products_of(panel)
+    follows = F.lag("TimePeriod", 1).over(w) == F.col("TimePeriod") - 1
+    d = panel.select("CustomerID", "TimePeriod", *[
+        F.when(follows, F.col(usage_col(p)) - F.lag(usage_col(p), 1).over(w)).alias(usage_col(p)) for p in products])
+    return (long_usage(d, products).withColumnRenamed("Usage", "UsageChange")
+            .filter(F.abs("UsageChange") > threshold))
 
 
-def product_flow(panel: DataFrame, products=PRODUCTS) -> DataFrame:
+def product_flow(panel: DataFrame, products=None) -> DataFrame:
     """Total usage at the first period (>0 only) as inflow, at the last period as negative outflow."""
+    products = products or products_of(panel)
     sums = panel.agg(*[F.sum(F.when(F.col("TimePeriod") == 0, F.col(usage_col(p)))).alias(f"s_{p}") for p in products])
     # end totals at the last period present: equi-join on a one-row aggregate (size is 1 by construction)
     maxp = panel.groupBy().agg(F.max("TimePeriod").alias("__maxp"))

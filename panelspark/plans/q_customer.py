@@ -14,7 +14,8 @@ from panelspark.plans.sql_customer import P, feature_ctes, health_ctes, panel_ct
 
 USAGE = [f"{p}_Usage" for p in P]
 GROWTH = [f"{p}_Growth" for p in P]
-FEATS = cu.feature_cols()
+FEATS = cu.feature_cols(P)
+#: Columns above are the oracle texts'; the DataFrame side reads its own products from the panel (``cu.products_of``).
 FEAT_DOUBLES = [c for c in FEATS if c not in ("ProductDiversity", "SignificantShift")]
 
 
@@ -25,14 +26,14 @@ FEAT_DOUBLES = [c for c in FEATS if c not in ("ProductDiversity", "SignificantSh
 def j_customer_panel(spark, sf_dir):
     p = cu.customer_panel(spark, sf_dir)
     return round_doubles(p.select("CustomerID", "TimePeriod", "CompanyName", "CompanySize", "CustomerType",
-                                  "TotalSpend", *USAGE), 6, {"TotalSpend": 2})
+                                  "TotalSpend", *[cu.usage_col(x) for x in cu.products_of(p)]), 6, {"TotalSpend": 2})
 
 
 @register("j1_growth", sql(*health_ctes(1), "SELECT CustomerID, TimePeriod, "
                            + sql_select(GROWTH + ["TotalGrowth"], GROWTH + ["TotalGrowth"]) + " FROM health"))
 def j1_growth(spark, sf_dir):
     h = cu.health_panel(spark, sf_dir, 1)
-    return round_doubles(h.select("CustomerID", "TimePeriod", *GROWTH, "TotalGrowth"))
+    return round_doubles(h.select("CustomerID", "TimePeriod", *[cu.growth_col(x) for x in cu.products_of(h)], "TotalGrowth"))
 
 
 @register("j1_growth_assigned", sql(*health_ctes(2), "SELECT CustomerID, TimePeriod, round(TotalGrowth, 6) AS TotalGrowth, "
@@ -61,10 +62,17 @@ for _v in (1, 2, 3):
 _FOUT = ["CustomerID", *FEATS, "Status", "CustomerType", "CompanySize", "TotalSpend", *USAGE, "RedFlag"]
 _FOUT_D = FEAT_DOUBLES + ["TotalSpend"] + USAGE
 
+
+
+def _feature_table(f):
+    products = cu.products_of(f)
+    return round_doubles(f.select("CustomerID", *cu.feature_cols(products), "Status", "CustomerType", "CompanySize",
+                                  "TotalSpend", *map(cu.usage_col, products), "RedFlag"), 6, {"TotalSpend": 2})
+
+
 for _v in (1, 2):
     register(f"j4_features_v{_v}", sql(*feature_ctes(_v), f"SELECT {sql_select(_FOUT, _FOUT_D, 6, {'TotalSpend': 2})} FROM features"))(
-        (lambda v: lambda spark, sf_dir: round_doubles(cu.customer_features(spark, sf_dir, v).select(*_FOUT), 6,
-                                                       {"TotalSpend": 2}))(_v))
+        (lambda v: lambda spark, sf_dir: _feature_table(cu.customer_features(spark, sf_dir, v)))(_v))
 
 for _lv, _fv in ((1, 1), (2, 2), (3, 3)):
     register(f"j5_label_v{_lv}", sql(*feature_ctes(_fv, _lv), "SELECT CustomerID, RedFlag FROM features"))(
@@ -73,16 +81,19 @@ for _lv, _fv in ((1, 1), (2, 2), (3, 3)):
 
 # ---------------------------------------------------------------- J6–J7 split and scaling
 
-_HASH = "((CustomerID * 2654435761 + {k}) % 4294967296) / 4294967296.0"
+def _hash(seed: int = 42) -> str:
+    x = f"((((CustomerID % 2147483647) + 2147483647) % 2147483647) * 2654435761 + {seed * 40503 + 12345}) % 4294967296"
+    y = f"(xor(CAST({x} AS BIGINT), CAST({x} AS BIGINT) >> 15) * 1103515245 + 12345) % 4294967296"
+    return f"xor(CAST({y} AS BIGINT), CAST({y} AS BIGINT) >> 13) / 4294967296.0"
 
 
-@register("j6_split", sql(*feature_ctes(3), f"SELECT CustomerID, RedFlag, {_HASH.format(k=42 * 40503 + 12345)} < 0.8 AS is_train FROM features"))
+@register("j6_split", sql(*feature_ctes(3), f"SELECT CustomerID, RedFlag, {_hash()} < 0.8 AS is_train FROM features"))
 def j6_split(spark, sf_dir):
     f = cu.customer_features(spark, sf_dir, 3)
     return cu.split(f, "CustomerID", 0.8, 42).select("CustomerID", "RedFlag", "is_train")
 
 
-@register("j6_split_stratified", sql(*feature_ctes(3), f"h AS (SELECT CustomerID, RedFlag, {_HASH.format(k=42 * 40503 + 12345)} AS u FROM features)",
+@register("j6_split_stratified", sql(*feature_ctes(3), f"h AS (SELECT CustomerID, RedFlag, {_hash()} AS u FROM features)",
                                       "t AS (SELECT RedFlag, quantile_cont(u, 0.8) AS thr FROM h GROUP BY 1)",
                                       "SELECT h.CustomerID, h.RedFlag, h.u <= t.thr AS is_train FROM h JOIN t ON h.RedFlag = t.RedFlag"))
 def j6_split_stratified(spark, sf_dir):
@@ -95,7 +106,7 @@ _SCALE = ["OverallGrowthTrend", "ProductDiversity", "ProductDiversityTrend"]
 
 
 @register("j7_standard_scaling", sql(
-    *feature_ctes(3), f"sp AS (SELECT *, {_HASH.format(k=42 * 40503 + 12345)} < 0.8 AS is_train FROM features)",
+    *feature_ctes(3), f"sp AS (SELECT *, {_hash()} < 0.8 AS is_train FROM features)",
     "st AS (SELECT " + ", ".join(f"avg({c}) FILTER (WHERE is_train) AS m_{c}, stddev_pop({c}) FILTER (WHERE is_train) AS s_{c}"
                                  for c in _SCALE) + " FROM sp)",
     "SELECT CustomerID, is_train, " + ", ".join(
@@ -204,8 +215,9 @@ def j16_shift_counts(spark, sf_dir):
                                       "SELECT TimePeriod, " + ", ".join(f"count(*) FILTER (WHERE Product = '{p}') AS {p}" for p in P)
                                       + " FROM sh GROUP BY 1"))
 def j16_shift_heat_table(spark, sf_dir):
-    sh = cu.workload_shifts(cu.customer_panel(spark, sf_dir))
-    return rel.pivot_counts(sh, "TimePeriod", "Product", P)
+    panel = cu.customer_panel(spark, sf_dir)
+    sh = cu.workload_shifts(panel)
+    return rel.pivot_counts(sh, "TimePeriod", "Product", cu.products_of(panel))
 
 
 @register("d7_argmax_shift_product", sql(*panel_ctes(), _LONG, _SHIFTS,
@@ -230,7 +242,7 @@ def j17_product_flow(spark, sf_dir):
                                          + " FROM cpanel GROUP BY 1"))
 def j18_avg_usage_by_period(spark, sf_dir):
     p = cu.customer_panel(spark, sf_dir)
-    return round_doubles(p.groupBy("TimePeriod").agg(*[F.avg(u).alias(u) for u in USAGE]))
+    return round_doubles(p.groupBy("TimePeriod").agg(*[F.avg(u).alias(u) for u in map(cu.usage_col, cu.products_of(p))]))
 
 
 _UT = [f"{p}_UsageTrend" for p in P]
@@ -242,8 +254,9 @@ _UT = [f"{p}_UsageTrend" for p in P]
     + " INTO NAME Product VALUE AverageUsage)"))
 def j18_usage_trend_by_redflag(spark, sf_dir):
     f = cu.customer_features(spark, sf_dir, 1, 3)
-    a = f.groupBy("RedFlag").agg(*[F.avg(c).alias(c) for c in _UT])
-    return round_doubles(a.unpivot(["RedFlag"], _UT, "Product", "AverageUsage"))
+    trends = [f"{x}_UsageTrend" for x in cu.products_of(f)]
+    a = f.groupBy("RedFlag").agg(*[F.avg(c).alias(c) for c in trends])
+    return round_doubles(a.unpivot(["RedFlag"], trends, "Product", "AverageUsage"))
 
 
 @register("j19_health_overview", sql(*feature_ctes(1), "SELECT Status, count(*) AS customers FROM features GROUP BY 1"))
@@ -343,7 +356,7 @@ def d9_distinct_products(spark, sf_dir):
                        for a in USAGE for b in USAGE)))
 def d11_usage_correlation(spark, sf_dir):
     f = cu.customer_features(spark, sf_dir, 1, 3).filter("RedFlag = 1")
-    return round_doubles(rel.correlation_matrix(f, USAGE))
+    return round_doubles(rel.correlation_matrix(f, list(map(cu.usage_col, cu.products_of(f)))))
 
 
 _D13 = ["OverallGrowthTrend", "ProductDiversityTrend", "TotalSpend"]

@@ -94,7 +94,7 @@ def _classifier(spark, sf_dir):
     # one row per customer, reused by the scaler fit, the class quantiles, the forest fit and the scoring:
     # materialise it once (reliable checkpoint in the shared folder) instead of re-running the joins per action
     f = cut_lineage(cu.split(cu.customer_features(spark, sf_dir, 1, 3), "CustomerID", 0.8, 42, stratify="RedFlag"))
-    cols = cu.feature_cols()
+    cols = cu.feature_cols(cu.products_of(f))
     f = rel.standard_scale(f, cols, fit_filter=F.col("is_train")).fillna(0.0, subset=cols)  # undefined trends → 0
     m = ml.fit_classifier(f.filter("is_train"), cols, "RedFlag", balanced=True, trees=100)
     pred = m.transform(f.filter(~F.col("is_train"))).select("CustomerID", F.col("RedFlag").alias("label"),

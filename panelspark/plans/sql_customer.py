@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from panelspark.operators.customer import (ACCTBAL_THIRDS, N_PERIODS, PRODUCTS, RISK_BINS, SEGMENT_TYPE,
-                                           START_YEAR)
-
-P = PRODUCTS
+#: The part types of the test tables, and the definitions of types and risk labels, stated here for the oracle alone.
+P = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+SEGMENTS = {"FURNITURE": "Stable", "AUTOMOBILE": "Stable", "BUILDING": "Growing", "MACHINERY": "Declining",
+            "HOUSEHOLD": "Shifting"}
+RISKS = [(-0.2, "Very High"), (-0.1, "High"), (0.0, "Medium"), (0.1, "Low"), (None, "Very Low")]
 CW = "(PARTITION BY CustomerID ORDER BY TimePeriod)"
 
 
 def panel_ctes() -> list[str]:
     usage = ", ".join(f"SUM(CASE WHEN p_type = '{p}' THEN l_quantity END) AS {p}_Usage" for p in P)
-    seg = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEGMENT_TYPE.items())
-    per = f"CAST(year(o_orderdate) - {START_YEAR} AS INTEGER)"
-    rng = f"{per} BETWEEN 0 AND {N_PERIODS - 1}"
+    seg = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEGMENTS.items())
+    per = "CAST(year(o_orderdate) - (SELECT min(year(o_orderdate)) FROM orders) AS INTEGER)"
+    lo, third = "(SELECT min(c_acctbal) FROM customer)", "((SELECT max(c_acctbal) - min(c_acctbal) FROM customer) / 3.0)"
     return [
         f"cp_u AS (SELECT o_custkey AS CustomerID, {per} AS TimePeriod, {usage} FROM lineitem "
-        f"JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE {rng} GROUP BY 1, 2)",
+        f"JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)",
         f"cp_s AS (SELECT o_custkey AS CustomerID, {per} AS TimePeriod, SUM(o_totalprice) AS TotalSpend "
-        f"FROM orders WHERE {rng} GROUP BY 1, 2)",
-        f"cp_sp AS (SELECT c_custkey AS CustomerID, c_name AS CompanyName, CASE WHEN c_acctbal < {ACCTBAL_THIRDS[0]} "
-        f"THEN 'Small' WHEN c_acctbal < {ACCTBAL_THIRDS[1]} THEN 'Medium' ELSE 'Large' END AS CompanySize, "
-        f"CASE c_mktsegment {seg} END AS CustomerType, CAST(UNNEST(range(0, {N_PERIODS})) AS INTEGER) AS TimePeriod "
-        f"FROM customer)",
+        f"FROM orders GROUP BY 1, 2)",
+        "cp_n AS (SELECT CAST(max(year(o_orderdate)) - min(year(o_orderdate)) + 1 AS INTEGER) AS n FROM orders)",
+        f"cp_sp AS (SELECT c_custkey AS CustomerID, c_name AS CompanyName, CASE WHEN c_acctbal < {lo} + {third} "
+        f"THEN 'Small' WHEN c_acctbal < {lo} + 2.0 * {third} THEN 'Medium' ELSE 'Large' END AS CompanySize, "
+        f"COALESCE(CASE c_mktsegment {seg} END, 'Stable') AS CustomerType, "
+        f"CAST(UNNEST(range(0, (SELECT n FROM cp_n))) AS INTEGER) AS TimePeriod FROM customer)",
         "cpanel AS (SELECT sp.*, COALESCE(s.TotalSpend, 0.0) AS TotalSpend, "
         + ", ".join(f"COALESCE(u.{p}_Usage, 0.0) AS {p}_Usage" for p in P)
         + " FROM cp_sp sp LEFT JOIN cp_s s ON sp.CustomerID = s.CustomerID AND sp.TimePeriod = s.TimePeriod "
@@ -37,9 +39,9 @@ def health_ctes(variant: int = 1) -> list[str]:
                       for p in P)
     total = " + ".join(f"{p}_Growth" for p in P)
     if variant == 2:
-        ncur = " + ".join(f"CASE WHEN sum({p}_Usage) OVER (PARTITION BY CustomerID) > 0 THEN 1 ELSE 0 END" for p in P)
+        ncur = " + ".join(f"CASE WHEN sum({p}_Usage) OVER {CW} > 0 THEN 1 ELSE 0 END" for p in P)
         assigned = "list_filter([" + ", ".join(
-            f"CASE WHEN sum({p}_Usage) OVER (PARTITION BY CustomerID) > 0 THEN '{p}' END" for p in P) + "], lambda x: x IS NOT NULL)"
+            f"CASE WHEN sum({p}_Usage) OVER {CW} > 0 THEN '{p}' END" for p in P) + "], lambda x: x IS NOT NULL)"
         c0 = f"h0 AS (SELECT *, {lags}, {ncur} AS ncur, {assigned} AS AssignedProducts FROM cpanel)"
         tg = f"CASE WHEN ncur > 0 THEN ({total}) / ncur ELSE 0.0 END"
     else:
@@ -105,7 +107,7 @@ def feature_ctes(variant: int = 1, label_variant: int | None = None) -> list[str
 
 def risk_case(col: str = "OverallGrowthTrend") -> str:
     parts = [f"WHEN {col} <= {e} THEN '{lab}'" if e is not None else f"WHEN {col} IS NOT NULL THEN '{lab}'"
-             for e, lab in RISK_BINS]
+             for e, lab in RISKS]
     return "CASE " + " ".join(parts) + " END"
 
 

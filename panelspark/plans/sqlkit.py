@@ -5,9 +5,6 @@ This is the *reference* answer for the correctness check, written independently
 
 from __future__ import annotations
 
-from panelspark.sources.panels import ORDERS_END
-
-
 def _panel(name: str, raw_select: str, step: str | None, monthly: bool = False) -> str:
     raw, b = f"{name}__raw", f"{name}__b"
     if monthly:
@@ -36,8 +33,7 @@ PANEL_CTES = {
     "orders_monthly": _panel(
         "orders_monthly",
         "SELECT c_mktsegment AS unique_id, CAST(last_day(o_orderdate) AS TIMESTAMP) AS ds, SUM(o_totalprice) AS y "
-        f"FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < TIMESTAMP '{ORDERS_END}' "
-        "GROUP BY 1, 2", None, monthly=True),
+        "FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2", None, monthly=True),
     "ship_daily": _panel(
         "ship_daily",
         "SELECT l_returnflag AS unique_id, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS ds, SUM(l_quantity) AS y "

@@ -23,7 +23,8 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for t in ("region nation customer supplier part orders lineitem events").split():
+    for t in ("region nation customer supplier part orders lineitem events "
+              "documents embeddings pages benchmark labels conversations").split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     return con
 
