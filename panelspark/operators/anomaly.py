@@ -88,14 +88,17 @@ def _c(n: float) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
-def _grow_tree_deltas(pdf, sample: int, max_depth: int, seed: int):
+def _grow_tree_deltas(pdf, sample: int, seed: int):
     """One isolation tree on the sampled values of a (series, tree) group, returned as its step function:
     the path length left of every split point (``base``) and the jump at each breakpoint (``delta``)."""
+    import math
+    import zlib
+
     import numpy as np
     import pandas as pd
-    import zlib
 
     uid, tree = pdf["unique_id"].iat[0], int(pdf["tree"].iat[0])
+    max_depth = int(math.ceil(math.log2(max(min(sample, int(pdf["n"].iat[0])), 2))))
     rng = np.random.default_rng([seed, tree, zlib.crc32(str(uid).encode())])
     vals = np.sort(pdf["y"].to_numpy(dtype=float))
     segs = []  # (lo_exclusive_left_bound, path) in ascending order of the interval
@@ -116,44 +119,71 @@ def _grow_tree_deltas(pdf, sample: int, max_depth: int, seed: int):
     return pd.DataFrame(rows, columns=["unique_id", "tree", "b", "delta"])
 
 
+#: Equal parts of a series' value range by which rows meet the steps of its forest.
+SCORE_BUCKETS = 1024
+
+
+def forest_steps(panel: DataFrame, n_trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """The trees of G3 as steps ``(unique_id, tree, b, delta)``: the path length at y sums the deltas with b ≤ y.
+
+    A tree sees about ``sample`` rows of its series (the algorithm's own sample), or all of them if there are fewer.
+    The trees that take a row are drawn from hashes of (row, tree) before anything is copied."""
+    size = panel.groupBy("unique_id").agg(F.count("*").alias("n"))
+    d = panel.select("unique_id", "ds", "y").where(F.col("y").isNotNull()).join(size, "unique_id")
+    odds = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n")) * 1000003.0
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                     lambda t: F.pmod(F.xxhash64(F.col("unique_id"), F.col("ds"), t, F.lit(seed)), F.lit(1000003)) < odds)
+    sampled = d.select("unique_id", "y", "n", F.explode(drawn).alias("tree"))
+    return sampled.groupBy("unique_id", "tree").applyInPandas(
+        lambda p: _grow_tree_deltas(p, sample, seed), "unique_id string, tree int, b double, delta double")
+
+
 def isolation_forest(panel: DataFrame, n_trees: int = 100, sample: int = 256, contamination: float = 0.01,
                      seed: int = 42, col: str = "y") -> DataFrame:
-    """Per-series isolation forest on ``y``; ``iso_score`` = 2^(−E[h]/c(sample)); ``iso_forest_anomaly`` when the
-    score exceeds the series' (1−contamination) quantile.
-
-    Each tree sees a seeded Bernoulli sample of ≈``sample`` rows (a hash per (row, tree): no row is copied beyond
-    its sampled trees), trees grow in parallel (one small ``applyInPandas`` group per (series, tree)), and a 1-D tree
-    is a step function of y: the forest's mean depth at y is a running sum of per-breakpoint jumps.  Scoring is a
-    union of rows and breakpoints plus one cumulative window per series."""
-    import math
+    """Per-series isolation forest on ``y``; ``iso_score`` = 2^(−E[h]/c(min(sample, n))); ``iso_forest_anomaly``
+    when the score exceeds the series' (1−contamination) quantile.
 
+    Trees grow in parallel (one small ``applyInPandas`` group per (series, tree)), and a 1-D tree is a step function of
+    y.  The steps of a series (bounded by trees × sample) are gathered by equal parts of its value range, each part with
+    the path length at its start; a row joins its part, and adds the steps up to its value.  Parts depend on the values
+    alone, so scores don't depend on the partitioning, and a long series is spread over its parts."""
     check_panel(panel)
-    max_depth = int(math.ceil(math.log2(max(sample, 2))))
     d = panel.select("unique_id", "ds", F.col(col).alias("y"))
-    d = d.withColumn("__n", F.count("*").over(_by_series()))
-    frac = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("__n"))
-    trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
-    u = (F.xxhash64(F.col("unique_id"), F.col("ds"), F.col("tree"), F.lit(seed)) % 1000003).cast("double") / 1000003.0
-    sampled = d.select("unique_id", "ds", "y", frac.alias("__f"), trees).filter(F.abs(u) < F.col("__f"))
-    steps = sampled.select("unique_id", "tree", "y").groupBy("unique_id", "tree").applyInPandas(
-        lambda p: _grow_tree_deltas(p, sample, max_depth, seed), "unique_id string, tree int, b double, delta double")
-    ev = steps.groupBy("unique_id", "b").agg(F.sum("delta").alias("delta"))  # forests share breakpoints rarely
-    ev = ev.select("unique_id", F.col("b").alias("v"), F.lit(0).alias("__kind"), "delta",
-                   F.lit(None).cast("timestamp_ntz").alias("ds"))
-    rows = d.select("unique_id", F.col("y").alias("v"), F.lit(1).alias("__kind"), F.lit(0.0).alias("delta"), "ds")
-    # cumulative sum of jumps in value order, without a whole-series window: range-partition on (series, value),
-    # prefix offsets from per-(series, partition) sums (a tiny table), running sums inside each partition
-    u = ev.unionByName(rows).repartitionByRange("unique_id", "v", "__kind").withColumn("__pid", F.spark_partition_id())
-    ps = u.groupBy("unique_id", "__pid").agg(F.sum("delta").alias("__ps"))
-    wo = Window.partitionBy("unique_id").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = ps.select("unique_id", "__pid", F.coalesce(F.sum("__ps").over(wo), F.lit(0.0)).alias("__off"))
-    wi = Window.partitionBy("unique_id", "__pid").orderBy("v", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    u2 = u.join(off, ["unique_id", "__pid"]).withColumn("__depth", (F.col("__off") + F.sum("delta").over(wi)) / n_trees) \
-          .filter(F.col("__kind") == 1)
-    score = F.pow(F.lit(2.0), -F.col("__depth") / F.lit(_c(sample)))
-    s = u2.select("unique_id", "ds", score.alias("iso_score"))
-    cut = s.groupBy("unique_id").agg(F.percentile("iso_score", F.lit(1 - contamination)).alias("__cut"))
-    s = s.join(cut, "unique_id").withColumn("iso_forest_anomaly", F.col("iso_score") > F.col("__cut")).drop("__cut")
+    size = d.groupBy("unique_id").agg(F.count("*").alias("__n"), F.min("y").alias("__lo"), F.max("y").alias("__hi"))
+
+    def bucket(value):
+        at = F.try_divide(value - F.col("__lo"), F.col("__hi") - F.col("__lo")) * SCORE_BUCKETS
+        return F.greatest(F.least(F.coalesce(F.floor(at), F.lit(0)), F.lit(SCORE_BUCKETS - 1)), F.lit(0)).cast("int")
+
+    steps = forest_steps(d, n_trees, sample, seed).join(size, "unique_id")
+    first = F.col("b") == float("-inf")
+    steps = steps.select("unique_id", "b", "delta", F.when(first, -1).otherwise(bucket(F.col("b"))).alias("__b"))
+    held = steps.groupBy("unique_id", "__b").agg(
+        F.sum("delta").alias("__sum"), F.collect_list(F.struct("b", "delta")).alias("__steps"))
+    # the path length where each part begins: parts without steps of their own take the last one before
+    upto = Window.partitionBy("unique_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("unique_id").orderBy("__b")
+    held = held.withColumns({"__start": F.coalesce(F.sum("__sum").over(upto), F.lit(0.0)),
+                             "__next": F.coalesce(F.lead("__b").over(ahead), F.lit(SCORE_BUCKETS))})
+    parts = held.select("unique_id", "__b", F.explode(F.sequence(F.col("__b"), F.col("__next") - 1)).alias("__part"),
+                        "__start", "__sum", "__steps")
+    own = F.col("__part") == F.col("__b")
+    parts = parts.select("unique_id", "__part", F.when(own, F.col("__start")).otherwise(
+        F.col("__start") + F.col("__sum")).alias("__start"),
+        F.when(own, F.col("__steps")).otherwise(F.array().cast("array<struct<b:double,delta:double>>")).alias("__steps"))
+    rows = d.join(size, "unique_id").withColumn("__part", bucket(F.col("y")))
+    depth = F.col("__start") + F.aggregate("__steps", F.lit(0.0), lambda acc, s: acc + F.when(
+        s["b"] <= F.col("y"), s["delta"]).otherwise(0.0))
+    m = F.least(F.col("__n"), F.lit(sample)).cast("double")
+    norm = F.when(m <= 1, F.lit(0.0)).when(m == 2, F.lit(1.0)).otherwise(
+        2.0 * (F.log(m - 1) + 0.5772156649015329) - 2.0 * (m - 1) / m)
+    s = rows.join(parts, ["unique_id", "__part"]).select(
+        "unique_id", "ds", F.pow(F.lit(2.0), -F.try_divide(depth / n_trees, norm)).alias("iso_score"))
+    from panelspark.operators.relational import exact_percentiles
+
+    cut = exact_percentiles(s, ["unique_id"], "iso_score", [1 - contamination], ["__cut"])
+    s = s.join(cut, "unique_id", "left").withColumn("iso_forest_anomaly", F.coalesce(
+        F.col("iso_score") > F.col("__cut"), F.lit(False))).drop("__cut")
     return panel.join(s, ["unique_id", "ds"], "left")
 
 

@@ -100,39 +100,50 @@ def describe(df: DataFrame, cols) -> DataFrame:
     return mom.join(q, "col", "left").select("col", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
-def exact_quantile(col: str, q: float) -> Column:
-    """Exact interpolated quantile as an aggregate Column — for groups of *bounded* size only (the aggregation
-    buffer holds every distinct value of a group).  For unbounded groups use ``exact_percentiles``."""
-    return F.percentile(F.col(col), F.lit(q))
-
-
-def exact_percentiles(df: DataFrame, keys, col: str, probs, names=None) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys, col: str, probs, names=None, buckets: int = 1024,
+                      levels: int = 2) -> DataFrame:
     """Exact interpolated percentiles (rank ``h = p·(n−1)``, linear between neighbours — DuckDB
     ``quantile_cont``) per key, without holding a group in one task.
 
-    Rows are range-partitioned on ``(keys…, value)``, so a hot key spans many partitions; counts per (key, partition)
-    give each partition's rank offset (a table of #keys×#partitions rows); ``row_number`` inside (key, partition)
-    completes the global rank; only the ≤ 2·len(probs) rows per key at the needed ranks survive to the interpolation."""
+    Equal values are counted first (partial aggregates: ties never travel as rows).  A key's value range is cut into
+    ``buckets`` equal parts; the counts by part and their prefix sums tell which parts hold a wanted rank, and only those
+    go on, to be cut again (``levels``) and ranked at last.  Parts depend on the values alone, so the answer is the same
+    however the input is partitioned, cached or recomputed."""
     keys = list(keys)
     names = names or [f"p{int(round(p * 100)):02d}" if abs(p * 100 - round(p * 100)) < 1e-9 else f"p{p}" for p in probs]
     d = df.select(*keys, F.col(col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    r = d.repartitionByRange(*keys, "__v").withColumn("__pid", F.spark_partition_id())
-    pc = r.groupBy(*keys, "__pid").agg(F.count("*").alias("__c"))
-    wk = Window.partitionBy(*keys).orderBy("__pid")
-    off = pc.select(*keys, "__pid", F.coalesce(F.sum("__c").over(wk.rowsBetween(Window.unboundedPreceding, -1)),
-                                               F.lit(0)).alias("__off"), F.sum("__c").over(Window.partitionBy(*keys)).alias("__n"))
-    rk = r.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__pid").orderBy("__v")) - 1)
-    rk = rk.join(off, [*keys, "__pid"]).withColumn("__rank", F.col("__off") + F.col("__r"))
+    left = d.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+    size = left.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     tgt = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    need = rk.select(*keys, "__v", "__rank", "__n", F.explode(tgt).alias("__t"))
+    want = size.select(*keys, F.explode(tgt).alias("__t"), "__n")
     h = F.col("__t.p") * (F.col("__n") - 1)
-    need = need.filter((F.col("__rank") == F.floor(h)) | (F.col("__rank") == F.ceil(h)))
-    picked = need.groupBy(*keys, F.col("__t.i").alias("__i"), F.col("__t.p").alias("__p"), "__n").agg(
-        F.min_by("__v", "__rank").alias("__lo"), F.max_by("__v", "__rank").alias("__hi"))
-    hh = F.col("__p") * (F.col("__n") - 1)
-    val = F.col("__lo") + (hh - F.floor(hh)) * (F.col("__hi") - F.col("__lo"))
-    out = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, val)).alias(nm) for i, nm in enumerate(names)])
-    return out
+    want = want.select(*keys, F.col("__t.i").alias("__i"), (h - F.floor(h)).alias("__frac"),
+                       F.explode(F.array(F.struct(F.lit(0).alias("s"), F.floor(h).alias("r")),
+                                         F.struct(F.lit(1).alias("s"), F.ceil(h).alias("r")))).alias("__w"))
+    want = want.select(*keys, "__i", "__frac", F.col("__w.s").alias("__side"), F.col("__w.r").alias("__rank"))
+    part = list(keys)
+    for level in range(levels):
+        b = f"__b{level}"
+        span = left.groupBy(*part).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        at = F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * buckets
+        left = left.join(span, part).withColumn(b, F.least(F.coalesce(F.floor(at), F.lit(0)), F.lit(buckets - 1))
+                                                .cast("int")).drop("__lo", "__hi")
+        counts = left.groupBy(*part, b).agg(F.sum("__c").alias("__m"))
+        upto = Window.partitionBy(*part).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("__before", F.coalesce(F.sum("__m").over(upto), F.lit(0)))
+        want = (want.join(counts, part).where((F.col("__rank") >= F.col("__before"))
+                                              & (F.col("__rank") < F.col("__before") + F.col("__m")))
+                .withColumn("__rank", F.col("__rank") - F.col("__before")).drop("__before", "__m"))
+        part = [*part, b]
+        left = left.join(want.select(*part).distinct(), part, "left_semi")
+    before = Window.partitionBy(*part).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = left.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    found = want.join(ranked, part).where((F.col("__rank") >= F.col("__before"))
+                                          & (F.col("__rank") < F.col("__before") + F.col("__c")))
+    pair = found.groupBy(*keys, "__i", "__frac").agg(F.max(F.when(F.col("__side") == 0, F.col("__v"))).alias("__a"),
+                                                     F.max(F.when(F.col("__side") == 1, F.col("__v"))).alias("__z"))
+    val = F.col("__a") + F.col("__frac") * (F.col("__z") - F.col("__a"))
+    return pair.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, val)).alias(nm) for i, nm in enumerate(names)])
 
 
 def kpi_row(f: DataFrame) -> DataFrame:
@@ -200,11 +211,6 @@ def standard_scale(df: DataFrame, cols, fit_filter: Column | None = None, suffix
     return df.withColumns(out)
 
 
-def mean_over(col: str, key: str) -> Column:
-    """Group mean broadcast to every row of the group."""
-    return F.avg(col).over(Window.partitionBy(key))
-
-
 def random_distinct(df: DataFrame, col: str, k: int, seed: int = 42) -> DataFrame:
     """K distinct values drawn without replacement (seeded hash order), returned sorted; error when k exceeds the
     number of distinct values.  The ``limit`` is the sampling feature itself."""
