@@ -66,10 +66,11 @@ def ols(A: np.ndarray, b: np.ndarray, yy: float, n: int, ridge: float = 0.0, pen
     return beta, ssr, s2, se
 
 
-def elastic_net(A: np.ndarray, b: np.ndarray, n: int, alpha: float, l1_ratio: float = 1.0, iters: int = 500,
-                tol: float = 1e-10, intercept_first: bool = True) -> np.ndarray:
+def elastic_net(A: np.ndarray, b: np.ndarray, n: int, alpha: float, l1_ratio: float = 1.0, iters: int = 5000,
+                tol: float = 1e-10, intercept_first: bool = True) -> tuple[np.ndarray, bool]:
     """Coordinate descent on the Gram (covariance updates) for ``1/(2n)‖y−Xβ‖² + α(ρ‖β‖₁ + (1−ρ)/2‖β‖²)``.
-    Column 0 is an unpenalised intercept when ``intercept_first``."""
+    Column 0 is an unpenalised intercept when ``intercept_first``.  Returns the coefficients and whether they converged
+    (no coefficient moved by ``tol`` relative to the largest) within ``iters`` sweeps."""
     p = len(b)
     beta = np.zeros(p)
     l1, l2 = alpha * l1_ratio * n, alpha * (1 - l1_ratio) * n
@@ -85,9 +86,9 @@ def elastic_net(A: np.ndarray, b: np.ndarray, n: int, alpha: float, l1_ratio: fl
                 new = np.sign(r) * max(abs(r) - l1, 0.0) / (A[j, j] + l2)
             delta = max(delta, abs(new - beta[j]))
             beta[j] = new
-        if delta < tol:
-            break
-    return beta
+        if delta <= tol * max(1.0, float(np.abs(beta).max())):
+            return beta, True
+    return beta, False
 
 
 def gaussian_ll(ssr: float, n: int) -> float:

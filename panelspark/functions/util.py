@@ -14,7 +14,11 @@ def rnd(c, digits: int = 6) -> Column:
     is one), where two engines' last-bit summation differences would otherwise round apart."""
     c = F.col(c) if isinstance(c, str) else c
     s = float(10 ** digits)
-    return (F.floor(c.cast("double") * F.lit(s) + F.lit(0.5001)).cast("double") / F.lit(s))
+    t = c.cast("double") * F.lit(s) + F.lit(0.5001)
+    # beyond 2**52 a double has no fraction left to cut (and ``floor`` would leave the range of bigint); NaN and the
+    # infinities pass through
+    whole = F.when(F.isnan(t) | (F.abs(t) >= F.lit(float(1 << 52))), t).otherwise(F.floor(t).cast("double"))
+    return F.when(c.isNotNull(), whole / F.lit(s))
 
 
 def round_doubles(df: DataFrame, digits: int = 6, overrides: dict | None = None) -> DataFrame:

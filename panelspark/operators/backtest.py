@@ -34,8 +34,8 @@ def seasonal_one_step_band(panel: DataFrame, season_length: int, q: float = 0.9,
 
 def signals(df: DataFrame, warmup: int = 11, price: str = "y") -> DataFrame:
     """BUY if price < lower and next forecast > price; SELL if price > upper and next forecast < price; else HOLD.
-    The first ``warmup`` rows of each series always HOLD."""
-    pos = F.col("__pos") if "__pos" in df.columns else F.row_number().over(_W())
+    The first ``warmup`` rows of each session (series and calendar day, as the position fold replays it) always HOLD."""
+    pos = F.row_number().over(Window.partitionBy("unique_id", F.to_date("ds")).orderBy("ds"))
     p = F.col(price)
     sig = (F.when(pos <= warmup, "HOLD")
             .when((p < F.col("lower")) & (F.col("next_pred") > p), "BUY")

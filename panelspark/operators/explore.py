@@ -111,15 +111,16 @@ def acf(panel: DataFrame, max_lag: int = 100, nlags=None, col: str = "y", chunk_
     return out.filter(F.col("lag") <= kmax).select("unique_id", F.col("lag").cast("int").alias("lag"), "acf")
 
 
-def acf_peaks(acf_long: DataFrame, height: float = 0.1, top: int = 3) -> DataFrame:
+def acf_peaks(acf_long: DataFrame, height: float = 0.1, top: int | None = 3) -> DataFrame:
     """strict local maxima of the ACF over lags ≥ 1 with value ≥ ``height`` (the first and last lag are never
-    peaks), strongest first (ties: larger lag first), ``top`` per series."""
+    peaks), strongest first (ties: larger lag first), ``top`` per series (``None``: all)."""
     w = Window.partitionBy("unique_id").orderBy("lag")
     a = acf_long.filter(F.col("lag") >= 1)
     a = a.withColumns({"__prev": F.lag("acf").over(w), "__next": F.lead("acf").over(w)})
     p = a.filter((F.col("acf") > F.col("__prev")) & (F.col("acf") > F.col("__next")) & (F.col("acf") >= height))
     r = Window.partitionBy("unique_id").orderBy(F.desc("acf"), F.desc("lag"))
-    return p.withColumn("rank", F.row_number().over(r)).filter(F.col("rank") <= top).select("unique_id", "rank", "lag", "acf")
+    p = p.withColumn("rank", F.row_number().over(r)).select("unique_id", "rank", "lag", "acf")
+    return p if top is None else p.filter(F.col("rank") <= top)
 
 
 # fixed values: named seasonal lags per frequency
@@ -147,17 +148,27 @@ def named_seasonalities(acf_long: DataFrame, freq: str, threshold: float = 0.1)
 def infer_frequency(panel: DataFrame) -> DataFrame:
     """F20 per series: constant daily step → D; constant 1/3/12-month step on month ends (or starts) → M/Q/Y; any
     other constant step → Unknown; else the median gap in whole days: 1→D, 28–31→M, 90–92→Q, 365–366→Y."""
-    w = _W()
-    prev = F.lag("ds").over(w)
-    mi = F.year("ds") * 12 + F.month("ds")
-    d = panel.select("unique_id", "ds",
-                     (epoch_seconds("ds") - epoch_seconds(prev)).alias("__gap"),
-                     (mi - F.lag(mi).over(w)).alias("__mg"),
-                     (F.to_date("ds") == F.last_day("ds")).alias("__me"),
-                     ((F.dayofmonth("ds") == 1) & (F.to_date("ds").cast("timestamp_ntz") == F.col("ds"))).alias("__ms"))
-    a = d.groupBy("unique_id").agg(F.min("__gap").alias("g0"), F.max("__gap").alias("g1"), F.min("__mg").alias("m0"),
-                                   F.max("__mg").alias("m1"), F.min(F.col("__me").cast("int")).alias("me"),
-                                   F.min(F.col("__ms").cast("int")).alias("ms"))
+    # gaps inside each calendar day by a window over (series, day), gaps between days from per-day first and last
+    # stamps: no window holds a whole series of raw rows
+    d = panel.select("unique_id", F.to_date("ds").alias("__day"), epoch_seconds("ds").alias("__s"),
+                     (F.year("ds") * 12 + F.month("ds")).alias("__m"),
+                     (F.to_date("ds") == F.last_day("ds")).cast("int").alias("__me"),
+                     ((F.dayofmonth("ds") == 1) & (F.to_date("ds").cast("timestamp_ntz") == F.col("ds"))).cast("int")
+                     .alias("__ms"))
+    inside = Window.partitionBy("unique_id", "__day").orderBy("__s")
+    within = d.select("unique_id", (F.col("__s") - F.lag("__s").over(inside)).alias("__gap"),
+                      F.lit(0).alias("__mg"))
+    days = d.groupBy("unique_id", "__day").agg(F.min("__s").alias("__a"), F.max("__s").alias("__z"),
+                                               F.first("__m").alias("__m"), F.min("__me").alias("__me"),
+                                               F.min("__ms").alias("__ms"))
+    by_day = Window.partitionBy("unique_id").orderBy("__day")
+    between = days.select("unique_id", (F.col("__a") - F.lag("__z").over(by_day)).alias("__gap"),
+                          (F.col("__m") - F.lag("__m").over(by_day)).alias("__mg"))
+    flags = days.groupBy("unique_id").agg(F.min("__me").alias("me"), F.min("__ms").alias("ms"))
+    d = within.unionByName(between).where(F.col("__gap").isNotNull())
+    a = flags.join(d.groupBy("unique_id").agg(
+        F.min("__gap").alias("g0"), F.max("__gap").alias("g1"), F.min("__mg").alias("m0"), F.max("__mg").alias("m1")),
+        "unique_id", "left")
     from panelspark.operators.relational import exact_percentiles
 
     a = a.join(exact_percentiles(d, ["unique_id"], "__gap", [0.5], ["med"]), "unique_id", "left")
@@ -234,7 +245,7 @@ def auto_differences(panel: DataFrame, max_season_length: int = 12, max_diffs: i
     from panelspark.operators.windows import difference
 
     a = acf(panel, nlags=max_season_length + 1)
-    pk = acf_peaks(a.filter(F.col("lag") <= max_season_length + 1), 0.1, 10_000).filter(F.col("lag") >= 2)
+    pk = acf_peaks(a.filter(F.col("lag") <= max_season_length + 1), 0.1, None).filter(F.col("lag") >= 2)
     period = pk.groupBy("unique_id").agg(F.max_by("lag", F.struct("acf", "lag")).alias("season_length"))
     per = panel.select("unique_id").distinct().join(period, "unique_id", "left")
     periods = [r[0] for r in period.select("season_length").distinct().collect()]  # ≤ max_season_length values

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import random
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -21,6 +23,9 @@ from panelspark.operators import windows as wn
 from panelspark.session import cut_lineage
 from panelspark.sources.panels import future_frame, tail_rows
 
+#: What a fit that its data or parameters do not allow raises; other errors are not caught.
+FIT_ERRORS = (PySparkException, Py4JJavaError)
+
 DEFAULT_LAGS = (1, 2, 3, 4, 5, 15, 30, 60)
 
 
@@ -133,7 +138,7 @@ def random_search(feats: DataFrame, features, folds, families=("ridge", "gbt"),
                     p = one_step_replay(m, feats, te)
                     losses.append(p.agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("yhat"), 2)))).first()[0])
                 value = float(sum(losses) / len(losses))
-            except Exception as e:  # a failing trial is reported and skipped (H8)
+            except FIT_ERRORS as e:  # a failing trial is reported and skipped (H8)
                 state, value = f"FAIL: {type(e).__name__}", None
             rows.append((fam, t, state, value, {**{k: str(v) for k, v in params.items()}, "series_id": str(sid)}))
     return spark.createDataFrame(rows, "family string, trial int, state string, value double, params map<string,string>")

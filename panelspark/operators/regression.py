@@ -24,12 +24,13 @@ from panelspark.sources.panels import check_panel
 def fit_linear(df: DataFrame, keys, xcols, y: str, method: str = "ols", alpha: float = 0.0,
                l1_ratio: float = 0.5) -> DataFrame:
     """H9: per-key linear / ridge / lasso / elastic-net.  Column 0 of ``xcols`` is taken as the (unpenalised)
-    intercept column when it is a constant 1.  Returns ``keys…, coef array<double>, n, ssr, sigma2``."""
+    intercept column when it is a constant 1.  Returns ``keys…, coef array<double>, n, ssr, sigma2, converged`` (false if
+    the coordinate descent ran out of sweeps; closed forms are always converged)."""
     keys = list(keys)
     g = gram(df, keys, xcols, y)
     p = len(xcols)
     schema = ", ".join([f"{k} {t}" for k, t in df.select(*keys).dtypes] +
-                       ["coef array<double>", "n bigint", "ssr double", "sigma2 double"])
+                       ["coef array<double>", "n bigint", "ssr double", "sigma2 double", "converged boolean"])
 
     def solve(batches):
         for b in batches:
@@ -38,13 +39,14 @@ def fit_linear(df: DataFrame, keys, xcols, y: str, method: str = "ols", alpha: f
                 A, bb = unpack(r.xtx, p), np.asarray(r.xty, dtype=float)
                 n = int(r.n)
                 if method in ("lasso", "elastic"):
-                    beta = elastic_net(A, bb, n, alpha, 1.0 if method == "lasso" else l1_ratio)
+                    beta, done = elastic_net(A, bb, n, alpha, 1.0 if method == "lasso" else l1_ratio)
                     ssr = float(max(r.yy - 2 * beta @ bb + beta @ A @ beta, 0.0))
                     s2 = ssr / max(n - p, 1)
                 else:
                     beta, ssr, s2, _ = ols(A, bb, r.yy, n, ridge=alpha if method == "ridge" else 0.0)
-                rows.append([*[getattr(r, k) for k in keys], beta.tolist(), n, ssr, s2])
-            yield pd.DataFrame(rows, columns=[*keys, "coef", "n", "ssr", "sigma2"])
+                    done = True
+                rows.append([*[getattr(r, k) for k in keys], beta.tolist(), n, ssr, s2, done])
+            yield pd.DataFrame(rows, columns=[*keys, "coef", "n", "ssr", "sigma2", "converged"])
 
     return g.mapInPandas(solve, schema)
 

@@ -167,9 +167,9 @@ def _h13_sql():
 @register("h13_forecast_from_given_coefficients", _h13_sql())
 def h13_forecast_from_given_coefficients(spark, sf_dir):
     p = panels.events_daily(spark, sf_dir)
-    given = spark.createDataFrame([(u, [50.0, 0.6, 0.3]) for u in ("click", "error", "purchase", "signup", "view")],
-                                  "unique_id string, coef array<double>")
-    f = rg.ar_forecast(p, given.join(p.select("unique_id").distinct(), "unique_id"), 7, 2, freq="D")
+    # one row of given coefficients for every series of the panel
+    given = p.select("unique_id").distinct().withColumn("coef", F.array(F.lit(50.0), F.lit(0.6), F.lit(0.3)))
+    f = rg.ar_forecast(p, given, 7, 2, freq="D")
     return round_doubles(f.withColumn("step", F.col("step").cast("int")), 4)
 
 

@@ -306,7 +306,8 @@ def _band_sql():
 @register("i1_trade_signals", with_ctes(
     "events_hourly", *_band_sql(),
     "SELECT unique_id, ds, round(y, 4) AS y, round(next_pred, 4) AS next_pred, round(lower, 4) AS lower, round(upper, 4) AS upper, "
-    "CASE WHEN pos <= 11 THEN 'HOLD' WHEN y < lower AND next_pred > y THEN 'BUY' WHEN y > upper AND next_pred < y THEN 'SELL' "
+    "CASE WHEN row_number() OVER (PARTITION BY unique_id, CAST(ds AS DATE) ORDER BY ds) <= 11 THEN 'HOLD' "
+    "WHEN y < lower AND next_pred > y THEN 'BUY' WHEN y > upper AND next_pred < y THEN 'SELL' "
     "ELSE 'HOLD' END AS signal FROM bd"))
 def i1_trade_signals(spark, sf_dir):
     b = bt.seasonal_one_step_band(panels.events_hourly(spark, sf_dir), 24, 0.9, 0.8)
@@ -326,7 +327,7 @@ def g7_interval_breach(spark, sf_dir):
 
 def _fold_sql(extra_body: str, extra_ctes=()) -> str:
     sig = ("sg AS (SELECT unique_id, ds, y, CAST(ds AS DATE) AS session, row_number() OVER (PARTITION BY unique_id, CAST(ds AS DATE) ORDER BY ds) AS rn, "
-           "next_pred, CASE WHEN pos <= 11 THEN 'HOLD' WHEN y < lower AND next_pred > y THEN 'BUY' WHEN y > upper AND next_pred < y THEN 'SELL' "
+           "next_pred, CASE WHEN row_number() OVER (PARTITION BY unique_id, CAST(ds AS DATE) ORDER BY ds) <= 11 THEN 'HOLD' WHEN y < lower AND next_pred > y THEN 'BUY' WHEN y > upper AND next_pred < y THEN 'SELL' "
            "ELSE 'HOLD' END AS signal FROM bd)")
 
     def step(cash, shares):

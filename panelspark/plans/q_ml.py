@@ -14,7 +14,6 @@ from panelspark.plans.registry import register
 from panelspark.sources import panels
 
 LAGS = (1, 2, 3, 24)
-SPLIT = "2024-01-29"  # the last two days of the event month are the replayed "day t"
 
 
 def _feats(spark, sf_dir, series_id=False, materialise=False):
@@ -29,30 +28,32 @@ def _feats(spark, sf_dir, series_id=False, materialise=False):
     return f
 
 
-def _train_test():
-    cut = F.lit(SPLIT).cast("timestamp_ntz")
+def _train_test(feats):
+    """Train and test filters: the last two calendar days present are the replayed "day t" (one-row aggregate)."""
+    last = feats.agg(F.to_date(F.max("ds")).alias("day")).first()["day"]
+    cut = F.date_sub(F.lit(last), 1).cast("timestamp_ntz")
     return F.col("ds") < cut, F.col("ds") >= cut
 
 
 @register("h3_one_step_replay_gbt")
 def h3_one_step_replay_gbt(spark, sf_dir):
-    f = _feats(spark, sf_dir)
-    tr, te = _train_test()
+    f = _feats(spark, sf_dir, materialise=True)
+    tr, te = _train_test(f)
     m = ml.fit_global(f.filter(tr), ml.feature_names(LAGS), "gbt", maxIter=20, maxDepth=4)
     return round_doubles(ml.one_step_replay(m, f, te).select("unique_id", "ds", "y", "yhat"), 4)
 
 
 @register("h2_recursive_forecast_gbt")
 def h2_recursive_forecast_gbt(spark, sf_dir):
-    f = _feats(spark, sf_dir)
+    f = _feats(spark, sf_dir, materialise=True)
     m = ml.fit_global(f, ml.feature_names(LAGS), "gbt", maxIter=20, maxDepth=4)
     return round_doubles(ml.recursive_forecast(m, panels.events_hourly(spark, sf_dir), 24, "h", LAGS), 4)
 
 
 @register("h7_insample_fitted_values")
 def h7_insample_fitted_values(spark, sf_dir):
-    f = _feats(spark, sf_dir)
-    tr, _ = _train_test()
+    f = _feats(spark, sf_dir, materialise=True)
+    tr, _ = _train_test(f)
     m = ml.fit_global(f.filter(tr), ml.feature_names(LAGS), "gbt", maxIter=20, maxDepth=4)
     return round_doubles(ml.one_step_replay(m, f, tr).select("unique_id", "ds", "y", F.col("yhat").alias("fitted")), 4)
 
@@ -61,23 +62,25 @@ def h7_insample_fitted_values(spark, sf_dir):
 def h8_many_models_merged(spark, sf_dir):
     """GBT, random forest, linear and Huber (H10) fitted on the same rows; one-step test predictions merged."""
     f = _feats(spark, sf_dir, materialise=True)
-    tr, te = _train_test()
+    tr, te = _train_test(f)
     feats = ml.feature_names(LAGS)
-    tables = []
+    tables, failed = [], []
     for name, kind, kw in (("gbt", "gbt", {"maxIter": 20, "maxDepth": 4}), ("rf", "rf", {"numTrees": 30, "maxDepth": 6}),
                            ("linear", "linear", {}), ("huber", "huber", {"epsilon": 1.35})):
         try:
             m = ml.fit_global(f.filter(tr), feats, kind, **kw)
-        except Exception:  # a failing model is skipped, the others are still merged
+        except ml.FIT_ERRORS as error:  # reported, its column is null, the others are still merged
+            failed.append(f"{name}: {type(error).__name__}")
+            tables.append(f.filter(te).select("unique_id", "ds", F.lit(None).cast("double").alias(name)))
             continue
         tables.append(ml.one_step_replay(m, f, te, name).select("unique_id", "ds", name))
-    return round_doubles(rel.merge_models(tables), 4)
+    return round_doubles(rel.merge_models(tables).withColumn("failed_models", F.lit("; ".join(failed))), 4)
 
 
 @register("h18_random_search_trials")
 def h18_random_search_trials(spark, sf_dir):
     f = _feats(spark, sf_dir, series_id=True, materialise=True)
-    tr, te = _train_test()
+    tr, te = _train_test(f)
     return ml.random_search(f, ml.feature_names(LAGS), [(tr, te)], families=("ridge", "huber", "gbt"), n_trials=2)
 
 

@@ -82,11 +82,14 @@ def b3_date_features(spark, sf_dir):
     return p.select("unique_id", "ds", *[v.alias(k) for k, v in f.items()])
 
 
-@register("b6_time_split_counts", with_ctes("events_hourly", "SELECT unique_id, CASE WHEN ds < TIMESTAMP '2024-01-25' THEN 'train' "
-                                            "ELSE 'test' END AS split, count(*) AS n FROM events_hourly GROUP BY 1, 2"))
-def b6_time_split_counts(spark, sf_dir):
+@register("b6_time_split_counts", with_ctes("events_hourly", "SELECT unique_id, CASE WHEN ds < (SELECT date_trunc('day', max(ds)) - INTERVAL 5 DAY "
+                                            "FROM events_hourly) THEN 'train' ELSE 'test' END AS split, count(*) AS n "
+                                            "FROM events_hourly GROUP BY 1, 2"))
+def b6_time_split_counts(spark, sf_dir, test_days: int = 6):
+    """Time split at the start of the last ``test_days`` calendar days of the data."""
     p = panels.events_hourly(spark, sf_dir)
-    s = F.when(F.col("ds") < F.lit("2024-01-25").cast("timestamp_ntz"), "train").otherwise("test")
+    cut = p.agg(F.date_sub(F.to_date(F.max("ds")), test_days - 1).cast("timestamp_ntz")).scalar()
+    s = F.when(F.col("ds") < cut, "train").otherwise("test")
     return p.groupBy("unique_id", s.alias("split")).agg(F.count("*").alias("n"))
 
 

@@ -2,13 +2,15 @@
 
 ``applyInPandasWithState`` keeps, per series, only what the next prediction needs: the last ``max_lag+1`` levels and
 the last timestamp (K1/K2), plus cash, shares and a row counter for the portfolio (K3).  State size is fixed by the
-model, never by the history.  Rows older than the last one seen for their series are dropped (late data).  Models are
+model, never by the history.  Rows older than the last one seen for their series are dropped (late data); rows with the
+same timestamp are kept, in the order of their values.  Models are
 applied downstream on the stream (``model.transform``), because Spark ML models cannot run inside a state function.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +30,12 @@ def event_stream(spark, path: str, max_files_per_trigger: int | None = None) ->
     return ev.select(F.col("event_type").alias("unique_id"), F.col("ts").alias("ds"), F.col("value").alias("y"))
 
 
+def _in_order(pdfs: Iterator[pd.DataFrame], columns):
+    """The rows that a trigger has for one series, by (ds, y): a trigger's size bounds them."""
+    rows = pd.concat(list(pdfs), ignore_index=True)[list(columns)].sort_values(["ds", "y"], kind="stable")
+    return ((pd.Timestamp(r[0]), *map(float, r[1:])) for r in rows.itertuples(index=False, name=None))
+
+
 def _lag_state_fn(lags, keep: int):
     lags = list(lags)
 
@@ -37,18 +45,16 @@ def _lag_state_fn(lags, keep: int):
             h, last = state.get
             hist = list(h)
         rows = []
-        for pdf in pdfs:
-            for ds, y in sorted(zip(pdf["ds"], pdf["y"]), key=lambda r: r[0]):
-                ds = pd.Timestamp(ds)
-                if last is not None and ds <= last:
-                    continue  # older than the last row seen: dropped
-                rec = {"unique_id": key[0], "ds": ds, "y": float(y),
-                       "level_prev": hist[-1] if hist else None}
-                for k in lags:  # lag k of Δy from the levels before this row
-                    rec[f"lag{k}"] = (hist[-k] - hist[-k - 1]) if len(hist) >= k + 1 else None
-                rows.append(rec)
-                hist = (hist + [float(y)])[-keep:]
-                last = ds
+        for ds, y in _in_order(pdfs, ("ds", "y")):
+            if last is not None and ds < last:
+                continue  # older than the last row seen: dropped
+            rec = {"unique_id": key[0], "ds": ds, "y": float(y),
+                   "level_prev": hist[-1] if hist else None}
+            for k in lags:  # lag k of Δy from the levels before this row
+                rec[f"lag{k}"] = (hist[-k] - hist[-k - 1]) if len(hist) >= k + 1 else None
+            rows.append(rec)
+            hist = (hist + [float(y)])[-keep:]
+            last = ds
         state.update((hist, last.to_pydatetime() if last is not None else None))
         cols = ["unique_id", "ds", "y", "level_prev", *[f"lag{k}" for k in lags]]
         yield pd.DataFrame(rows, columns=cols)
@@ -76,46 +82,43 @@ def online_forecast(stream: DataFrame, model, lags=(1, 2, 3), date_feats=("hour"
 
 def band_alerts(forecasts: DataFrame, halfwidths: DataFrame) -> DataFrame:  # halfwidths: ml.conformal_halfwidths
     """K2: stream ⋈ static per-series half-width (conformal quantile) → rows whose actual breaches ŷ ± q."""
-    j = forecasts.join(F.broadcast(halfwidths), "unique_id")  # one row per series
+    j = forecasts.join(halfwidths, "unique_id")  # one row per series: the join strategy follows its measured size
     return j.withColumns({"lower": F.col("yhat") - F.col("q"), "upper": F.col("yhat") + F.col("q")}) \
             .filter((F.col("y") < F.col("lower")) | (F.col("y") > F.col("upper")))
 
 
-def _portfolio_fn(coefs: dict, initial_cash: float, warmup: int):
+def _portfolio_fn(initial_cash: float, warmup: int):
     def fn(key, pdfs, state):
         uid = key[0]
-        c, phi, q = coefs.get(uid, (0.0, 1.0, 0.0))
         if state.exists:
             cash, shares, n, last = state.get
         else:
             cash, shares, n, last = float(initial_cash), 0.0, 0, None
         rows = []
-        for pdf in pdfs:
-            for ds, price in sorted(zip(pdf["ds"], pdf["y"]), key=lambda r: r[0]):
-                ds = pd.Timestamp(ds)
-                if last is not None and ds <= pd.Timestamp(last):
-                    continue
-                n += 1
-                nxt = c + phi * price
-                lo, hi = nxt - q, nxt + q
-                sig = "HOLD"
-                if n > warmup:
-                    if price < lo and nxt > price:
-                        sig = "BUY"
-                    elif price > hi and nxt < price:
-                        sig = "SELL"
-                act = "HOLD"
-                if sig == "BUY" and cash > price > 0:
-                    k = math.floor(cash / price)
-                    cash -= k * price
-                    shares += k
-                    act = "BUY"
-                elif sig == "SELL" and shares > 0:
-                    cash += price * shares
-                    shares = 0.0
-                    act = "SELL"
-                rows.append((uid, ds, float(price), nxt, sig, act, cash, shares, cash + shares * price))
-                last = ds.to_pydatetime()
+        for ds, price, c, phi, q in _in_order(pdfs, ("ds", "y", "c", "phi", "q")):
+            if last is not None and ds < pd.Timestamp(last):
+                continue
+            n += 1
+            nxt = c + phi * price  # NaN without coefficients: no signal
+            lo, hi = nxt - q, nxt + q
+            sig = "HOLD"
+            if n > warmup:
+                if price < lo and nxt > price:
+                    sig = "BUY"
+                elif price > hi and nxt < price:
+                    sig = "SELL"
+            act = "HOLD"
+            if sig == "BUY" and cash > price > 0:
+                k = math.floor(cash / price)
+                cash -= k * price
+                shares += k
+                act = "BUY"
+            elif sig == "SELL" and shares > 0:
+                cash += price * shares
+                shares = 0.0
+                act = "SELL"
+            rows.append((uid, ds, float(price), nxt, sig, act, cash, shares, cash + shares * price))
+            last = ds.to_pydatetime()
         state.update((cash, shares, n, last))
         yield pd.DataFrame(rows, columns=["unique_id", "ds", "y", "next_pred", "signal", "action", "cash", "shares",
                                           "value"])
@@ -127,22 +130,23 @@ PORTFOLIO_SCHEMA = ("unique_id string, ds timestamp_ntz, y double, next_pred dou
                     "cash double, shares double, value double")
 
 
-def online_portfolio(stream: DataFrame, coefs: dict, initial_cash: float = 10000.0, warmup: int = 11) -> DataFrame:
+def online_portfolio(stream: DataFrame, coefs: DataFrame, initial_cash: float = 10000.0, warmup: int = 11) -> DataFrame:
     """K3: signals (I1 rules, AR(1) one-step forecast ``c + φ·y`` with band ±q) and the cash/shares fold (I2) in one
-    state function.  ``coefs``: ``{series: (c, φ, q)}`` — plain numbers, fitted in batch (a few per series)."""
-    return stream.groupBy("unique_id").applyInPandasWithState(
-        _portfolio_fn(coefs, initial_cash, warmup), PORTFOLIO_SCHEMA,
+    state function.  ``coefs``: ``(unique_id, c, phi, q)``, fitted in batch and joined to the stream; a series without
+    coefficients is kept and always holds."""
+    given = coefs.select("unique_id", *[F.col(c).cast("double").alias(c) for c in ("c", "phi", "q")])
+    return stream.join(given, "unique_id", "left").groupBy("unique_id").applyInPandasWithState(
+        _portfolio_fn(initial_cash, warmup), PORTFOLIO_SCHEMA,
         "cash double, shares double, n long, last timestamp_ntz", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str | None = None):
-    """Drain everything available into a memory table (tests / one-off backfills) and return it as a DataFrame.
-    The checkpoint defaults to ``<spark.checkpoint.dir>/streams/<name>`` (shared, survives executor loss)."""
-    if checkpoint is None:
-        from panelspark.session import stream_checkpoint
+def run_available(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Process everything available into a Parquet sink and read it back.  Sink and checkpoint are a new sub-folder of
+    ``<spark.checkpoint.dir>/streams`` (shared, survives executor loss), or ``folder``."""
+    from panelspark.session import stream_checkpoint
 
-        checkpoint = stream_checkpoint(df.sparkSession, name)
-    q = (df.writeStream.format("memory").queryName(name).outputMode("append")
-           .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    folder = folder or stream_checkpoint(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    q = (df.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
+           .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")

@@ -65,7 +65,8 @@ def test_online_forecast_equals_batch_replay_and_alerts(spark):
 
 def test_online_portfolio_equals_sequential_loop(spark):
     src = _chunked_events()
-    coefs = {u: (1.0, 0.9, 2.0) for u in ("click", "view", "purchase", "signup", "error")}
+    coefs = spark.createDataFrame([(u, 1.0, 0.9, 2.0) for u in ("click", "view", "purchase", "signup", "error")],
+                                  "unique_id string, c double, phi double, q double")
     ck = tempfile.mkdtemp(prefix="ck-")
     got = online.run_available(online.online_portfolio(online.event_stream(spark, src, 1), coefs, 1000.0),
                                "k3_pf", ck).orderBy("unique_id", "ds").toPandas()
@@ -88,3 +89,19 @@ def test_online_portfolio_equals_sequential_loop(spark):
                 shares = 0.0
             vals.append(cash + shares * price)
         assert np.allclose(got[got.unique_id == uid]["value"].to_numpy(), vals)
+
+
+def test_rows_with_equal_timestamps_are_kept(spark, tmp_path):
+    rows = [(i, f"2024-01-01 00:00:{s:02d}", 1, "a", float(v), "") for i, (s, v) in
+            enumerate([(0, 3), (0, 1), (1, 5), (1, 4), (1, 5), (2, 9)])]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.to_timestamp_ntz("ts")).repartition(3).write.parquet(str(tmp_path / "events"))
+    got = online.run_available(online.online_lag_features(online.event_stream(spark, str(tmp_path / "events")), (1,)),
+                               "ties", str(tmp_path / "run")).orderBy("ds", "y").collect()
+    assert [r.y for r in got] == [1.0, 3.0, 4.0, 5.0, 5.0, 9.0]
+    assert [r.level_prev for r in got] == [None, 1.0, 3.0, 4.0, 5.0, 5.0]
+    # a series without coefficients is kept and holds
+    none = spark.createDataFrame([("b", 1.0, 0.9, 0.1)], "unique_id string, c double, phi double, q double")
+    held = online.run_available(online.online_portfolio(online.event_stream(spark, str(tmp_path / "events")), none, 100.0,
+                                                        warmup=0), "held", str(tmp_path / "run2")).collect()
+    assert len(held) == 6 and {r.signal for r in held} == {"HOLD"} and {r.value for r in held} == {100.0}
