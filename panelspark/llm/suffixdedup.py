@@ -39,7 +39,7 @@ from panelspark.llm.suffixes import suffix_array
 LENGTH, GRAM = 50, 25
 #: Bits of an anchor that are sent; anchors that agree by chance only cost work, as strings are compared.
 ANCHOR_BITS = 48
-GROUP = 4 << 20
+GROUP = 2 << 20
 BUCKETS_PER_PARTITION = 4
 NO_ID = np.iinfo(np.int64).max
 ANCHORS, TEXTS, CONTEXTS, PLACES = 0, 1, 2, 3
@@ -63,10 +63,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, length: int, gram: int) -> np.ndarray:
     """The anchor of the string of ``length`` bytes at each position."""
-    grams = K.byte_hash(data).windows(gram)
-    if len(grams) < length - gram + 1:
-        return np.zeros(0, np.uint64)
-    return _sliding_min(grams, length - gram + 1) >> np.uint64(64 - ANCHOR_BITS)
+    out = np.zeros(max(0, len(data) - length + 1), np.uint64)
+    for lo in range(0, len(out), K.HASH_BYTES):
+        grams = K.byte_hash(data[lo:lo + K.HASH_BYTES + length - 1]).windows(gram)
+        out[lo:lo + K.HASH_BYTES] = _sliding_min(grams, length - gram + 1) >> np.uint64(64 - ANCHOR_BITS)
+    return out
 
 
 class Group:
@@ -99,6 +100,17 @@ def _parts(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[part[0]]), part
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (count of them) for each pair, one after another."""
+    total = np.cumsum(counts)
+    return np.repeat(starts - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)
+
+
+def _split(blob: bytes, sizes: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(sizes, "<u8")).tolist()
+    return [blob[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
     for batch in K.document_groups(batches, max_bytes=GROUP):
         yield batch.column("doc_id").cast(pa.int64()), K.as_bytes(batch.column("text"))
@@ -263,35 +275,34 @@ def _answer_contexts(length: int, gram: int):
             part = texts.data[texts.starts[lo]:texts.ends[hi - 1]]
             anchor[lo:hi] = anchors(part, length, gram)[texts.starts[lo:hi] - texts.starts[lo]]
             lo = hi
-        # the smallest document of each string of a context; alone at its anchor, a context has its own strings only
-        strings = texts.sizes - length + 1
-        answers: list[np.ndarray | None] = [None] * len(bodies)
+        # the smallest document of each string of a context, as runs of equal ones: how many runs, and for each the
+        # document and the string where it begins; alone at its anchor, a context has strings of its own only
+        runs, values, begins = np.ones(len(bodies), np.int64), least, np.zeros(len(bodies), np.int64)
         shared = np.flatnonzero(K.repeated(anchor))
         if len(shared):
             text = K.Texts([bodies[i] for i in shared])
             data = text.data.copy()
             data[text.ends] = 0
-            count = strings[shared]
+            count = text.sizes - length + 1
+            first = np.cumsum(count) - count
             owner = np.repeat(np.arange(len(shared)), count)
-            starts = np.arange(len(owner)) + np.repeat(text.starts - (np.cumsum(count) - count), count)
-            classes = _string_classes(data, starts, length)
+            inside = np.arange(len(owner)) - first[owner]
+            classes = _string_classes(data, inside + text.starts[owner], length)
             smallest = np.full(int(classes.max()) + 1, NO_ID)
             np.minimum.at(smallest, classes, least[shared][owner])
-            for i, values in zip(shared.tolist(), np.split(smallest[classes], np.cumsum(count)[:-1])):
-                answers[i] = values
+            found = smallest[classes]
+            at = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (inside[1:] == 0)]))
+            runs[shared] = np.bincount(owner[at], minlength=len(shared))
+            at_run = np.cumsum(runs) - runs
+            place = np.repeat(at_run[shared], runs[shared]) + np.arange(len(at)) - np.searchsorted(
+                owner[at], owner[at])
+            values, begins = np.repeat(least, runs), np.zeros(int(runs.sum()), np.int64)
+            values[place], begins[place] = found[at], inside[at]
+        starts = np.cumsum(runs) - runs
         for (bucket, _, group, _, _), own in zip(held, asked):
-            runs, values = [], []
-            for i in own:
-                found = answers[i]
-                if found is None:
-                    runs.append(1)
-                    values.append(least[i:i + 1])
-                    continue
-                at = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-                runs.append(len(at))
-                values += [found[at], at[1:]]
-            flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-            yield _row(bucket, CONTEXTS, group, B.pack(flat), B.pack(np.array(runs, np.uint32)))
+            index = _ranges(starts[own], runs[own])
+            parts = [B.pack(runs[own].astype(np.uint32)), B.pack(values[index]), B.pack(begins[index].astype(np.uint32))]
+            yield _row(bucket, CONTEXTS, group, b"".join(parts), np.array(list(map(len, parts)), "<u8").tobytes())
     return answer
 
 
@@ -304,31 +315,30 @@ def _cut(length: int, gram: int, id_type: pa.DataType):
         texts = K.Texts(bodies)
         rank = np.array([NO_ID if i is None else i for i in ids.to_pylist()], np.int64)
         places = kinds[PLACES][0]
-        ends = np.cumsum(np.frombuffer(places[4], "<u8")).tolist()
-        begin, strings, owner, index, place = (places[3][a:b] for a, b in zip([0, *ends], ends))
+        begin, strings, owner, index, place = _split(places[3], places[4])
         begin = B.unpack(begin, np.uint64, ascending=True).astype(np.int64)
         strings, owner, index, place = (B.unpack(x, np.uint32).astype(np.int64) for x in
                                         (strings, owner, index, place))
         answers = {row[0]: row for row in kinds.get(CONTEXTS, ())}
-        found: list = [None] * len(place)
+        runs, at_run = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        values, begins, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         for b, part in _parts(place):
-            flat, runs = B.unpack(answers[b][3], np.int64), B.unpack(answers[b][4], np.uint32).astype(np.int64)
-            stops = np.cumsum(2 * runs - 1).tolist()
-            for i, a, z, n in zip(part.tolist(), [0, *stops], stops, runs.tolist()):
-                found[i] = flat[a:a + n], flat[a + n:z]
-        edge = np.zeros(len(texts.data) + 1, np.int32)
-        for a, n, r, i in zip(begin.tolist(), strings.tolist(), rank[owner].tolist(), index.tolist()):
-            values, bounds = found[i]
-            if len(values) == 1:
-                if values[0] < r:
-                    edge[a] += 1
-                    edge[a + n + length - 1] -= 1
-                continue
-            bounds = [0, *bounds.tolist(), n]
-            for v, lo, hi in zip(values.tolist(), bounds, bounds[1:]):
-                if v < r:
-                    edge[a + lo] += 1
-                    edge[a + hi + length - 1] -= 1
+            n, v, w = _split(answers[b][3], answers[b][4])
+            runs[part] = B.unpack(n, np.uint32)
+            at_run[part] = total + np.cumsum(runs[part]) - runs[part]
+            values.append(B.unpack(v, np.int64))
+            begins.append(B.unpack(w, np.uint32).astype(np.int64))
+            total += len(values[-1])
+        values, begins = np.concatenate(values), np.concatenate(begins)
+        # each run of each occurrence: its strings from ``low`` on, up to the next run or the occurrence's end
+        count = runs[index]
+        which, at = np.repeat(np.arange(len(index)), count), _ranges(at_run[index], count)
+        low = begins[at]
+        last = np.concatenate([which[1:] != which[:-1], np.ones(min(1, len(which)), bool)])
+        high = np.where(last, strings[which], np.append(low[1:], 0)[:len(low)])
+        hit = values[at] < rank[owner[which]]
+        edge = np.bincount(begin[which[hit]] + low[hit], minlength=len(texts.data) + 1) - np.bincount(
+            begin[which[hit]] + high[hit] + length - 1, minlength=len(texts.data) + 1)
         gone = np.cumsum(edge[:-1]) > 0
         spans = gone & ~np.concatenate([[False], gone[:-1]])
         kept = [hashlib.sha256(texts.data[a:b][~gone[a:b]].tobytes() if gone[a:b].any() else body).hexdigest()

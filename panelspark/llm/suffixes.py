@@ -42,6 +42,7 @@ def ranks(text: np.ndarray, depth: int, span: int = 1) -> np.ndarray:
     rank[sample] = names
     rank[n:] = 0
     one, rest = one[one < n], np.arange(0, n, 3)
+    both_samples = np.concatenate([one, two])
     width = int(rank.max()).bit_length()
     # the remaining suffixes by their character and the rank after it; sample suffixes at 1 modulo 3 compare with them so
     rest_one, of_one = ((padded[at] << width) | rank[at + 1] for at in (rest, one))
@@ -50,13 +51,16 @@ def ranks(text: np.ndarray, depth: int, span: int = 1) -> np.ndarray:
     pair = _named(padded[both], padded[both + 1])[0]
     rest_two, of_two = (pair[:len(rest)] << width) | rank[rest + 2], (pair[len(rest):] << width) | rank[two + 2]
     # merge: a suffix comes after the smaller ones of its own list and of the other
-    sample = np.sort(rank[np.concatenate([one, two])])
     out = np.zeros(n, np.int64)
-    out[one] = np.searchsorted(sample, rank[one]) + np.searchsorted(np.sort(rest_one), of_one)
-    out[two] = np.searchsorted(sample, rank[two]) + np.searchsorted(np.sort(rest_two), of_two)
-    sorted_rest = np.sort(rest_one)
-    out[rest] = (np.searchsorted(sorted_rest, rest_one) + np.searchsorted(np.sort(of_one), rest_one)
-                 + np.searchsorted(np.sort(of_two), rest_two))
+    ahead = np.concatenate([[0], np.cumsum(np.bincount(rank[both_samples]))])  # sample suffixes of smaller rank
+    by_one, by_two = np.argsort(rest_one), np.argsort(rest_two)
+    for at, key, rest_key, by in ((one, of_one, rest_one, by_one), (two, of_two, rest_two, by_two)):
+        order, rest_sorted = np.argsort(key), rest_key[by]
+        out[at[order]] = ahead[rank[at[order]]] + np.searchsorted(rest_sorted, key[order])
+        out[rest[by]] += np.searchsorted(key[order], rest_sorted)
+    keys = rest_one[by_one]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    out[rest[by_one]] += np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
     return out + 1
 
 

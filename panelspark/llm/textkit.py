@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one numpy step works on (a longer single text is a group of its own).
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
+#: Bytes that are hashed at once where every position gets a 64-bit hash.
+HASH_BYTES = 1 << 19
 
 _U = np.uint64
 #: Odd multipliers of the polynomial hashes (over bytes, over words) and their inverses modulo 2**64.
@@ -128,6 +131,15 @@ def document_groups(batches: Iterable[pa.RecordBatch], text: str = "text",
             lo = hi
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them; hashed, so only distinct keys are sorted."""
+    place, found = pd.factorize(keys)
+    order = np.argsort(found)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return found[order], rank[place]
+
+
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Which keys occur more than once."""
     order = np.sort(keys)
