@@ -176,58 +176,6 @@ def model_comparison(panel: DataFrame) -> DataFrame:
     return u.select("unique_id", "model", ll.alias("loglik"), aic.alias("aic"), bic.alias("bic"), "n")
 
 
-def hannan_rissanen(panel: DataFrame, p: int, q: int, long_ar: int = 8, col: str = "y",
-                    exog=()) -> DataFrame:
-    """ARMA(p, q) (+ exogenous columns) by Hannan–Rissanen on an already differenced series:
-    (1) long AR(m) → residuals ε̂; (2) regression of y on its p lags, q lags of ε̂ and ``exog``.
-    Returns coefficients ``[c, φ…, θ…, β_exog…]`` with ``ssr``, ``n``, ``sigma2`` per series."""
-    d = ar_design(panel, long_ar, col, "__la")
-    xl = ["__one", *[f"__la{i}" for i in range(1, long_ar + 1)]]
-    c1 = fit_linear(d, ["unique_id"], xl, col)
-    d = predict_linear(d, c1, ["unique_id"], xl, "__fit").withColumn("__eps", F.col(col) - F.col("__fit"))
-    w = _W()
-    d = d.withColumns({**{f"ar{i}": F.lag(col, i).over(w) for i in range(1, p + 1)},
-                       **{f"ma{j}": F.lag("__eps", j).over(w) for j in range(1, q + 1)}})
-    x2 = ["__one", *[f"ar{i}" for i in range(1, p + 1)], *[f"ma{j}" for j in range(1, q + 1)], *exog]
-    return fit_linear(d, ["unique_id"], x2, col).withColumn("order", F.lit(f"({p},{q})"))
-
-
-def arma_grid_aic(panel: DataFrame, max_p: int = 2, max_q: int = 2, long_ar: int = 8, col: str = "y") -> DataFrame:
-    """Every (p, q) ≤ (max_p, max_q) scored by AIC from ONE Gram over all lag columns (subsets of a common
-    sample), best order per series by ``min_by``."""
-    d = ar_design(panel, long_ar, col, "__la")
-    xl = ["__one", *[f"__la{i}" for i in range(1, long_ar + 1)]]
-    c1 = fit_linear(d, ["unique_id"], xl, col)
-    d = predict_linear(d, c1, ["unique_id"], xl, "__fit").withColumn("__eps", F.col(col) - F.col("__fit"))
-    w = _W()
-    d = d.withColumns({**{f"ar{i}": F.lag(col, i).over(w) for i in range(1, max_p + 1)},
-                       **{f"ma{j}": F.lag("__eps", j).over(w) for j in range(1, max_q + 1)}})
-    cols = ["__one", *[f"ar{i}" for i in range(1, max_p + 1)], *[f"ma{j}" for j in range(1, max_q + 1)]]
-    g = gram(d, ["unique_id"], cols, col)
-    P = len(cols)
-
-    def score(batches):
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                A, bb, n = unpack(r.xtx, P), np.asarray(r.xty, float), int(r.n)
-                for pp in range(max_p + 1):
-                    for qq in range(max_q + 1):
-                        idx = [0, *range(1, pp + 1), *range(1 + max_p, 1 + max_p + qq)]
-                        _, ssr, _, _ = ols(A[np.ix_(idx, idx)], bb[idx], r.yy, n)
-                        k = len(idx) + 1
-                        ll = gaussian_ll(ssr, n)
-                        out.append((r.unique_id, pp, qq, f"({pp},{qq})", ll, 2 * k - 2 * ll, k * math.log(n) - 2 * ll, n))
-            yield pd.DataFrame(out, columns=["unique_id", "p", "q", "order", "loglik", "aic", "bic", "n"])
-
-    return g.mapInPandas(score, "unique_id string, p int, q int, order string, loglik double, aic double, bic double, n bigint")
-
-
-def best_order(grid: DataFrame) -> DataFrame:
-    return grid.groupBy("unique_id").agg(F.min_by("order", F.struct("aic", "order")).alias("order"),
-                                         F.min("aic").alias("aic"))
-
-
 # ---------------------------------------------------------------- H13 forecasting from given coefficients
 
 def ar_forecast(panel: DataFrame, coefs: DataFrame, h: int, p: int, col: str = "y", freq: str | None = None) -> DataFrame:
@@ -256,13 +204,13 @@ def ar_forecast(panel: DataFrame, coefs: DataFrame, h: int, p: int, col: str = "
 
 def split_conformal(df: DataFrame, keys, xcols, y: str, alpha: float = 0.1, n_splits: int = 5, seed: int = 42,
                     id_col: str = "ds") -> DataFrame:
-    """H5: ``n_splits`` seeded random 80/20 splits (hash of row id and split); per (key, split) a least-squares fit
+    """H5: ``n_splits`` seeded random 80/20 splits (hash of key, row id and split); per (key, split) a least-squares fit
     on the 80 %; the absolute test errors of all splits pooled; ``q`` = their exact (1−α) quantile per key.  Returns
     ``keys…, q`` and the full-data coefficients (for ŷ ± q)."""
     keys = list(keys)
     splits = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("split")
     d = df.select("*", splits)
-    u = (F.abs(F.xxhash64(F.col(id_col), F.col("split"), F.lit(seed))) % 10007) / 10007.0
+    u = F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.col(id_col), F.col("split"), F.lit(seed)), F.lit(10007)) / 10007.0
     d = d.withColumn("__train", u < 0.8)
     coefs = fit_linear(d.filter("__train"), [*keys, "split"], xcols, y)
     test = predict_linear(d.filter(~F.col("__train")), coefs, [*keys, "split"], xcols, "__p")
@@ -352,114 +300,3 @@ def theta_forecast(panel: DataFrame, h: int, freq: str, season_length: int | Non
         f = f.join(n, "unique_id").withColumn("__ph", (F.col("__n") + F.col("step") - 1) % season_length) \
              .join(seas, ["unique_id", "__ph"], "left").withColumn("Theta", F.col("Theta") + F.coalesce("seasonal", F.lit(0.0)))
     return f.select("unique_id", "ds", "step", "Theta", (1 + F.col("__ma1")).alias("alpha"))
-
-
-# ---------------------------------------------------------------- H11 forecasts with bounds
-
-def arima_forecast(panel: DataFrame, p: int, q: int, h: int, freq: str, d: int = 0, long_ar: int = 8,
-                   levels=(95,), col: str = "y", exog=(), future_exog: DataFrame | None = None) -> DataFrame:
-    """ARIMA(p, d, q) (d ∈ {0, 1}) by Hannan–Rissanen, h-step forecasts with normal bounds.
-
-    Per series only the model's state leaves the JVM: coefficients, σ², the last max(p, q) values and innovations
-    (``tail_rows``: no window over a whole series).  The recursion (future innovations 0), ψ-weights
-    (ψ₀=1, ψ_j = θ_j + Σ φ_i ψ_{j−i}; integrated by cumulative sums when d = 1) and the bounds
-    ``ŷ ± z·σ·√Σψ²`` run in ``mapInPandas`` on those small rows.
-
-    H12: ``exog`` columns of ``panel`` enter the regression; ``future_exog`` (``ds`` [, ``unique_id``] + the same
-    columns) supplies their known future values, collected per series as h-long arrays."""
-    from panelspark.functions.linalg import norm_ppf
-    from panelspark.operators.windows import difference
-    from panelspark.sources.panels import future_frame, tail_rows
-
-    base = difference(panel, 1) if d == 1 else panel
-    dd = ar_design(base, long_ar, col, "__la")
-    xl = ["__one", *[f"__la{i}" for i in range(1, long_ar + 1)]]
-    c1 = fit_linear(dd, ["unique_id"], xl, col)
-    dd = predict_linear(dd, c1, ["unique_id"], xl, "__fit").withColumn("__eps", F.col(col) - F.col("__fit"))
-    w = _W()
-    dd = dd.withColumns({**{f"ar{i}": F.lag(col, i).over(w) for i in range(1, p + 1)},
-                         **{f"ma{j}": F.lag("__eps", j).over(w) for j in range(1, q + 1)}})
-    x2 = ["__one", *[f"ar{i}" for i in range(1, p + 1)], *[f"ma{j}" for j in range(1, q + 1)], *exog]
-    fit = fit_linear(dd, ["unique_id"], x2, col)
-    k = max(p, q, 1)
-    fut = future_frame(panel, h, freq)
-    tail = tail_rows(dd.select("unique_id", "ds", col, "__eps"), k, freq)
-    st = tail.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("ds", col, "__eps"))).alias("__t"))
-    st = st.select("unique_id", F.transform("__t", lambda s: s[col]).alias("ys"),
-                   F.transform("__t", lambda s: F.coalesce(s["__eps"], F.lit(0.0))).alias("es"))
-    if d == 1:
-        last = tail_rows(panel.select("unique_id", "ds", col), 1, freq).select("unique_id", F.col(col).alias("level"))
-        st = st.join(last, "unique_id")
-    else:
-        st = st.withColumn("level", F.lit(0.0))
-    st = st.join(fit.select("unique_id", "coef", "sigma2"), "unique_id")
-    if exog:
-        keys = ["ds"] + (["unique_id"] if "unique_id" in future_exog.columns else [])
-        fx = fut.join(future_exog.select(*keys, *exog), keys, "left")
-        fx = fx.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("step", *exog))).alias("__x"))  # h rows
-        def pick(e):  # one-argument lambda (a second argument would be taken as the element index)
-            return lambda s: F.coalesce(s[e].cast("double"), F.lit(0.0))
-
-        st = st.join(fx.select("unique_id", *[F.transform("__x", pick(e)).alias(f"fxv_{e}") for e in exog]),
-                     "unique_id", "left")
-    zs = [float(norm_ppf(0.5 + L / 200.0)) for L in levels]
-    cols = ["unique_id", "step", "yhat", *[f"{s}_{L}" for L in levels for s in ("lo", "hi")]]
-    schema = ", ".join(["unique_id string", "step int", "yhat double"] +
-                       [f"{s}_{L} double" for L in levels for s in ("lo", "hi")])
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                coef = np.asarray(r.coef, float)
-                c, phi, theta = coef[0], coef[1:1 + p], coef[1 + p:1 + p + q]
-                beta = coef[1 + p + q:]
-                fx = [list(getattr(r, f"fxv_{e}")) for e in exog]
-                ys, es = list(map(float, r.ys)), list(map(float, r.es))
-                fc = []
-                for t in range(h):
-                    v = c + sum(phi[i] * ys[-1 - i] for i in range(p)) + sum(theta[j] * es[-1 - j] for j in range(q))
-                    v += sum(beta[m] * fx[m][t] for m in range(len(exog)))
-                    fc.append(v)
-                    ys.append(v)
-                    es.append(0.0)
-                psi = [1.0]
-                for j in range(1, h):
-                    psi.append((theta[j - 1] if j - 1 < q else 0.0) + sum(phi[i] * psi[j - 1 - i] for i in range(min(p, j))))
-                psi = np.asarray(psi)
-                if d == 1:
-                    fc = list(float(r.level) + np.cumsum(fc))
-                    psi = np.cumsum(psi)
-                sd = np.sqrt(max(float(r.sigma2), 0.0) * np.cumsum(psi ** 2))
-                for s in range(h):
-                    row = [r.unique_id, s + 1, fc[s]]
-                    for z in zs:
-                        row += [fc[s] - z * sd[s], fc[s] + z * sd[s]]
-                    out.append(row)
-            yield pd.DataFrame(out, columns=cols)
-
-    f = st.mapInPandas(run, schema)
-    return fut.join(f, ["unique_id", "step"])
-
-
-def auto_arima_forecast(panel: DataFrame, h: int, freq: str, d: int = 0, max_p: int = 2, max_q: int = 2,
-                        long_ar: int = 8, levels=(95,)) -> DataFrame:
-    """H14 + H11: every series gets its AIC-best (p, q) from one Gram (``arma_grid_aic``) and is forecast with it.
-    Series are grouped by their chosen order: the loop runs over the ≤ (max_p+1)(max_q+1) distinct orders, never
-    over series."""
-    from panelspark.operators.windows import difference
-
-    base = difference(panel, 1) if d == 1 else panel
-    best = best_order(arma_grid_aic(base, max_p, max_q, long_ar))
-    orders = [r[0] for r in best.select("order").distinct().collect()]  # bounded by the order grid
-    out = None
-    for o in sorted(orders):
-        p, q = (int(x) for x in o.strip("()").split(","))
-        ids = best.filter(F.col("order") == o).select("unique_id")
-        f = arima_forecast(panel.join(ids, "unique_id", "left_semi"), p, q, h, freq, d, long_ar, levels) \
-            .withColumn("order", F.lit(f"({p},{d},{q})"))
-        out = f if out is None else out.unionByName(f)
-    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.functions.util import round_doubles
-from panelspark.operators import explore
+from panelspark.operators import arima, explore
 from panelspark.operators import regression as rg
 from panelspark.operators import windows as wn
 from panelspark.plans.registry import register
@@ -75,25 +75,50 @@ def h15_model_comparison(spark, sf_dir):
 
 @register("h14_auto_arma_order")
 def h14_auto_arma_order(spark, sf_dir):
-    """Order search on the seasonally differenced monthly panel (D=1, m=12): all (p,q) ≤ (2,2) from one Gram."""
-    d = wn.difference(panels.orders_monthly(spark, sf_dir), 1, lag=12)
-    return rg.best_order(rg.arma_grid_aic(d, 2, 2, long_ar=6))
+    """Order search on the monthly panel with D = 1, m = 12: all (p,0,q)(P,1,Q)[12] with p, q ≤ 2 and P, Q ≤ 1."""
+    most = arima.Order(2, 0, 2, 1, 1, 1, 12)
+    return arima.arma_grid_aic(panels.orders_monthly(spark, sf_dir), most, 6, best=True).select("unique_id", "order", "aic")
 
 
 @register("h11_arma_hannan_rissanen")
 def h11_arma_hannan_rissanen(spark, sf_dir):
-    d = wn.difference(panels.events_daily(spark, sf_dir), 1)
-    return rg.hannan_rissanen(d, 1, 1, long_ar=4).select("unique_id", "order", "coef", "sigma2", "n")
+    out = arima.hannan_rissanen(panels.events_daily(spark, sf_dir), arima.Order(1, 1, 1), long_ar=4)
+    return out.select("unique_id", "order", "coef", "sigma2", "n")
 
 
-@register("h12_arma_with_exog_promo")
+def _centred(x: str, y: str) -> str:
+    return f"covar_pop({x}, {y})"
+
+
+def _ar1_exog_sql() -> str:
+    """AR(1) and one exogenous column, both seasonally differenced: the two-regressor normal equations by covariances."""
+    from panelspark.plans.q_forecast import _SPINE, _promo_sql
+
+    a, b, ab = _centred("l", "l"), _centred("x", "x"), _centred("l", "x")
+    det = f"({a} * {b} - {ab} * {ab})"
+    phi = f"({_centred('w', 'l')} * {b} - {_centred('w', 'x')} * {ab}) / {det}"
+    beta = f"({_centred('w', 'x')} * {a} - {_centred('w', 'l')} * {ab}) / {det}"
+    return with_ctes(
+        "orders_monthly", _SPINE, _promo_sql("sp"),
+        f"j AS (SELECT o.unique_id, o.ds, y - lag(y, 12) OVER {W('').replace('unique_id', 'o.unique_id').replace('BY ds', 'BY o.ds')} AS w, "
+        f"CAST(promo AS DOUBLE) - lag(CAST(promo AS DOUBLE), 12) OVER {W('').replace('unique_id', 'o.unique_id').replace('BY ds', 'BY o.ds')} AS x "
+        "FROM orders_monthly o LEFT JOIN promo p ON o.ds = p.ds)",
+        f"k AS (SELECT *, lag(w) OVER {W()} AS l FROM j)",
+        "g AS (SELECT * FROM k WHERE w IS NOT NULL AND x IS NOT NULL AND l IS NOT NULL)",
+        f"f AS (SELECT unique_id, {phi} AS phi, {beta} AS beta, avg(w) AS mw, avg(l) AS ml, avg(x) AS mx, count(*) AS n FROM g GROUP BY 1)",
+        "SELECT unique_id, '(1,0,0)(0,1,0)[12]' AS \"order\", round(mw - phi * ml - beta * mx, 2) AS c, round(phi, 4) AS phi, "
+        "round(beta, 2) AS beta, n FROM f")
+
+
+@register("h12_arma_with_exog_promo", _ar1_exog_sql())
 def h12_arma_with_exog_promo(spark, sf_dir):
+    """AR(1) with the promo flag as regressor, series and flag seasonally differenced alike (D = 1, m = 12)."""
     from panelspark.plans.q_forecast import _promo_calendar
 
-    p = panels.orders_monthly(spark, sf_dir)
-    cal = _promo_calendar(spark, sf_dir)
-    d = wn.difference(p, 1, lag=12).join(cal, "ds", "left").withColumn("promo", F.col("promo").cast("double"))
-    return rg.hannan_rissanen(d, 1, 0, long_ar=4, exog=("promo",)).select("unique_id", "order", "coef", "sigma2", "n")
+    p = panels.orders_monthly(spark, sf_dir).join(_promo_calendar(spark, sf_dir), "ds", "left")
+    out = arima.hannan_rissanen(p, arima.Order(1, 0, 0, 0, 1, 0, 12), exog=("promo",))
+    return round_doubles(out.select("unique_id", "order", F.col("coef")[0].alias("c"), F.col("coef")[1].alias("phi"),
+                                    F.col("coef")[2].alias("beta"), "n"), 2, {"phi": 4})
 
 
 @register("h15_model_comparison_ship_daily", with_ctes(
@@ -114,23 +139,47 @@ def h15_model_comparison_ship_daily(spark, sf_dir):
 @register("h11_arima_forecast_bounds")
 def h11_arima_forecast_bounds(spark, sf_dir):
     """ARIMA(1,1,1) on the daily event panel: 7-day forecasts with 80 % and 95 % bounds."""
-    f = rg.arima_forecast(panels.events_daily(spark, sf_dir), 1, 1, 7, "D", d=1, long_ar=4, levels=(80, 95))
+    f = arima.arima_forecast(panels.events_daily(spark, sf_dir), arima.Order(1, 1, 1), 7, "D", long_ar=4, levels=(80, 95))
     return round_doubles(f, 4)
 
 
+@register("h11_seasonal_arima_forecast")
+def h11_seasonal_arima_forecast(spark, sf_dir):
+    """(1,1,1)(1,1,1)[12] on the monthly panel, 12 months with 95 % bounds."""
+    f = arima.arima_forecast(panels.orders_monthly(spark, sf_dir), arima.Order(1, 1, 1, 1, 1, 1, 12), 12, "ME", long_ar=4)
+    return round_doubles(f, 2)
+
+
+def _seasonal_walk_sql() -> str:
+    return with_ctes(
+        "orders_monthly", f"w AS (SELECT *, y - lag(y, 12) OVER {W()} AS z, row_number() OVER (PARTITION BY unique_id ORDER BY ds DESC) AS back FROM orders_monthly)",
+        "c AS (SELECT unique_id, avg(z) AS c, count(z) AS n, var_samp(z) AS s2, max(ds) AS mx FROM w GROUP BY 1)",
+        "SELECT c.unique_id, CAST(k AS INTEGER) AS step, CAST(last_day(date_trunc('month', mx) + to_months(CAST(k AS INTEGER))) AS TIMESTAMP) AS ds, "
+        "round(y + c * (1 + (k - 1) // 12), 2) AS yhat, round(y + c * (1 + (k - 1) // 12) - 1.959963984540054 * sqrt(s2 * (1 + (k - 1) // 12)), 2) AS lo_95, "
+        "round(y + c * (1 + (k - 1) // 12) + 1.959963984540054 * sqrt(s2 * (1 + (k - 1) // 12)), 2) AS hi_95, '(0,0,0)(0,1,0)[12]' AS \"order\" "
+        "FROM c, range(1, 25) t(k) JOIN w ON w.back = 12 - (k - 1) % 12 WHERE w.unique_id = c.unique_id")
+
+
+@register("h11_seasonal_walk_forecast", _seasonal_walk_sql())
+def h11_seasonal_walk_forecast(spark, sf_dir):
+    """(0,0,0)(0,1,0)[12] with drift, 24 months: the seasonal inverse and the bounds of two seasons ahead."""
+    f = arima.arima_forecast(panels.orders_monthly(spark, sf_dir), arima.Order(D=1, m=12), 24, "ME")
+    return round_doubles(f.withColumn("step", F.col("step").cast("int")), 2)
+
+
 
 @register("h12_forecast_with_future_promo")
 def h12_forecast_with_future_promo(spark, sf_dir):
-    """AR(1) + promo flag on the monthly panel, 12 months ahead with the known future promo calendar (A5 + B4)."""
+    """AR(1) + promo flag, both seasonally differenced, on the monthly panel, 12 months ahead with the known future promo calendar (A5 + B4)."""
     from panelspark.plans.q_forecast import _promo_calendar
 
     cal = _promo_calendar(spark, sf_dir).withColumn("promo", F.col("promo").cast("double"))
     p = panels.orders_monthly(spark, sf_dir).join(cal, "ds", "left")
-    f = rg.arima_forecast(p, 1, 0, 12, "ME", d=0, long_ar=4, levels=(95,), exog=("promo",), future_exog=cal)
+    f = arima.arima_forecast(p, arima.Order(1, 0, 0, 0, 1, 0, 12), 12, "ME", exog=("promo",), future_exog=cal)
     return round_doubles(f, 2)
 
 
 @register("h14_auto_arima_forecast")
 def h14_auto_arima_forecast(spark, sf_dir):
     """Per-series best ARIMA(p,1,q), p,q ≤ 2, on the daily event panel; 7-day forecasts with 95 % bounds."""
-    return round_doubles(rg.auto_arima_forecast(panels.events_daily(spark, sf_dir), 7, "D", d=1, long_ar=4), 4)
+    return round_doubles(arima.auto_arima_forecast(panels.events_daily(spark, sf_dir), 7, "D", arima.Order(2, 1, 2), 4), 4)

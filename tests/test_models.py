@@ -4,11 +4,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import panel_df
 from panelspark.functions.linalg import norm_ppf
-from panelspark.operators import anomaly, backtest as bt, regression as rg
+from panelspark.operators import anomaly, arima, backtest as bt, regression as rg
 
 
 def _frame(spark, series: dict, freq="D"):
@@ -93,7 +94,7 @@ def test_arima_forecast_matches_closed_form_ar1(spark):
     for t in range(1, 400):
         y[t] = 2.0 + 0.8 * y[t - 1] + rng.normal()
     df = _frame(spark, {"a": y})
-    f = rg.arima_forecast(df, 1, 0, 5, "D", d=0, long_ar=4, levels=(95,)).orderBy("step").toPandas()
+    f = arima.arima_forecast(df, arima.Order(1), 5, "D", long_ar=4, levels=(95,)).orderBy("step").toPandas()
     fit = rg.fit_ar(df, 1).first()
     c, phi = fit.coef
     want, v = [], y[-1]
@@ -115,7 +116,7 @@ def test_arima_forecast_uses_future_exog(spark):
     ds = pd.date_range("2020-01-01", periods=n + 5, freq="D")
     df = spark.createDataFrame(pd.DataFrame({"unique_id": "a", "ds": ds[:n], "y": y, "x": x[:n]}))
     fut = spark.createDataFrame(pd.DataFrame({"ds": ds[n:], "x": x[n:]}))
-    f = rg.arima_forecast(df, 1, 0, 5, "D", exog=("x",), future_exog=fut).orderBy("step").toPandas()
+    f = arima.arima_forecast(df, arima.Order(1), 5, "D", exog=("x",), future_exog=fut).orderBy("step").toPandas()
     c, phi, b = rg.fit_linear(rg.ar_design(df, 1).withColumn("one", F.lit(1.0)), ["unique_id"], ["one", "ar1", "x"], "y").first().coef
     v, want = y[-1], []
     for t in range(5):
@@ -138,8 +139,60 @@ def test_auto_arima_uses_the_aic_best_order(spark):
     for t in range(1, 500):
         y[t] = 0.85 * y[t - 1] + rng.normal()
     df = _frame(spark, {"a": y})
-    f = rg.auto_arima_forecast(df, 4, "D", d=0, max_p=2, max_q=1, long_ar=6).toPandas()
-    grid = rg.arma_grid_aic(df, 2, 1, 6).toPandas()
-    best = grid.sort_values(["aic", "order"]).iloc[0]
+    f = arima.auto_arima_forecast(df, 4, "D", arima.Order(2, 0, 1), 6).toPandas()
+    grid = arima.arma_grid_aic(df, arima.Order(2, 0, 1), 6).toPandas()
+    best = grid.sort_values("aic", kind="stable").iloc[0]
     assert len(f) == 4 and set(f["order"]) == {f"({best.p},0,{best.q})"}
     assert np.all(f["lo_95"] < f["yhat"]) and np.all(f["yhat"] < f["hi_95"])
+
+
+def _arima_by_definition(y, x, order, coef, sigma2, ahead, h):
+    """Forecast by iterating the differenced equation, with bounds from simulated unit shocks."""
+    def diff(v):
+        for lag in order.steps:
+            v = v[lag:] - v[:-lag]
+        return v
+
+    def path(shock):
+        full_y, full_x = list(y), np.concatenate([x, ahead])
+        xw = diff(full_x)[-h:]
+        for t in range(h):
+            w = list(diff(np.array(full_y)))
+            nxt = coef[0] + sum(c * w[-k] for c, k in zip(coef[1:], order.ar)) + coef[-1] * xw[t] + (shock if t == 0 else 0.0)
+            probe = np.array([*full_y, 0.0])  # the level that makes the differenced value nxt
+            full_y.append(nxt - diff(probe)[-1])
+        return np.array(full_y[-h:])
+
+    base = path(0.0)
+    psi = path(1.0) - base
+    return base, np.sqrt(sigma2 * np.cumsum(psi ** 2))
+
+
+@pytest.mark.parametrize("order", [(1, 0, 0), (2, 1, 0), (1, 2, 0), (1, 1, 0, 1, 1, 0, 4), (0, 0, 0, 1, 2, 0, 3)])
+def test_seasonal_arima_with_exog_equals_its_definition(spark, order):
+    rng = np.random.default_rng(7)
+    n, h, order = 160, 9, arima.Order(*order)
+    x = rng.normal(size=n + h)
+    y = np.cumsum(rng.normal(size=n)) + 5 * np.sin(np.arange(n) * 2 * np.pi / max(order.m, 4)) + 3 * x[:n]
+    ds = pd.date_range("2024-01-01", periods=n + h)
+    frame = spark.createDataFrame([("a", d.to_pydatetime(), float(v), float(w)) for d, v, w in zip(ds, y, x)],
+                                  "unique_id string, ds timestamp_ntz, y double, x double")
+    fut = spark.createDataFrame([(d.to_pydatetime(), float(w)) for d, w in zip(ds[n:], x[n:])], "ds timestamp_ntz, x double")
+    fit = arima.hannan_rissanen(frame, order, exog=("x",)).first()
+    got = arima.arima_forecast(frame, order, h, "D", exog=("x",), future_exog=fut).orderBy("step").toPandas()
+    want, sd = _arima_by_definition(y, x[:n], order, list(fit["coef"]), fit["sigma2"], x[n:], h)
+    assert np.allclose(got["yhat"], want, rtol=1e-8) and np.allclose(got["hi_95"] - got["yhat"], 1.959963985 * sd, rtol=1e-6)
+    assert set(got["order"]) == {str(order)}
+
+
+def test_arima_refuses_what_it_cannot_do(spark):
+    df = _frame(spark, {"a": np.arange(30.0)}).withColumn("x", F.lit(1.0))
+    with pytest.raises(ValueError):
+        arima.arima_forecast(df, arima.Order(1, -1, 0), 3, "D")
+    with pytest.raises(ValueError):
+        arima.arima_forecast(df, arima.Order(P=1), 3, "D")
+    with pytest.raises(ValueError):
+        arima.arima_forecast(df, arima.Order(1), 3, "D", exog=("x",))
+    few = spark.createDataFrame([("2024-01-31", 1.0)], "ds string, x double").withColumn("ds", F.to_timestamp_ntz("ds"))
+    with pytest.raises(Exception, match="lacks a future value"):
+        arima.arima_forecast(df, arima.Order(1), 3, "D", exog=("x",), future_exog=few).collect()
