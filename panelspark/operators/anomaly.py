@@ -189,16 +189,22 @@ def isolation_forest(panel: DataFrame, n_trees: int = 100, sample: int = 256, co
 
 # ---------------------------------------------------------------- G4 kernel novelty by random Fourier features
 
+def fourier_features(n_features: int = 64, gamma: float = 1.0, seed: int = 42):
+    """The seeded frequencies and phases of the random Fourier features."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    return rng.normal(0.0, np.sqrt(2 * gamma), n_features), rng.uniform(0.0, 2 * np.pi, n_features)
+
+
 def kernel_novelty(panel: DataFrame, nu: float = 0.1, n_features: int = 64, gamma: float = 1.0, seed: int = 42,
                    col: str = "y") -> DataFrame:
     """G4 (re-aim of the one-class SVM): z-score y per series, map to ``n_features`` seeded random Fourier features of
     the RBF kernel exp(−γ·Δz²), score each row by its mean kernel similarity to its series (φ(z)·mean φ), flag the
-    lowest ``nu`` share.  All JVM-side expressions; the quantile is an approximate sketch (bounded memory)."""
+    lowest ``nu`` share (below the exact quantile).  All JVM-side expressions."""
     import numpy as np
 
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, np.sqrt(2 * gamma), n_features)
-    b = rng.uniform(0.0, 2 * np.pi, n_features)
+    w, b = fourier_features(n_features, gamma, seed)
     # series statistics and mean embeddings are aggregates (partial before the shuffle) joined back: no
     # whole-series window, so a hot series is spread over many tasks
     st = panel.groupBy("unique_id").agg(F.avg(col).alias("__mu"), F.stddev_pop(col).alias("__sd"))
@@ -212,7 +218,9 @@ def kernel_novelty(panel: DataFrame, nu: float = 0.1, n_features: int = 64, gamm
     d = d.join(emb, "unique_id")
     score = sum((F.col(f"__phi{i}") * F.col(f"__m{i}") for i in range(n_features)), F.lit(0.0))
     d = d.withColumn("svm_score", score).drop("__z", "__mu", "__sd", *phi, *[f"__m{i}" for i in range(n_features)])
-    cut = d.groupBy("unique_id").agg(F.percentile_approx("svm_score", nu, 100000).alias("__cut"))
+    from panelspark.operators.relational import exact_percentiles
+
+    cut = exact_percentiles(d, ["unique_id"], "svm_score", [nu], ["__cut"])
     return d.join(cut, "unique_id").withColumn("svm_anomaly", F.col("svm_score") < F.col("__cut")).drop("__cut")
 
 

@@ -117,9 +117,10 @@ FAMILY_MODEL = {"linear": "linear", "ridge": "linear", "lasso": "linear", "elast
 
 
 def random_search(feats: DataFrame, features, folds, families=("ridge", "gbt"), n_trials: int = 3, seed: int = 42,
-                  use_series_id=(False, True)) -> DataFrame:
+                  use_series_id=(False, True), loss=None) -> DataFrame:
     """Seeded random configurations per family; each trial is fitted on every fold's training rows and
-    scored on its test rows (rmse of the levels); the optional series-id feature is switched per trial.
+    scored on its test rows; the optional series-id feature is switched per trial.  ``loss()`` (H24) is an aggregate
+    Column over ``y``, ``yhat`` and ``err = yhat − y`` of the levels; the default is their rmse.
 
     ``folds``: list of ``(train_filter Column, test_filter Column)``.  Returns the trial table."""
     rng = random.Random(seed)
@@ -136,7 +137,8 @@ def random_search(feats: DataFrame, features, folds, families=("ridge", "gbt"),
                 for tr, te in folds:
                     m = fit_global(feats.filter(tr), fcols, FAMILY_MODEL[fam], seed=seed, **params)
                     p = one_step_replay(m, feats, te)
-                    losses.append(p.agg(F.sqrt(F.avg(F.pow(F.col("y") - F.col("yhat"), 2)))).first()[0])
+                    p = p.withColumn("err", F.col("yhat") - F.col("y"))
+                    losses.append(p.agg(loss() if loss else F.sqrt(F.avg(F.col("err") * F.col("err")))).first()[0])
                 value = float(sum(losses) / len(losses))
             except FIT_ERRORS as e:  # a failing trial is reported and skipped (H8)
                 state, value = f"FAIL: {type(e).__name__}", None

@@ -128,7 +128,21 @@ def g3_isolation_forest(spark, sf_dir):
     return d.select("unique_id", "ds", _r("iso_score", 6), "iso_forest_anomaly")
 
 
-@register("g4_kernel_novelty")
+def _novelty_sql() -> str:
+    w, b = anomaly.fourier_features()
+    phi = [f"sqrt(2.0 / {len(w)}) * cos({float(x)!r} * z + {float(y)!r})" for x, y in zip(w, b)]
+    return with_ctes(
+        "events_hourly", "z0 AS (SELECT unique_id, ds, COALESCE((y - avg(y) OVER (PARTITION BY unique_id)) / "
+        "NULLIF(stddev_pop(y) OVER (PARTITION BY unique_id), 0), 0.0) AS z FROM events_hourly)",
+        "p0 AS (SELECT unique_id, ds, " + ", ".join(f"{x} AS f{i}" for i, x in enumerate(phi)) + " FROM z0)",
+        "m0 AS (SELECT unique_id, " + ", ".join(f"avg(f{i}) AS m{i}" for i in range(len(phi))) + " FROM p0 GROUP BY 1)",
+        "s0 AS (SELECT p0.unique_id, ds, " + " + ".join(f"f{i} * m{i}" for i in range(len(phi)))
+        + " AS s FROM p0 JOIN m0 ON p0.unique_id = m0.unique_id)",
+        "c0 AS (SELECT unique_id, quantile_cont(s, 0.1) AS cut FROM s0 GROUP BY 1)",
+        "SELECT s0.unique_id, ds, round(s, 6) AS svm_score, s < cut AS svm_anomaly FROM s0 JOIN c0 ON s0.unique_id = c0.unique_id")
+
+
+@register("g4_kernel_novelty", _novelty_sql())
 def g4_kernel_novelty(spark, sf_dir):
     d = anomaly.kernel_novelty(panels.events_hourly(spark, sf_dir))
     return d.select("unique_id", "ds", _r("svm_score", 6), "svm_anomaly")

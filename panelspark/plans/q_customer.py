@@ -369,7 +369,11 @@ _D13 = ["OverallGrowthTrend", "ProductDiversityTrend", "TotalSpend"]
         f"round(min({c}), 6) AS min, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, "
         f"round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS max FROM features" for c in _D13)))
 def d13_describe(spark, sf_dir):
-    return round_doubles(rel.describe(cu.customer_features(spark, sf_dir, 1), _D13))
+    from panelspark.session import cut_lineage
+
+    # read by the moments and by each level of the percentiles: materialised once
+    f = cut_lineage(cu.customer_features(spark, sf_dir, 1).select(*_D13))
+    return round_doubles(rel.describe(f, _D13))
 
 
 @register("d17_growth_density", sql(

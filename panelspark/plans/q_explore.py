@@ -178,6 +178,24 @@ def h16_theta(spark, sf_dir):
     return round_doubles(rg.theta_forecast(panels.orders_monthly(spark, sf_dir), 12, "ME", 12), 4)
 
 
+def _baseline_comparison_sql() -> str:
+    from panelspark.plans.q_forecast import _METRICS, _cv_ctes, MODELS
+
+    return with_ctes(
+        "orders_monthly", *_cv_ctes("orders_monthly", 12, 1, 12),
+        f"lg AS (SELECT unique_id, y, model, yhat, yhat - y AS e FROM (UNPIVOT cv ON {', '.join(MODELS)} INTO NAME model VALUE yhat))",
+        f"m AS (SELECT unique_id, model, {_METRICS} FROM lg GROUP BY 1, 2)",
+        "SELECT unique_id, model, round(mae, 2) AS mae, round(rmse, 2) AS rmse, round(mape, 6) AS mape, round(smape, 6) AS smape FROM m")
+
+
+@register("h25_baseline_comparison", _baseline_comparison_sql())
+def h25_baseline_comparison(spark, sf_dir):
+    """The closed-form methods on the 12-month holdout (the comparison below adds Theta)."""
+    ho = fc.holdout(panels.orders_monthly(spark, sf_dir), 12, 12)
+    e = ev.evaluate(ho, list(fc.BASELINES)).select("unique_id", "model", "mae", "rmse", "mape", "smape")
+    return round_doubles(e, 2, {"mape": 6, "smape": 6})
+
+
 @register("h25_forecast_comparison")
 def h25_forecast_comparison(spark, sf_dir):
     """Several methods on the same 12-month holdout, errors per method (baselines, Theta, ridge on Fourier terms)."""

@@ -23,6 +23,16 @@ def f21_adf_monthly(spark, sf_dir):
     return rg.adf(panels.orders_monthly(spark, sf_dir))
 
 
+@register("f21_adf_no_lags", with_ctes(
+    "events_daily", f"d AS (SELECT unique_id, y - lag(y) OVER {W()} AS dy, lag(y) OVER {W()} AS x FROM events_daily)",
+    "r AS (SELECT unique_id, regr_slope(dy, x) AS g, regr_sxx(dy, x) AS sxx, regr_syy(dy, x) AS syy, regr_sxy(dy, x) AS sxy, "
+    "regr_count(dy, x) AS n FROM d GROUP BY 1)",
+    "SELECT unique_id, round(g / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 6) AS adf_stat, CAST(n AS INTEGER) AS nobs FROM r"))
+def f21_adf_no_lags(spark, sf_dir):
+    """Dickey–Fuller without augmentation: the t-statistic of the lagged level."""
+    return round_doubles(rg.adf(panels.events_daily(spark, sf_dir), 0).select("unique_id", "adf_stat", "nobs"), 6)
+
+
 def _trend(panel):
     return panel.withColumns({"one": F.lit(1.0), "trend": F.row_number().over(wn.series_window()).cast("double")})
 
@@ -36,6 +46,61 @@ def h9_linear_trend(spark, sf_dir):
                          {"slope": 4})
 
 
+@register("h9_ridge_trend", with_ctes(
+    "orders_monthly", f"t AS (SELECT unique_id, y, row_number() OVER {W()} AS trend FROM orders_monthly)",
+    "r AS (SELECT unique_id, regr_sxy(y, trend) / (regr_sxx(y, trend) + 1000.0) AS b, avg(y) AS my, avg(trend) AS mt FROM t GROUP BY 1)",
+    "SELECT unique_id, round(my - b * mt, 2) AS intercept, round(b, 4) AS slope FROM r"))
+def h9_ridge_trend(spark, sf_dir):
+    c = rg.fit_linear(_trend(panels.orders_monthly(spark, sf_dir)), ["unique_id"], ["one", "trend"], "y", "ridge", 1000.0)
+    return round_doubles(c.select("unique_id", F.col("coef")[0].alias("intercept"), F.col("coef")[1].alias("slope")), 2,
+                         {"slope": 4})
+
+
+_ALPHAS = (0.0, 100.0, 10000.0)
+
+
+def _alpha_search_sql(h: int = 12, windows: int = 3) -> str:
+    """Rolling origins of a ridge trend line: each fold's slope from the rows before it, its error on the h rows after."""
+    return with_ctes(
+        "orders_monthly", f"t AS (SELECT unique_id, y, CAST(row_number() OVER {W()} AS DOUBLE) AS x, row_number() OVER {W()} AS r, "
+        "count(*) OVER (PARTITION BY unique_id) AS n FROM orders_monthly)",
+        f"f AS (SELECT t.*, i, n - {windows * h} + i * {h} AS o FROM t, range({windows}) g(i))",
+        "k AS (SELECT unique_id, i, regr_sxy(y, x) AS sxy, regr_sxx(y, x) AS sxx, avg(y) AS my, avg(x) AS mx FROM f WHERE r <= o GROUP BY 1, 2)",
+        f"a AS (SELECT * FROM (VALUES {', '.join(f'({a})' for a in _ALPHAS)}) v(alpha))",
+        "e AS (SELECT f.unique_id, alpha, f.i, avg(pow(y - (my + sxy / (sxx + alpha) * (x - mx)), 2)) AS mse FROM f JOIN k "
+        f"ON f.unique_id = k.unique_id AND f.i = k.i, a WHERE r > o AND r <= o + {h} GROUP BY 1, 2, 3)",
+        "s AS (SELECT unique_id, alpha, avg(mse) AS mse FROM e GROUP BY 1, 2)",
+        "SELECT unique_id, CAST(arg_min(alpha, mse) AS DOUBLE) AS alpha, round(sqrt(min(mse)), 0) AS cv_rmse FROM s GROUP BY 1")
+
+
+@register("h19_trend_alpha_search", _alpha_search_sql())
+def h19_trend_alpha_search(spark, sf_dir):
+    """Every series its own ridge strength for a trend line, by rolling-origin error."""
+    out = rg.ridge_alpha_search(_trend(panels.orders_monthly(spark, sf_dir)), ["one", "trend"], "y", 12, 3, _ALPHAS)
+    return round_doubles(out, 0)
+
+
+def _ar1_forecast_sql(h: int = 7) -> str:
+    body = with_ctes(
+        "events_daily", f"l AS (SELECT unique_id, ds, y, lag(y) OVER {W()} AS x FROM events_daily)",
+        "f AS (SELECT unique_id, regr_slope(y, x) AS phi, regr_intercept(y, x) AS c, "
+        "(regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (regr_count(y, x) - 2) AS s2, "
+        "max(ds) AS mx, arg_max(y, ds) AS last FROM l GROUP BY 1)",
+        "rec(unique_id, step, yhat, var, psi2) AS (SELECT unique_id, 0, last, CAST(0.0 AS DOUBLE), CAST(1.0 AS DOUBLE) FROM f UNION ALL "
+        "SELECT r.unique_id, step + 1, c + phi * yhat, var + s2 * psi2, psi2 * phi * phi FROM rec r JOIN f ON r.unique_id = f.unique_id "
+        f"WHERE step < {h})",
+        "SELECT r.unique_id, r.step, mx + to_days(CAST(r.step AS INTEGER)) AS ds, round(yhat, 4) AS yhat, "
+        "round(yhat - 1.959963984540054 * sqrt(var), 4) AS lo_95, round(yhat + 1.959963984540054 * sqrt(var), 4) AS hi_95, "
+        "'(1,0,0)' AS \"order\" FROM rec r JOIN f ON r.unique_id = f.unique_id WHERE step > 0")
+    return "WITH RECURSIVE " + body[len("WITH "):]
+
+
+@register("h11_ar1_forecast", _ar1_forecast_sql())
+def h11_ar1_forecast(spark, sf_dir):
+    f = arima.arima_forecast(panels.events_daily(spark, sf_dir), arima.Order(1), 7, "D")
+    return round_doubles(f.withColumn("step", F.col("step").cast("int")), 4)
+
+
 def _fourier_design(spark, sf_dir, k=3, h=12):
     p = panels.orders_monthly(spark, sf_dir)
     d = explore.trend_fourier(p, panels.future_frame(p, h, "ME"), 12, k)

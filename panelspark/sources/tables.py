@@ -48,9 +48,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
 
 
 def read_series_csv(spark: SparkSession, path: str, ds_format: str | None = None) -> DataFrame:
-    """A1: a user CSV with ``ds,y`` (and optionally ``unique_id``) read with a fixed schema."""
+    """A1: a user CSV with the columns ``ds``, ``y`` and optionally ``unique_id``, found by their names in the header
+    (any order, further columns are not read); without ``unique_id`` the series is called ``series``."""
     from pyspark.sql import functions as F
 
-    raw = spark.read.option("header", True).schema("ds string, y double").csv(path)
+    raw = spark.read.option("header", True).csv(path)  # names from the header; all values are strings, nothing is inferred
+    lacking = {"ds", "y"} - set(raw.columns)
+    if lacking:
+        raise ValueError(f"{path} has no column {', '.join(sorted(lacking))}; it has {raw.columns}")
     ts = F.to_timestamp_ntz(F.col("ds"), F.lit(ds_format)) if ds_format else F.col("ds").cast("timestamp_ntz")
-    return raw.select(F.lit("series").alias("unique_id"), ts.alias("ds"), F.col("y"))
+    uid = F.col("unique_id") if "unique_id" in raw.columns else F.lit("series")
+    return raw.select(uid.alias("unique_id"), ts.alias("ds"), F.col("y").cast("double").alias("y"))

@@ -31,6 +31,12 @@ def test_read_series_csv(spark):
     assert [r.y for r in df.orderBy("ds").collect()] == [1.5, 2.5]
 
 
+def test_read_series_csv_by_name(spark, tmp_path):
+    p = str(tmp_path / "s.csv")
+    pd.DataFrame({"note": ["x", "z"], "y": [1.5, 2.5], "unique_id": ["a", "b"], "ds": ["2024-01-01", "2024-01-02"]}).to_csv(p, index=False)
+    assert [(r.unique_id, r.y) for r in tables.read_series_csv(spark, p).orderBy("ds").collect()] == [("a", 1.5), ("b", 2.5)]
+
+
 def test_range_count(spark):
     assert spark.range(1_000_000).count() == 1_000_000
 
