@@ -243,12 +243,15 @@ def auto_differences(panel: DataFrame, max_season_length: int = 12, max_diffs: i
     the work is one keyed pass per distinct period (never per series)."""
     from panelspark.operators.regression import adf
     from panelspark.operators.windows import difference
+    from panelspark.session import cut_lineage
 
+    # read by the ACF, by each period's decomposition and by each ADF: the panel is built and written once
+    panel = cut_lineage(panel.select("unique_id", "ds", "y"))
     a = acf(panel, nlags=max_season_length + 1)
     pk = acf_peaks(a.filter(F.col("lag") <= max_season_length + 1), 0.1, None).filter(F.col("lag") >= 2)
     period = pk.groupBy("unique_id").agg(F.max_by("lag", F.struct("acf", "lag")).alias("season_length"))
-    per = panel.select("unique_id").distinct().join(period, "unique_id", "left")
-    periods = [r[0] for r in period.select("season_length").distinct().collect()]  # ≤ max_season_length values
+    per = cut_lineage(panel.select("unique_id").distinct().join(period, "unique_id", "left"))  # one row per series
+    periods = [r[0] for r in per.select("season_length").dropna().distinct().collect()]  # ≤ max_season_length values
     strengths = []
     for m in periods:
         ids = per.filter(F.col("season_length") == m).select("unique_id")
@@ -260,7 +263,7 @@ def auto_differences(panel: DataFrame, max_season_length: int = 12, max_diffs: i
     for s in strengths[1:]:
         st = st.unionByName(s)
     res = per if st is None else per.join(st, "unique_id", "left")
-    res = res.withColumn("seasonal_diff", F.coalesce(F.col("strength") > strength_threshold, F.lit(False)))
+    res = cut_lineage(res.withColumn("seasonal_diff", F.coalesce(F.col("strength") > strength_threshold, F.lit(False))))
     # regular differences on the (seasonally differenced) series while non-stationary
     cur = panel.join(res.select("unique_id", "season_length", "seasonal_diff"), "unique_id")
     seasonal_sets = []
@@ -288,9 +291,11 @@ DECOMP_PERIOD = {"M": 30, "Q": 90, "Y": 365}  # fixed values: the reference's de
 def insight_report(panel: DataFrame, freq: str | None = None, max_lag: int = 100) -> DataFrame:
     """one row per series — frequency, ADF, named seasonalities, top-3 ACF peaks, decomposition period."""
     from panelspark.operators.regression import adf
+    from panelspark.session import cut_lineage
 
+    panel = cut_lineage(panel.select("unique_id", "ds", "y"))  # read by every part of the report: built once
     fr = infer_frequency(panel) if freq is None else panel.select("unique_id").distinct().withColumn("freq", F.lit(freq))
-    a = acf(panel, max_lag)
+    fr, a = cut_lineage(fr), cut_lineage(acf(panel, max_lag))  # one row per series; per (series, lag)
     peaks = acf_peaks(a).groupBy("unique_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "lag", "acf"))),
                                  lambda s: F.format_string("lag %d: %.3f", s["lag"], s["acf"])), "; ").alias("top_peaks"))
