@@ -263,13 +263,18 @@ def ridge_alpha_search(df: DataFrame, xcols, y: str, h: int, n_windows: int, alp
     return per.mapInPandas(search, "unique_id string, alpha double, cv_rmse double")
 
 
-# ---------------------------------------------------------------- H16 Theta (re-aim)
+# ---------------------------------------------------------------- H16 Theta
 
-def theta_forecast(panel: DataFrame, h: int, freq: str, season_length: int | None = None) -> DataFrame:
-    """H16 re-aim: Theta ≡ simple exponential smoothing with drift = half the linear-trend slope.  SES is ARIMA(0,1,1),
-    fitted per series by Hannan–Rissanen on Δy (θ; smoothing α = 1+θ), its last level l_n = y_n + θ·ε_n; forecast
-    ``l_n + b/2·k``.  With ``season_length`` the series is additively deseasonalised first (F14) and the phase's
-    seasonal component added back."""
+ALPHAS = tuple(round(0.05 * k, 2) for k in range(1, 21))
+
+
+def theta_forecast(panel: DataFrame, h: int, freq: str, season_length: int | None = None, alphas=ALPHAS) -> DataFrame:
+    """Theta as simple exponential smoothing with drift = half the linear-trend slope; the smoothing α is the one of
+    ``alphas`` with the least sum of squared one-step errors (ties: the smallest), the forecast ``l_n + b/2·k``.  With
+    ``season_length`` the series is additively deseasonalised first (F14) and the phase's component added back.
+
+    The recursion is an SQL ``aggregate`` over the series' values in order, for all α of the grid at once: one row per
+    series, whose array is bounded by the panel's frequency and time span."""
     from panelspark.operators.explore import decompose
     from panelspark.sources.panels import future_frame
 
@@ -278,25 +283,25 @@ def theta_forecast(panel: DataFrame, h: int, freq: str, season_length: int | Non
         dec = decompose(panel, season_length).withColumn("__pos", F.row_number().over(_W()) - 1)
         seas = dec.select("unique_id", (F.col("__pos") % season_length).alias("__ph"), "seasonal").dropDuplicates(["unique_id", "__ph"])
         base = dec.select("unique_id", "ds", (F.col("y") - F.coalesce(F.col("seasonal"), F.lit(0.0))).alias("y"))
-    w = _W()
-    d = base.withColumn("__dy", F.col("y") - F.lag("y", 1).over(w))
-    d = d.withColumns({"__one": F.lit(1.0), **{f"__la{i}": F.lag("__dy", i).over(w) for i in range(1, 5)}})
-    xl = ["__one", *[f"__la{i}" for i in range(1, 5)]]
-    c1 = fit_linear(d, ["unique_id"], xl, "__dy")
-    d = predict_linear(d, c1, ["unique_id"], xl, "__fit").withColumn("__eps", F.col("__dy") - F.col("__fit"))
-    d = d.withColumn("__eps1", F.lag("__eps", 1).over(w))
-    ma = fit_linear(d, ["unique_id"], ["__one", "__eps1"], "__dy")  # Δy = c + ε + θ·ε₋₁
-    trend = base.withColumns({"__one": F.lit(1.0), "__t": F.row_number().over(w).cast("double")})
+    values = base.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("__s"))
+    values = values.select("unique_id", F.transform("__s", lambda s: s["y"]).alias("__y"))
+
+    def smooth(alpha):
+        start = F.struct(F.element_at("__y", 1).alias("level"), F.lit(0.0).alias("sse"))
+        end = F.aggregate(F.slice("__y", 2, F.greatest(F.size("__y") - 1, F.lit(0))), start, lambda acc, y: F.struct(
+            (alpha * y + (1 - alpha) * acc["level"]).alias("level"),
+            (acc["sse"] + (y - acc["level"]) * (y - acc["level"])).alias("sse")))
+        return F.struct(end["sse"].alias("sse"), alpha.alias("alpha"), end["level"].alias("level"))
+
+    best = values.select("unique_id", F.array_min(F.transform(F.array(*map(F.lit, alphas)), smooth)).alias("__b"))
+    trend = base.withColumns({"__one": F.lit(1.0), "__t": F.row_number().over(_W()).cast("double")})
     b = fit_linear(trend, ["unique_id"], ["__one", "__t"], "y")
-    last = d.withColumn("__r", F.row_number().over(Window.partitionBy("unique_id").orderBy(F.desc("ds")))).filter("__r = 1") \
-            .select("unique_id", F.col("y").alias("__yn"), F.coalesce(F.col("__eps"), F.lit(0.0)).alias("__en"))
-    st = last.join(ma.select("unique_id", F.col("coef")[1].alias("__ma1")), "unique_id") \
-             .join(b.select("unique_id", F.col("coef")[1].alias("slope")), "unique_id") \
-             .withColumn("level", F.col("__yn") + F.col("__ma1") * F.col("__en"))
+    st = best.select("unique_id", "__b.alpha", "__b.level").join(
+        b.select("unique_id", F.col("coef")[1].alias("slope")), "unique_id")
     fut = future_frame(panel, h, freq).join(st, "unique_id")
     f = fut.withColumn("Theta", F.col("level") + F.col("slope") / 2 * F.col("step"))
     if season_length:
         n = panel.groupBy("unique_id").agg(F.count("*").alias("__n"))
         f = f.join(n, "unique_id").withColumn("__ph", (F.col("__n") + F.col("step") - 1) % season_length) \
              .join(seas, ["unique_id", "__ph"], "left").withColumn("Theta", F.col("Theta") + F.coalesce("seasonal", F.lit(0.0)))
-    return f.select("unique_id", "ds", "step", "Theta", (1 + F.col("__ma1")).alias("alpha"))
+    return f.select("unique_id", "ds", "step", "Theta", "alpha")

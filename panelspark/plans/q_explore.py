@@ -173,6 +173,29 @@ def h13_forecast_from_given_coefficients(spark, sf_dir):
     return round_doubles(f.withColumn("step", F.col("step").cast("int")), 4)
 
 
+def _theta_sql() -> str:
+    grid = ", ".join(f"({a})" for a in rg.ALPHAS)
+    body = with_ctes(
+        "orders_monthly", f"s AS (SELECT *, row_number() OVER {W()} AS r, count(*) OVER (PARTITION BY unique_id) AS n FROM orders_monthly)",
+        f"a AS (SELECT * FROM (VALUES {grid}) v(alpha))",
+        "ses(unique_id, alpha, r, level, sse) AS (SELECT unique_id, CAST(alpha AS DOUBLE), r, y, CAST(0.0 AS DOUBLE) FROM s, a WHERE r = 1 UNION ALL "
+        "SELECT e.unique_id, alpha, s.r, alpha * s.y + (1 - alpha) * level, sse + (s.y - level) * (s.y - level) FROM ses e JOIN s "
+        "ON s.unique_id = e.unique_id AND s.r = e.r + 1)",
+        "z AS (SELECT e.* FROM ses e JOIN s ON e.unique_id = s.unique_id AND e.r = s.r WHERE s.r = s.n)",
+        "b AS (SELECT unique_id, arg_min(alpha, sse) AS alpha, arg_min(level, sse) AS level FROM z GROUP BY 1)",
+        "t AS (SELECT unique_id, regr_slope(y, CAST(r AS DOUBLE)) AS slope, max(ds) AS mx FROM s GROUP BY 1)",
+        "SELECT b.unique_id, CAST(last_day(date_trunc('month', mx) + to_months(CAST(k AS INTEGER))) AS TIMESTAMP) AS ds, "
+        "CAST(k AS INTEGER) AS step, round(level + slope / 2 * k, 2) AS Theta, round(alpha, 2) AS alpha "
+        "FROM b JOIN t ON b.unique_id = t.unique_id, range(1, 13) g(k)")
+    return "WITH RECURSIVE " + body[len("WITH "):]
+
+
+@register("h16_theta_plain", _theta_sql())
+def h16_theta_plain(spark, sf_dir):
+    f = rg.theta_forecast(panels.orders_monthly(spark, sf_dir), 12, "ME")
+    return round_doubles(f.withColumn("step", F.col("step").cast("int")), 2)
+
+
 @register("h16_theta")
 def h16_theta(spark, sf_dir):
     return round_doubles(rg.theta_forecast(panels.orders_monthly(spark, sf_dir), 12, "ME", 12), 4)

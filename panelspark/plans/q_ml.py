@@ -3,6 +3,8 @@ H21, J8–J12."""
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -52,10 +54,17 @@ def h2_recursive_forecast_gbt(spark, sf_dir):
 
 @register("h7_insample_fitted_values")
 def h7_insample_fitted_values(spark, sf_dir):
+    """Fitted values of each cross-validation fold: 3 cutoffs, 24 hours apart, a fit on the rows up to each."""
     f = _feats(spark, sf_dir, materialise=True)
-    tr, _ = _train_test(f)
-    m = ml.fit_global(f.filter(tr), ml.feature_names(LAGS), "gbt", maxIter=20, maxDepth=4)
-    return round_doubles(ml.one_step_replay(m, f, tr).select("unique_id", "ds", "y", F.col("yhat").alias("fitted")), 4)
+    last = f.agg(F.max("ds").alias("last")).first()["last"]
+    out = None
+    for k in (3, 2, 1):
+        cutoff = F.lit(last - datetime.timedelta(hours=24 * k)).cast("timestamp_ntz")
+        m = ml.fit_global(f.filter(F.col("ds") <= cutoff), ml.feature_names(LAGS), "gbt", maxIter=20, maxDepth=4)
+        fold = ml.one_step_replay(m, f, F.col("ds") <= cutoff).select(
+            "unique_id", "ds", cutoff.alias("cutoff"), "y", F.col("yhat").alias("fitted"))
+        out = fold if out is None else out.unionByName(fold)
+    return round_doubles(out, 4)
 
 
 @register("h8_many_models_merged")
@@ -138,9 +147,10 @@ def j12_misclassified_summary(spark, sf_dir):
 BAR_LAGS = (1, 2, 3, 4, 5, 15, 30, 60, 120)  # fixed values: the replay's lag set (its band level is 60)
 
 
-def _minute_replay(spark, sf_dir, level: float = 0.60):
-    """Fit on day t−1, replay day t one step at a time with the true history; band = ± the ``level`` quantile of
-    the training day's absolute one-step errors; the band tested at row i is the forecast for row i+1."""
+def _minute_replay(spark, sf_dir, level: float = 0.60, n_windows: int = 10, h: int = 5):
+    """Fit on day t−1, replay day t one step at a time with the true history; band = ± the ``level`` quantile of the
+    absolute one-step errors of a backtest over the last ``n_windows`` × ``h`` bars of day t−1, by a model fitted on the
+    bars before them (one refit serves all windows); the band tested at row i is the forecast for row i+1."""
     from panelspark.operators import backtest as bt
     from panelspark.operators import relational as rel2
 
@@ -151,8 +161,12 @@ def _minute_replay(spark, sf_dir, level: float = 0.60):
         bars.select("unique_id", "ds", "day_rank"), ["unique_id", "ds"]))  # read by the fit and two replays
     names = ml.feature_names(BAR_LAGS, ("hour", "minute"))
     m = ml.fit_global(feats.filter("day_rank = 2"), names, "gbt", maxIter=20, maxDepth=4)
-    fitted = ml.one_step_replay(m, feats, F.col("day_rank") == 2)
-    q = rel2.exact_percentiles(fitted.select("unique_id", F.abs(F.col("y") - F.col("yhat")).alias("e")),
+    end = feats.filter("day_rank = 2").groupBy("unique_id").agg(F.max("ds").alias("__end"))
+    day = feats.filter("day_rank = 2").join(end, "unique_id")
+    tested = F.col("ds") > F.col("__end") - F.expr(f"INTERVAL {n_windows * h} MINUTES")
+    past = ml.fit_global(day.filter(~tested), names, "gbt", maxIter=20, maxDepth=4)
+    errors = ml.one_step_replay(past, day, tested)
+    q = rel2.exact_percentiles(errors.select("unique_id", F.abs(F.col("y") - F.col("yhat")).alias("e")),
                                ["unique_id"], "e", [level], ["q"])
     rep = ml.one_step_replay(m, feats, F.col("day_rank") == 1).join(q, "unique_id", "left")
     w = Window.partitionBy("unique_id").orderBy("ds")
