@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 
 from panelspark.llm import blobs as B
 from panelspark.llm import textkit as K
-from panelspark.llm.common import materialise, partitions
+from panelspark.llm.common import materialise, partitions, small_batches
 
 DEPTH = 5
-GROUP = 6 << 20
+GROUP = 3 << 20
 FOLDS, HELD_OUT = 5, 1
 #: Bytes that no UTF-8 text has: before a text's start, and its end.
 _START, _END = 0xFE, 0xFF
@@ -61,18 +61,27 @@ class Group:
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """The string of each byte and end byte (nearest context byte first, then the byte), and its text."""
         sizes = self.texts.sizes + 1 + DEPTH
-        data = np.full(int(sizes.sum()), _START, np.uint8)
-        ends = np.cumsum(sizes) - 1
-        data[ends] = _END
-        owner = np.repeat(np.arange(len(sizes)), self.texts.sizes + 1)
-        at = np.arange(len(owner)) + DEPTH * (owner + 1)
-        inside = np.ones(len(self.texts.data), bool)
-        inside[self.texts.ends] = False
-        data[at[data[at] != _END]] = self.texts.data[inside]
-        out = np.zeros(len(at), _U)
+        n = int(sizes.sum())
+        begin = np.cumsum(sizes) - sizes
+        scored = np.ones(n, bool)  # the bytes and end bytes; before each text stand DEPTH start bytes
+        data = np.empty(n, np.uint8)
+        for k in range(DEPTH):
+            scored[begin + k] = False
+        data[~scored] = _START
+        data[scored] = np.where(self._is_end(), np.uint8(_END), self.texts.data)
+        out = np.zeros(n, _U)
         for back in range(1, DEPTH + 1):
-            out = out << _U(8) | data[at - back]
-        return out << _U(8) | data[at], owner
+            out <<= _U(8)
+            out[back:] |= data[:n - back]
+        out <<= _U(8)
+        out |= data
+        return out[scored], np.repeat(np.arange(len(sizes), dtype=np.int32), self.texts.sizes + 1)
+
+    def _is_end(self) -> np.ndarray:
+        """Which bytes of the joined texts are the line feeds after a text."""
+        end = np.zeros(len(self.texts.data), bool)
+        end[self.texts.ends] = True
+        return end
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """The hash of each word, and its text."""
@@ -118,13 +127,11 @@ def _send(buckets: int, asking: bool):
                 if kind == WORDS and not asking:
                     continue
                 keys, owner = found()
-                trained, n = np.unique(keys[group.train[owner]], return_counts=True)
-                if asking:
-                    distinct = np.unique(keys)
-                    counts = np.zeros(len(distinct), np.uint32)
-                    counts[np.searchsorted(distinct, trained)] = n
-                else:
-                    distinct, counts = trained, n.astype(np.uint32)
+                train = group.train[owner]
+                if not asking:
+                    keys, train = keys[train], train[train]
+                distinct, place_of = K.distinct(keys)
+                counts = np.bincount(place_of[train], minlength=len(distinct)).astype(np.uint32)
                 rows = [(b, kind, group.name, B.pack(distinct[at], ascending=True), B.pack(counts[at]))
                         for b, at in _by_bucket(distinct, place(distinct, buckets))]
                 if rows:
@@ -311,7 +318,7 @@ def _score(buckets: int, kind_of_id: pa.DataType):
         for kind, found, place, dtype in ((GRAMS, group.grams, _gram_bucket, np.float32),
                                           (WORDS, group.words, _word_bucket, np.uint32)):
             keys, owner = found()
-            distinct, inverse = np.unique(keys, return_inverse=True)
+            distinct, inverse = K.distinct(keys)
             value = np.zeros(len(distinct), dtype)
             for b, at in _by_bucket(distinct, place(distinct, buckets)):
                 value[at] = B.unpack(by_kind[kind][b], dtype)
@@ -332,7 +339,7 @@ def _score(buckets: int, kind_of_id: pa.DataType):
 
 def ctw_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     n = partitions(spark)
     kind = docs.schema["doc_id"].dataType
     source = docs.select("doc_id", F.col("doc_id").cast("string").alias("id_text"), "text")
