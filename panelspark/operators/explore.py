@@ -328,9 +328,9 @@ def qq_points(df: DataFrame, col: str, key: str = "unique_id") -> DataFrame:
     def ppf(p):
         return __import__("pandas").Series(norm_ppf(p.to_numpy()))
 
-    w = Window.partitionBy(key).orderBy("sample")
-    d = df.filter(F.col(col).isNotNull()).select(key, F.col(col).alias("sample"))
-    d = d.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy(key))})
+    from panelspark.operators.relational import value_ranks
+
+    d = value_ranks(df.filter(F.col(col).isNotNull()).select(key, F.col(col).alias("sample")), [key], "sample")
     m = (F.when(F.col("i") == 1, 1 - F.pow(F.lit(0.5), 1 / F.col("n")))
           .when(F.col("i") == F.col("n"), F.pow(F.lit(0.5), 1 / F.col("n")))
           .otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365)))

@@ -176,20 +176,52 @@ def histogram(df: DataFrame, col: str, bins: int = 10, key: str | None = None) -
 def kde(df: DataFrame, key: str, col: str, grid: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density per group on a ``grid``-point grid, each group normalised by itself.
 
-    Bandwidth ``std_samp · n^(-1/5)``; grid spans ``cut`` bandwidths beyond min and max.  Each row meets the fixed
-    grid of its group (``grid``× rows, a constant factor — never pairs of rows), then a keyed sum.
+    Bandwidth ``std_samp · n^(-1/5)``; grid spans ``cut`` bandwidths beyond min and max.  Each Arrow batch sums the kernels
+    of its rows over the grid points and yields ``grid`` rows per group it holds, so rows are never multiplied; a keyed
+    sum joins the batches' parts.
     """
-    st = df.groupBy(key).agg(F.count(col).alias("__n"), F.min(col).alias("__lo"), F.max(col).alias("__hi"),
+    import math
+
+    st = df.groupBy(key).agg(F.count(col).alias("__n"), F.min(col).cast("double").alias("__lo"),
+                             F.max(col).cast("double").alias("__hi"),
                              (F.stddev_samp(col) * F.pow(F.count(col), -0.2)).alias("__bw")) \
            .filter(F.col("__bw") > 0)
-    rows = df.filter(F.col(col).isNotNull()).select(key, col).join(st, key)
-    g = rows.select(key, col, "__n", "__bw", F.posexplode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("__p", "i"),
-                    "__lo", "__hi")
-    x = F.col("__lo") - cut * F.col("__bw") + F.col("i") * ((F.col("__hi") - F.col("__lo")) + 2 * cut * F.col("__bw")) / (grid - 1)
-    g = g.withColumn("x", x).withColumn("__k", F.exp(-0.5 * F.pow((F.col("x") - F.col(col)) / F.col("__bw"), 2)))
-    out = g.groupBy(key, "i", "x", "__n", "__bw").agg(F.sum("__k").alias("__s"))
-    return out.select(key, F.col("i").cast("int").alias("i"), "x",
-                      (F.col("__s") / (F.col("__n") * F.col("__bw") * F.sqrt(F.lit(2 * 3.141592653589793)))).alias("density"))
+    rows = df.filter(F.col(col).isNotNull()).select(key, F.col(col).cast("double").alias("__v")).join(st, key)
+
+    def sums(batches):
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for (k, n, lo, hi, bw), part in batch.groupby([key, "__n", "__lo", "__hi", "__bw"]):
+                at = lo - cut * bw + np.arange(grid) * ((hi - lo) + 2 * cut * bw) / (grid - 1)
+                total = np.zeros(grid)
+                values = part["__v"].to_numpy()
+                for i in range(0, len(values), 2048):
+                    total += np.exp(-0.5 * ((at[None, :] - values[i:i + 2048, None]) / bw) ** 2).sum(axis=0)
+                yield pd.DataFrame({key: k, "i": np.arange(grid, dtype="int32"), "x": at, "__n": n, "__bw": bw, "__k": total})
+
+    kind = df.schema[key].dataType.simpleString()
+    g = rows.mapInPandas(sums, f"`{key}` {kind}, i int, x double, __n bigint, __bw double, __k double")
+    out = g.groupBy(key, "i").agg(F.first("x").alias("x"), F.first("__n").alias("__n"), F.first("__bw").alias("__bw"),
+                                  F.sum("__k").alias("__s"))
+    return out.select(key, "i", "x", (F.col("__s") / (F.col("__n") * F.col("__bw") * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def value_ranks(df: DataFrame, keys, col: str, name: str = "i", buckets: int = 1024) -> DataFrame:
+    """``name``: the rank from 1 of each row's value in its key (ties in any order), and ``n``: the key's rows.  Rows are
+    numbered inside equal parts of the key's value range, whose counts give the ranks before them, so no window orders a
+    whole key."""
+    keys = list(keys)
+    span = df.groupBy(*keys).agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"), F.count("*").alias("n"))
+    at = F.try_divide(F.col(col) - F.col("__lo"), F.col("__hi") - F.col("__lo")) * buckets
+    d = df.join(span, keys).withColumn("__b", F.least(F.coalesce(F.floor(at), F.lit(0)), F.lit(buckets - 1)).cast("int"))
+    upto = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(*keys, "__b").agg(F.count("*").alias("__c")).select(
+        *keys, "__b", F.coalesce(F.sum("__c").over(upto), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(col))
+    return (d.withColumn("__r", inside).join(counts, [*keys, "__b"])
+            .withColumn(name, (F.col("__before") + F.col("__r")).cast("int")).drop("__lo", "__hi", "__b", "__r", "__before"))
 
 
 # ---------------------------------------------------------------- J7 standard scaling as scalar subqueries
