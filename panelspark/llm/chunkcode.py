@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 
 from panelspark.llm import blobs as B
 from panelspark.llm import textkit as K
-from panelspark.llm.common import partitions
+from panelspark.llm.common import partitions, small_batches
 from panelspark.llm.tokens import Encoder, vocabulary_path
 
-WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 8192
-GROUP = 4 << 20
+WINDOW, MEAN, LEAST, MOST = 16, 2048, 64, 16384
+GROUP = 8 << 20
 CHUNKS, PLACES = 0, 1
 LEVEL = 6
 ROW = "bucket int, kind int, grp binary, body binary, sizes binary"
@@ -41,9 +41,11 @@ _NAMES = ["bucket", "kind", "grp", "body", "sizes"]
 
 def cuts(texts: K.Texts) -> list[list[int]]:
     """The bounds of each text's chunks: where the rolling hash says, at characters' starts, LEAST to MOST bytes."""
-    data = texts.data
-    hashes = K.byte_hash(data).windows(WINDOW)
-    marks = np.flatnonzero((hashes & np.uint64(MEAN - 1)) == 0) + WINDOW
+    data, marks = texts.data, []
+    for lo in range(0, len(data), K.HASH_BYTES):
+        hashes = K.byte_hash(data[lo:lo + K.HASH_BYTES + WINDOW - 1]).windows(WINDOW)
+        marks.append(np.flatnonzero((hashes & np.uint64(MEAN - 1)) == 0) + lo + WINDOW)
+    marks = np.concatenate(marks)
     low, high = np.searchsorted(marks, texts.starts + WINDOW), np.searchsorted(marks, texts.ends)
     out = []
     for start, end, lo, hi in zip(texts.starts.tolist(), texts.ends.tolist(), low.tolist(), high.tolist()):
@@ -208,8 +210,7 @@ def _assemble(path: str, kind: pa.DataType):
         words = iter(())
         if windows:
             split = [w.decode() for w in windows.split(b"\n")]
-            found = tokenizer.encode_batch_fast(split, add_special_tokens=False)
-            words = zip(split, (np.array(e.ids, encoder.dtype) for e in found))
+            words = zip(split, encoder.ids_of(split))
         out, at = [], 0
         for count in counts:
             parts = []
@@ -252,7 +253,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     path = path or vocabulary_path()
-    n = partitions(docs.sparkSession)
+    n = partitions(small_batches(docs.sparkSession))
     kind = docs.schema["doc_id"].dataType
     sent = docs.select("doc_id", "text").mapInArrow(_cut(n), ROW)
     back = (sent.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket")
