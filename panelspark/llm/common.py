@@ -12,6 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows that Spark puts into an Arrow batch for the operators over texts (its own default is 10,000, tens of MB).
+ROWS_PER_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches hold at most ``ROWS_PER_BATCH`` rows in this session, so that a batch of long texts stays small
+    in the executor and in its Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > ROWS_PER_BATCH:
+        spark.conf.set(name, str(ROWS_PER_BATCH))
+    return spark
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Written once to the shared checkpoint folder and read from there by all that follows."""
     checkpoint_dir(df.sparkSession)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm import textkit as K
-from panelspark.llm.common import materialise, partitions
+from panelspark.llm.common import materialise, partitions, small_batches
 from panelspark.llm.tokens import Encoder, vocabulary_path
 
 CAPACITY = 4096
@@ -39,6 +39,7 @@ PLAN_BOUND = 2 * CAPACITY
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int = CLOSING_ID) -> DataFrame:
     """Each document's ids and the closing id, cut into pieces of ``capacity``; the last piece may be shorter."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)

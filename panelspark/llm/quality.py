@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import textkit as K
+from panelspark.llm.common import small_batches
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -65,9 +66,9 @@ def measure(texts: K.Texts) -> tuple[dict[str, np.ndarray], Lines]:
     for name, flags in (("chars", ((data & 0xC0) != 0x80) & ~K.SPACE[data]), ("symbol", _SYMBOL[data]),
                         ("bar", _BAR[data]), ("mark", _MARK[data]), ("upper", _UPPER[data]), ("digit", _DIGIT[data]),
                         ("stop", _STOP[data])):
-        sums[name] = np.zeros(len(data) + 1, np.int64)
+        sums[name] = np.zeros(len(data) + 1, np.int32)
         np.cumsum(flags, out=sums[name][1:])
-    of_text = {k: v[texts.ends] - v[texts.starts] for k, v in sums.items()}
+    of_text = {k: (v[texts.ends] - v[texts.starts]).astype(np.int64) for k, v in sums.items()}
     hashes = K.byte_hash(data)
     word_codes = hashes.of(starts, ends)
 
@@ -197,6 +198,7 @@ def all_content() -> Field:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """Fit on at most ``sample`` labelled documents (``quality`` 0 or 1)."""
+    small_batches(docs.sparkSession)
     # both kinds in their natural proportion; the sample holds ``sample`` ids at most
     picked = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
               .select("doc_id", "quality").distinct()
@@ -244,6 +246,7 @@ OUT = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 
 def quality_table(docs: DataFrame, field: Field, min_content: float = MIN_CONTENT) -> DataFrame:
     """One row per document: its id, the base figures, the verdict and the content share."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +260,8 @@ def quality_table(docs: DataFrame, field: Field, min_content: float = MIN_CONTEN
 
 def keep_good(docs: DataFrame, field: Field, min_content: float = MIN_CONTENT) -> DataFrame:
     """The documents that are kept, with all their columns."""
+    small_batches(docs.sparkSession)
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.document_groups(batches):
             yield batch.filter(pa.array(judge(K.Texts(K.as_bytes(batch.column("text"))), field, min_content)["kept"]))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import textkit as K
-from panelspark.llm.common import materialise, partitions, smallest_reachable
+from panelspark.llm.common import materialise, partitions, small_batches, smallest_reachable
 
 SHINGLE = 3
 DISTANCE = 3
@@ -192,6 +192,7 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, block: int =
 def simhash_table(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.document_groups(batches):

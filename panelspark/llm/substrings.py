@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm import textkit as K
+from panelspark.llm.common import small_batches
 
 MIN_WORDS = 8
 
@@ -80,6 +81,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``text_code`` is ``xxhash64`` of the text; it tells rows of one id apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     coded = docs.select("doc_id", "text", F.xxhash64("text").alias("text_code"))
     found = coded.mapInArrow(_emit(min_words),
                              f"doc_id {kind}, text_code long, begin long, end long, digest binary")

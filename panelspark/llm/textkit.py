@@ -118,17 +118,30 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 def document_groups(batches: Iterable[pa.RecordBatch], text: str = "text",
                     max_bytes: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows in their order, in slices of at most ``max_bytes`` of text or of one row."""
+    """The rows in their order, in groups of about ``max_bytes`` of text (a longer text ends its group)."""
+    held: list[pa.RecordBatch] = []
+    room = max_bytes
     for batch in batches:
-        if not batch.num_rows:
-            continue
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends, lo = np.cumsum(sizes, dtype=np.int64), 0
         while lo < batch.num_rows:
-            base = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
-            yield batch.slice(lo, hi - lo)
+            base = int(ends[lo - 1]) if lo else 0
+            hi = int(np.searchsorted(ends, base + room, side="left")) + 1  # the row that fills the group is its last
+            part = batch.slice(lo, hi - lo)
+            held.append(part)
+            room -= int(ends[min(hi, batch.num_rows) - 1]) - base
             lo = hi
+            if room <= 0:
+                yield _whole(held)
+                held, room = [], max_bytes
+    if held:
+        yield _whole(held)
+
+
+def _whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(parts) == 1:
+        return parts[0]
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
