@@ -191,6 +191,26 @@ def h26_promo_scenario(spark, sf_dir):
     return round_doubles(s, 2, {"pct": 4})
 
 
+@register("h26_promo_scenario_mape", with_ctes(
+    "orders_monthly", _SPINE, _promo_sql("sp"), *_future_ctes("orders_monthly", 24, 12, ME_STEP, ["SeasonalNaive"]),
+    "b AS (SELECT unique_id, ds, y AS base, 'history' AS part FROM orders_monthly UNION ALL "
+    "SELECT unique_id, ds, SeasonalNaive, 'horizon' FROM fut)",
+    "s AS (SELECT b.*, base * (1 + 0.1 * p.promo) AS with_promo FROM b JOIN promo p ON b.ds = p.ds)",
+    "SELECT unique_id, part, count(*) AS months, round(avg(abs(with_promo - base) / NULLIF(abs(base), 0)) * 100, 4) AS mape, "
+    "round(sum(with_promo - base), 2) AS difference FROM s GROUP BY 1, 2"))
+def h26_promo_scenario_mape(spark, sf_dir):
+    """The scenario over history and horizon: mean absolute percentage and total difference with and without promotion."""
+    o = panels.orders_monthly(spark, sf_dir)
+    f = fc.forecast_baselines(o, 24, "ME", 12, ["SeasonalNaive"])
+    b = o.select("unique_id", "ds", F.col("y").alias("base"), F.lit("history").alias("part")).unionByName(
+        f.select("unique_id", "ds", F.col("SeasonalNaive").alias("base"), F.lit("horizon").alias("part")))
+    s = b.join(_promo_calendar(spark, sf_dir), "ds").withColumn("with_promo", fc.uplift("base", "promo", 0.1))
+    diff = F.col("with_promo") - F.col("base")
+    out = s.groupBy("unique_id", "part").agg(F.count("*").alias("months"), (F.avg(F.try_divide(
+        F.abs(diff), F.abs("base"))) * 100).alias("mape"), F.sum(diff).alias("difference"))
+    return round_doubles(out, 2, {"mape": 4})
+
+
 @register("e2_stack_history_forecast", with_ctes("orders_monthly", *_future_ctes("orders_monthly", 12, 12, ME_STEP, ["SeasonalNaive"]),
                                                  "SELECT unique_id, ds, round(y, 2) AS y, NULL::DOUBLE AS SeasonalNaive FROM orders_monthly "
                                                  "UNION ALL SELECT unique_id, ds, NULL, round(SeasonalNaive, 2) FROM fut"))
