@@ -16,6 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: From so many regressors on, a Gram's entries are summed as arrays from Arrow batches: p(p+1)/2 separate ``sum``
+#: expressions would be more than generated code holds.
+ARRAYS_FROM = 13
+
+
 def gram(df: DataFrame, keys, xcols, y: str, weight: str | None = None) -> DataFrame:
     """Per-key ``n``, ``xtx`` (upper triangle, row-major, as array<double>), ``xty`` (array), ``yy``.
 
@@ -27,12 +32,41 @@ def gram(df: DataFrame, keys, xcols, y: str, weight: str | None = None) -> DataF
         ok = ok & F.col(c).isNotNull()
     w = F.col(weight) if weight else F.lit(1.0)
     d = df.filter(ok)
+    if p >= ARRAYS_FROM:
+        return _gram_of_batches(d.select(*keys, *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(xcols)],
+                                         F.col(y).cast("double").alias("__y"), w.cast("double").alias("__w")), keys, p)
     tri = [F.sum(F.col(xcols[i]) * F.col(xcols[j]) * w) for i in range(p) for j in range(i, p)]
     xty = [F.sum(F.col(c) * F.col(y) * w) for c in xcols]
     return d.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*tri).alias("xtx"), F.array(*xty).alias("xty"),
                                 F.sum(F.col(y) * F.col(y) * w).alias("yy"))
 
 
+def _gram_of_batches(d: DataFrame, keys, p: int) -> DataFrame:
+    """The Gram's entries as one array from each batch and key, summed by position (partial/final)."""
+    upper = np.triu_indices(p)
+    kinds = ", ".join(f"`{k}` {t}" for k, t in d.select(*keys).dtypes)
+
+    def parts(batches):
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for key, g in batch.groupby(keys, dropna=False, sort=False):
+                x, yv, w = g[[f"__x{i}" for i in range(p)]].to_numpy(), g["__y"].to_numpy(), g["__w"].to_numpy()
+                xw = x * w[:, None]
+                out.append((*key, [float(len(g)), *(xw.T @ x)[upper], *(xw.T @ yv), float((yv * yv * w).sum())]))
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "v"])
+
+    sums = (d.mapInPandas(parts, f"{kinds}, v array<double>").select(*keys, F.posexplode("v").alias("__i", "__v"))
+            .groupBy(*keys, "__i").agg(F.sum("__v").alias("__v")))
+    flat = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__i", "__v"))).alias("__s"))
+    flat = flat.select(*keys, F.transform("__s", lambda s: s["__v"]).alias("__s"))
+    t = p * (p + 1) // 2
+    return flat.select(*keys, F.col("__s")[0].cast("bigint").alias("n"), F.slice("__s", 2, t).alias("xtx"),
+                       F.slice("__s", 2 + t, p).alias("xty"), F.col("__s")[1 + t + p].alias("yy"))
+
+
 def unpack(xtx, p: int) -> np.ndarray:
     A = np.zeros((p, p))
     k = 0
