@@ -3,11 +3,12 @@
 A vector is normalised, padded to a power of two d and rotated by three rounds of random signs and a fast Hadamard
 transform.  Its hash is the nearest vertex of the cross-polytope, the coordinate of greatest size with its sign (2 d
 vertices).  A table joins ``depth`` such hashes; a vector goes to its own bucket and to the ``PROBES`` - 1 next best ones,
-where one hash takes its second vertex at the least loss.  ``depth`` follows from the number of vectors, so that buckets
-stay small, and the number of tables from ``depth``, so that a pair at the threshold meets with probability
-``CHANCE`` or more (``MEET`` is the measured chance that one hash of two such vectors agrees, probes included).
+where one hash takes its second vertex at the least loss.  ``depth`` follows from the number of vectors, so that few meet
+by chance, and the number of tables from ``depth``, so that a pair at the threshold meets with a probability of about
+``CHANCE`` (``MEET`` is the measured chance that one hash of two such vectors agrees, probes included).
 
-Equal vectors are one class and are compared once.  Inside a bucket all pairs are verified by their cosine in double
+Equal vectors are one class and are compared once.  Only bucket numbers are shuffled at first; a vector is sent to those
+of its buckets that hold another one.  Inside a bucket all pairs are verified by their cosine in double
 precision.  A pair that meets in several buckets counts in the first alone, which both vectors' bucket lists give.  A
 bucket yields one row for each linked member: how many vectors it links there, and the root of its local component; no
 pairs leave the task.  A bucket of more than ``BLOCK`` classes is cut into blocks whose pairs are tasks of their own
@@ -34,17 +35,17 @@ from panelspark.llm.common import materialise, partitions, smallest_reachable
 
 THRESHOLD = 0.9
 PROBES = 4
-CHANCE = 0.995
-MEET = 0.72
+CHANCE = 0.99
+MEET = 0.7
 BLOCK = 2048
-BUCKET = 8
+ROOM = 2
 SEED = 2
 
 
 def shape(n: int, dims: int) -> tuple[int, int]:
-    """(tables, depth) for n vectors: about ``BUCKET`` of them in a bucket if they were spread evenly."""
+    """(tables, depth) for n vectors: ``ROOM`` buckets or more for each, so that few meet by chance."""
     vertices = 2 * (1 << max(1, (dims - 1).bit_length()))
-    depth = max(1, math.ceil(math.log(max(n / BUCKET, 2)) / math.log(vertices)))
+    depth = max(1, math.ceil(math.log(max(n * ROOM, 2)) / math.log(vertices)))
     return math.ceil(math.log(1 - CHANCE) / math.log(1 - MEET ** depth)), depth
 
 
@@ -100,34 +101,37 @@ def bucket_keys(units: np.ndarray, tables: int, depth: int) -> np.ndarray:
     return out
 
 
-def _rows_of(column: pa.Array) -> Iterator[np.ndarray | None]:
-    """Each row's vector in double precision, or None where it can't link."""
+def _rows_of(column: pa.Array, dtype: str) -> Iterator[np.ndarray | None]:
+    """Each row's vector, or None where it can't link."""
     for value in column.to_pylist():
         if not value or any(v is None for v in value):
             yield None
             continue
-        vector = np.array(value, np.float64) + 0.0  # minus zero is zero
+        vector = np.array(value, dtype) + np.dtype(dtype).type(0)  # minus zero is zero
         yield vector if np.isfinite(vector).all() and vector.any() else None
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        vectors = list(_rows_of(batch.column("embedding")))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("vec_id"),
-             pa.array([None if v is None else xxhash.xxh3_128_digest(v.tobytes()) for v in vectors], pa.binary()),
-             pa.array([None if v is None else v.tobytes() for v in vectors], pa.binary()),
-             pa.array([0 if v is None else len(v) for v in vectors], pa.int32())],
-            ["vec_id", "digest", "vector", "dims"])
+def _digests(dtype: str):
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = list(_rows_of(batch.column("embedding"), dtype))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("vec_id"),
+                 pa.array([None if v is None else xxhash.xxh3_128_digest(v.tobytes()) for v in vectors], pa.binary()),
+                 pa.array([None if v is None else v.tobytes() for v in vectors], pa.binary()),
+                 pa.array([0 if v is None else len(v) for v in vectors], pa.int32())],
+                ["vec_id", "digest", "vector", "dims"])
+    return digests
 
 
-def _unit(vectors: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+def _unit(vectors: list[bytes], dtype: str) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.frombuffer(b"".join(vectors), dtype).astype(np.float64).reshape(len(vectors), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow in the norm
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _spread(tables: int, depth: int):
+def _spread(tables: int, depth: int, dtype: str):
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
@@ -135,16 +139,15 @@ def _spread(tables: int, depth: int):
                 dims = batch.column("dims").to_numpy(zero_copy_only=False)
                 for d in np.unique(dims):
                     part = batch.filter(pa.array(dims == d))
-                    keys = bucket_keys(_unit(part.column("vector").to_pylist()), tables, depth).reshape(len(part), -1)
+                    keys = bucket_keys(_unit(part.column("vector").to_pylist(), dtype), tables, depth).reshape(len(part), -1)
                     # a bucket once for each vector, however many probes give it
                     keys = np.sort(keys, axis=1)
                     new = np.ones(keys.shape, bool)
                     new[:, 1:] = keys[:, 1:] != keys[:, :-1]
                     row, _ = np.nonzero(new)
-                    out = part.take(pa.array(row))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[new].view(np.int64)), out.column("digest"), out.column("size"),
-                         out.column("vector")], ["bucket", "digest", "size", "vector"])
+                        [pa.array(keys[new].view(np.int64)), part.column("digest").take(pa.array(row))],
+                        ["bucket", "digest"])
     return spread
 
 
@@ -164,54 +167,88 @@ def _first_common(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _verify(threshold: float, tables: int, depth: int):
-    def links(bucket: int, rows: list[tuple]) -> pa.RecordBatch | None:
-        digest, size, side = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
-        unit = _unit([r[2] for r in rows])
-        within = not side.any()
-        left, right = (np.arange(len(rows)),) * 2 if within else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
-        keys = None
-        add, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
-        step = max(1, (1 << 20) // max(1, len(right)))
-        for lo in range(0, len(left), step):
-            a, b = np.nonzero(unit[left[lo:lo + step]] @ unit[right].T >= threshold)
-            a, b = left[lo:lo + step][a], right[b]
-            a, b = (a[a < b], b[a < b]) if within else (a, b)
-            for at in range(0, len(a), 1 << 17):
-                x, y = a[at:at + (1 << 17)], b[at:at + (1 << 17)]
-                if keys is None:
-                    keys = bucket_keys(unit, tables, depth)
-                counted = _first_common(keys, x, y).view(np.int64) == bucket
-                np.add.at(add, x[counted], size[y[counted]])
-                np.add.at(add, y[counted], size[x[counted]])
-                while True:  # hook the larger root to the smaller and shorten, until the pairs agree
-                    p, q = root[x], root[y]
-                    if (p == q).all():
-                        break
-                    np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
-                    while not (root[root] == root).all():
-                        root = root[root]
-        hit = np.flatnonzero((add > 0) | (root != np.arange(len(rows))))
-        if not len(hit):
-            return None
-        return pa.RecordBatch.from_arrays(
-            [pa.array([digest[i] for i in hit], pa.binary()), pa.array(add[hit]),
-             pa.array([digest[root[i]] for i in hit], pa.binary())], ["a", "links", "b"])
+#: Linked rows, and verified pairs, that are counted in one step.
+COUNT_ROWS, COUNT_PAIRS = 4096, 1 << 17
+
+
+class _Counter:
+    """Verified pairs of several buckets, counted together: the rows' bucket lists are made anew for all at once."""
+
+    def __init__(self, tables: int, depth: int):
+        self.shape = tables, depth
+        self._clear()
+
+    def _clear(self) -> None:
+        self.digests, self.sizes, self.units, self.pairs, self.rows, self.n_pairs = [], [], [], [], 0, 0
 
+    def add(self, bucket: int, digests: list[bytes], sizes: np.ndarray, units: np.ndarray, a: np.ndarray,
+            b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if self.units and self.units[0].shape[1] != units.shape[1]:
+            yield self.flush()
+        used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        self.digests += [digests[i] for i in used]
+        self.sizes.append(sizes[used])
+        self.units.append(units[used])
+        self.pairs.append((place[:len(a)] + self.rows, place[len(a):] + self.rows, np.full(len(a), bucket, np.int64)))
+        self.rows += len(used)
+        self.n_pairs += len(a)
+        if self.rows >= COUNT_ROWS or self.n_pairs >= COUNT_PAIRS:
+            yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        """Each row's links that count in its bucket, and its root there."""
+        sizes, units = np.concatenate(self.sizes), np.concatenate(self.units)
+        a, b, bucket = (np.concatenate(x) for x in zip(*self.pairs))
+        counted = _first_common(bucket_keys(units, *self.shape), a, b).view(np.int64) == bucket
+        links, root = np.zeros(len(sizes), np.int64), np.arange(len(sizes))
+        np.add.at(links, a[counted], sizes[b[counted]])
+        np.add.at(links, b[counted], sizes[a[counted]])
+        while True:  # hook the larger root to the smaller and shorten, until the pairs agree
+            p, q = root[a], root[b]
+            if (p == q).all():
+                break
+            np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+            while not (root[root] == root).all():
+                root = root[root]
+        out = pa.RecordBatch.from_arrays([pa.array(self.digests, pa.binary()), pa.array(links),
+                                          pa.array([self.digests[i] for i in root], pa.binary())], ["a", "links", "b"])
+        self._clear()
+        return out
+
+
+def _verify(threshold: float, tables: int, depth: int, dtype: str):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (bucket, part); a group is held while it lasts."""
+        counter = _Counter(tables, depth)
+
+        def pairs(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            digests, sizes, side = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
+            units = _unit([r[2] for r in rows], dtype)
+            within = not side.any()
+            left, right = (np.arange(len(rows)),) * 2 if within else (np.flatnonzero(side == 1),
+                                                                      np.flatnonzero(side == 2))
+            step = max(1, COUNT_PAIRS // max(1, len(right)))
+            for lo in range(0, len(left), step):
+                a, b = np.nonzero(units[left[lo:lo + step]] @ units[right].T >= threshold)
+                a, b = left[lo:lo + step][a], right[b]
+                a, b = (a[a < b], b[a < b]) if within else (a, b)
+                if len(a):
+                    yield from counter.add(bucket, digests, sizes, units, a, b)
+
         held: list[tuple] = []
         here = None
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("bucket", "part", "digest", "size", "vector", "side"))
             for bucket, part, *row in zip(*columns):
                 if (bucket, part) != here:
-                    if len(held) > 1 and (out := links(here[0], held)) is not None:
-                        yield out
+                    if len(held) > 1:
+                        yield from pairs(here[0], held)
                     here, held = (bucket, part), []
                 held.append(row)
-        if len(held) > 1 and (out := links(here[0], held)) is not None:
-            yield out
+        if len(held) > 1:
+            yield from pairs(here[0], held)
+        if counter.rows:
+            yield counter.flush()
 
     return verify
 
@@ -219,19 +256,21 @@ def _verify(threshold: float, tables: int, depth: int):
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     kind = vectors.schema["vec_id"].dataType.simpleString()
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    dtype = "<f4" if element == "float" else "<f8"
     rows = materialise(vectors.select("vec_id", "embedding").mapInArrow(
-        _digests, f"vec_id {kind}, digest binary, vector binary, dims int"))
+        _digests(dtype), f"vec_id {kind}, digest binary, vector binary, dims int"))
     classes = materialise(rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("vector").alias("vector"),
         F.first("dims").alias("dims")))
     extent = classes.agg(F.count(F.lit(1)).alias("n"), F.max("dims").alias("dims")).first()
     tables, depth = shape(extent["n"], extent["dims"] or 1)
-    sent = classes.select("digest", "size", "vector", "dims").mapInArrow(
-        _spread(tables, depth), "bucket long, digest binary, size long, vector binary")
-    sizes = classes.select("digest", F.lit(0).cast("long").alias("size"), "vector", "dims").mapInArrow(
-        _spread(tables, depth), "bucket long, digest binary, size long, vector binary").groupBy("bucket").count()
+    keys = materialise(classes.select("digest", "vector", "dims").mapInArrow(
+        _spread(tables, depth, dtype), "bucket long, digest binary"))
+    crowded = keys.groupBy("bucket").count().where("count > 1")
+    sent = keys.join(crowded, "bucket").join(classes.select("digest", "size", "vector"), "digest")
     blocks = F.ceil(F.col("count") / F.lit(block)).cast("int")
-    dealt = (sent.join(sizes.where("count > 1"), "bucket").withColumn("blocks", blocks)
+    dealt = (sent.withColumn("blocks", blocks)
              .withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
         (F.least(k, F.col("own")) * F.col("blocks") + F.greatest(k, F.col("own"))).alias("part"),
@@ -240,7 +279,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         "bucket", F.col("to.part").alias("part"), "digest", "size", "vector", F.col("to.side").alias("side"))
     found = materialise(
         parts.repartition(partitions(vectors.sparkSession), "bucket", "part").sortWithinPartitions("bucket", "part")
-        .mapInArrow(_verify(threshold, tables, depth), "a binary, links long, b binary"))
+        .mapInArrow(_verify(threshold, tables, depth, dtype), "a binary, links long, b binary"))
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     roots = smallest_reachable(found.select("a", "b"))
     label = classes.join(roots, classes["digest"] == roots["node"], "left").select(
