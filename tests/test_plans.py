@@ -2,7 +2,7 @@
 
 import re
 
-from conftest import SF01
+from conftest import SF001, SF01
 
 import __spark_entry__ as E
 
@@ -31,3 +31,33 @@ def test_orders_are_aggregated_before_the_customer_join(spark):
     join_at = p.find("Join")
     agg_below = p.find("partial_sum(o_totalprice", join_at)
     assert join_at >= 0 and agg_below > join_at  # the partial aggregate sits under (before) the join
+
+
+def _scans(df, table: str) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count(f"/{table}.parquet]")
+
+
+def test_workload_shifts_read_lineitem_once(spark):
+    from panelspark.operators import customer as cu
+
+    df = cu.workload_shifts(cu.customer_panel(spark, SF001))
+    assert _scans(df, "lineitem") == 1
+
+
+def test_frequency_gaps_are_taken_inside_days(spark):
+    """No window over raw rows is partitioned by the series alone."""
+    from panelspark.operators.explore import infer_frequency
+
+    ev = spark.read.parquet(f"{SF001}/events.parquet").selectExpr("event_type as unique_id", "ts as ds", "value as y")
+    plan = infer_frequency(ev)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "lag(__s" in line]
+    assert windows and all("__day" in line for line in windows)
+
+
+def test_reports_scan_their_source_at_most_once(spark):
+    from panelspark.plans import QUERIES
+
+    assert _scans(QUERIES["f11_auto_differences"](spark, SF001), "orders") <= 1
+    assert _scans(QUERIES["f22_insight_report"](spark, SF001), "events") <= 1
+    assert _scans(QUERIES["d13_describe"](spark, SF001), "lineitem") <= 1
