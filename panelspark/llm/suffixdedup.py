@@ -39,8 +39,8 @@ from panelspark.llm.suffixes import suffix_array
 LENGTH, GRAM = 50, 25
 #: Bits of an anchor that are sent; anchors that agree by chance only cost work, as strings are compared.
 ANCHOR_BITS = 48
-GROUP = 2 << 20
-BUCKETS_PER_PARTITION = 4
+GROUP = 3 << 20
+BUCKETS_PER_PARTITION = 2
 NO_ID = np.iinfo(np.int64).max
 ANCHORS, TEXTS, CONTEXTS, PLACES = 0, 1, 2, 3
 ROW = "bucket int, kind int, grp binary, body binary, extra binary"
