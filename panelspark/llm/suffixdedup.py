@@ -164,7 +164,7 @@ def _send_texts(length: int, gram: int):
             rank = np.array([NO_ID if i is None else i for i in ids.to_pylist()], np.int64)
             whole = K.Texts(texts)
             sizes = whole.sizes.astype(np.int64).tobytes()
-            yield _row(0, TEXTS, xxhash.xxh3_128_digest(rank.tobytes() + whole.raw), B.pack_bytes(whole.raw),
+            yield _row(0, TEXTS, xxhash.xxh3_128_digest(rank.tobytes() + whole.raw), B.pack_bytes(whole.raw, 1),
                        rank.tobytes() + sizes)
     return send
 
@@ -219,7 +219,7 @@ def _send_contexts(length: int, gram: int, buckets: int):
             own = [bodies[i] for i in part]
             sizes = B.pack(np.fromiter(map(len, own), np.uint32, len(own)))
             ranks = B.pack(least[part])
-            out.append(_row(b, CONTEXTS, group.name, B.pack_bytes(b"".join(own)),
+            out.append(_row(b, CONTEXTS, group.name, B.pack_bytes(b"".join(own), 1),
                             len(sizes).to_bytes(4, "little") + sizes + ranks))
         runs = [B.pack(begin.astype(np.uint64), ascending=True), *(B.pack(x.astype(np.uint32)) for x in (
             group.run_strings[use], group.run_owner[use], index, place))]
