@@ -27,7 +27,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines and sentences that an earlier document has go; ``n_chars`` follows the text."""
+    """Lines, sentences, paragraphs and runs of short ones that an earlier document has go; ``n_chars`` follows the text."""
     out = substrings.remove_repeats(docs)
     if "n_chars" not in out.columns:
         return out

@@ -1,11 +1,14 @@
-"""Substring dedup by hashing lines, and the sentences of lines.
+"""Substring dedup by hashing lines, the sentences of lines, paragraphs, and runs of short units.
 
 Units are the lines of a text and, inside a line of several sentences, its sentences too, so that a passage in the
-middle of a longer line is found.  A unit is normalised (lower case, runs of white space as one space) and hashed to
-128 bits.  Units under ``MIN_WORDS`` words are left alone.  Digests are grouped globally with partial aggregates, which
-keep the earliest occurrence by (doc_id, offset): a digest that a third of all rows share is a row for each map task
-only.  Every later occurrence is removed from its text, with the white space that follows it; its original offsets (in
-characters) are retained.
+middle of a longer line is found; and paragraphs (lines between blank ones), so that a paragraph with other line ends is.
+Pieces (sentences, and lines of one sentence) that are short are joined: from each piece on, and back from each piece, as
+many as hold ``MIN_WORDS`` words.  So every piece of a repeated run of whole pieces goes where the run has that many
+words, whatever its pieces have; a short piece alone stays.  A unit is normalised (lower case, runs of white space as one
+space) and hashed to 128 bits.  Units under ``MIN_WORDS`` words are left alone.  Digests are grouped globally with partial
+aggregates, which keep the earliest occurrence by (doc_id, offset): a digest that a third of all rows share is a row for
+each map task only.  Every later occurrence is removed from its text, with the white space that follows it; its original
+offsets (in characters) are retained, and those of units that overlap each.
 
 Defined cases: a null text has no units and stays null; null ids rank after all others; rows with equal id and text are
 one document (the same units go from each); rows with equal id and different texts are told apart by their text;
@@ -32,22 +35,70 @@ _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?![ \t\n]|\Z)[^.!?\n]*)*[.!?]*[ \t]*
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of the lines, each with its line feed, and of the sentences, with the spaces after them."""
-    def unit(start: int, end: int):
-        words = text[start:end].lower().split()
+    """(start, end, digest) by start: the lines, each with its line feed, the sentences, with the spaces after them,
+    paragraphs of several lines, and the runs of pieces.
+
+    A run that overlaps the first unit of the same words in its own text (a line three times over) has a digest of its
+    own, so that the earliest occurrence stays whole."""
+    found: list[tuple[int, int, bytes]] = []
+
+    def unit(start: int, end: int, words: list[str]) -> None:
         if len(words) >= min_words:
-            yield start, end, xxhash.xxh3_128_digest(" ".join(words).encode())
+            found.append((start, end, xxhash.xxh3_128_digest(" ".join(words).encode())))
 
-    at = 0
-    for line in text.split("\n"):
+    pieces: list[tuple[int, int, int, int, list[str]]] = []  # start, end, end of a run from a line's start, line, words
+    paragraph: list[str] = []
+    at = begin = n_lines = 0
+    for number, line in enumerate(text.split("\n")):
         end = at + len(line)
-        yield from unit(at, min(end + 1, len(text)))
+        stop = min(end + 1, len(text))
         cuts = [m.end() for m in _SENTENCE.finditer(text, at, end) if m.end() > m.start()]
-        if len(cuts) > 1:
-            for a, b in zip([at, *cuts], cuts):
-                yield from unit(a, b)
+        parts = [(a, b, text[a:b].lower().split()) for a, b in zip([at, *cuts], cuts)]
+        words = [w for _, _, part in parts for w in part]
+        unit(at, stop, words)
+        if len(parts) > 1:
+            for part in parts:
+                unit(*part)
+        pieces += [(a, b, stop if b == end else b, number, part) for a, b, part in parts if part]
+        if words:
+            begin = begin if n_lines else at
+            n_lines += 1
+            paragraph += words
+        if n_lines and (not words or end == len(text)):
+            if n_lines > 1:
+                unit(begin, stop if words else at, paragraph)
+            paragraph, n_lines = [], 0
         at = end + 1
 
+    for i, j in sorted(_runs([len(words) for *_, words in pieces], min_words)):
+        start, line = pieces[i][0], pieces[i][3]
+        opens, closes = not i or pieces[i - 1][3] < line, j + 1 == len(pieces) or pieces[j + 1][3] > pieces[j][3]
+        if not (opens and closes and pieces[j][3] == line):  # else it is the line
+            unit(start, pieces[j][2 if opens else 1], [w for *_, words in pieces[i:j + 1] for w in words])
+
+    first: dict[bytes, list[int]] = {}
+    for start, end, digest in sorted(found):
+        held = first.setdefault(digest, [start, end, 0])
+        if held[0] < start < held[1]:
+            held[2] += 1
+            digest = xxhash.xxh3_128_digest(digest + held[2].to_bytes(4, "little"))
+        yield start, end, digest
+
+
+def _runs(counts: list[int], least: int) -> set[tuple[int, int]]:
+    """(first, last) of the shortest runs of two pieces or more that hold ``least`` words, from and back from each."""
+    out, total, i = set(), 0, 0
+    for j, n in enumerate(counts):
+        total += n
+        while i < j and total - counts[i] >= least:
+            if total - n < least:
+                out.add((i, j))  # the run from i on
+            total -= counts[i]
+            i += 1
+        if total >= least and i < j:
+            out.add((i, j))  # the run back from j
+    return out
+
 
 def _emit(min_words: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -372,6 +372,34 @@ def test_a_passage_inside_longer_lines_goes(spark):
     assert out[1] == rows[0][1] and out[2] == "Other words. The end is near."
 
 
+def test_repeated_runs_of_short_units_go(spark):
+    pick = np.random.default_rng(5)
+    short = [" ".join(f"w{x}" for x in pick.integers(0, 900, 4)) for _ in range(16)]
+    speech, verse = ". ".join(short) + ".", "\n".join(short)
+    wrapped = " ".join(short).replace("w", "v").split()
+    fold = lambda n: "\n".join(" ".join(wrapped[i:i + n]) for i in range(0, 64, n))
+    rows = [(1, f"Alone. {speech} End."), (2, f"Other. {speech} Ends."), (3, f"Top\n{verse}\nlow"), (4, f"Cap\n{verse}\nsole"),
+            (5, f"A b.\n\n{fold(5)}\n\nc d."), (6, f"E f.\n\n{fold(3)}\n\ng h."), (7, "New. Alone. Then."),
+            (8, "One two three four.\n" * 3), (9, "six words of it before this. " + short[2] + ". After.")]
+    out = {r.doc_id: r.text for r in substrings.dedup_table(C.documents(spark, rows)).collect()}
+    assert out[1] == rows[0][1] and out[2] == "Other. Ends." and out[3] == rows[2][1] and out[4] == "Cap\nsole"
+    assert out[5] == rows[4][1] and out[6] == "E f.\n\n\ng h."
+    assert out[7] == rows[6][1] and out[8] == rows[7][1] and out[9] == rows[8][1]
+
+
+@pytest.mark.parametrize("least", [1, 8])
+def test_runs_cover_every_repeated_run(least):
+    pick = np.random.default_rng(6)
+    for _ in range(200):
+        counts = [int(n) for n in pick.choice([1, 2, 3, 5, 9], pick.integers(1, 12))]
+        runs = {(i, j) for i, j in substrings._runs(counts, least)} | {(i, i) for i, n in enumerate(counts) if n >= least}
+        assert all(sum(counts[i:j + 1]) >= least for i, j in runs)
+        for p in range(len(counts)):
+            for q in range(p, len(counts)):
+                inside = {k for i, j in runs if p <= i and j <= q for k in range(i, j + 1)}
+                assert inside == (set(range(p, q + 1)) if sum(counts[p:q + 1]) >= least else set())
+
+
 # --- 8: sharding
 
 def test_shards_hold_every_row_once(docs):
