@@ -10,15 +10,21 @@ generator's start is fixed by the partition, whose buckets are sorted.  Equal re
 third of the input: they are counted in partial aggregates and each copy gets a number, which takes part in the hash, so
 the copies spread over all buckets.
 
+The records that are scattered, shuffled and written are whole; the digest rows are read from the written shards.
+
 Defined cases: a null text has size 1 and the CRC of the empty text; null ids and repeated rows are records like
 others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.session import checkpoint_dir
+
 #: Bytes that one bucket may hold in a task, and the share of a task's memory that a record costs besides its columns.
 BUCKET_BYTES = 64 << 20
 ROW_BYTES = 96
@@ -61,18 +67,19 @@ def two_pass_shuffle(records: DataFrame, shards: int, size: str, seed: int = SEE
 
 def shard_documents(docs: DataFrame, shards: int = 8, seed: int = SEED,
                     bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The digest rows of all documents in their shards; ``bucket_bytes`` bounds what pass 2 holds."""
+    """The digest rows of all documents in their shards, from the shards that are written to the shared folder."""
+    folder = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    out = write_shards(docs, folder, shards, seed, bucket_bytes)
     text = F.coalesce(F.col("text"), F.lit(""))
-    digest = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"),
-                         F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = two_pass_shuffle(digest.withColumn("held", F.lit(24)), shards, "held", seed, bucket_bytes)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+    return out.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"),
+                      F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = SEED,
-                 bucket_bytes: int = BUCKET_BYTES) -> None:
-    """The whole records, in shard folders below ``path`` and in slot order inside each file."""
+                 bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The whole records, in shard folders below ``path`` and in slot order inside each file; read from there."""
     sized = docs.withColumn("__held", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long"))
     out = two_pass_shuffle(sized, shards, "__held", seed, bucket_bytes).drop("__held")
-    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path, compression="zstd")
+    return docs.sparkSession.read.schema(out.schema).parquet(path)

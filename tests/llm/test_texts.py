@@ -414,6 +414,19 @@ def test_shards_hold_every_row_once(docs):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sizes[s]))
 
 
+def test_the_digest_rows_come_from_written_whole_records(spark):
+    from panelspark.session import checkpoint_dir
+
+    df = spark.range(300).selectExpr("id as doc_id", "repeat(cast(id as string), 50) as text", "id % 7 as more")
+    out = sharding.shard_documents(df, bucket_bytes=5000)
+    path = {os.path.dirname(os.path.dirname(f)) for f in out.inputFiles()}
+    assert len(path) == 1 and path.pop().removeprefix("file://").startswith(checkpoint_dir(spark).removeprefix("file://"))
+    files = [f.removeprefix("file://") for f in out.inputFiles()]
+    written = spark.read.option("basePath", os.path.dirname(os.path.dirname(files[0]))).parquet(*files)
+    assert C.rows_of(written, "doc_id", "text", "more") == C.rows_of(df, "doc_id", "text", "more")
+    assert C.rows_of(written, "doc_id", "shard", "slot") == C.rows_of(out, "doc_id", "shard", "slot")
+
+
 def test_shuffle_is_repeatable_and_mixes(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "cast(id as string) as text")
     runs = [sharding.shard_documents(df.repartition(p), bucket_bytes=40_000).collect() for p in (3, 7)]
