@@ -4,8 +4,9 @@ A vector is normalised, padded to a power of two d and rotated by three rounds o
 transform.  Its hash is the nearest vertex of the cross-polytope, the coordinate of greatest size with its sign (2 d
 vertices).  A table joins ``depth`` such hashes; a vector goes to its own bucket and to the ``PROBES`` - 1 next best ones,
 where one hash takes its second vertex at the least loss.  ``depth`` follows from the number of vectors, so that few meet
-by chance, and the number of tables from ``depth``, so that a pair at the threshold meets with a probability of about
-``CHANCE`` (``MEET`` is the measured chance that one hash of two such vectors agrees, probes included).
+by chance, and the number of tables from the chance that a table's whole key, probes included, of two vectors at the
+threshold agrees, so that they meet with probability ``CHANCE`` or more.  That chance falls with the dimension, and faster
+than a power of one hash's with ``depth``, as all hashes share the probes: it is measured on made pairs.
 
 Equal vectors are one class and are compared once.  Only bucket numbers are shuffled at first; a vector is sent to those
 of its buckets that hold another one.  Inside a bucket all pairs are verified by their cosine in double
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +37,36 @@ from panelspark.llm.common import materialise, partitions, smallest_reachable
 
 THRESHOLD = 0.9
 PROBES = 4
-CHANCE = 0.99
-MEET = 0.7
+CHANCE = 0.995
+#: The most that counts for each hash of a key, whatever is measured; the pairs and tables of that measurement.
+MEET = 0.72
+PAIRS, TRIALS = 400, 4
 BLOCK = 2048
 ROOM = 2
 SEED = 2
 
 
-def shape(n: int, dims: int) -> tuple[int, int]:
+@cache
+def meeting(dims: int, depth: int, threshold: float = THRESHOLD) -> float:
+    """The chance that two vectors at the threshold share a bucket of one table: two standard errors below the share of
+    made pairs that do."""
+    pick, dims = np.random.default_rng((SEED, dims, depth)), max(2, dims)
+    x, z = pick.normal(size=(2, PAIRS, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold ** 2)) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    a, b = (bucket_keys(v, TRIALS, depth) for v in (x, y))
+    share = float((a[:, :, :, None] == b[:, :, None, :]).any(axis=(2, 3)).mean())
+    n = PAIRS * TRIALS
+    return max(1 / n, share - 2 * math.sqrt(share * (1 - share) / n))
+
+
+def shape(n: int, dims: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     """(tables, depth) for n vectors: ``ROOM`` buckets or more for each, so that few meet by chance."""
     vertices = 2 * (1 << max(1, (dims - 1).bit_length()))
     depth = max(1, math.ceil(math.log(max(n * ROOM, 2)) / math.log(vertices)))
-    return math.ceil(math.log(1 - CHANCE) / math.log(1 - MEET ** depth)), depth
+    met = min(MEET ** depth, meeting(dims, depth, threshold))
+    return math.ceil(math.log(1 - CHANCE) / math.log(1 - met)), depth
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -264,7 +284,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("vector").alias("vector"),
         F.first("dims").alias("dims")))
     extent = classes.agg(F.count(F.lit(1)).alias("n"), F.max("dims").alias("dims")).first()
-    tables, depth = shape(extent["n"], extent["dims"] or 1)
+    tables, depth = shape(extent["n"], extent["dims"] or 1, threshold)
     keys = materialise(classes.select("digest", "vector", "dims").mapInArrow(
         _spread(tables, depth, dtype), "bucket long, digest binary"))
     crowded = keys.groupBy("bucket").count().where("count > 1")

@@ -68,6 +68,20 @@ def test_embedding_recall_at_the_threshold():
         assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() > 0.98
 
 
+def test_embedding_recall_holds_for_deep_hashes_and_many_dimensions():
+    pick = np.random.default_rng(3)
+    for n, d, pairs in ((10_000_000, 128, 1600), (1_000_000, 512, 800), (10, 1, 8)):
+        tables, depth = embeddings.shape(n, d)
+        x, z = pick.normal(size=(2, pairs, d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(1, keepdims=True) * x
+        y = 0.9 * x + np.sqrt(0.19) * z / np.linalg.norm(z, axis=1, keepdims=True) if d > 1 else x
+        a, b = (embeddings.bucket_keys(v, tables, depth) for v in (x, y))
+        met = (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean()
+        print(n, d, tables, depth, met)
+        assert met >= 0.99
+
+
 def test_embedding_recall_on_the_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
