@@ -86,7 +86,7 @@ class Group:
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """The hash of each word, and its text."""
         starts, ends, first = self.texts.words()
-        codes = K.byte_hash(self.texts.data).of(starts, ends)
+        codes = K.span_hash(self.texts.data, starts, ends)
         return codes, np.repeat(np.arange(len(self.texts)), np.diff(first))
 
 

@@ -69,8 +69,7 @@ def measure(texts: K.Texts) -> tuple[dict[str, np.ndarray], Lines]:
         sums[name] = np.zeros(len(data) + 1, np.int32)
         np.cumsum(flags, out=sums[name][1:])
     of_text = {k: (v[texts.ends] - v[texts.starts]).astype(np.int64) for k, v in sums.items()}
-    hashes = K.byte_hash(data)
-    word_codes = hashes.of(starts, ends)
+    word_codes = K.span_hash(data, starts, ends)
 
     # windows of eight words inside one text, keyed by text and content
     salt = K.mix64(np.arange(len(texts), dtype=np.uint64))
@@ -91,7 +90,7 @@ def measure(texts: K.Texts) -> tuple[dict[str, np.ndarray], Lines]:
     full = word_to > word_from
     begin, breaks, word_from, word_to = begin[full], breaks[full], word_from[full], word_to[full]
     of_line = np.searchsorted(texts.starts, begin, side="right") - 1
-    keys = hashes.of(begin, breaks) ^ salt[of_line]
+    keys = K.span_hash(data, begin, breaks) ^ salt[of_line]
     _, earliest = np.unique(keys, return_index=True)
     again = np.ones(len(keys), bool)
     again[earliest] = False

@@ -113,7 +113,7 @@ class Encoder:
         starts = np.flatnonzero(np.concatenate([~gap[:1], (gap[:-1] | cut) & ~gap[1:]]))
         ends = np.flatnonzero(np.concatenate([(gap[1:] | cut) & ~gap[:-1], ~gap[-1:]])) + 1
         first = np.searchsorted(starts, np.append(texts.starts, len(data)))
-        return starts, ends, K.byte_hash(lower).of(starts, ends), first
+        return starts, ends, K.span_hash(lower, starts, ends), first
 
     def of_units(self, raw: bytes, starts: np.ndarray, ends: np.ndarray,
                  codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

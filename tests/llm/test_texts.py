@@ -512,3 +512,39 @@ def test_empty_tables(spark):
                packing.pack_documents, lambda d: quality.quality_table(d, quality.all_content())):
         out = fn(empty)
         assert out.collect() == [] and "doc_id" in out.columns
+
+
+# --- hashes of words and lines
+
+def thue_morse(n: int = 1024) -> tuple[str, str]:
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomial_hashes_confuse(spark, library):
+    import hashlib
+
+    t, u = thue_morse()
+    rows = [(0, t), (1, u), (2, f"{t} {u}"), (3, f"{t}\n{u}\n{t[:512]}\n{u[:512]}"), (4, f"x {u} y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in chunkcode.encode_decode(df).collect()}
+    for i, text in rows:
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(library_ids(library, text), "<u4").tobytes()).hexdigest()
+    encoder = tokens.Encoder(tokens.vocabulary_path())
+    ids, first = encoder.of_texts(textkit.Texts([x.encode() for _, x in rows]))
+    for i, (_, text) in enumerate(rows):
+        assert ids[first[i]:first[i + 1]].tolist() == library_ids(library, text)
+    scored = sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in lm.ctw_scores(df).collect())
+    assert scored == [w[:5] for w in sorted(C.base_scores(rows))]
+    base, _ = quality.measure(textkit.Texts([x.encode() for _, x in rows]))
+    assert base["n_dup_lines"].tolist() == [C.quality(x)[3] for _, x in rows] == [0] * 5
+
+
+def test_span_hash_tells_spans_apart():
+    pick = np.random.default_rng(4)
+    data = pick.integers(0, 3, 40000).astype(np.uint8)
+    starts = pick.integers(0, 39000, 20000)
+    ends = starts + pick.choice([0, 1, 2, 7, 8, 9, 16, 17, 600, 700], 20000)
+    codes = textkit.span_hash(data, starts, ends)
+    spans = [bytes(data[a:b]) for a, b in zip(starts, ends)]
+    assert len(set(spans)) == len(set(codes.tolist())) == len(set(zip(spans, codes.tolist())))
