@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import chunkcode, embeddings, lm, packing, quality, sharding, simhash, substrings, suffixdedup, urlrules
+from panelspark.llm import bytebpe, chunkcode, embeddings, lm, packing, quality, sharding, simhash, substrings, suffixdedup, urlrules
 from panelspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FRO
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(urlrules.RULES), "host string, path string, verdict string")
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@register("op12_byte_level_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.encode_decode(table(spark, sf_dir, "documents"))
