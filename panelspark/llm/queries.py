@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import bytebpe, chunkcode, embeddings, lm, packing, quality, sharding, simhash, substrings, suffixdedup, urlrules
+from panelspark.llm import bytebpe, chunkcode, conversations, embeddings, lm, packing, quality, sharding, simhash, substrings, suffixdedup, urlrules
 from panelspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_byte_level_bpe")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
+@register("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))

@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import cases as C  # noqa: E402
 
-from panelspark.llm import bytebpe, perfecthash, textkit  # noqa: E402
+from panelspark.llm import bytebpe, conversations, perfecthash, textkit  # noqa: E402
 
 ROWS = C.edge_documents()
 
@@ -89,3 +89,160 @@ def test_byte_level_ids_and_back(spark, docs, own):
         bytebpe.decode_ids(spark.createDataFrame([(1, [50256])], "doc_id long, ids array<int>")).collect()
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bytebpe.encode_decode(none).collect() == [] == bytebpe.decode_ids(bytebpe.encode_texts(none)).collect()
+
+
+# --- 13: conversations
+
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def damage(rows):
+    """The contract's damage, row by row; rows: (conv_id, turn, role, text)."""
+    import zlib
+
+    out = []
+    for conv, turn, role, text in rows:
+        shown = [" " if x is None else str(x) for x in (conv, turn, role, text)]
+        fault = zlib.crc32(":".join(shown[:2]).encode()) % 20
+        role, text = shown[2:]
+        if fault == 1:
+            text = ""
+        elif fault == 2:
+            text = "".join(c for c in text if c not in ".!?")
+        elif fault == 4:
+            role = "user"
+        out += [(conv, turn, role, text)] * (0 if fault == 0 else 2 if fault == 3 else 1)
+    return out
+
+
+def repaired(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, sha256) of one conversation's rows, by whole strings."""
+    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+    turns = [r[1] for r in rows if r[1] is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    count, seen = {"blank": 0, "duplicate": 0, "truncated": 0}, set()
+    best = {"": (0, "", ())}  # by the last role's initial: cost, audit, repaired turns
+
+    def follows(before, initial):
+        return initial in {"": "su", "s": "u", "u": "a", "a": "u"}[before]
+
+    def inserted(ways):
+        ways = dict(ways)
+        for _ in range(4):
+            for before, (c, a, t) in list(ways.items()):
+                for initial, role in (("u", "user"), ("a", "assistant")):
+                    if follows(before, initial):
+                        new = (c + 2, a + "I", (*t, role + ":"))
+                        ways[initial] = min(ways.get(initial, new), new)
+        return ways
+
+    def every(ways):
+        """All ways to insert, also those that are not the best for a state."""
+        found = [(before, *w) for before, w in ways.items()]
+        for _ in range(3):
+            found += [(i, c + 2, a + "I", (*t, role + ":")) for before, c, a, t in found
+                      for i, role in (("u", "user"), ("a", "assistant")) if follows(before, i)]
+        return found
+
+    for _, _, role, text in rows:
+        fault = None
+        if not text.strip(BLANK):
+            fault = "blank"
+        elif (role, text) in seen:
+            fault = "duplicate"
+        elif text.rstrip(BLANK)[-1] not in ".!?":
+            fault = "truncated"
+        if fault:
+            count[fault] += 1
+        seen.add((role, text))
+        extra = fault == "truncated"
+        new: dict = {}
+        for before, c, a, t in set(every(best)):
+            ways = [(before, c + 3, a + "D", t)]
+            if fault not in ("blank", "duplicate"):
+                if role[:1] and follows(before, role[:1]):
+                    ways.append((role[:1], c + extra, a + "K", (*t, f"{role}:{text}")))
+                ways += [(i, c + 2 + extra, a + "R", (*t, f"{r}:{text}")) for i, r in (("u", "user"), ("a", "assistant"))
+                         if follows(before, i)]
+            for state, *way in ways:
+                new[state] = min(new.get(state, tuple(way)), tuple(way))
+        best = new
+    ends = [w for state, w in inserted(best).items() if state in ("", "a")]
+    cost, audit, turns = min(ends)
+    return (gaps, count["blank"], count["duplicate"], count["truncated"], illegal, cost, audit,
+            hashlib.sha256("\n".join(turns).encode()).hexdigest())
+
+
+def conversation_rows(seed=0):
+    pick = random.Random(seed)
+    texts = ["Yes.", "No!", "Why?", "cut off", " ", "", None, "Fine. ", "a\nb.", "Yes. \x0b"]
+    rows = []
+    for conv in [*range(60), None]:
+        for turn in range(pick.randint(0, 9)):
+            rows.append((conv, pick.choice([turn, turn, turn, None, turn + 3]),
+                         pick.choice(["user", "assistant", "user", "assistant", "system", None, "", "tool", "u", "User"]),
+                         pick.choice(texts) if turn % 2 else f"{conv} {turn}" + pick.choice([".", ",", "?"])))
+    rows += [(1000, t, ("user", "assistant")[t % 2], f"Turn {t % 40}{'.' if t % 7 else ''}") for t in range(300)]
+    rows += [(1001, t // 3, ("user", "assistant", "system")[t % 3], f"Turn {t}.") for t in range(150)]
+    rows += [(1002, 1, "user", "The same.")] * 90 + [(1002, 1, "assistant", "The other")] * 3
+    return rows
+
+
+def expected(rows, damages=True):
+    by: dict = {}
+    for conv, turn, role, text in damage(rows) if damages else rows:
+        by.setdefault(conv, []).append((conv, turn, role, text))
+    return sorted(((c, *repaired(by.get(c, []))) for c in {r[0] for r in rows}), key=repr)
+
+
+def conversation_table(spark, rows, extra=False):
+    names = "conv_id long, turn long, role string, text string"
+    if extra:
+        names += ", copies string, part int, seg string, `open` string, audit string"
+        rows = [(*r, "x", 1, None, "y", "z") for r in rows]
+    return spark.createDataFrame(rows, names).repartition(7)
+
+
+COLUMNS = ("conv_id", *conversations.REPORT)
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_conversations_equal_brute_force(spark, extra):
+    rows = conversation_rows()
+    out = conversations.repair_damaged(conversation_table(spark, rows, extra))
+    assert C.rows_of(out, *COLUMNS) == expected(rows)
+
+
+def test_conversations_over_many_chunks(spark):
+    rows = conversation_rows(1)
+    made = conversations.repair(conversations.damaged(conversation_table(spark, rows)), "copies", chunk_bytes=60, chunk_rows=5)
+    assert made.where("not whole").count() > 100
+    assert C.rows_of(conversations.report(made), *COLUMNS) == expected(rows)
+    by: dict = {}
+    for r in sorted(conversations.turns(made).collect(), key=lambda r: (r.part, r.no, r.at)):
+        by.setdefault(r.conv_id, []).append(f"{r.role}:{r.text}")
+    hashes = {r.conv_id: r.repaired_sha256 for r in conversations.report(made).collect()}
+    assert all(hashes[c] == hashlib.sha256("\n".join(t).encode()).hexdigest() for c, t in by.items())
+
+
+def test_crossings_compose_like_one_run():
+    pick = random.Random(2)
+    for _ in range(300):
+        symbols = [pick.choice([0, 1, 2, 3, 4, 5, 6, 7, 4, 6, 4, 6, -1, -3]) for _ in range(pick.randint(0, 30))]
+        cost, letters = conversations.solve(symbols)
+        cuts = sorted(pick.choices(range(len(symbols) + 1), k=3))
+        parts = [symbols[a:b] for a, b in zip([0, *cuts], [*cuts, len(symbols)])]
+        states = conversations.crossings([conversations.summary(p) for p in parts], 0, None)
+        assert letters == "".join(conversations.audit(p, a, b) for p, a, b in zip(parts, states, states[1:])) + \
+            conversations.TAIL[states[-1]]
+        two = [conversations.compose([conversations.summary(p) for p in x]) for x in (parts[:2], parts[2:])]
+        assert conversations.crossings(two, 0, None) == [states[0], states[2], states[4]]
+
+
+def test_no_conversations(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert conversations.repair_damaged(none).collect() == []
+    gone = spark.createDataFrame([(5, 1, "user", "x.", 0)], "conv_id long, turn long, role string, text string, n long")
+    assert [tuple(r) for r in conversations.report(conversations.repair(gone, "n")).collect()] == [
+        (5, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
