@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import bytebpe, chunkcode, conversations, embeddings, lm, packing, quality, sharding, simhash, substrings, suffixdedup, urlrules
+from panelspark.llm import (bytebpe, chunkcode, conversations, embeddings, lexical, lm, packing, quality, sharding, simhash,
+                            substrings, suffixdedup, urlrules)
 from panelspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +96,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = f"unnest(regexp_extract_all({_LOWERED}, '{lexical.PATTERN}'))"
+
+
+@register("op11_ranked_lexical_search", f"""
+WITH occurrences AS (SELECT row_number() OVER () AS doc, doc_id, text FROM documents),
+words AS (SELECT doc, doc_id, {_TERMS} AS term FROM occurrences),
+docs AS (SELECT doc, doc_id, count(*) AS n FROM words GROUP BY 1, 2),
+corpus AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs),
+postings AS (SELECT doc, term, count(*) AS tf FROM words GROUP BY 1, 2),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM postings, corpus GROUP BY term),
+asked AS (SELECT item_id, {_TERMS} AS term FROM benchmark),
+scored AS (
+  SELECT a.item_id, d.doc, d.doc_id,
+         CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * d.n * c.n_docs) // c.n_terms)))) AS BIGINT)
+           AS score
+  FROM asked a JOIN weights w ON a.term = w.term JOIN postings p ON p.term = a.term JOIN docs d ON d.doc = p.doc, corpus c
+  GROUP BY 1, 2, 3),
+ranked AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS place
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"))
+
+
 @register("op12_byte_level_bpe")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_decode(table(spark, sf_dir, "documents"))

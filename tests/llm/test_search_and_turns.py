@@ -246,3 +246,118 @@ def test_no_conversations(spark):
     gone = spark.createDataFrame([(5, 1, "user", "x.", 0)], "conv_id long, turn long, role string, text string, n long")
     assert [tuple(r) for r in conversations.report(conversations.repair(gone, "n")).collect()] == [
         (5, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+
+
+# --- 11: search
+
+def ranked(rows, queries, k=10):
+    """(item_id, rank, doc_id, score) by scoring every document."""
+    import collections
+    import math
+    import re
+
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    bags = [(i, collections.Counter(term.findall(C.lower(t)))) for i, t in rows]
+    bags = [(i, b) for i, b in bags if b]
+    n, total = len(bags), sum(sum(b.values()) for _, b in bags)
+    df = collections.Counter(t for _, b in bags for t in b)
+    out = []
+    for item, text in queries:
+        asked = collections.Counter(term.findall(C.lower(text)))
+        scores = []
+        for i, b in bags:
+            m = 25 + (75 * sum(b.values()) * n) // total
+            score = sum(times * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) *
+                        ((1000000000 * b[t]) // (1000 * b[t] + 8 * m)) for t, times in asked.items() if t in b)
+            if score > 0:
+                scores.append((-score, i is None, i or 0, i))
+        out += [(item, place + 1, s[3], -s[0]) for place, s in enumerate(sorted(scores)[:k])]
+    return sorted(out, key=repr)
+
+
+def search_rows(seed=0, n=400):
+    pick = random.Random(seed)
+    vocabulary = [f"w{int(pick.paretovariate(0.4)) % 3000}" for _ in range(3000)] + ["Ünï", "x1", "ſ", "你好"]
+    rows = [(pick.choice([i, i, i, i % 50, None]), pick.choice([" ", ", ", "-"]).join(pick.choices(vocabulary, k=pick.choice([3, 40, 400]))))
+            for i in range(n)]
+    rows += [(i + 5000, rows[7][1]) for i in range(30)] + [(9000, None), (9001, ""), (9002, " .,;\x00 ")]
+    queries = [(i, " ".join(pick.choices(vocabulary, k=pick.choice([1, 5, 60])))) for i in range(25)]
+    queries += [(100, None), (101, "nothingofthis"), (None, rows[7][1]), (3, "w1 w1 W1 x1"), (3, "w1 w1 W1 x1"), (102, "!")]
+    return rows, queries
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_search_equals_brute_force(spark, extra):
+    from panelspark.llm import lexical
+
+    rows, queries = search_rows()
+    docs = C.documents(spark, rows, extra)
+    asked = spark.createDataFrame([(*q, "x") for q in queries], "item_id long, text string, term string").repartition(3)
+    out = lexical.search(lexical.build_index(docs), asked)
+    assert C.rows_of(out, "item_id", "rank", "doc_id", "score") == ranked(rows, queries)
+    assert out.columns == ["item_id", "rank", "doc_id", "score"]
+
+
+def test_search_over_many_shards_blocks_and_spans(spark, monkeypatch):
+    from panelspark.llm import lexical
+
+    monkeypatch.setattr(lexical, "BLOCK", 4)
+    monkeypatch.setattr(lexical, "SPAN", 16)
+    rows, queries = search_rows(1, 300)
+    parts = []
+    for i, (lo, hi) in enumerate([(0, 120), (120, 333)]):  # built here, so that the small blocks are in force
+        import pyarrow as pa
+
+        shard = lexical._Shard()
+        some = rows[lo:hi]
+        for at in range(0, len(some), 50):
+            shard.add(pa.array([r[0] for r in some[at:at + 50]], pa.int64()),
+                      textkit.Texts([(r[1] or "").encode() for r in some[at:at + 50]]))
+        parts.append(pa.Table.from_batches(shard.rows(0, i, pa.int64())))
+    table = pa.concat_tables(parts).to_pylist()
+    heads = [r for r in table if not r["term"]]
+    n, total = sum(r["df"] for r in heads), sum(r["occurrences"] for r in heads)
+    import collections
+    import math
+
+    stats: dict = {}
+    for r in table:
+        a = stats.setdefault(r["term"], [0, 0, 1 << 40])
+        stats[r["term"]] = [a[0] + r["df"], max(a[1], r["max_tf"]), min(a[2], r["min_length"])]
+    want = ranked(rows, [q for q in queries if q[0] != 3])
+    got = []
+    for item, text in queries:
+        if item == 3:
+            continue
+        times = collections.Counter(w for w in __import__("re").findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", C.lower(text)))
+        terms = []
+        for t, c in times.items():
+            if t in stats:
+                df, top, low = stats[t]
+                w = c * math.floor(1000 * math.log((2 * n + 2) / (2 * df + 1)))
+                terms.append((t, w, w * lexical.impact(top, low, n, total)))
+        best = []
+        for i, head in enumerate(heads):
+            lists = {r["term"]: lexical._Postings(r["blocks"], r["gaps"], r["tfs"]) for r in table
+                     if r["term"] and r["shard"] == i}
+            best += [(-s, head["ids"][d] is None, head["ids"][d] or 0, head["ids"][d]) for s, d in lexical.best_of_shard(
+                lexical._Query("q", terms), lists, np.array(head["lengths"]), n, total, 10)]
+        got += [(item, place + 1, b[3], -b[0]) for place, b in enumerate(sorted(best)[:10])]
+    assert sorted(got, key=repr) == want
+    monkeypatch.undo()
+    docs = C.documents(spark, rows)
+    asked = spark.createDataFrame(queries, "item_id long, text string")
+    out = lexical.search(lexical.build_index(docs, shard_bytes=2000), asked, query_terms=50)
+    assert C.rows_of(out, "item_id", "rank", "doc_id", "score") == ranked(rows, queries)
+
+
+def test_search_without_documents_or_queries(spark):
+    from panelspark.llm import lexical
+
+    none = spark.createDataFrame([], "doc_id long, text string")
+    nothing = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    for docs in (none, nothing):
+        assert lexical.search(lexical.build_index(docs), asked).collect() == []
+    some = lexical.build_index(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))
+    assert lexical.search(some, asked.limit(0)).collect() == []
