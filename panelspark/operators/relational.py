@@ -100,50 +100,57 @@ def describe(df: DataFrame, cols) -> DataFrame:
     return mom.join(q, "col", "left").select("col", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
-def exact_percentiles(df: DataFrame, keys, col: str, probs, names=None, buckets: int = 1024,
-                      levels: int = 2) -> DataFrame:
+#: Relative rank error 1/SKETCH of the sketch that brackets wanted ranks; a key with fewer rows is ranked whole.
+SKETCH = 10_000
+
+
+def exact_percentiles(df: DataFrame, keys, col: str, probs, names=None, sketch: int = SKETCH) -> DataFrame:
     """Exact interpolated percentiles (rank ``h = p·(n−1)``, linear between neighbours — DuckDB
     ``quantile_cont``) per key, without holding a group in one task.
 
-    Equal values are counted first (partial aggregates: ties never travel as rows).  A key's value range is cut into
-    ``buckets`` equal parts; the counts by part and their prefix sums tell which parts hold a wanted rank, and only those
-    go on, to be cut again (``levels``) and ranked at last.  Parts depend on the values alone, so the answer is the same
-    however the input is partitioned, cached or recomputed."""
+    A mergeable sketch (``percentile_approx``, rank error n / ``sketch``) brackets each wanted rank by two values 3n /
+    ``sketch`` ranks before and after it.  One more pass counts the rows by value inside the brackets and by gap outside
+    them, so about 6n / ``sketch`` values a rank are left, whatever the values' distribution; prefix sums over these counts give
+    the exact ranks.  The input is read twice.  The sketch only chooses where to look: counts are exact, and a rank that its
+    bracket does not hold (against the sketch's guarantee) is an error and no wrong answer.  NaN sorts last."""
     keys = list(keys)
     names = names or [f"p{int(round(p * 100)):02d}" if abs(p * 100 - round(p * 100)) < 1e-9 else f"p{p}" for p in probs]
     d = df.select(*keys, F.col(col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    left = d.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
-    size = left.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    tgt = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    want = size.select(*keys, F.explode(tgt).alias("__t"), "__n")
-    h = F.col("__t.p") * (F.col("__n") - 1)
-    want = want.select(*keys, F.col("__t.i").alias("__i"), (h - F.floor(h)).alias("__frac"),
-                       F.explode(F.array(F.struct(F.lit(0).alias("s"), F.floor(h).alias("r")),
-                                         F.struct(F.lit(1).alias("s"), F.ceil(h).alias("r")))).alias("__w"))
-    want = want.select(*keys, "__i", "__frac", F.col("__w.s").alias("__side"), F.col("__w.r").alias("__rank"))
-    part = list(keys)
-    for level in range(levels):
-        b = f"__b{level}"
-        span = left.groupBy(*part).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-        at = F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * buckets
-        left = left.join(span, part).withColumn(b, F.least(F.coalesce(F.floor(at), F.lit(0)), F.lit(buckets - 1))
-                                                .cast("int")).drop("__lo", "__hi")
-        counts = left.groupBy(*part, b).agg(F.sum("__c").alias("__m"))
-        upto = Window.partitionBy(*part).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("__before", F.coalesce(F.sum("__m").over(upto), F.lit(0)))
-        want = (want.join(counts, part).where((F.col("__rank") >= F.col("__before"))
-                                              & (F.col("__rank") < F.col("__before") + F.col("__m")))
-                .withColumn("__rank", F.col("__rank") - F.col("__before")).drop("__before", "__m"))
-        part = [*part, b]
-        left = left.join(want.select(*part).distinct(), part, "left_semi")
-    before = Window.partitionBy(*part).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = left.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0)))
-    found = want.join(ranked, part).where((F.col("__rank") >= F.col("__before"))
-                                          & (F.col("__rank") < F.col("__before") + F.col("__c")))
-    pair = found.groupBy(*keys, "__i", "__frac").agg(F.max(F.when(F.col("__side") == 0, F.col("__v"))).alias("__a"),
-                                                     F.max(F.when(F.col("__side") == 1, F.col("__v"))).alias("__z"))
-    val = F.col("__a") + F.col("__frac") * (F.col("__z") - F.col("__a"))
-    return pair.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, val)).alias(nm) for i, nm in enumerate(names)])
+    wide = 3.0 / sketch
+    marks = [float(min(max(p + side * wide, 0.0), 1.0)) for p in probs for side in (-1, 1)]
+    cuts = d.groupBy(*keys).agg(F.count("*").alias("__n"),
+                                F.percentile_approx("__v", F.array(*map(F.lit, marks)), F.lit(sketch)).alias("__cuts"))
+    lowest, highest = F.lit(float("-inf")), F.lit(float("nan"))  # NaN is the greatest double
+    brackets = [(lowest if p - wide <= 0 else F.col("__cuts")[2 * i], highest if p + wide >= 1 else F.col("__cuts")[2 * i + 1])
+                for i, p in enumerate(probs)]
+    v = F.col("__v")
+    near = F.col("__n") <= sketch
+    for lo, hi in brackets:
+        near = near | ((v >= lo) & (v <= hi))
+    # a row in a gap stands right after the last bracket that ends before it
+    gap = F.greatest(lowest, *[F.when(v > hi, hi).otherwise(lowest) for _, hi in brackets])
+    rows = d.join(cuts, keys).select(*keys, "__n", F.when(near, v).otherwise(gap).alias("__at"), (~near).alias("__gap"))
+    counts = rows.groupBy(*keys, "__n", "__at", "__gap").agg(F.count("*").alias("__c"))
+    upto = Window.partitionBy(*keys).orderBy("__at", "__gap").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("__upto", F.sum("__c").over(upto))
+
+    def at(rank):
+        held = (rank >= F.col("__upto") - F.col("__c")) & (rank < F.col("__upto"))
+        value = F.when(F.col("__gap"), F.raise_error(F.lit("a rank outside its bracket")).cast("double")).otherwise(F.col("__at"))
+        return F.max(F.when(held, value))
+
+    found = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("__n") - 1)
+        found += [at(F.floor(h)).alias(f"__a{i}"), at(F.ceil(h)).alias(f"__z{i}")]
+    ends = ranked.groupBy(*keys, "__n").agg(*found)
+
+    def between(i, p):
+        h = F.lit(float(p)) * (F.col("__n") - 1)
+        a, z = F.col(f"__a{i}"), F.col(f"__z{i}")
+        return F.when(a == z, a).otherwise(a + (h - F.floor(h)) * (z - a))
+
+    return ends.select(*keys, *[between(i, p).alias(name) for i, (p, name) in enumerate(zip(probs, names))])
 
 
 def kpi_row(f: DataFrame) -> DataFrame:

@@ -50,6 +50,27 @@ def test_percentiles_with_ties_skew_and_a_hot_key(many_partitions):
         assert np.allclose(got[k], want, rtol=1e-9), k
 
 
+@pytest.mark.parametrize("sketch", [10_000, 50])
+def test_percentiles_of_heavy_tails_and_an_outlier(many_partitions, sketch):
+    """Log-normal values and one huge one: the brackets follow ranks, so few values are left whatever the range."""
+    rng = np.random.default_rng(1)
+    rows = [("s2", float(x)) for x in np.exp(rng.normal(0, 2, 40_000))] + [("s2", 1e15)]
+    rows += [("s3", float(x)) for x in np.exp(rng.normal(0, 3, 15_000))]
+    rows += [("ties", float(x)) for x in rng.integers(0, 3, 20_000)] + [("inf", float("inf")), ("inf", 1.0), ("inf", float("-inf"))]
+    df = many_partitions.createDataFrame(rows, "k string, v double").repartition(16)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = {r[0]: list(r[1:]) for r in exact_percentiles(df, ["k"], "v", probs, list("abcdefg"), sketch).collect()}
+    for k in ("s2", "s3", "ties"):
+        assert np.allclose(got[k], np.quantile([v for kk, v in rows if kk == k], probs), rtol=1e-12), k
+    assert got["inf"][0] == float("-inf") and got["inf"][3] == 1.0 and got["inf"][-1] == float("inf")
+
+
+def test_percentiles_read_their_input_twice(spark):
+    df = spark.read.parquet(f"{SF1}/events.parquet")
+    plan = exact_percentiles(df, ["event_type"], "value", [0.25, 0.5, 0.75])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") <= 2 and plan.count("Exchange") <= 8
+
+
 def _brute_scores(steps, panel, sample, n_trees):
     out = {}
     for uid, g in panel.groupby("unique_id"):
