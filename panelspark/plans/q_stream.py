@@ -1,5 +1,5 @@
-"""K1–K3 as queries: the stored events as a stream (``availableNow``), into a Parquet sink in the shared folder, read back.
-The DuckDB twins are the batch answers over the same rows."""
+"""K1–K3 as queries: the stored events as files that arrive in the order of time, streamed over several triggers into a Parquet sink
+in the shared folder, read back.  The DuckDB twins are the batch answers over the same rows."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.util import round_doubles
 from panelspark.operators.relational import exact_percentiles
 from panelspark.plans.registry import register
-from panelspark.sources.tables import read_table, table_path
+from panelspark.sources.tables import read_table
 from panelspark.streaming import online
 
 _OVER = "(PARTITION BY event_type ORDER BY ts, value)"
@@ -17,8 +17,8 @@ _PREV = (f"d AS (SELECT event_type AS unique_id, ts AS ds, value AS y, lag(value
          f"row_number() OVER {_OVER} AS rn FROM events)")
 
 
-def _stream(spark, sf_dir):
-    return online.event_stream(spark, table_path(sf_dir, "events") + "*")  # the source lists files by a pattern
+def _replayed(spark, sf_dir, build, name):
+    return online.replay(read_table(spark, sf_dir, "events"), build, name)
 
 
 def _pairs(spark, sf_dir):
@@ -33,7 +33,8 @@ def _pairs(spark, sf_dir):
           + ", ".join(f"round(lag(value, {k}) OVER {_OVER} - lag(value, {k + 1}) OVER {_OVER}, 4) AS lag{k}" for k in (1, 2, 3))
           + " FROM events")
 def k1_online_lag_features(spark, sf_dir):
-    return round_doubles(online.run_available(online.online_lag_features(_stream(spark, sf_dir), (1, 2, 3)), "k1"), 4)
+    out = _replayed(spark, sf_dir, lambda stream, delay: online.online_lag_features(stream, (1, 2, 3), delay), "k1")
+    return round_doubles(out, 4)
 
 
 @register("k2_online_band_alerts", f"WITH {_PREV}, h AS (SELECT unique_id, quantile_cont(abs(y - prev), 0.9) AS q FROM d GROUP BY 1) "
@@ -43,16 +44,21 @@ def k2_online_band_alerts(spark, sf_dir):
     """Naive one-step forecasts on the stream, alerts beyond the 0.9 quantile of past one-step errors per series."""
     pairs = _pairs(spark, sf_dir).select("unique_id", F.abs(F.col("y") - F.col("prev")).alias("e"))
     half = exact_percentiles(pairs, ["unique_id"], "e", [0.9], ["q"])
-    f = online.online_lag_features(_stream(spark, sf_dir), (1,)).withColumn("yhat", F.col("level_prev"))
-    out = online.run_available(online.band_alerts(f, half), "k2")
+
+    def alerts(stream, delay):
+        naive = online.online_lag_features(stream, (1,), delay).withColumn("yhat", F.col("level_prev"))
+        return online.band_alerts(naive, half)
+
+    out = _replayed(spark, sf_dir, alerts, "k2")
     return round_doubles(out.select("unique_id", "ds", "y", "yhat", "lower", "upper"), 4)
 
 
 def _k3_sql():
-    buy, sell = "(s.signal = 'BUY' AND {c} > s.y AND s.y > 0)", "(s.signal = 'SELL' AND {k} > 0)"
+    buy = "(s.signal = 'BUY' AND {c} > s.y AND s.y > 0 AND isfinite({c} / s.y))"
+    sell = "(s.signal = 'SELL' AND {k} > 0 AND isfinite({c} + s.y * {k}))"
 
     def step(c, k):
-        b, x = buy.format(c=c), sell.format(k=k)
+        b, x = buy.format(c=c), sell.format(c=c, k=k)
         return (f"CASE WHEN {b} THEN {c} - floor({c} / s.y) * s.y WHEN {x} THEN {c} + s.y * {k} ELSE {c} END, "
                 f"CASE WHEN {b} THEN {k} + floor({c} / s.y) WHEN {x} THEN 0.0 ELSE {k} END")
     return (f"WITH RECURSIVE {_PREV}, f AS (SELECT unique_id, regr_slope(y, prev) AS phi, regr_intercept(y, prev) AS c FROM d GROUP BY 1), "
@@ -75,5 +81,5 @@ def k3_online_portfolio(spark, sf_dir):
     errors = pairs.join(fit, "unique_id").select("unique_id", F.abs(
         F.col("y") - (F.col("c") + F.col("phi") * F.col("prev"))).alias("e"))
     coefs = fit.join(exact_percentiles(errors, ["unique_id"], "e", [0.6], ["q"]), "unique_id", "left")
-    out = online.run_available(online.online_portfolio(_stream(spark, sf_dir), coefs), "k3")
+    out = _replayed(spark, sf_dir, lambda stream, delay: online.online_portfolio(stream, coefs, delay=delay), "k3")
     return round_doubles(out.select("unique_id", "ds", "y", "signal", "cash", "shares", "value"), 2, {"y": 4})

@@ -1,152 +1,271 @@
 """Structured Streaming operators (K1–K3): the predict → observe → update loop as keyed state.
 
-``applyInPandasWithState`` keeps, per series, only what the next prediction needs: the last ``max_lag+1`` levels and
-the last timestamp (K1/K2), plus cash, shares and a row counter for the portfolio (K3).  State size is fixed by the
-model, never by the history.  Rows older than the last one seen for their series are dropped (late data); rows with the
-same timestamp are kept, in the order of their values.  Models are
-applied downstream on the stream (``model.transform``), because Spark ML models cannot run inside a state function.
+``transformWithStateInPandas`` in event time.  Arriving rows of a series wait in a list state (on the executor's disk) until the
+watermark has passed them; an event-time timer then takes the passed rows in the order of (ds, y), runs them through the model's
+state and emits them.  So a row that is late by less than the watermark's delay takes its place in the order; a row later than that is
+dropped, as everywhere in Structured Streaming.  The state of a series is the last ``max_lag + 1`` levels (K1/K2) or cash, shares and
+a counter (K3), and the rows newer than the watermark: the delay and the files of a trigger bound it, never the history.
+
+A finite replay ends with a beat: one row of no series that moves the watermark past all others (``run_available(close=True)``).
+Models are applied downstream on the stream (``model.transform``), because Spark ML models cannot run inside a state function.
 """
 
 from __future__ import annotations
 
+import contextlib
 import math
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from panelspark.sources.tables import SCHEMAS
 
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The closing beat's time, in microseconds: the year 2261, near the last that pandas holds.
+_LAST = 9_183_110_400_000_000
+
 
-def event_stream(spark, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stored events as a stream with the fixed schema, as a panel ``(unique_id=event_type, ds=ts, y=value)``."""
+def event_stream(spark, path: str, max_files_per_trigger: int | None = None, beats: str | None = None) -> DataFrame:
+    """Stored events as a stream with the fixed schema, as a panel ``(unique_id=event_type, ds=ts, y=value)``.  ``beats``: a folder
+    of beats (see ``beat``), read beside the events."""
     r = spark.readStream.schema(SCHEMAS["events"])
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     ev = r.parquet(path)
-    return ev.select(F.col("event_type").alias("unique_id"), F.col("ts").alias("ds"), F.col("value").alias("y"))
-
-
-def _in_order(pdfs: Iterator[pd.DataFrame], columns):
-    """The rows that a trigger has for one series, by (ds, y): a trigger's size bounds them."""
-    rows = pd.concat(list(pdfs), ignore_index=True)[list(columns)].sort_values(["ds", "y"], kind="stable")
-    return ((pd.Timestamp(r[0]), *map(float, r[1:])) for r in rows.itertuples(index=False, name=None))
-
-
-def _lag_state_fn(lags, keep: int):
-    lags = list(lags)
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        hist, last = ([], None)
-        if state.exists:
-            h, last = state.get
-            hist = list(h)
-        rows = []
-        for ds, y in _in_order(pdfs, ("ds", "y")):
-            if last is not None and ds < last:
-                continue  # older than the last row seen: dropped
-            rec = {"unique_id": key[0], "ds": ds, "y": float(y),
-                   "level_prev": hist[-1] if hist else None}
-            for k in lags:  # lag k of Δy from the levels before this row
-                rec[f"lag{k}"] = (hist[-k] - hist[-k - 1]) if len(hist) >= k + 1 else None
-            rows.append(rec)
-            hist = (hist + [float(y)])[-keep:]
-            last = ds
-        state.update((hist, last.to_pydatetime() if last is not None else None))
-        cols = ["unique_id", "ds", "y", "level_prev", *[f"lag{k}" for k in lags]]
-        yield pd.DataFrame(rows, columns=cols)
-
-    return fn
-
-
-def online_lag_features(stream: DataFrame, lags=(1, 2, 3)) -> DataFrame:
-    """K1: per arriving row, the Δ-lag features of its series' past (then the row joins the state)."""
-    keep = max(lags) + 1
-    out = ("unique_id string, ds timestamp_ntz, y double, level_prev double, "
-           + ", ".join(f"lag{k} double" for k in lags))
-    return stream.groupBy("unique_id").applyInPandasWithState(
-        _lag_state_fn(lags, keep), out, "hist array<double>, last timestamp_ntz", "append",
-        GroupStateTimeout.NoTimeout)
-
-
-def online_forecast(stream: DataFrame, model, lags=(1, 2, 3), date_feats=("hour",)) -> DataFrame:
-    """K1 + model: one-step forecasts on the stream (``yhat`` = previous level + predicted Δ)."""
-    from panelspark.operators.windows import date_features
+    ev = ev.select(F.col("event_type").alias("unique_id"), F.col("ts").alias("ds"), F.col("value").alias("y"))
+    if beats is None:
+        return ev
+    make_folder(spark, beats)
+    b = spark.readStream.schema("us long").parquet(beats)
+    b = b.select(F.lit(None).cast("string").alias("unique_id"), _stamp("us").alias("ds"), F.lit(None).cast("double").alias("y"),
+                 F.lit(True).alias("beat"))
+    return ev.withColumn("beat", F.lit(False)).unionByName(b)
 
-    f = online_lag_features(stream, lags).withColumns(date_features("ds", date_feats))
-    return model.transform(f).withColumn("yhat", F.col("level_prev") + F.col("prediction")).drop("features", "prediction")
 
+def make_folder(spark, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+
+
+def beat(spark, beats: str, us: int = _LAST) -> None:
+    """Let the streams that read ``beats`` know that time has come to ``us``."""
+    spark.createDataFrame([(us,)], "us long").coalesce(1).write.mode("append").parquet(beats)
+
+
+def stage(events: DataFrame, folder: str, pieces: int) -> tuple[str, int, str]:
+    """Write stored events as files that arrive in the order of time, ``pieces`` equal spans of time one after another.  Returns the
+    files' pattern, the files of a piece at most, and the delay that a watermark needs (a piece's span)."""
+    spark = events.sparkSession
+    lo, hi = events.select(F.expr(_micros("ts")).alias("us")).agg(F.min("us"), F.max("us")).first()
+    lo, hi = lo or 0, hi or 0
+    span = (hi - lo) // pieces + 1
+    most = 1
+    for i in range(pieces):
+        us = F.expr(_micros("ts"))
+        place = f"{folder}/{i:05d}"
+        events.where((us >= lo + i * span) & (us < lo + (i + 1) * span)).write.parquet(place)
+        most = max(most, len(spark.read.schema(events.schema).parquet(place).inputFiles()))
+    return f"{folder}/*", most, f"{span // 1_000_000 + 1} seconds"
 
-def band_alerts(forecasts: DataFrame, halfwidths: DataFrame) -> DataFrame:  # halfwidths: ml.conformal_halfwidths
-    """K2: stream ⋈ static per-series half-width (conformal quantile) → rows whose actual breaches ŷ ± q."""
-    j = forecasts.join(halfwidths, "unique_id")  # one row per series: the join strategy follows its measured size
-    return j.withColumns({"lower": F.col("yhat") - F.col("q"), "upper": F.col("yhat") + F.col("q")}) \
-            .filter((F.col("y") < F.col("lower")) | (F.col("y") > F.col("upper")))
 
+def _micros(c: str) -> str:
+    """Wall-clock microseconds, whatever the session's time zone."""
+    return f"timestampdiff(MICROSECOND, {_EPOCH}, {c})"
 
-def _portfolio_fn(initial_cash: float, warmup: int):
-    def fn(key, pdfs, state):
-        uid = key[0]
-        if state.exists:
-            cash, shares, n, last = state.get
-        else:
-            cash, shares, n, last = float(initial_cash), 0.0, 0, None
-        rows = []
-        for ds, price, c, phi, q in _in_order(pdfs, ("ds", "y", "c", "phi", "q")):
-            if last is not None and ds < pd.Timestamp(last):
+
+def _stamp(c: str):
+    return F.expr(f"timestampadd(MICROSECOND, {c}, {_EPOCH})")
+
+
+# --- state
+
+class _InOrder(StatefulProcessor):
+    """Rows ``(us, *values)`` of a series in order, once the watermark has passed them.  Subclasses keep a model state and answer
+    ``step(key, model, rows)`` with the new state and the output's columns."""
+
+    values: tuple[str, ...] = ("y",)
+    model = "levels array<double>"
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, " + ", ".join(f"{c} double" for c in self.values))
+        self.state = handle.getValueState("model", self.model)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            pdf = pdf[~pdf["beat"].astype(bool)]
+            if not len(pdf):
                 continue
+            us = pdf["us"].astype("int64").tolist()
+            self.waiting.appendList(list(zip(us, *(pdf[c].astype(float).tolist() for c in self.values))))
+            first = min([*us, first] if first is not None else us)
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
+        yield self.frame(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.waiting.get())
+        due = [r for r in rows if r[0] <= passed]
+        self.waiting.clear()
+        if len(due) < len(rows):
+            rest = rows[len(due):]
+            self.waiting.appendList(rest)
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        out: list = []
+        if due:
+            model, out = self.step(self.state.get() if self.state.exists() else None, due)
+            self.state.update(model)
+        yield self.frame(key, out)
+
+    def frame(self, key, columns: list) -> pd.DataFrame:
+        """The output's columns after the series' name; strings as objects."""
+        n = len(columns[0]) if columns else 0
+        names = [c.split()[0] for c in self.out.split(", ")]
+        kinds = {"string": object, "double": float, "bigint": "int64"}
+        made = [[key[0]] * n, *columns] if columns else [[]] * len(names)
+        return pd.DataFrame({name: pd.Series(c, dtype=kinds[k.split()[1]])
+                             for name, k, c in zip(names, self.out.split(", "), made)})
+
+    def close(self) -> None:
+        pass
+
+
+class _Lags(_InOrder):
+    def __init__(self, lags):
+        self.lags = tuple(lags)
+        self.out = "unique_id string, us bigint, y double, level_prev double, " + ", ".join(
+            f"lag{k} double" for k in self.lags)
+
+    def step(self, model, rows):
+        held = list(model[0]) if model else []
+        levels = np.array([*held, *(y for _, y in rows)])
+        place = np.arange(len(held), len(levels))
+
+        def back(k):
+            return np.where(place >= k, levels[np.maximum(place - k, 0)], np.nan)
+
+        out = [[us for us, _ in rows], levels[place], back(1), *(back(k) - back(k + 1) for k in self.lags)]
+        return ([float(x) for x in levels[-(max(self.lags) + 1):]],), out
+
+
+class _Portfolio(_InOrder):
+    values = ("y", "c", "phi", "q")
+    model = "cash double, shares double, n bigint"
+    out = ("unique_id string, us bigint, y double, next_pred double, signal string, action string, cash double, shares double, "
+           "value double")
+
+    def __init__(self, initial_cash: float, warmup: int):
+        self.initial, self.warmup = (float(initial_cash), 0.0, 0), warmup
+
+    def step(self, model, rows):
+        cash, shares, n = model or self.initial
+        out = []
+        for us, price, c, phi, q in rows:
             n += 1
             nxt = c + phi * price  # NaN without coefficients: no signal
-            lo, hi = nxt - q, nxt + q
             sig = "HOLD"
-            if n > warmup:
-                if price < lo and nxt > price:
+            if n > self.warmup:
+                if price < nxt - q and nxt > price:
                     sig = "BUY"
-                elif price > hi and nxt < price:
+                elif price > nxt + q and nxt < price:
                     sig = "SELL"
             act = "HOLD"
-            if sig == "BUY" and cash > price > 0:
+            if sig == "BUY" and cash > price > 0 and math.isfinite(cash / price):
                 k = math.floor(cash / price)
                 cash -= k * price
                 shares += k
                 act = "BUY"
-            elif sig == "SELL" and shares > 0:
+            elif sig == "SELL" and shares > 0 and math.isfinite(cash + price * shares):
                 cash += price * shares
                 shares = 0.0
                 act = "SELL"
-            rows.append((uid, ds, float(price), nxt, sig, act, cash, shares, cash + shares * price))
-            last = ds.to_pydatetime()
-        state.update((cash, shares, n, last))
-        yield pd.DataFrame(rows, columns=["unique_id", "ds", "y", "next_pred", "signal", "action", "cash", "shares",
-                                          "value"])
+            out.append((us, price, nxt, sig, act, cash, shares, cash + shares * price))
+        return (float(cash), float(shares), int(n)), [list(c) for c in zip(*out)]
+
+
+def _run(stream: DataFrame, processor: _InOrder, delay: str) -> DataFrame:
+    beats = F.col("beat") if "beat" in stream.columns else F.lit(False)
+    us = F.expr(_micros("ds"))
+    rows = stream.select("unique_id", us.alias("us"), *processor.values, beats.alias("beat"),
+                         F.timestamp_micros(us).alias("at")).withWatermark("at", delay)
+    out = rows.groupBy("unique_id").transformWithStateInPandas(
+        processor, outputStructType=processor.out, outputMode="append", timeMode="EventTime")
+    return out.withColumn("ds", _stamp("us")).select(*[F.col("ds") if c == "us" else F.col(c) for c in out.columns])
+
+
+def online_lag_features(stream: DataFrame, lags=(1, 2, 3), delay: str = "0 seconds") -> DataFrame:
+    """K1: per arriving row, the Δ-lag features of its series' past (then the row joins the state).  ``delay``: how late a row may
+    come and still be put in order."""
+    return _run(stream, _Lags(lags), delay)
+
+
+def online_forecast(stream: DataFrame, model, lags=(1, 2, 3), date_feats=("hour",), delay: str = "0 seconds") -> DataFrame:
+    """K1 + model: one-step forecasts on the stream (``yhat`` = previous level + predicted Δ)."""
+    from panelspark.operators.windows import date_features
 
-    return fn
+    f = online_lag_features(stream, lags, delay).withColumns(date_features("ds", date_feats))
+    return model.transform(f).withColumn("yhat", F.col("level_prev") + F.col("prediction")).drop("features", "prediction")
 
 
-PORTFOLIO_SCHEMA = ("unique_id string, ds timestamp_ntz, y double, next_pred double, signal string, action string, "
-                    "cash double, shares double, value double")
+def band_alerts(forecasts: DataFrame, halfwidths: DataFrame) -> DataFrame:  # halfwidths: ml.conformal_halfwidths
+    """K2: stream ⋈ static per-series half-width (conformal quantile) → rows whose actual breaches ŷ ± q."""
+    j = forecasts.join(halfwidths, "unique_id")  # one row per series: the join strategy follows its measured size
+    return j.withColumns({"lower": F.col("yhat") - F.col("q"), "upper": F.col("yhat") + F.col("q")}) \
+            .filter((F.col("y") < F.col("lower")) | (F.col("y") > F.col("upper")))
 
 
-def online_portfolio(stream: DataFrame, coefs: DataFrame, initial_cash: float = 10000.0, warmup: int = 11) -> DataFrame:
+def online_portfolio(stream: DataFrame, coefs: DataFrame, initial_cash: float = 10000.0, warmup: int = 11,
+                     delay: str = "0 seconds") -> DataFrame:
     """K3: signals (I1 rules, AR(1) one-step forecast ``c + φ·y`` with band ±q) and the cash/shares fold (I2) in one
     state function.  ``coefs``: ``(unique_id, c, phi, q)``, fitted in batch and joined to the stream; a series without
-    coefficients is kept and always holds."""
+    coefficients is kept and always holds.  A trade whose shares or proceeds are no finite number is not made (HOLD)."""
     given = coefs.select("unique_id", *[F.col(c).cast("double").alias(c) for c in ("c", "phi", "q")])
-    return stream.join(given, "unique_id", "left").groupBy("unique_id").applyInPandasWithState(
-        _portfolio_fn(initial_cash, warmup), PORTFOLIO_SCHEMA,
-        "cash double, shares double, n long, last timestamp_ntz", "append", GroupStateTimeout.NoTimeout)
+    return _run(stream.join(given, "unique_id", "left"), _Portfolio(initial_cash, warmup), delay)
 
 
-def run_available(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+@contextlib.contextmanager
+def _rocksdb(spark):
+    """List states and timers need the RocksDB state store; the session's own setting comes back afterwards."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def run_available(df: DataFrame, name: str, folder: str | None = None, beats: str | None = None, close: bool = False) -> DataFrame:
     """Process everything available into a Parquet sink and read it back.  Sink and checkpoint are a new sub-folder of
-    ``<spark.checkpoint.dir>/streams`` (shared, survives executor loss), or ``folder``."""
+    ``<spark.checkpoint.dir>/streams`` (shared, survives executor loss), or ``folder``; a second call with the same folder goes on
+    where the first ended.  ``close``: a last beat in ``beats`` lets all rows that still wait out."""
+    from panelspark.session import stream_checkpoint
+
+    spark = df.sparkSession
+    folder = folder or stream_checkpoint(spark, f"{name}-{uuid.uuid4().hex}")
+    with _rocksdb(spark):
+        for last in (False, True) if close else (False,):
+            if last:
+                beat(spark, beats)
+            q = (df.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
+                   .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
+            q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+def replay(events: DataFrame, build, name: str, pieces: int = 4) -> DataFrame:
+    """Stored events as a stream of ``pieces`` triggers, through ``build(stream, delay)``, to its end."""
     from panelspark.session import stream_checkpoint
 
-    folder = folder or stream_checkpoint(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    q = (df.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows")
-           .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
+    folder = stream_checkpoint(events.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    path, files, delay = stage(events, f"{folder}/in", pieces)
+    stream = event_stream(events.sparkSession, path, files, f"{folder}/beats")
+    return run_available(build(stream, delay), name, folder, f"{folder}/beats", close=True)

@@ -14,6 +14,13 @@ from panelspark.streaming import online
 LAGS = (1, 2, 3)
 
 
+def _closed(spark, src, build, files=1):
+    """A replay of files to its end."""
+    d = tempfile.mkdtemp(prefix="ck-")
+    stream = online.event_stream(spark, src, files, f"{d}/beats")
+    return online.run_available(build(stream), "test", f"{d}/run", f"{d}/beats", close=True)
+
+
 def _chunked_events(n_files=3):
     t = pq.read_table(f"{SF001}/events.parquet").sort_by("ts")
     d = tempfile.mkdtemp(prefix="ev-stream-")
@@ -32,8 +39,7 @@ def _batch_panel(spark):
 
 def test_online_lag_features_equal_batch(spark):
     src = _chunked_events()
-    ck = tempfile.mkdtemp(prefix="ck-")
-    got = online.run_available(online.online_lag_features(online.event_stream(spark, src, 1), LAGS), "k1_feats", ck)
+    got = _closed(spark, src, lambda stream: online.online_lag_features(stream, LAGS))
     want = ml.lag_features(_batch_panel(spark), LAGS, date_feats=())
     cols = ["unique_id", "ds", "y", "level_prev", *[f"lag{k}" for k in LAGS]]
     g = got.select(*cols).orderBy("unique_id", "ds").toPandas()
@@ -48,17 +54,13 @@ def test_online_forecast_equals_batch_replay_and_alerts(spark):
     names = ml.feature_names(LAGS)
     model = ml.fit_global(feats, names, "gbt", maxIter=10, maxDepth=3)
     batch = ml.one_step_replay(model, feats, F.lit(True)).dropna(subset=["yhat"])
-    ck = tempfile.mkdtemp(prefix="ck-")
-    stream = online.online_forecast(online.event_stream(spark, src, 1), model, LAGS)
-    got = online.run_available(stream, "k1_fc", ck).dropna(subset=["yhat"])
+    got = _closed(spark, src, lambda stream: online.online_forecast(stream, model, LAGS)).dropna(subset=["yhat"])
     a = got.select("unique_id", "ds", "yhat").orderBy("unique_id", "ds").toPandas()
     b = batch.select("unique_id", "ds", "yhat").orderBy("unique_id", "ds").toPandas()
     assert len(a) == len(b) > 0 and np.allclose(a["yhat"], b["yhat"])
     # K2: alerts on the stream = batch rows outside yhat ± q
     q = spark.createDataFrame([(u, 5.0) for u in ("click", "view", "purchase", "signup", "error")], "unique_id string, q double")
-    ck2 = tempfile.mkdtemp(prefix="ck-")
-    alerts = online.run_available(online.band_alerts(online.online_forecast(online.event_stream(spark, src, 1), model, LAGS), q),
-                                  "k2_alerts", ck2)
+    alerts = _closed(spark, src, lambda stream: online.band_alerts(online.online_forecast(stream, model, LAGS), q))
     want = batch.filter(F.abs(F.col("y") - F.col("yhat")) > 5.0).count()
     assert alerts.count() == want
 
@@ -67,9 +69,8 @@ def test_online_portfolio_equals_sequential_loop(spark):
     src = _chunked_events()
     coefs = spark.createDataFrame([(u, 1.0, 0.9, 2.0) for u in ("click", "view", "purchase", "signup", "error")],
                                   "unique_id string, c double, phi double, q double")
-    ck = tempfile.mkdtemp(prefix="ck-")
-    got = online.run_available(online.online_portfolio(online.event_stream(spark, src, 1), coefs, 1000.0),
-                               "k3_pf", ck).orderBy("unique_id", "ds").toPandas()
+    got = _closed(spark, src, lambda stream: online.online_portfolio(stream, coefs, 1000.0)).orderBy(
+        "unique_id", "ds").toPandas()
     pdf = _batch_panel(spark).orderBy("unique_id", "ds").toPandas()
     for uid, g in pdf.groupby("unique_id"):
         cash, shares, vals = 1000.0, 0.0, []
@@ -96,12 +97,53 @@ def test_rows_with_equal_timestamps_are_kept(spark, tmp_path):
             enumerate([(0, 3), (0, 1), (1, 5), (1, 4), (1, 5), (2, 9)])]
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
     df.withColumn("ts", F.to_timestamp_ntz("ts")).repartition(3).write.parquet(str(tmp_path / "events"))
-    got = online.run_available(online.online_lag_features(online.event_stream(spark, str(tmp_path / "events")), (1,)),
-                               "ties", str(tmp_path / "run")).orderBy("ds", "y").collect()
+    src = str(tmp_path / "events")
+    got = _closed(spark, src, lambda stream: online.online_lag_features(stream, (1,)), 9).orderBy("ds", "y").collect()
     assert [r.y for r in got] == [1.0, 3.0, 4.0, 5.0, 5.0, 9.0]
     assert [r.level_prev for r in got] == [None, 1.0, 3.0, 4.0, 5.0, 5.0]
     # a series without coefficients is kept and holds
     none = spark.createDataFrame([("b", 1.0, 0.9, 0.1)], "unique_id string, c double, phi double, q double")
-    held = online.run_available(online.online_portfolio(online.event_stream(spark, str(tmp_path / "events")), none, 100.0,
-                                                        warmup=0), "held", str(tmp_path / "run2")).collect()
+    held = _closed(spark, src, lambda stream: online.online_portfolio(stream, none, 100.0, warmup=0), 9).collect()
     assert len(held) == 6 and {r.signal for r in held} == {"HOLD"} and {r.value for r in held} == {100.0}
+
+
+def _event_files(spark, folder, pieces):
+    """One file for each piece, in this order of arrival; rows: (second, value)."""
+    for i, rows in enumerate(pieces):
+        made = [(j, f"2024-01-01 {s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}", 1, "a", float(v), "") for j, (s, v) in enumerate(rows)]
+        df = spark.createDataFrame(made, "event_id long, ts string, user_id long, event_type string, value double, props string")
+        df.withColumn("ts", F.to_timestamp_ntz("ts")).coalesce(1).write.parquet(f"{folder}/{i:03d}")
+    return f"{folder}/*"
+
+
+def test_many_triggers_order_late_rows(spark, tmp_path):
+    """Twenty triggers whose rows overlap by less than the delay equal the batch; a row that is later than that is dropped."""
+    rng = np.random.default_rng(5)
+    stamps = np.arange(0, 4000, 10)
+    arrival = np.argsort(stamps + rng.uniform(0, 250, len(stamps)))
+    pieces = [[(int(stamps[i]), float(i)) for i in part] for part in np.array_split(arrival, 20)]
+    pieces[-1].append((5, -1.0))  # an hour late
+    src = _event_files(spark, str(tmp_path), pieces)
+    got = _closed(spark, src, lambda stream: online.online_lag_features(stream, (1, 2), "300 seconds")).orderBy("ds").collect()
+    assert [r.y for r in got] == [float(i) for i in range(len(stamps))]
+    assert [r.level_prev for r in got] == [None, *[float(i) for i in range(len(stamps) - 1)]]
+    assert [r.lag2 for r in got[3:]] == [1.0] * (len(stamps) - 3)
+
+
+def test_staged_events_replay_in_order(spark):
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    got = online.replay(ev, lambda stream, delay: online.online_lag_features(stream, LAGS, delay), "staged", 3).toPandas()
+    want = ml.lag_features(_batch_panel(spark), LAGS, date_feats=()).toPandas()
+    cols = ["unique_id", "ds", "y", "level_prev", *[f"lag{k}" for k in LAGS]]
+    got, want = (x[cols].sort_values(["unique_id", "ds", "y"]).reset_index(drop=True) for x in (got, want))
+    assert len(got) == len(want) and np.allclose(got[cols[2:]].fillna(-1e9).to_numpy(float), want[cols[2:]].fillna(-1e9).to_numpy(float))
+
+
+def test_portfolio_that_compounds_without_end_holds(spark, tmp_path):
+    """Each round multiplies the cash by 10,000, until a trade's proceeds would be no finite number."""
+    prices = [1.0, 10_000.0] * 120
+    src = _event_files(spark, str(tmp_path), [[(i, p) for i, p in enumerate(prices)]])
+    coefs = spark.createDataFrame([("a", 5000.0, 0.0, 1.0)], "unique_id string, c double, phi double, q double")
+    got = _closed(spark, src, lambda stream: online.online_portfolio(stream, coefs, 100.0, 0)).orderBy("ds").collect()
+    assert len(got) == 240 and all(np.isfinite(r.cash) for r in got)
+    assert got[-1].action == "HOLD" and got[0].action == "BUY" and max(r.cash for r in got) > 1e300
