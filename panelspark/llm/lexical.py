@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -40,7 +41,7 @@ QUERY_TERMS = 100_000
 #: Document numbers that are scored at a time.
 SPAN = 4096
 #: Rows of the index in an Arrow batch.
-ROWS = 2000
+ROWS = 5000
 
 _TERM = K.class_table(bytes(c for c in range(128) if chr(c).isalnum()) + bytes(range(128, 256)))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -67,7 +68,8 @@ def _terms(texts: K.Texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     before = np.concatenate([[False], inside[:-1]])
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(before & ~inside)
     owner = np.searchsorted(texts.starts, starts, side="right") - 1
-    _, first, place = np.unique(K.span_hash(data, starts, ends), return_index=True, return_inverse=True)
+    place, found = pd.factorize(K.span_hash(data, starts, ends))  # numbered as they come
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(place), prepend=-1)) if len(place) else place
     raw = data.tobytes()
     return [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], place, owner
 
@@ -108,47 +110,69 @@ class _Shard:
         tf = np.concatenate(self.tf)
         by = np.argsort(key)
         key, tf = key[by], tf[by]
-        doc = key & 0xFFFFFFFF
-        begin = np.searchsorted(key >> 32, np.arange(len(self.code) + 1)).tolist()
-        head = ("", int((sizes > 0).sum()), int(sizes.sum()), 0, 0, None, None, None)
-        yield _rows(part, shard, [head], pa.array([ids.take(pa.array(order)).to_pylist()], pa.list_(kind)),
+        kinds = [pa.int64()] * 4 + [pa.binary()] * 3
+        head = [pa.array([x], t) for x, t in zip((int((sizes > 0).sum()), int(sizes.sum()), 0, 0, None, None, None), kinds)]
+        yield _rows(part, shard, pa.array([""]), head, pa.array([ids.take(pa.array(order)).to_pylist()], pa.list_(kind)),
                     pa.array([sizes], pa.list_(pa.int64())))
-        made: list[tuple] = []
-        for word, a, b in zip(self.code, begin, begin[1:]):
-            made.append((word.decode(), *_list(doc[a:b], tf[a:b], sizes)))
-            if len(made) == ROWS:
-                yield _rows(part, shard, made, pa.nulls(ROWS, pa.list_(kind)), pa.nulls(ROWS, pa.list_(pa.int64())))
-                made = []
-        if made:
-            n = len(made)
-            yield _rows(part, shard, made, pa.nulls(n, pa.list_(kind)), pa.nulls(n, pa.list_(pa.int64())))
-
-
-def _list(docs: np.ndarray, tf: np.ndarray, sizes: np.ndarray) -> tuple:
-    """df, occurrences, greatest tf, least length, the blocks (last document, greatest tf, least length), gaps, frequencies."""
-    n = len(docs)
-    at = np.arange(0, n, BLOCK)
-    top, low = np.maximum.reduceat(tf, at), np.minimum.reduceat(sizes[docs], at)
-    blocks = np.stack([docs[np.minimum(at + BLOCK, n) - 1], top, low]).astype("<i8").tobytes()
-    return n, int(tf.sum()), int(top.max()), int(low.min()), blocks, _narrow(np.diff(docs, prepend=-1)), _narrow(tf)
-
-
-def _narrow(x: np.ndarray) -> bytes:
-    """Whole numbers in 1, 2 or 4 bytes each, after a byte that says which."""
-    top = int(x.max())
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+        if not self.code:
+            return
+        words = pa.array(list(self.code), pa.binary()).cast(pa.string())
+        n = len(words)
+        made = _rows(part, shard, words, _lists(key >> 32, key & 0xFFFFFFFF, tf, sizes, n), pa.nulls(n, pa.list_(kind)),
+                     pa.nulls(n, pa.list_(pa.int64())))
+        for at in range(0, n, ROWS):
+            yield made.slice(at, ROWS)
+
+
+def _lists(term: np.ndarray, doc: np.ndarray, tf: np.ndarray, sizes: np.ndarray, n: int) -> list[pa.Array]:
+    """Of all terms at once, from their postings by (term, document): df, occurrences, greatest tf, least length, the blocks (last
+    document, greatest tf, least length), gaps, frequencies."""
+    begin = np.searchsorted(term, np.arange(n))
+    df = np.diff(begin, append=len(term))
+    length = sizes[doc]
+    per = -(-df // BLOCK)  # blocks of each term
+    upto = np.cumsum(per)
+    at = np.repeat(begin, per) + BLOCK * (np.arange(upto[-1]) - np.repeat(upto - per, per))
+    last = np.minimum(at + BLOCK, np.repeat(begin + df, per)) - 1
+    blocks = np.stack([doc[last], np.maximum.reduceat(tf, at), np.minimum.reduceat(length, at)], axis=1).astype("<i4")
+    gaps = np.diff(doc, prepend=0)
+    gaps[begin] = doc[begin] + 1
+    plain = [df, np.add.reduceat(tf, begin, dtype=np.int64), np.maximum.reduceat(tf, begin), np.minimum.reduceat(length, begin)]
+    return [*(pa.array(x.astype(np.int64)) for x in plain), _binary(12 * per, blocks.view(np.uint8).reshape(-1)),
+            _narrow(gaps, begin, df), _narrow(tf, begin, df)]
+
+
+def _binary(size: np.ndarray, data: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _narrow(x: np.ndarray, begin: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Each list's whole numbers in 1, 2 or 4 bytes, after a byte that says which."""
+    top = np.maximum.reduceat(x, begin)
+    width = np.where(top < 1 << 8, 1, np.where(top < 1 << 16, 2, 4))
+    size = 1 + width * count
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    out[start] = width
+    each = np.repeat(width, count)
+    at = np.repeat(start + 1 - width * begin, count) + each * np.arange(len(x))
+    for byte in range(4):
+        some = each > byte
+        if byte and not some.any():
+            break
+        out[at[some] + byte] = (x[some] >> (8 * byte)) & 255
+    return _binary(size, out)
 
 
-_NAMES = ("term", "df", "occurrences", "max_tf", "min_length", "blocks", "gaps", "tfs")
+_NAMES = ("df", "occurrences", "max_tf", "min_length", "blocks", "gaps", "tfs")
 
 
-def _rows(part: int, shard: int, made: list[tuple], ids: pa.Array, lengths: pa.Array) -> pa.RecordBatch:
-    kinds = [pa.string()] + [pa.int64()] * 4 + [pa.binary()] * 3
+def _rows(part: int, shard: int, words: pa.Array, columns: list[pa.Array], ids: pa.Array, lengths: pa.Array) -> pa.RecordBatch:
+    n = len(words)
     return pa.RecordBatch.from_arrays(
-        [pa.array([part] * len(made), pa.int32()), pa.array([shard] * len(made), pa.int32()),
-         *(pa.array(c, t) for c, t in zip(zip(*made), kinds)), ids, lengths],
-        ["part", "shard", *_NAMES, "ids", "lengths"])
+        [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, shard, np.int32)), words, *columns, ids, lengths],
+        ["part", "shard", "term", *_NAMES, "ids", "lengths"])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -186,7 +210,7 @@ class _Postings:
     """A term's list in a shard."""
 
     def __init__(self, blocks: bytes, gaps: bytes, tfs: bytes):
-        self.last, self.top, self.low = np.frombuffer(blocks, "<i8").reshape(3, -1)
+        self.last, self.top, self.low = np.frombuffer(blocks, "<i4").reshape(-1, 3).T.astype(np.int64)
         self.before = np.concatenate([[-1], self.last[:-1]])
         self.gaps = np.frombuffer(gaps, f"<u{gaps[0]}", offset=1)
         self.tfs = np.frombuffer(tfs, f"<u{tfs[0]}", offset=1)
