@@ -8,7 +8,7 @@ hold at least ``min_content`` of its word characters.  ``base_failed`` texts (un
 The field is fitted by maximum likelihood (forward-backward, Adam) on a bounded sample of labelled documents: at most
 ``sample`` of them, those with the smallest hash of their id.  The lines of a good document are content; those of a bad one are boilerplate
 if they look so on their own (a first fit with each line as a chain), as a bad text also holds ordinary lines.  Only
-their features reach the driver: for each document at most ``MAX_FIT_LINES`` lines.  Scoring uses every line.
+their features reach the driver: for each document at most ``fit_lines`` lines, a run from any place in it.  Scoring uses every line.
 
 Defined cases: a null or empty text has no words, so it fails the base rule; null ids are scored like others and stay
 null; repeated rows are scored each; an empty table gives an empty result; without labels of both kinds the field
@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,8 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 SAMPLE = 4000
 MIN_CONTENT = 0.5
-MAX_FIT_LINES = 32
+#: Lines of a labelled document that the fit reads: a run that begins anywhere in it.
+FIT_LINES = 32
 
 FEATURES = ("symbol_share", "bar_share", "mark_share", "upper_share", "digit_share", "stop_share", "mean_word_chars",
             "log_words", "repeated_line", "repeat_share", "bias")
@@ -195,8 +197,9 @@ def all_content() -> Field:
     return Field(weights, 0.0, np.zeros((2, 2)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on at most ``sample`` labelled documents (``quality`` 0 or 1)."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_lines: int = FIT_LINES) -> Field:
+    """Fit on at most ``sample`` labelled documents (``quality`` 0 or 1), one text for each doc_id (the least, if there are
+    several), and on at most ``fit_lines`` consecutive lines of each, whose place in the text a hash of the text draws."""
     small_batches(docs.sparkSession)
     # both kinds in their natural proportion; the sample holds ``sample`` ids at most
     picked = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
@@ -208,7 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
             _, found = measure(K.Texts(K.as_bytes(batch.column("text"))))
             at, length = _chains(found.text)
             rank = np.arange(len(found.text)) - np.repeat(at, length)
-            use = rank < MAX_FIT_LINES
+            texts = K.as_bytes(batch.column("text"))
+            draw = np.array([xxhash.xxh3_64_intdigest(texts[i], 5) for i in found.text[at].tolist()], np.uint64)
+            first = (draw % np.maximum(length - fit_lines + 1, 1).astype(np.uint64)).astype(np.int64)
+            rank = rank - np.repeat(first, length)
+            use = (rank >= 0) & (rank < fit_lines)
             owner = batch.column("doc_id").take(pa.array(found.text[use]))
             label = batch.column("quality").take(pa.array(found.text[use]))
             yield pa.RecordBatch.from_arrays(
@@ -216,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
                  pa.array(list(found.features[use]), pa.list_(pa.float64()))], ["doc", "rank", "label", "features"])
 
     rows = (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+            .groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
             .mapInArrow(lines, "doc string, rank int, label int, features array<double>").toPandas())
     if rows["label"].nunique() < 2:
         return all_content()
