@@ -189,32 +189,49 @@ def link_fingerprints(prints: DataFrame, distance: int = DISTANCE, block: int =
             .mapInArrow(_compare(distance), "a long, b long").distinct())
 
 
-def simhash_table(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _prints(docs: DataFrame, shingle: int, keys: dict) -> DataFrame:
+    """(doc_id, keys…, print) of every document, written once."""
+    kind, names = docs.schema["doc_id"].dataType.simpleString(), ["doc_id", *keys]
     small_batches(docs.sparkSession)
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.document_groups(batches):
             prints = fingerprints(K.as_bytes(batch.column("text")), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))],
-                                             ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(prints.view(np.int64))],
+                                             [*names, "print"])
+
+    rows = docs.select("doc_id", "text", *[c.alias(k) for k, c in keys.items()])
+    return materialise(rows.mapInArrow(
+        hash_all, f"doc_id {kind}, " + "".join(f"{k} long, " for k in keys) + "print long"))
 
-    hashed = materialise(docs.select("doc_id", "text").mapInArrow(hash_all, f"doc_id {kind}, print long"))
+
+def _components(hashed: DataFrame, distance: int) -> DataFrame:
+    """(print, root, component_id) of every fingerprint: the least one reachable, and the least doc_id reachable."""
     classes = materialise(hashed.groupBy("print").agg(F.min("doc_id").alias("least")))
     roots = smallest_reachable(link_fingerprints(classes.select("print"), distance))
     grouped = classes.join(roots, classes["print"] == roots["node"], "left").select(
         "print", "least", F.coalesce("root", "print").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = grouped.join(least, "root").select("print", "component_id")
+    return grouped.join(least, "root").select("print", "root", "component_id")
+
+
+def simhash_table(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every document."""
+    hashed = _prints(docs, shingle, {})
+    component = _components(hashed, distance).select("print", "component_id")
     return hashed.join(component, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The documents that stand for their component (its smallest doc_id), with all their columns.
-
-    Rows that share the doc_id of a representative all stay; so do rows without any id to stand for them."""
-    found = simhash_table(docs, shingle, distance)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    """One row of each component stays, with all its columns: the one with the smallest doc_id (nulls last; among rows of one
+    doc_id the choice follows a hash of the row).  Rows that agree in every column count as one."""
+    marks = [F.col(f"`{c}`") for c in docs.columns]
+    marks += [c.isNull() for c in marks]
+    keys = {f"__k{i}": F.xxhash64(F.lit(i), *marks) for i in (1, 2)}  # 128 bits of the whole row
+    hashed = _prints(docs, shingle, keys)
+    of_print = _components(hashed, distance).select("print", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *keys)).alias("first")
+    kept = (hashed.groupBy("print").agg(first).join(of_print, "print")  # a fingerprint's least row, then a component's
+            .groupBy("root").agg(F.min("first").alias("first")).select(*[F.col(f"first.{k}").alias(k) for k in keys]))
+    return (docs.withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).drop(*keys))

@@ -326,6 +326,32 @@ def test_one_document_of_each_group_stays(docs):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert 10 in ids and 11 not in ids and 100 not in ids and 16 in ids
+    prints = np.array([C.fingerprint(t) for _, t in ROWS], np.uint64)
+    near = np.bitwise_count(prints[:, None] ^ prints[None]) <= 3
+    assert len(ids) == len(set(C.components(near, list(range(len(ROWS))))))
+
+
+def test_one_row_of_repeated_rows_stays(spark):
+    rows = [(i, C.words(900 + i, 60)) for i in range(50)]
+    rows += [(7, C.words(990, 60)), (None, C.words(991, 60)), (None, C.words(991, 60)), (None, None), (None, "")]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows + rows, "doc_id long, text string").repartition(4)).collect()
+    texts = sorted(r.text or "" for r in kept)
+    assert texts == sorted([t for i, t in rows if t][:52] + [""])
+
+
+def test_fit_reads_lines_from_anywhere(spark):
+    """Boilerplate that stands at the end of long documents only is learnt."""
+    rows, labels = [], []
+    for i in range(60):
+        body = [C.words(2000 + 40 * i + j, 14) for j in range(40)]
+        rows += [(i, "\n".join(body + ["| # | $ | % | & | # |"] * 40 * (i % 2)))] * (3 if i == 1 else 1)
+        labels.append((i, 1 - i % 2))
+    field = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"),
+                        spark.createDataFrame(labels, "doc_id long, quality int"))
+    texts = textkit.Texts([rows[0][1].encode(), "\n".join(["| # | $ | % | & | # |"] * 30).encode()])
+    base, lines = quality.measure(texts)
+    marks = quality.viterbi(field, lines.text, lines.features)
+    assert marks[lines.text == 0].mean() < 0.1 and marks[lines.text == 1].mean() > 0.9
 
 
 # --- 7: substring dedup
