@@ -1,128 +1,208 @@
-"""The shared regression kernel: Gram sums as Spark aggregates, tiny solves in Arrow batches.
-
-``gram(df, keys, xcols, y)`` is one ``groupBy(keys).agg(sum(x_i·x_j), sum(x_i·y), sum(y·y), count)``.  It is
-partial/final, so it scales over many series *and* over one very long series (the rows of one key are summed by
-every map task before the shuffle).  Only the p×p matrix per key reaches Python, as one row of a ``mapInPandas``
-batch, where numpy solves it.  Any regression on a *subset* of the columns over the same rows is read off the same
-Gram (nested lag orders, order grids, folds) without another pass.
+"""The shared regression kernel: co-moments as Spark aggregates, tiny solves in Arrow batches.
+
+``gram(df, keys, xcols, y)`` gives, per key, the row count, the columns' means and the *centred* products
+``Σ w(z_i − z̄_i)(z_j − z̄_j)`` over the columns z = (x…, y).  Co-moments are merged pairwise, so nothing is lost to cancellation
+at high levels, and they are partial/final: they scale over many series *and* over one very long series (each task
+sums its rows of a key before the shuffle).  Only the small matrix per key reaches Python, as one row of a ``mapInPandas``
+batch, where numpy solves it.  Any regression on a *subset* of the columns over the same rows, and on merged segments of rows, is
+read off the same moments (nested lag orders, order grids, folds) without another pass.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-#: From so many regressors on, a Gram's entries are summed as arrays from Arrow batches: p(p+1)/2 separate ``sum``
-#: expressions would be more than generated code holds.
-ARRAYS_FROM = 13
-
-
-def gram(df: DataFrame, keys, xcols, y: str, weight: str | None = None) -> DataFrame:
-    """Per-key ``n``, ``xtx`` (upper triangle, row-major, as array<double>), ``xty`` (array), ``yy``.
-
-    Rows with a null in any used column are skipped (the regression sample is the complete-case rows)."""
-    keys = list(keys)
-    p = len(xcols)
-    ok = F.col(y).isNotNull()
-    for c in xcols:
+#: From so many columns (y among them) on, moments come from Arrow batches: k(k+1)/2 separate ``covar_pop`` expressions would
+#: be more than generated code holds.
+BATCHES_FROM = 6
+#: Keys whose moments a task holds before it sends them on.
+HELD_KEYS = 5000
+
+
+class Moments(NamedTuple):
+    """Row count, weight, means and centred products of some columns, the target last; ``extra``: plain sums."""
+
+    n: int
+    w: float
+    mean: np.ndarray
+    c: np.ndarray
+    extra: np.ndarray
+
+    @classmethod
+    def of(cls, row) -> Moments:
+        """From a row of ``gram`` (or a struct of its columns)."""
+        get = row.get if isinstance(row, dict) else lambda name: getattr(row, name)
+        mean = np.asarray(get("mean"), float)
+        c = np.zeros((len(mean), len(mean)))
+        upper = np.triu_indices(len(mean))
+        c[upper] = np.asarray(get("products"), float)
+        c.T[upper] = c[upper]
+        extra = get("extra")
+        return cls(int(get("n")), float(get("w")), mean, c, np.asarray([] if extra is None else extra, float))
+
+    @classmethod
+    def over(cls, z: np.ndarray, w: np.ndarray, extra: np.ndarray) -> Moments:
+        total = float(w.sum())
+        mean = w @ z / total if total else np.zeros(z.shape[1])
+        d = z - mean
+        return cls(len(z), total, mean, (d * w[:, None]).T @ d, extra.sum(axis=0))
+
+    def merge(self, other: Moments) -> Moments:
+        w = self.w + other.w
+        if not self.w or not other.w:
+            one = self if self.w else other
+            return one._replace(n=self.n + other.n, extra=self.extra + other.extra)
+        d = other.mean - self.mean
+        return Moments(self.n + other.n, w, self.mean + d * (other.w / w),
+                       self.c + other.c + np.outer(d, d) * (self.w * other.w / w), self.extra + other.extra)
+
+    def take(self, xs) -> Moments:
+        """The moments of some of the regressors and the target."""
+        at = [*xs, len(self.mean) - 1]
+        return self._replace(mean=self.mean[at], c=self.c[np.ix_(at, at)])
+
+    @property
+    def constant_first(self) -> bool:
+        return len(self.mean) > 1 and self.mean[0] == 1.0 and self.c[0, 0] == 0.0
+
+    def sse(self, beta: np.ndarray) -> float:
+        """Σ w(y − xβ)²."""
+        v = np.append(-np.asarray(beta, float), 1.0)
+        return max(float(v @ self.c @ v), 0.0) + self.w * float(v @ self.mean) ** 2
+
+    def system(self) -> tuple[np.ndarray, np.ndarray]:
+        """X'X and X'y of the slopes: centred ones beside a constant first column, plain ones without."""
+        if self.constant_first:
+            return self.c[1:-1, 1:-1], self.c[1:-1, -1]
+        raw = self.c + self.w * np.outer(self.mean, self.mean)
+        return raw[:-1, :-1], raw[:-1, -1]
+
+    def whole(self, slopes: np.ndarray) -> np.ndarray:
+        """The coefficients from the slopes: the intercept before them, where the first column is constant."""
+        if not self.constant_first:
+            return slopes
+        return np.concatenate([[self.mean[-1] - self.mean[1:-1] @ slopes], slopes])
+
+
+def gram(df: DataFrame, keys, xcols, y: str, weight: str | None = None, extra=()) -> DataFrame:
+    """Per key the ``Moments`` of (x…, y) as columns ``n, w, mean, products, extra`` (``products``: upper triangle, row-major).
+
+    Rows with a null in any used column are skipped (the regression sample is the complete-case rows).  ``extra``: names of columns
+    whose plain sums are wanted too."""
+    keys, cols = list(keys), [*xcols, y]
+    ok = F.lit(True)
+    for c in cols:
         ok = ok & F.col(c).isNotNull()
-    w = F.col(weight) if weight else F.lit(1.0)
     d = df.filter(ok)
-    if p >= ARRAYS_FROM:
-        return _gram_of_batches(d.select(*keys, *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(xcols)],
-                                         F.col(y).cast("double").alias("__y"), w.cast("double").alias("__w")), keys, p)
-    tri = [F.sum(F.col(xcols[i]) * F.col(xcols[j]) * w) for i in range(p) for j in range(i, p)]
-    xty = [F.sum(F.col(c) * F.col(y) * w) for c in xcols]
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*tri).alias("xtx"), F.array(*xty).alias("xty"),
-                                F.sum(F.col(y) * F.col(y) * w).alias("yy"))
-
-
-def _gram_of_batches(d: DataFrame, keys, p: int) -> DataFrame:
-    """The Gram's entries as one array from each batch and key, summed by position (partial/final)."""
-    upper = np.triu_indices(p)
-    kinds = ", ".join(f"`{k}` {t}" for k, t in d.select(*keys).dtypes)
+    k = len(cols)
+    if k >= BATCHES_FROM or weight or extra:
+        w = F.col(weight) if weight else F.lit(1.0)
+        z = [*[F.col(c).cast("double").alias(f"__z{i}") for i, c in enumerate(cols)], w.cast("double").alias("__w"),
+             *[F.col(c).cast("double").alias(f"__e{i}") for i, c in enumerate(extra)]]
+        return _gram_of_batches(d.select(*keys, *z), keys, k, len(extra))
+    n = F.count("*")
+    z = [F.col(c).cast("double") for c in cols]
+    products = [F.covar_pop(z[i], z[j]) * n for i in range(k) for j in range(i, k)]
+    return d.groupBy(*keys).agg(n.alias("n"), n.cast("double").alias("w"), F.array(*[F.avg(c) for c in z]).alias("mean"),
+                                F.array(*products).alias("products"), F.lit(None).cast("array<double>").alias("extra"))
+
+
+def _gram_of_batches(d: DataFrame, keys, k: int, n_extra: int) -> DataFrame:
+    """Each task merges the moments of its batches by key; the tasks' parts of a key are merged as a sorted stream."""
+    kinds = ", ".join(f"`{c}` {t}" for c, t in d.select(*keys).dtypes)
+    schema = f"{kinds}, n bigint, w double, mean array<double>, products array<double>, extra array<double>"
+    upper = np.triu_indices(k)
+    names = [*keys, "n", "w", "mean", "products", "extra"]
+
+    def frame(held: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*key, m.n, m.w, m.mean.tolist(), m.c[upper].tolist(), m.extra.tolist())
+                             for key, m in held.items()], columns=names)
 
     def parts(batches):
-        import pandas as pd
-
+        held: dict = {}
         for batch in batches:
-            out = []
             for key, g in batch.groupby(keys, dropna=False, sort=False):
-                x, yv, w = g[[f"__x{i}" for i in range(p)]].to_numpy(), g["__y"].to_numpy(), g["__w"].to_numpy()
-                xw = x * w[:, None]
-                out.append((*key, [float(len(g)), *(xw.T @ x)[upper], *(xw.T @ yv), float((yv * yv * w).sum())]))
-            if out:
-                yield pd.DataFrame(out, columns=[*keys, "v"])
-
-    sums = (d.mapInPandas(parts, f"{kinds}, v array<double>").select(*keys, F.posexplode("v").alias("__i", "__v"))
-            .groupBy(*keys, "__i").agg(F.sum("__v").alias("__v")))
-    flat = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__i", "__v"))).alias("__s"))
-    flat = flat.select(*keys, F.transform("__s", lambda s: s["__v"]).alias("__s"))
-    t = p * (p + 1) // 2
-    return flat.select(*keys, F.col("__s")[0].cast("bigint").alias("n"), F.slice("__s", 2, t).alias("xtx"),
-                       F.slice("__s", 2 + t, p).alias("xty"), F.col("__s")[1 + t + p].alias("yy"))
-
-
-def unpack(xtx, p: int) -> np.ndarray:
-    A = np.zeros((p, p))
-    k = 0
-    for i in range(p):
-        for j in range(i, p):
-            A[i, j] = A[j, i] = xtx[k]
-            k += 1
-    return A
-
-
-def ols(A: np.ndarray, b: np.ndarray, yy: float, n: int, ridge: float = 0.0, penalize_first: bool = False):
-    """β, ssr, σ² = ssr/(n−p), se(β) from a Gram.  ``ridge``: α‖β‖² (intercept, column 0, unpenalised by default)."""
-    p = len(b)
-    R = np.eye(p) * ridge
-    if not penalize_first and p:
-        R[0, 0] = 0.0
-    M = A + R
+                key = tuple(None if pd.isna(x) else x for x in key)
+                m = Moments.over(g[[f"__z{i}" for i in range(k)]].to_numpy(), g["__w"].to_numpy(),
+                                 g[[f"__e{i}" for i in range(n_extra)]].to_numpy(float))
+                held[key] = held[key].merge(m) if key in held else m
+            if len(held) > HELD_KEYS:
+                yield frame(held)
+                held = {}
+        if held:
+            yield frame(held)
+
+    def merged(batches):
+        key, m = None, None
+        for batch in batches:
+            done: dict = {}
+            for r in batch.to_dict("records"):
+                mine = tuple(None if not isinstance(r[c], str) and pd.isna(r[c]) else r[c] for c in keys)
+                if m is not None and mine == key:
+                    m = m.merge(Moments.of(r))
+                    continue
+                if m is not None:
+                    done[key] = m
+                key, m = mine, Moments.of(r)
+            yield frame(done)
+        if m is not None:
+            yield frame({key: m})
+
+    sent = d.mapInPandas(parts, schema).repartition(*keys).sortWithinPartitions(*keys)
+    return sent.mapInPandas(merged, schema)
+
+
+def ols(m: Moments, ridge: float = 0.0):
+    """β, ssr, σ² = ssr/(n−p), se(β) of the last column on the others.  ``ridge``: α‖β‖² (a constant first column unpenalised)."""
+    a, b = m.system()
+    p = len(m.mean) - 1
+    scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+    system = a / np.outer(scale, scale) + np.diag(ridge / scale ** 2)
     try:
-        beta = np.linalg.solve(M, b)
+        slopes = np.linalg.solve(system, b / scale) / scale
     except np.linalg.LinAlgError:
-        beta = np.linalg.lstsq(M, b, rcond=None)[0]
-    ssr = float(yy - 2 * beta @ b + beta @ A @ beta)
-    ssr = max(ssr, 0.0)
-    dof = n - p
-    s2 = ssr / dof if dof > 0 else float("nan")
+        slopes = np.linalg.lstsq(system, b / scale, rcond=None)[0] / scale
+    beta = m.whole(slopes)
+    ssr = m.sse(beta)
+    s2 = ssr / (m.n - p) if m.n > p else float("nan")
     try:
-        cov = np.linalg.inv(M) * s2
-        se = np.sqrt(np.clip(np.diag(cov), 0, None))
+        inverse = np.linalg.inv(system) / np.outer(scale, scale)
+        var = np.diag(inverse)
+        if m.constant_first:
+            at = m.mean[1:-1]
+            var = np.concatenate([[1.0 / m.w + at @ inverse @ at], var])
+        se = np.sqrt(np.clip(var * s2, 0, None))
     except np.linalg.LinAlgError:
         se = np.full(p, np.nan)
     return beta, ssr, s2, se
 
 
-def elastic_net(A: np.ndarray, b: np.ndarray, n: int, alpha: float, l1_ratio: float = 1.0, iters: int = 5000,
-                tol: float = 1e-10, intercept_first: bool = True) -> tuple[np.ndarray, bool]:
-    """Coordinate descent on the Gram (covariance updates) for ``1/(2n)‖y−Xβ‖² + α(ρ‖β‖₁ + (1−ρ)/2‖β‖²)``.
-    Column 0 is an unpenalised intercept when ``intercept_first``.  Returns the coefficients and whether they converged
+def elastic_net(m: Moments, alpha: float, l1_ratio: float = 1.0, iters: int = 5000,
+                tol: float = 1e-10) -> tuple[np.ndarray, bool]:
+    """Coordinate descent on the moments (covariance updates) for ``1/(2n)‖y−Xβ‖² + α(ρ‖β‖₁ + (1−ρ)/2‖β‖²)``.
+    A constant first column is an unpenalised intercept.  Returns the coefficients and whether they converged
     (no coefficient moved by ``tol`` relative to the largest) within ``iters`` sweeps."""
-    p = len(b)
-    beta = np.zeros(p)
-    l1, l2 = alpha * l1_ratio * n, alpha * (1 - l1_ratio) * n
+    a, b = m.system()
+    beta = np.zeros(len(b))
+    l1, l2 = alpha * l1_ratio * m.n, alpha * (1 - l1_ratio) * m.n
     for _ in range(iters):
         delta = 0.0
-        for j in range(p):
-            if A[j, j] == 0:
+        for j in range(len(b)):
+            if a[j, j] == 0:
                 continue
-            r = b[j] - A[j] @ beta + A[j, j] * beta[j]
-            if intercept_first and j == 0:
-                new = r / A[j, j]
-            else:
-                new = np.sign(r) * max(abs(r) - l1, 0.0) / (A[j, j] + l2)
+            r = b[j] - a[j] @ beta + a[j, j] * beta[j]
+            new = np.sign(r) * max(abs(r) - l1, 0.0) / (a[j, j] + l2)
             delta = max(delta, abs(new - beta[j]))
             beta[j] = new
-        if delta <= tol * max(1.0, float(np.abs(beta).max())):
-            return beta, True
-    return beta, False
+        if delta <= tol * max(1.0, float(np.abs(beta).max(initial=0.0))):
+            return m.whole(beta), True
+    return m.whole(beta), False
 
 
 def gaussian_ll(ssr: float, n: int) -> float:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.linalg import gaussian_ll, gram, norm_ppf, ols, unpack
+from panelspark.functions.linalg import Moments, gaussian_ll, gram, norm_ppf, ols
 from panelspark.operators.regression import fit_linear, predict_linear
 from panelspark.operators.windows import _W
 from panelspark.sources.panels import check_panel, future_frame, tail_rows
@@ -115,12 +115,13 @@ def arma_grid_aic(panel: DataFrame, most: Order, long_ar: int = 8, col: str = "y
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                a, c, n = unpack(r.xtx, size), np.asarray(r.xty, float), int(r.n)
+                m = Moments.of(r)
+                n = m.n
                 rows = []
                 for p, q, sp, sq in product(*(range(x + 1) for x in (most.p, most.q, most.P, most.Q))):
                     one = Order(p, most.d, q, sp, most.D, sq, most.m)
                     at = [0, *(1 + ar.index(k) for k in one.ar), *(1 + len(ar) + ma.index(k) for k in one.ma)]
-                    beta, ssr, sigma2, _ = ols(a[np.ix_(at, at)], c[at], r.yy, n)
+                    beta, ssr, sigma2, _ = ols(m.take(at))
                     k, ll = len(at) + 1, gaussian_ll(ssr, n)
                     coef = np.zeros(size)
                     coef[at] = beta

@@ -1,4 +1,4 @@
-"""Per-series regression models on the Gram kernel.
+"""Per-series regression models on the Gram kernel.
 
 Pattern: feature columns by windows → ``gram`` (a Spark aggregate) → per-key solve in ``mapInPandas`` (one small row per
 series) → coefficients as a DataFrame → predictions by joining coefficients back to feature rows.  No series is
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.linalg import elastic_net, gaussian_ll, gram, norm_cdf, ols, unpack
+from panelspark.functions.linalg import Moments, elastic_net, gaussian_ll, gram, norm_cdf, ols
 from panelspark.operators.windows import _W
 from panelspark.sources.panels import check_panel
 
@@ -36,16 +36,15 @@ def fit_linear(df: DataFrame, keys, xcols, y: str, method: str = "ols", alpha: f
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
-                A, bb = unpack(r.xtx, p), np.asarray(r.xty, dtype=float)
-                n = int(r.n)
+                m = Moments.of(r)
                 if method in ("lasso", "elastic"):
-                    beta, done = elastic_net(A, bb, n, alpha, 1.0 if method == "lasso" else l1_ratio)
-                    ssr = float(max(r.yy - 2 * beta @ bb + beta @ A @ beta, 0.0))
-                    s2 = ssr / max(n - p, 1)
+                    beta, done = elastic_net(m, alpha, 1.0 if method == "lasso" else l1_ratio)
+                    ssr = m.sse(beta)
+                    s2 = ssr / max(m.n - p, 1)
                 else:
-                    beta, ssr, s2, _ = ols(A, bb, r.yy, n, ridge=alpha if method == "ridge" else 0.0)
+                    beta, ssr, s2, _ = ols(m, ridge=alpha if method == "ridge" else 0.0)
                     done = True
-                rows.append([*[getattr(r, k) for k in keys], beta.tolist(), n, ssr, s2, done])
+                rows.append([*[getattr(r, k) for k in keys], beta.tolist(), m.n, ssr, s2, done])
             yield pd.DataFrame(rows, columns=[*keys, "coef", "n", "ssr", "sigma2", "converged"])
 
     return g.mapInPandas(solve, schema)
@@ -121,12 +120,12 @@ def adf(panel: DataFrame, maxlag: int | None = None, col: str = "y") -> DataFram
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                A, bb, n = unpack(r.xtx, len(xcols)), np.asarray(r.xty, float), int(r.n)
+                m = Moments.of(r)
                 best, best_p = None, 0
-                for p in range(0, int(r.pmax) + 1):
+                for p in range(0, min(int(r.pmax), P) + 1):
                     k = 2 + p
-                    _, ssr, _, _ = ols(A[:k, :k], bb[:k], r.yy, n)
-                    aic = -2 * gaussian_ll(ssr, n) + 2 * k
+                    _, ssr, _, _ = ols(m.take(range(k)))
+                    aic = -2 * gaussian_ll(ssr, m.n) + 2 * k
                     if best is None or aic < best:
                         best, best_p = aic, p
                 out.append((r.unique_id, best_p))
@@ -141,8 +140,9 @@ def adf(panel: DataFrame, maxlag: int | None = None, col: str = "y") -> DataFram
             out = []
             for r in b.itertuples(index=False):
                 k = 2 + int(r.lags)
-                A, bb, n = unpack(r.xtx, len(xcols))[:k, :k], np.asarray(r.xty, float)[:k], int(r.n)
-                beta, ssr, s2, se = ols(A, bb, r.yy, n)
+                m = Moments.of(r)
+                n = m.n
+                beta, _, _, se = ols(m.take(range(k)))
                 stat = float(beta[1] / se[1]) if se[1] > 0 else float("nan")
                 pv = _mackinnon_p(stat) if stat == stat else float("nan")
                 c1, c5, c10 = _crit(n)
@@ -225,35 +225,21 @@ def ridge_alpha_search(df: DataFrame, xcols, y: str, h: int, n_windows: int, alp
     """Every series gets its own ridge α by rolling-origin error, in ONE aggregate pass.
 
     Rows are tagged with their segment between consecutive origins; fold i trains on segments ≤ i and tests on
-    segment i+1, so the train Gram of a fold is a *sum of segment Grams* and the test SSE of any β is
-    ``yy − 2β'b + β'Aβ`` on the test segment's Gram — no row is replicated per fold or per α."""
-    w = _W()
-    d = df.withColumns({"__pos": F.row_number().over(w) - 1, "__n": F.count("*").over(Window.partitionBy("unique_id"))})
-    first = F.col("__n") - n_windows * h
-    seg = F.when(F.col("__pos") < first, 0).otherwise(F.floor((F.col("__pos") - first) / h) + 1).cast("int")
-    g = gram(d.withColumn("seg", seg), ["unique_id", "seg"], xcols, y)
-    P = len(xcols)
-    per = g.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("seg", "n", "xtx", "xty", "yy"))).alias("segs"))
+    segment i+1, so the moments of a fold are those of its *segments merged* and the test SSE of any β is read off the test
+    segment's moments — no row is replicated per fold or per α."""
+    per = _segment_moments(df, xcols, y, h, n_windows)
+    p = len(xcols)
 
     def search(batches):
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                segs = {int(s["seg"]): s for s in r.segs}
-                A = np.zeros((P, P)); bb = np.zeros(P); yy = 0.0; n = 0
                 errs = {a: [] for a in alphas}
-                for i in range(n_windows):
-                    s = segs.get(i)
-                    if s is not None:
-                        A += unpack(s["xtx"], P); bb += np.asarray(s["xty"], float); yy += s["yy"]; n += int(s["n"])
-                    t = segs.get(i + 1)
-                    if t is None or n <= P:
+                for train, test in _folds(r.segs, n_windows):
+                    if test is None or train is None or train.n <= p:
                         continue
-                    At, bt, yt, nt = unpack(t["xtx"], P), np.asarray(t["xty"], float), float(t["yy"]), int(t["n"])
                     for a in alphas:
-                        beta, *_ = ols(A, bb, yy, n, ridge=a)
-                        sse = yt - 2 * beta @ bt + beta @ At @ beta
-                        errs[a].append(max(sse, 0.0) / nt)
+                        errs[a].append(test.sse(ols(train, ridge=a)[0]) / test.n)
                 scored = [(float(np.mean(v)), a) for a, v in errs.items() if v]
                 if scored:
                     mse, best = min(scored)
@@ -263,6 +249,136 @@ def ridge_alpha_search(df: DataFrame, xcols, y: str, h: int, n_windows: int, alp
     return per.mapInPandas(search, "unique_id string, alpha double, cv_rmse double")
 
 
+def segments(df: DataFrame, h: int, n_windows: int) -> DataFrame:
+    """Adds ``seg``: 0 before the first of ``n_windows`` origins h rows apart, i for the h rows after the i-th; and ``step``, the
+    row's place in them from 1."""
+    w = _W()
+    d = df.withColumns({"__pos": F.row_number().over(w) - 1, "__n": F.count("*").over(Window.partitionBy("unique_id"))})
+    after = F.col("__pos") - (F.col("__n") - n_windows * h)
+    seg = F.when(after < 0, 0).otherwise(F.floor(after / h) + 1).cast("int")
+    return d.withColumns({"seg": seg, "step": (F.pmod(after, F.lit(h)) + 1).cast("int")}).drop("__pos", "__n")
+
+
+def _segment_moments(df: DataFrame, xcols, y: str, h: int, n_windows: int) -> DataFrame:
+    """One row per series with the moments of its segments (``n_windows`` + 1 of them)."""
+    g = gram(segments(df, h, n_windows), ["unique_id", "seg"], xcols, y)
+    return g.groupBy("unique_id").agg(
+        F.sort_array(F.collect_list(F.struct("seg", "n", "w", "mean", "products", "extra"))).alias("segs"))
+
+
+def _folds(segs, n_windows: int):
+    """(moments before an origin, moments of the rows after it) for each origin; None where there are no rows."""
+    by = {int(s["seg"]): Moments.of(s if isinstance(s, dict) else s.asDict()) for s in segs}
+    train = None
+    for i in range(n_windows):
+        if i in by:
+            train = by[i] if train is None else train.merge(by[i])
+        yield train, by.get(i + 1)
+
+
+def linear_intervals(history: DataFrame, future: DataFrame, xcols, y: str, h: int, n_windows: int = 4, levels=(80, 95),
+                     method: str = "ols", alpha: float = 0.0, l1_ratio: float = 0.5, name: str = "yhat") -> DataFrame:
+    """H9 with intervals: per-series linear forecasts of ``future`` (``unique_id, ds, step`` and the regressors) with conformal
+    bounds.  The coefficients at each of ``n_windows`` origins h rows apart come from merged segment moments of one pass (no
+    refits over rows); the absolute errors of the h rows after each origin are pooled by step, and the interval at level L is
+    ŷ + the (100∓L)/2 percentiles of the pooled {±s} (``n_windows`` × 2 values a pool)."""
+    per = _segment_moments(history, xcols, y, h, n_windows)
+    p = len(xcols)
+
+    def solve(m):
+        if method in ("lasso", "elastic"):
+            return elastic_net(m, alpha, 1.0 if method == "lasso" else l1_ratio)[0]
+        return ols(m, ridge=alpha if method == "ridge" else 0.0)[0]
+
+    def coefs(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                whole = None
+                for i, (train, test) in enumerate(_folds(r.segs, n_windows)):
+                    if train is not None and test is not None and train.n > p:
+                        out.append((r.unique_id, i + 1, solve(train).tolist()))
+                    whole = train if test is None else test if train is None else train.merge(test)
+                out.append((r.unique_id, 0, solve(whole).tolist()))
+            yield pd.DataFrame(out, columns=["unique_id", "seg", "coef"])
+
+    fits = per.mapInPandas(coefs, "unique_id string, seg int, coef array<double>")
+    tests = segments(history, h, n_windows).where("seg > 0")
+    scored = predict_linear(tests.join(fits, ["unique_id", "seg"]).drop("coef"), fits, ["unique_id", "seg"], xcols, "__p")
+    error = F.abs(F.col(y) - F.col("__p"))
+    probs = [q for level in levels for q in ((100 - level) / 200, (100 + level) / 200)]
+    pools = (scored.select("unique_id", "step", F.explode(F.array(error, -error)).alias("__s"))
+             .groupBy("unique_id", "step").agg(F.percentile("__s", probs).alias("__q")))
+    ahead = predict_linear(future, fits.where("seg = 0").drop("seg"), ["unique_id"], xcols, name)
+    ahead = ahead.join(pools, ["unique_id", "step"], "left")
+    bounds = {f"{name}_{side}_{level}": F.col(name) + F.col("__q")[2 * i + j]
+              for i, level in enumerate(levels) for j, side in enumerate(("lo", "hi"))}
+    return ahead.withColumns(bounds).select("unique_id", "ds", "step", name, *bounds)
+
+
+# ---------------------------------------------------------------- H10 Huber regression per series
+
+def fit_huber(df: DataFrame, keys, xcols, y: str, epsilon: float = 1.35, alpha: float = 1e-4, max_iter: int = 100,
+              tol: float = 1e-5) -> DataFrame:
+    """H10 per key: robust regression with its scale, ``min Σ(σ + H(r/σ)·σ) + α‖β‖²`` (H quadratic up to ``epsilon``, linear
+    beyond; a constant first column unpenalised).
+
+    Iteratively reweighted moments: rows beyond ε·σ weigh ε·σ/|r|, the slopes solve the weighted system with ridge α·σ, and
+    σ² = Σ r² of the rows inside / (n − ε²·rows beyond).  A round is one aggregate pass over the keys that still move; a key is done when
+    coefficients and scale move by less than ``tol``.  The rows are written once and read each round.  Returns ``keys…, coef,
+    scale, n, n_outliers, rounds, converged``."""
+    from panelspark.session import cut_lineage
+
+    keys = list(keys)
+    ok = F.col(y).isNotNull()
+    for c in xcols:
+        ok = ok & F.col(c).isNotNull()
+    rows = cut_lineage(df.where(ok).select(*keys, *xcols, y))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys).dtypes)
+    schema = f"{kinds}, coef array<double>, scale double, n bigint, n_outliers bigint, rounds int, converged boolean"
+    names = [*keys, "coef", "scale", "n", "n_outliers", "rounds", "converged"]
+
+    def begin(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                m = Moments.of(r)
+                beta, ssr, _, _ = ols(m)
+                scale = math.sqrt(ssr / m.n)
+                exact = scale <= 1e-12 * (abs(m.mean[-1]) + math.sqrt(m.c[-1, -1] / m.n))  # nothing left but rounding
+                out.append((*[getattr(r, k) for k in keys], beta.tolist(), scale, m.n, 0, 0, exact))
+            yield pd.DataFrame(out, columns=names)
+
+    def advance(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                m = Moments.of(r)
+                inside, beyond = float(m.extra[0]), int(m.extra[1])
+                beta = ols(m, ridge=alpha * r.scale)[0]
+                room = m.n - epsilon ** 2 * beyond
+                scale = math.sqrt(inside / room) if room > 0 and inside > 0 else float(r.scale)
+                moved = np.abs(beta - np.asarray(r.coef, float)).max() / max(1.0, np.abs(beta).max())
+                done = bool(moved <= tol and abs(scale - r.scale) <= tol * scale)
+                out.append((*[getattr(r, k) for k in keys], beta.tolist(), scale, m.n, beyond, int(r.rounds) + 1, done))
+            yield pd.DataFrame(out, columns=names)
+
+    state = cut_lineage(gram(rows, keys, xcols, y).mapInPandas(begin, schema))
+    for _ in range(max_iter):
+        moving = state.where("not converged")
+        if not moving.limit(1).count():
+            break
+        now = moving.select(*keys, "coef", "scale", "rounds")
+        d = predict_linear(rows.join(now.select(*keys, "scale"), keys), now, keys, xcols, "__p")
+        r = F.abs(F.col(y) - F.col("__p"))
+        beyond = r > epsilon * F.col("scale")
+        d = d.withColumns({"__w8": F.when(beyond, epsilon * F.col("scale") / r).otherwise(1.0),
+                           "__in": F.when(beyond, 0.0).otherwise(r * r), "__out": beyond.cast("double")})
+        g = gram(d, keys, xcols, y, "__w8", ["__in", "__out"])
+        state = cut_lineage(state.where("converged").unionByName(g.join(now, keys).mapInPandas(advance, schema)))
+    return state
+
+
 # ---------------------------------------------------------------- H16 Theta
 
 ALPHAS = tuple(round(0.05 * k, 2) for k in range(1, 21))
