@@ -10,6 +10,7 @@ from panelspark.operators import regression as rg
 from panelspark.operators import windows as wn
 from panelspark.plans.registry import register
 from panelspark.plans.sqlkit import W, with_ctes
+from panelspark.session import cut_lineage
 from panelspark.sources import panels
 
 
@@ -248,3 +249,57 @@ def h12_forecast_with_future_promo(spark, sf_dir):
 def h14_auto_arima_forecast(spark, sf_dir):
     """Per-series best ARIMA(p,1,q), p,q ≤ 2, on the daily event panel; 7-day forecasts with 95 % bounds."""
     return round_doubles(arima.auto_arima_forecast(panels.events_daily(spark, sf_dir), 7, "D", arima.Order(2, 1, 2), 4), 4)
+
+
+def _trend_intervals_sql(h: int = 12, windows: int = 4, levels=(80, 95)) -> str:
+    """Trend lines refitted at each origin, their errors pooled by step, percentiles of the symmetric pools."""
+    bounds = ", ".join(f"round(f.a + f.b * x + quantile_{side}_{level}, 2) AS yhat_{side}_{level}"
+                       for level in levels for side in ("lo", "hi"))
+    quantiles = ", ".join(f"quantile_cont(s, {(100 + sign * level) / 200}) AS quantile_{side}_{level}"
+                          for level in levels for side, sign in (("lo", -1), ("hi", 1)))
+    return with_ctes(
+        "orders_monthly", f"t AS (SELECT unique_id, ds, y, CAST(row_number() OVER {W()} AS DOUBLE) AS x, "
+        "count(*) OVER (PARTITION BY unique_id) AS n FROM orders_monthly)",
+        f"o AS (SELECT t.*, i, n - {windows * h} + i * {h} AS o FROM t, range({windows}) g(i))",
+        "k AS (SELECT unique_id, i, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM o WHERE x <= o GROUP BY 1, 2)",
+        "e AS (SELECT o.unique_id, CAST(x - o AS INTEGER) AS step, abs(y - a - b * x) AS e FROM o JOIN k ON o.unique_id = k.unique_id "
+        f"AND o.i = k.i WHERE x > o AND x <= o + {h})",
+        f"q AS (SELECT unique_id, step, {quantiles} FROM (SELECT unique_id, step, unnest([e, -e]) AS s FROM e) GROUP BY 1, 2)",
+        "f AS (SELECT unique_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, max(n) AS n, max(ds) AS mx FROM t GROUP BY 1)",
+        f"u AS (SELECT f.*, CAST(k AS INTEGER) AS step, n + k AS x FROM f, range(1, {h + 1}) r(k))",
+        "SELECT f.unique_id, CAST(last_day(date_trunc('month', mx) + to_months(f.step)) AS TIMESTAMP) AS ds, f.step, "
+        f"round(f.a + f.b * x, 2) AS yhat, {bounds} FROM u f JOIN q ON f.unique_id = q.unique_id AND f.step = q.step")
+
+
+@register("h9_trend_intervals", _trend_intervals_sql())
+def h9_trend_intervals(spark, sf_dir):
+    """Trend lines per series, 12 months ahead, with conformal bounds from four windows of twelve months."""
+    p = panels.orders_monthly(spark, sf_dir)
+    n = p.groupBy("unique_id").agg(F.count("*").alias("n"))
+    ahead = panels.future_frame(p, 12, "ME").join(n, "unique_id").withColumns(
+        {"one": F.lit(1.0), "trend": (F.col("n") + F.col("step")).cast("double"), "step": F.col("step").cast("int")})
+    return round_doubles(rg.linear_intervals(_trend(p), ahead, ["one", "trend"], "y", 12, 4, (80, 95)), 2)
+
+
+@register("h9_family_intervals")
+def h9_family_intervals(spark, sf_dir):
+    """Linear and ridge, lasso and elastic-net models on trend and Fourier terms, with conformal bounds of four windows."""
+    d, xcols = _fourier_design(spark, sf_dir)
+    d = cut_lineage(d)  # read by every member of the family
+    steps = F.row_number().over(wn.series_window()).cast("int")
+    hist, ahead = d.filter(~F.col("is_future")), d.filter("is_future").withColumn("step", steps)
+    out = None
+    for name, kw in {"linear": {}, "ridge": {"method": "ridge", "alpha": 1.0}, "lasso": {"method": "lasso", "alpha": 0.1},
+                     "elastic": {"method": "elastic", "alpha": 0.1}}.items():
+        one = rg.linear_intervals(hist, ahead, xcols, "y", 12, 4, (95,), name=name, **kw)
+        out = one if out is None else out.join(one, ["unique_id", "ds", "step"])
+    return out
+
+
+@register("h10_huber_per_series")
+def h10_huber_per_series(spark, sf_dir):
+    """Robust regression of each monthly series on trend and Fourier terms, forecasting 12 months."""
+    d, xcols = _fourier_design(spark, sf_dir)
+    fits = rg.fit_huber(d.filter(~F.col("is_future")), ["unique_id"], xcols, "y")
+    ahead = rg.predict_linear(d.filter("is_future"), fits, ["unique_id"], xcols, "huber")
+    return ahead.select("unique_id", "ds", "huber").join(fits.select("unique_id", "scale", "n_outliers", "converged"), "unique_id")

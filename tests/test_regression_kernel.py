@@ -52,6 +52,15 @@ def test_moments_of_many_keys_and_null_keys(spark):
         assert m.n == len(z) and np.allclose(m.mean, z.mean(axis=0)) and np.allclose(m.c, d.T @ d)
 
 
+def test_weighted_ones_are_a_constant_column():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        z = np.column_stack([np.ones(97), rng.normal(1e6, 1, 97), rng.normal(size=97)])
+        w = rng.uniform(0.01, 1, 97)
+        m = Moments.over(z[:40], w[:40], np.zeros((40, 0))).merge(Moments.over(z[40:], w[40:], np.zeros((57, 0))))
+        assert m.constant_first
+
+
 def _huber(x, y, epsilon, alpha):
     """Numpy: the same minimum by iteration to the last digit."""
     design = np.column_stack([np.ones(len(x)), x])
