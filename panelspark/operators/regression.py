@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.chunking import positions
 from panelspark.functions.linalg import Moments, elastic_net, gaussian_ll, gram, norm_cdf, ols
 from panelspark.operators.windows import _W
 from panelspark.sources.panels import check_panel
@@ -384,19 +385,62 @@ def fit_huber(df: DataFrame, keys, xcols, y: str, epsilon: float = 1.35, alpha:
 ALPHAS = tuple(round(0.05 * k, 2) for k in range(1, 21))
 
 
-def theta_forecast(panel: DataFrame, h: int, freq: str, season_length: int | None = None, alphas=ALPHAS) -> DataFrame:
+def _smooth_chunks(base: DataFrame, alphas, chunk_rows: int, time_bucket: str) -> DataFrame:
+    """(unique_id, sse, alpha, level) of the best α by a distributed prefix scan.
+
+    Over a chunk of rows the level is an affine map of the level before it, ``l ↦ a·l + b``, and the sum of squared one-step
+    errors a quadratic of it, ``s0 − 2·s1·l + s2·l²``; both are folded from the chunk's rows alone, relative to its first value.
+    A series then is the composition of its chunks' maps in order (one small struct for each chunk and α)."""
+    d = positions(base.where(F.col("y").isNotNull()), time_bucket)
+    d = d.withColumn("__chunk", F.floor(F.col("__pos") / chunk_rows).cast("long"))
+    rows = d.groupBy("unique_id", "__chunk").agg(F.sort_array(F.collect_list(F.struct("__pos", "y"))).alias("__s"))  # chunk_rows
+    rows = rows.select("unique_id", "__chunk", F.col("__s")[0]["y"].alias("__o"), F.transform("__s", lambda s: s["y"]).alias("__y"))
+
+    def fold(alpha):
+        zero = F.struct(F.lit(1.0).alias("a"), *[F.lit(0.0).alias(c) for c in ("b", "s0", "s1", "s2")])
+
+        def step(acc, y):
+            v, miss = y - F.col("__o"), y - F.col("__o") - acc["b"]
+            return F.struct(((1 - alpha) * acc["a"]).alias("a"), (alpha * v + (1 - alpha) * acc["b"]).alias("b"),
+                            (acc["s0"] + miss * miss).alias("s0"), (acc["s1"] + acc["a"] * miss).alias("s1"),
+                            (acc["s2"] + acc["a"] * acc["a"]).alias("s2"))
+
+        return F.aggregate("__y", zero, step)
+
+    maps = rows.select("unique_id", "__chunk", "__o", F.transform(F.array(*map(F.lit, alphas)), fold).alias("__m"))
+    per = maps.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("__chunk", "__o", "__m"))).alias("__c"))
+
+    def whole(alpha, i):
+        begin = F.struct(F.col("__c")[0]["__o"].alias("level"), F.lit(0.0).alias("sse"))  # the first row's own error is 0
+
+        def step(acc, chunk):
+            m, at = chunk["__m"][i], acc["level"] - chunk["__o"]
+            return F.struct((m["a"] * at + m["b"] + chunk["__o"]).alias("level"),
+                            (acc["sse"] + m["s0"] - 2 * at * m["s1"] + at * at * m["s2"]).alias("sse"))
+
+        end = F.aggregate("__c", begin, step)
+        return F.struct(end["sse"].alias("sse"), alpha.alias("alpha"), end["level"].alias("level"))
+
+    grid = F.array(*map(F.lit, alphas))
+    return per.select("unique_id", F.array_min(F.transform(grid, whole)).alias("__b"))
+
+
+def theta_forecast(panel: DataFrame, h: int, freq: str, season_length: int | None = None, alphas=ALPHAS,
+                   chunk_rows: int | None = None, time_bucket: str = "month") -> DataFrame:
     """Theta as simple exponential smoothing with drift = half the linear-trend slope; the smoothing α is the one of
     ``alphas`` with the least sum of squared one-step errors (ties: the smallest), the forecast ``l_n + b/2·k``.  With
     ``season_length`` the series is additively deseasonalised first (F14) and the phase's component added back.
 
     The recursion is an SQL ``aggregate`` over the series' values in order, for all α of the grid at once: one row per
-    series, whose array is bounded by the panel's frequency and time span."""
+    series, whose array is bounded by the panel's frequency and time span.  ``chunk_rows``: long series are cut into chunks whose
+    maps are composed (``_smooth_chunks``), and positions come from counts by ``time_bucket``; no group holds a series."""
     from panelspark.operators.explore import decompose
     from panelspark.sources.panels import future_frame
 
     base = panel
     if season_length:
-        dec = decompose(panel, season_length).withColumn("__pos", F.row_number().over(_W()) - 1)
+        dec = decompose(panel, season_length, chunk_rows=chunk_rows)
+        dec = positions(dec, time_bucket) if chunk_rows else dec.withColumn("__pos", F.row_number().over(_W()) - 1)
         seas = dec.select("unique_id", (F.col("__pos") % season_length).alias("__ph"), "seasonal").dropDuplicates(["unique_id", "__ph"])
         base = dec.select("unique_id", "ds", (F.col("y") - F.coalesce(F.col("seasonal"), F.lit(0.0))).alias("y"))
     values = base.groupBy("unique_id").agg(F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("__s"))
@@ -409,8 +453,12 @@ def theta_forecast(panel: DataFrame, h: int, freq: str, season_length: int | Non
             (acc["sse"] + (y - acc["level"]) * (y - acc["level"])).alias("sse")))
         return F.struct(end["sse"].alias("sse"), alpha.alias("alpha"), end["level"].alias("level"))
 
-    best = values.select("unique_id", F.array_min(F.transform(F.array(*map(F.lit, alphas)), smooth)).alias("__b"))
-    trend = base.withColumns({"__one": F.lit(1.0), "__t": F.row_number().over(_W()).cast("double")})
+    if chunk_rows:
+        best = _smooth_chunks(base, alphas, chunk_rows, time_bucket)
+        trend = positions(base, time_bucket).withColumns({"__one": F.lit(1.0), "__t": (F.col("__pos") + 1).cast("double")})
+    else:
+        best = values.select("unique_id", F.array_min(F.transform(F.array(*map(F.lit, alphas)), smooth)).alias("__b"))
+        trend = base.withColumns({"__one": F.lit(1.0), "__t": F.row_number().over(_W()).cast("double")})
     b = fit_linear(trend, ["unique_id"], ["__one", "__t"], "y")
     st = best.select("unique_id", "__b.alpha", "__b.level").join(
         b.select("unique_id", F.col("coef")[1].alias("slope")), "unique_id")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.chunking import chunked, series_keys
+from panelspark.functions.chunking import chunked, positions, series_keys
 from panelspark.sources.panels import check_panel
 
 
@@ -50,6 +50,22 @@ def expanding_mean(col: str) -> Column:
     return F.avg(col).over(_W().rowsBetween(Window.unboundedPreceding, 0))
 
 
+def add_expanding_mean(df: DataFrame, col: str, out: str, chunk_rows: int | None = None, time_bucket: str = "day") -> DataFrame:
+    """F2 as a column.  ``chunk_rows``: a distributed prefix scan — sums and counts of each chunk of a series, their prefix sums
+    over the small table of chunks, and a running sum inside each chunk from there on; no window holds a whole series."""
+    if not chunk_rows:
+        return df.withColumn(out, expanding_mean(col))
+    d = positions(df, time_bucket).withColumn("__chunk", F.floor(F.col("__pos") / chunk_rows).cast("long"))
+    earlier = Window.partitionBy("unique_id").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    parts = d.groupBy("unique_id", "__chunk").agg(F.sum(col).alias("__s"), F.count(col).alias("__c"))
+    parts = parts.select("unique_id", "__chunk", F.coalesce(F.sum("__s").over(earlier), F.lit(0.0)).alias("__s"),
+                         F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__c"))
+    inside = Window.partitionBy("unique_id", "__chunk").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.col("__s") + F.coalesce(F.sum(col).over(inside), F.lit(0.0))
+    d = d.join(parts, ["unique_id", "__chunk"]).withColumn(out, F.try_divide(total, F.col("__c") + F.count(col).over(inside)))
+    return d.drop("__s", "__c", "__chunk", "__pos")
+
+
 def rolling_mean(col: str, window: int, min_periods: int | None = None) -> Column:
     """trailing mean of ``window`` rows; null until ``min_periods`` (default: all) non-null values are seen."""
     frame = _W().rowsBetween(-(window - 1), 0)
@@ -171,8 +187,6 @@ def train_test_flag(df: DataFrame, frac: float, time_bucket: str | None = None)
     """First ``int(n*frac)`` rows of each series are train (``is_train`` true), the rest test.
     ``time_bucket``: skew-safe positions (bucket prefix counts) and ``n`` by aggregate — no whole-series window."""
     if time_bucket:
-        from panelspark.functions.chunking import positions
-
         n = df.groupBy("unique_id").agg(F.count("*").alias("__n"))
         d = positions(df, time_bucket).join(n, "unique_id")
         return d.withColumn("is_train", F.col("__pos") + 1 <= F.floor(F.col("__n") * F.lit(frac))).drop("__pos", "__n")

@@ -196,6 +196,13 @@ def h16_theta_plain(spark, sf_dir):
     return round_doubles(f.withColumn("step", F.col("step").cast("int")), 2)
 
 
+@register("h16_theta_plain_chunked", _theta_sql())
+def h16_theta_plain_chunked(spark, sf_dir):
+    """The same by chunks of seven months whose smoothing maps are composed."""
+    f = rg.theta_forecast(panels.orders_monthly(spark, sf_dir), 12, "ME", chunk_rows=7)
+    return round_doubles(f.withColumn("step", F.col("step").cast("int")), 2)
+
+
 @register("h16_theta")
 def h16_theta(spark, sf_dir):
     return round_doubles(rg.theta_forecast(panels.orders_monthly(spark, sf_dir), 12, "ME", 12), 4)

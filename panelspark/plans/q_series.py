@@ -188,13 +188,25 @@ def f1_lags(spark, sf_dir):
     return round_doubles(d.select("unique_id", "ds", *[f"lag{k}" for k in _LAGS]), 4)
 
 
-@register("f2_expanding_mean", with_ctes("events_hourly", f"l AS (SELECT unique_id, ds, lag(y, 1) OVER {W()} AS lag1 FROM events_hourly)",
-                                         f"SELECT unique_id, ds, round(avg(lag1) OVER {W('ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')}, 4) AS expanding_mean_lag1 FROM l"))
+_F2_SQL = with_ctes("events_hourly", f"l AS (SELECT unique_id, ds, lag(y, 1) OVER {W()} AS lag1 FROM events_hourly)",
+                    f"SELECT unique_id, ds, round(avg(lag1) OVER {W('ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')}, 4) "
+                    "AS expanding_mean_lag1 FROM l")
+
+
+@register("f2_expanding_mean", _F2_SQL)
 def f2_expanding_mean(spark, sf_dir):
     d = wn.add_lags(panels.events_hourly(spark, sf_dir), [1])
     return d.select("unique_id", "ds", rnd(wn.expanding_mean("lag1"), 4).alias("expanding_mean_lag1"))
 
 
+@register("f2_expanding_mean_chunked", _F2_SQL)
+def f2_expanding_mean_chunked(spark, sf_dir):
+    """The same by prefix sums over chunks of 200 rows."""
+    d = wn.add_lags(panels.events_hourly(spark, sf_dir), [1], chunk_rows=200)
+    d = wn.add_expanding_mean(d, "lag1", "m", chunk_rows=200)
+    return d.select("unique_id", "ds", rnd("m", 4).alias("expanding_mean_lag1"))
+
+
 _F24 = W("ROWS BETWEEN 47 PRECEDING AND CURRENT ROW")
 
 

@@ -135,3 +135,16 @@ def test_linear_intervals_equal_refits(spark):
             q = np.quantile([*pools[s], *[-x for x in pools[s]]], [0.1, 0.9]) if pools[s] else [np.nan] * 2
             r = got[k, s]
             assert np.isclose(r.yhat, yhat) and np.allclose([r.yhat_lo_80, r.yhat_hi_80], yhat + q)
+
+
+@pytest.mark.parametrize("season", [None, 6])
+def test_theta_by_chunks_equals_plain(spark, season):
+    rng = np.random.default_rng(7)
+    rows = [(k, i, float(level + 3 * np.sin(i) + rng.normal()))
+            for k, n, level in (("a", 60, 0.0), ("b", 37, 1e7), ("one", 1, 5.0)) for i in range(n)]
+    df = spark.createDataFrame(rows, "unique_id string, i int, y double")
+    df = df.select("unique_id", F.expr("timestampadd(DAY, i, timestamp_ntz'2024-01-01')").alias("ds"), "y")
+    plain, cut = (rg.theta_forecast(df, 4, "D", season, chunk_rows=c).orderBy("unique_id", "step").collect() for c in (None, 9))
+    assert len(plain) == len(cut) == 12
+    for p, c in zip(plain, cut):
+        assert p.alpha == c.alpha and np.isclose(p.Theta, c.Theta, rtol=1e-9)
