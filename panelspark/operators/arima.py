@@ -18,7 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.linalg import Moments, gaussian_ll, gram, norm_ppf, ols
@@ -226,3 +226,87 @@ def auto_arima_forecast(panel: DataFrame, h: int, freq: str, most: Order, long_a
     d, _ = _design(panel, most.check(), long_ar, col)
     fits = arma_grid_aic(panel, most, long_ar, col, best=True)
     return _paths(panel, d, fits, most, h, freq, levels, col, [], None)
+
+
+# ---------------------------------------------------------------- choice of the differences
+
+#: KPSS critical value for a level at 5 %, and the seasonal strength from which a series is differenced seasonally (fixed values).
+KPSS_LEVEL, STRENGTH = 0.463, 0.64
+
+
+def kpss(panel: DataFrame, col: str = "y", chunk_rows: int = 100_000, time_bucket: str = "month") -> DataFrame:
+    """(unique_id, n, lags, kpss): ``Σ S_t² / (n²·λ²)`` with the partial sums S of y − ȳ and the long-run variance λ² from the
+    autocovariances up to lag ⌊4(n/100)^¼⌋ with Bartlett weights; null for a constant series.
+
+    Partial sums are a prefix scan: each chunk of a series gives its sum, Σ s and Σ s² of its own partial sums, and the sums
+    before a chunk come from the small table of chunks, ``Σ (o + s)² = m·o² + 2·o·Σ s + Σ s²``."""
+    from panelspark.functions.chunking import positions
+    from panelspark.operators.explore import acf
+
+    d = panel.select("unique_id", "ds", F.col(col).cast("double").alias("y")).where(F.col("y").isNotNull())
+    stats = d.groupBy("unique_id").agg(F.count("*").alias("n"), F.avg("y").alias("__mu"), F.var_pop("y").alias("__var"))
+    lags = F.floor(4 * F.pow(F.col("n") / 100.0, 0.25)).cast("int")
+    stats = stats.withColumn("lags", F.least(lags, (F.col("n") - 1).cast("int")))
+    most = stats.agg(F.max("lags")).first()[0] or 0  # one number sizes the plan
+    p = positions(d, time_bucket).join(stats.select("unique_id", "__mu"), "unique_id")
+    p = p.select("unique_id", "__pos", F.floor(F.col("__pos") / chunk_rows).alias("__chunk"), (F.col("y") - F.col("__mu")).alias("__e"))
+    inside = Window.partitionBy("unique_id", "__chunk").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("__s", F.sum("__e").over(inside))
+    chunks = p.groupBy("unique_id", "__chunk").agg(F.count("*").alias("__m"), F.sum("__e").alias("__t"), F.sum("__s").alias("__s1"),
+                                                   F.sum(F.col("__s") * F.col("__s")).alias("__s2"))
+    earlier = Window.partitionBy("unique_id").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    o = F.coalesce(F.sum("__t").over(earlier), F.lit(0.0))
+    chunks = chunks.withColumn("__o", o)
+    sums = chunks.groupBy("unique_id").agg(F.sum(
+        F.col("__m") * F.col("__o") * F.col("__o") + 2 * F.col("__o") * F.col("__s1") + F.col("__s2")).alias("__sum"))
+    r = acf(d, nlags=max(most, 1)).join(stats.select("unique_id", "lags"), "unique_id").where((F.col("lag") >= 1) & (F.col("lag") <= F.col("lags")))
+    tail = r.groupBy("unique_id").agg(F.sum((1 - F.col("lag") / (F.col("lags") + 1)) * F.col("acf")).alias("__r"))
+    out = stats.join(sums, "unique_id").join(tail, "unique_id", "left")
+    spread = F.col("__var") * (1 + 2 * F.coalesce("__r", F.lit(0.0)))
+    return out.select("unique_id", "n", "lags", F.try_divide(F.col("__sum") / (F.col("n") * F.col("n")), spread).alias("kpss"))
+
+
+def choose_differences(panel: DataFrame, m: int = 1, max_d: int = 2, max_D: int = 1, chunk_rows: int = 100_000) -> DataFrame:
+    """H14 (d and D per series): D = 1 if the seasonal strength ``1 − var(resid)/var(seasonal + resid)`` of the decomposition with
+    period m is over 0.64; then d = the least number of differences (at most ``max_d``) after which KPSS keeps the level
+    stationary at 5 %.  A few passes over all series together, none per series: ``(unique_id, d, seasonal_d)``."""
+    from panelspark.operators.explore import decompose
+    from panelspark.operators.windows import difference
+    from panelspark.session import cut_lineage
+
+    base = cut_lineage(panel.select("unique_id", "ds", F.col("y").cast("double").alias("y")))
+    ids = base.select("unique_id").distinct()
+    if m > 1 and max_D:
+        dec = decompose(base, m)
+        seasonal = F.when(F.col("resid").isNotNull(), F.col("seasonal") + F.col("resid"))
+        strength = 1 - F.try_divide(F.var_pop("resid"), F.var_pop(seasonal))
+        chosen = dec.groupBy("unique_id").agg(F.coalesce(strength > STRENGTH, F.lit(False)).cast("int").alias("seasonal_d"))
+    else:
+        chosen = ids.withColumn("seasonal_d", F.lit(0))
+    chosen = cut_lineage(chosen)
+    flat = base.join(chosen.where("seasonal_d = 1"), "unique_id", "left_semi")
+    series = base.join(chosen.where("seasonal_d = 0"), "unique_id", "left_semi").unionByName(difference(flat, 1, m) if m > 1 else flat)
+    chosen = chosen.withColumn("d", F.lit(0))
+    for k in range(max_d):
+        series = cut_lineage(series)
+        moving = cut_lineage(kpss(series, chunk_rows=chunk_rows).where(F.col("kpss") > KPSS_LEVEL).select("unique_id"))
+        again = moving.withColumn("__more", F.lit(1))
+        chosen = chosen.join(again, "unique_id", "left").withColumn(
+            "d", F.col("d") + F.coalesce("__more", F.lit(0))).drop("__more")
+        series = difference(series.join(moving, "unique_id", "left_semi"), 1)
+    return chosen.select("unique_id", "d", "seasonal_d")
+
+
+def auto_order_forecast(panel: DataFrame, h: int, freq: str, most: Order, long_ar: int = 8, levels=(95,)) -> DataFrame:
+    """H14 + H11 with chosen differences: every series gets its d ≤ ``most.d`` and D ≤ ``most.D`` (``choose_differences``), then its
+    AIC-best (p, q)(P, Q), and is forecast.  Series of the same (d, D) share one Gram; there are (d + 1)·(D + 1) such sets."""
+    from panelspark.session import cut_lineage
+
+    panel = cut_lineage(panel.select("unique_id", "ds", "y"))
+    chosen = cut_lineage(choose_differences(panel, most.m, most.d, most.D))
+    out = None
+    for d, seasonal in sorted(map(tuple, chosen.select("d", "seasonal_d").distinct().collect())):  # at most (d + 1)·(D + 1) pairs
+        some = panel.join(chosen.where((F.col("d") == d) & (F.col("seasonal_d") == seasonal)), "unique_id", "left_semi")
+        part = auto_arima_forecast(some, h, freq, most._replace(d=d, D=seasonal), long_ar, levels)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -303,3 +303,38 @@ def h10_huber_per_series(spark, sf_dir):
     fits = rg.fit_huber(d.filter(~F.col("is_future")), ["unique_id"], xcols, "y")
     ahead = rg.predict_linear(d.filter("is_future"), fits, ["unique_id"], xcols, "huber")
     return ahead.select("unique_id", "ds", "huber").join(fits.select("unique_id", "scale", "n_outliers", "converged"), "unique_id")
+
+
+def _kpss_sql(most: int = 30) -> str:
+    """Partial sums by a window, autocovariances by a join of each row with the one k rows on."""
+    return with_ctes(
+        "events_daily", f"e AS (SELECT unique_id, y - avg(y) OVER (PARTITION BY unique_id) AS e, row_number() OVER {W()} AS r, "
+        "count(*) OVER (PARTITION BY unique_id) AS n FROM events_daily)",
+        "s AS (SELECT unique_id, sum(e) OVER (PARTITION BY unique_id ORDER BY r) AS s FROM e)",
+        "t AS (SELECT unique_id, sum(s * s) AS s2 FROM s GROUP BY 1)",
+        "l AS (SELECT unique_id, any_value(n) AS n, CAST(floor(4 * pow(any_value(n) / 100.0, 0.25)) AS INTEGER) AS lags FROM e GROUP BY 1)",
+        f"g AS (SELECT a.unique_id, k, sum(a.e * b.e) AS g FROM e a, range(0, {most}) q(k) JOIN e b ON b.r = a.r + k "
+        "WHERE b.unique_id = a.unique_id GROUP BY 1, 2)",
+        "v AS (SELECT g.unique_id, sum(CASE WHEN k = 0 THEN g ELSE 2 * (1 - k / (lags + 1)) * g END) / any_value(n) AS v FROM g JOIN l "
+        "ON g.unique_id = l.unique_id WHERE k <= lags GROUP BY 1)",
+        "SELECT l.unique_id, l.n, l.lags, round(s2 / (n * n) / v, 6) AS kpss FROM l JOIN t ON l.unique_id = t.unique_id "
+        "JOIN v ON l.unique_id = v.unique_id")
+
+
+@register("h14_kpss", _kpss_sql())
+def h14_kpss(spark, sf_dir):
+    """The level-stationarity statistic that chooses d, by chunks of 50 rows."""
+    return round_doubles(arima.kpss(panels.events_daily(spark, sf_dir), chunk_rows=50), 6)
+
+
+@register("h14_chosen_differences")
+def h14_chosen_differences(spark, sf_dir):
+    """d and D of each monthly series (m = 12)."""
+    return arima.choose_differences(panels.orders_monthly(spark, sf_dir), 12)
+
+
+@register("h14_auto_order_forecast")
+def h14_auto_order_forecast(spark, sf_dir):
+    """(p,d,q)(P,D,Q)[12] with d and D chosen for each monthly series, 12 months ahead."""
+    most = arima.Order(1, 2, 1, 1, 1, 0, 12)
+    return round_doubles(arima.auto_order_forecast(panels.orders_monthly(spark, sf_dir), 12, "ME", most, 4), 2)

@@ -148,3 +148,31 @@ def test_theta_by_chunks_equals_plain(spark, season):
     assert len(plain) == len(cut) == 12
     for p, c in zip(plain, cut):
         assert p.alpha == c.alpha and np.isclose(p.Theta, c.Theta, rtol=1e-9)
+
+
+def test_differences_are_chosen_for_planted_series(spark):
+    from panelspark.operators import arima
+
+    rng = np.random.default_rng(8)
+    n, made = 240, {}
+    noise = rng.normal(size=(3, n))
+    made["level"] = 50 + noise[0]
+    made["walk"] = np.cumsum(np.random.default_rng(2).normal(size=n) + 0.2)  # a twentieth of all walks would get d = 2
+    made["twice"] = np.cumsum(np.cumsum(noise[2]))
+    season = 10 * np.sin(2 * np.pi * np.arange(n) / 12)
+    made["season"] = 30 + season + rng.normal(size=n)
+    made["season walk"] = season + np.cumsum(rng.normal(size=n))
+    made["constant"] = np.full(n, 7.0)
+    rows = [(k, i, float(v)) for k, y in made.items() for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "unique_id string, i int, y double")
+    df = df.select("unique_id", F.expr("timestampadd(DAY, i, timestamp_ntz'2024-01-01')").alias("ds"), "y").repartition(3)
+    got = {r.unique_id: r for r in arima.kpss(df, chunk_rows=17).collect()}
+    for k in ("level", "walk", "season"):
+        e = made[k] - made[k].mean()
+        lags = int(4 * (n / 100) ** 0.25)
+        spread = (e @ e + 2 * sum((1 - j / (lags + 1)) * (e[j:] @ e[:-j]) for j in range(1, lags + 1))) / n
+        assert got[k].lags == lags and np.isclose(got[k].kpss, (np.cumsum(e) ** 2).sum() / n ** 2 / spread)
+    assert got["constant"].kpss is None
+    chosen = {r.unique_id: (r.d, r.seasonal_d) for r in arima.choose_differences(df, 12).collect()}
+    walk = chosen.pop("season walk")  # its season is seen through a walk: only the sum of differences is sure
+    assert chosen == {"level": (0, 0), "walk": (1, 0), "twice": (2, 0), "season": (0, 1), "constant": (0, 0)} and sum(walk) >= 1
