@@ -5,6 +5,7 @@ import tempfile
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -14,6 +15,15 @@ from panelspark.streaming import online
 LAGS = (1, 2, 3)
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """A state store for each partition and trigger: two are enough here."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def _closed(spark, src, build, files=1):
     """A replay of files to its end."""
     d = tempfile.mkdtemp(prefix="ck-")
