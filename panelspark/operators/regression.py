@@ -250,6 +250,42 @@ def ridge_alpha_search(df: DataFrame, xcols, y: str, h: int, n_windows: int, alp
     return per.mapInPandas(search, "unique_id string, alpha double, cv_rmse double")
 
 
+#: Families and settings of the search per series: (family, α, share of the absolute penalty).
+FAMILIES = (("linear", 0.0, 0.0), *(("ridge", a, 0.0) for a in (0.1, 1.0, 10.0, 100.0)),
+            *(("lasso", a, 1.0) for a in (0.01, 0.1, 1.0)), *(("elastic", a, 0.5) for a in (0.01, 0.1, 1.0)))
+
+
+def family_search(df: DataFrame, xcols, y: str, h: int, n_windows: int, grid=FAMILIES) -> DataFrame:
+    """H19 over families: every series gets the family and setting with the least rolling-origin error (ties: the first of
+    ``grid``), all read off the segment moments of ONE aggregate pass — no loop over ids, no refit over rows.  Families are those
+    that the moments determine: linear, ridge, lasso, elastic net.  Returns ``unique_id, family, alpha, l1_ratio, cv_rmse, coef``
+    (the chosen setting's coefficients on all rows)."""
+    per = _segment_moments(df, xcols, y, h, n_windows)
+    p = len(xcols)
+
+    def solve(m, family, alpha, share):
+        return elastic_net(m, alpha, share)[0] if family in ("lasso", "elastic") else ols(m, ridge=alpha)[0]
+
+    def search(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                folds = [(train, test) for train, test in _folds(r.segs, n_windows)]
+                fair = [(train, test) for train, test in folds if train is not None and test is not None and train.n > p]
+                if not fair:
+                    continue
+                scored = [(float(np.mean([test.sse(solve(train, *one)) / test.n for train, test in fair])), i)
+                          for i, one in enumerate(grid)]
+                mse, best = min(scored)
+                whole, rest = folds[-1]
+                whole = whole if rest is None else whole.merge(rest)
+                out.append((r.unique_id, *grid[best], math.sqrt(mse), solve(whole, *grid[best]).tolist()))
+            yield pd.DataFrame(out, columns=["unique_id", "family", "alpha", "l1_ratio", "cv_rmse", "coef"])
+
+    return per.mapInPandas(search, "unique_id string, family string, alpha double, l1_ratio double, cv_rmse double, "
+                                   "coef array<double>")
+
+
 def segments(df: DataFrame, h: int, n_windows: int) -> DataFrame:
     """Adds ``seg``: 0 before the first of ``n_windows`` origins h rows apart, i for the h rows after the i-th; and ``step``, the
     row's place in them from 1."""

@@ -338,3 +338,10 @@ def h14_auto_order_forecast(spark, sf_dir):
     """(p,d,q)(P,D,Q)[12] with d and D chosen for each monthly series, 12 months ahead."""
     most = arima.Order(1, 2, 1, 1, 1, 0, 12)
     return round_doubles(arima.auto_order_forecast(panels.orders_monthly(spark, sf_dir), 12, "ME", most, 4), 2)
+
+
+@register("h19_family_search")
+def h19_family_search(spark, sf_dir):
+    """The best of linear, ridge, lasso and elastic net (eleven settings) for each monthly series, by three windows of a year."""
+    d, xcols = _fourier_design(spark, sf_dir)
+    return rg.family_search(d.filter(~F.col("is_future")), xcols, "y", 12, 3).drop("coef")

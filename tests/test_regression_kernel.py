@@ -176,3 +176,44 @@ def test_differences_are_chosen_for_planted_series(spark):
     chosen = {r.unique_id: (r.d, r.seasonal_d) for r in arima.choose_differences(df, 12).collect()}
     walk = chosen.pop("season walk")  # its season is seen through a walk: only the sum of differences is sure
     assert chosen == {"level": (0, 0), "walk": (1, 0), "twice": (2, 0), "season": (0, 1), "constant": (0, 0)} and sum(walk) >= 1
+
+
+def test_family_search_equals_refits(spark):
+    rng = np.random.default_rng(9)
+    rows, h, windows = [], 6, 3
+    for k, n, noise in (("few", 40, 3.0), ("line", 80, 0.01), ("none", 5, 1.0)):
+        x = rng.normal(size=(n, 9))
+        rows += [(k, i, 1.0, *map(float, x[i]), float(4 + 2 * x[i, 0] + noise * rng.normal())) for i in range(n)]
+    names = ["one", *[f"x{i}" for i in range(9)]]
+    df = spark.createDataFrame(rows, "unique_id string, i int, " + ", ".join(f"{c} double" for c in names) + ", y double")
+    df = df.withColumn("ds", F.expr("timestampadd(DAY, i, timestamp_ntz'2024-01-01')"))
+    got = {r.unique_id: r for r in rg.family_search(df, names, "y", h, windows).collect()}
+    assert set(got) == {"few", "line"} and got["few"].family != "linear"
+    for k in got:
+        z = np.array([r[2:] for r in rows if r[0] == k])
+
+        def fit(part, family, alpha, share):
+            x, y = part[:, 1:-1], part[:, -1]
+            xc, yc = x - x.mean(axis=0), y - y.mean()
+            if family in ("linear", "ridge"):
+                b = np.linalg.solve(xc.T @ xc + alpha * np.eye(9), xc.T @ yc)
+            else:  # proximal gradient
+                b, step = np.zeros(9), len(yc) / np.linalg.eigvalsh(xc.T @ xc).max()
+                step = 1 / (1 / step + alpha * (1 - share))
+                for _ in range(4000):
+                    g = b - step * (xc.T @ (xc @ b - yc) / len(yc) + alpha * (1 - share) * b)
+                    b = np.sign(g) * np.maximum(np.abs(g) - step * alpha * share, 0)
+            return np.concatenate([[y.mean() - x.mean(axis=0) @ b], b])
+
+        def error(one):
+            scores = []
+            for w in range(windows):
+                o = len(z) - (windows - w) * h
+                if o > len(names):
+                    scores.append(((z[o:o + h, -1] - z[o:o + h, :-1] @ fit(z[:o], *one)) ** 2).mean())
+            return np.mean(scores)
+
+        errors = [error(one) for one in rg.FAMILIES]
+        best = rg.FAMILIES[int(np.argmin(errors))]
+        assert (got[k].family, got[k].alpha) == best[:2] and np.isclose(got[k].cv_rmse, np.sqrt(min(errors)), rtol=1e-5)
+        assert np.allclose(got[k].coef, fit(z, *best), rtol=1e-4, atol=1e-5)
