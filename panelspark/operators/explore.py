@@ -262,7 +262,10 @@ def auto_differences(panel: DataFrame, max_season_length: int = 12, max_diffs: i
     st = strengths[0] if strengths else None
     for s in strengths[1:]:
         st = st.unionByName(s)
-    res = per if st is None else per.join(st, "unique_id", "left")
+    if st is None:  # no series has a period
+        res = per.withColumn("strength", F.lit(None).cast("double"))
+    else:
+        res = per.join(st, "unique_id", "left")
     res = cut_lineage(res.withColumn("seasonal_diff", F.coalesce(F.col("strength") > strength_threshold, F.lit(False))))
     # regular differences on the (seasonally differenced) series while non-stationary
     cur = panel.join(res.select("unique_id", "season_length", "seasonal_diff"), "unique_id")

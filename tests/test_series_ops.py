@@ -98,3 +98,12 @@ def test_repartitioning_does_not_change_results(spark):
     a = explore.decompose(df, 7).orderBy("unique_id", "ds").toPandas()
     b = explore.decompose(df.repartition(7).sortWithinPartitions(F.rand(1)), 7).orderBy("unique_id", "ds").toPandas()
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_auto_differences_where_no_series_has_a_period(spark):
+    """Constant series have no ACF peak: a row each, without season or strength; an empty panel gives no rows."""
+    flat = _frame(spark, {"five": np.full(60, 5.0), "zero": np.zeros(60)})
+    rows = {r["unique_id"]: r for r in explore.auto_differences(flat).collect()}
+    assert set(rows) == {"five", "zero"}
+    assert all((r["season_length"], r["strength"], r["seasonal_diff"], r["diffs"]) == (None, None, False, 0) for r in rows.values())
+    assert explore.auto_differences(flat.where("false")).count() == 0
