@@ -355,15 +355,20 @@ def linear_intervals(history: DataFrame, future: DataFrame, xcols, y: str, h: in
 
 # ---------------------------------------------------------------- H10 Huber regression per series
 
+#: Keys of at most so many rows are solved in one task each, all rounds in one pass; longer ones take a job a round.
+HUBER_ROWS = 20_000
+
+
 def fit_huber(df: DataFrame, keys, xcols, y: str, epsilon: float = 1.35, alpha: float = 1e-4, max_iter: int = 100,
               tol: float = 1e-5) -> DataFrame:
     """H10 per key: robust regression with its scale, ``min Σ(σ + H(r/σ)·σ) + α‖β‖²`` (H quadratic up to ``epsilon``, linear
     beyond; a constant first column unpenalised).
 
     Iteratively reweighted moments: rows beyond ε·σ weigh ε·σ/|r|, the slopes solve the weighted system with ridge α·σ, and
-    σ² = Σ r² of the rows inside / (n − ε²·rows beyond).  A round is one aggregate pass over the keys that still move; a key is done when
-    coefficients and scale move by less than ``tol``.  The rows are written once and read each round.  Returns ``keys…, coef,
-    scale, n, n_outliers, rounds, converged``."""
+    σ² = Σ r² of the rows inside / (n − ε²·rows beyond).  A key is done when coefficients and scale move by less than ``tol``.  The
+    rounds of a key of at most ``HUBER_ROWS`` rows run in one task, all such keys in one pass; for longer keys a round is one
+    aggregate pass over those that still move.  The rows are written once.  Returns ``keys…, coef, scale, n, n_outliers, rounds,
+    converged``."""
     from panelspark.session import cut_lineage
 
     keys = list(keys)
@@ -386,23 +391,47 @@ def fit_huber(df: DataFrame, keys, xcols, y: str, epsilon: float = 1.35, alpha:
                 out.append((*[getattr(r, k) for k in keys], beta.tolist(), scale, m.n, 0, 0, exact))
             yield pd.DataFrame(out, columns=names)
 
+    def better(m, coef, scale):
+        """Coefficients, scale, rows beyond and whether the key is done, from the moments that the round before weighted."""
+        inside, beyond = float(m.extra[0]), int(m.extra[1])
+        beta = ols(m, ridge=alpha * scale)[0]
+        room = m.n - epsilon ** 2 * beyond
+        new = math.sqrt(inside / room) if room > 0 and inside > 0 else float(scale)
+        moved = np.abs(beta - np.asarray(coef, float)).max() / max(1.0, np.abs(beta).max())
+        return beta, new, beyond, bool(moved <= tol and abs(new - scale) <= tol * new)
+
     def advance(batches):
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
                 m = Moments.of(r)
-                inside, beyond = float(m.extra[0]), int(m.extra[1])
-                beta = ols(m, ridge=alpha * r.scale)[0]
-                room = m.n - epsilon ** 2 * beyond
-                scale = math.sqrt(inside / room) if room > 0 and inside > 0 else float(r.scale)
-                moved = np.abs(beta - np.asarray(r.coef, float)).max() / max(1.0, np.abs(beta).max())
-                done = bool(moved <= tol and abs(scale - r.scale) <= tol * scale)
+                beta, scale, beyond, done = better(m, r.coef, r.scale)
                 out.append((*[getattr(r, k) for k in keys], beta.tolist(), scale, m.n, beyond, int(r.rounds) + 1, done))
             yield pd.DataFrame(out, columns=names)
 
+    def finish(key, pdf):
+        z = pdf[[*xcols, y]].to_numpy(float)
+        beta, scale, beyond, done, rounds = np.asarray(pdf["coef"].iloc[0], float), float(pdf["scale"].iloc[0]), 0, False, 0
+        while rounds < max_iter and not done:
+            p = np.zeros(len(z))
+            for i in range(len(xcols)):
+                p = p + beta[i] * z[:, i]
+            r = np.abs(z[:, -1] - p)
+            out = (r > epsilon * scale) | (np.isnan(r) & (scale == scale))  # as Spark, where NaN is above all numbers
+            with np.errstate(divide="ignore", invalid="ignore"):
+                w = np.where(out, epsilon * scale / r, 1.0)
+            m = Moments.over(z, w, np.column_stack([np.where(out, 0.0, r * r), out.astype(float)]))
+            beta, scale, beyond, done = better(m, beta, scale)
+            rounds += 1
+        return pd.DataFrame([(*key, beta.tolist(), scale, len(z), beyond, rounds, done)], columns=names)
+
     state = cut_lineage(gram(rows, keys, xcols, y).mapInPandas(begin, schema))
+    short, long = F.col("n") <= HUBER_ROWS, F.col("n") > HUBER_ROWS
+    start = state.where(short & ~F.col("converged")).select(*keys, "coef", "scale")
+    solved = rows.join(start, keys).groupBy(*keys).applyInPandas(finish, schema)
+    state = cut_lineage(state.where(long | F.col("converged")).unionByName(solved))
     for _ in range(max_iter):
-        moving = state.where("not converged")
+        moving = state.where(long & ~F.col("converged"))
         if not moving.limit(1).count():
             break
         now = moving.select(*keys, "coef", "scale", "rounds")
@@ -412,7 +441,7 @@ def fit_huber(df: DataFrame, keys, xcols, y: str, epsilon: float = 1.35, alpha:
         d = d.withColumns({"__w8": F.when(beyond, epsilon * F.col("scale") / r).otherwise(1.0),
                            "__in": F.when(beyond, 0.0).otherwise(r * r), "__out": beyond.cast("double")})
         g = gram(d, keys, xcols, y, "__w8", ["__in", "__out"])
-        state = cut_lineage(state.where("converged").unionByName(g.join(now, keys).mapInPandas(advance, schema)))
+        state = cut_lineage(state.where(short | F.col("converged")).unionByName(g.join(now, keys).mapInPandas(advance, schema)))
     return state
 
 

@@ -300,6 +300,7 @@ def h9_family_intervals(spark, sf_dir):
 def h10_huber_per_series(spark, sf_dir):
     """Robust regression of each monthly series on trend and Fourier terms, forecasting 12 months."""
     d, xcols = _fourier_design(spark, sf_dir)
+    d = cut_lineage(d)  # read by the fit and the forecast
     fits = rg.fit_huber(d.filter(~F.col("is_future")), ["unique_id"], xcols, "y")
     ahead = rg.predict_linear(d.filter("is_future"), fits, ["unique_id"], xcols, "huber")
     return ahead.select("unique_id", "ds", "huber").join(fits.select("unique_id", "scale", "n_outliers", "converged"), "unique_id")

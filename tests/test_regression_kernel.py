@@ -217,3 +217,38 @@ def test_family_search_equals_refits(spark):
         best = rg.FAMILIES[int(np.argmin(errors))]
         assert (got[k].family, got[k].alpha) == best[:2] and np.isclose(got[k].cv_rmse, np.sqrt(min(errors)), rtol=1e-5)
         assert np.allclose(got[k].coef, fit(z, *best), rtol=1e-4, atol=1e-5)
+
+
+def _outlying(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k, n in (("a", 90), ("b", 140), ("few", 4)):
+        x = rng.normal(size=(n, 2))
+        y = 1 + x @ [2.0, -1.0] + rng.standard_t(2, size=n)
+        rows += [(k, 1.0, *map(float, r), float(v)) for r, v in zip(x, y)]
+    return spark.createDataFrame(rows, "k string, one double, x0 double, x1 double, y double").repartition(3)
+
+
+def test_huber_in_one_task_equals_rounds_over_all(spark, monkeypatch):
+    df = _outlying(spark)
+    got = []
+    for most in (rg.HUBER_ROWS, 100, 0):
+        monkeypatch.setattr(rg, "HUBER_ROWS", most)
+        got.append(sorted(rg.fit_huber(df, ["k"], ["one", "x0", "x1"], "y", max_iter=8).collect()))
+    assert [r.k for r in got[0]] == ["a", "b", "few"]
+    for a, b, c in zip(*got):
+        assert np.allclose(a.coef, c.coef, rtol=1e-9) and np.allclose(b.coef, c.coef, rtol=1e-9)
+        assert np.isclose(a.scale, c.scale, rtol=1e-9)
+        assert a[3:] == b[3:] == c[3:]
+
+
+def test_huber_rounds_of_short_series_take_no_jobs(spark):
+    """Rounds that never settle (tol below 0) cost jobs only for keys that no task holds."""
+    df, context = _outlying(spark), spark.sparkContext
+    context.setJobGroup("huber-rounds", "")
+    try:
+        rounds = {r.rounds for r in rg.fit_huber(df, ["k"], ["one", "x0", "x1"], "y", max_iter=15, tol=-1.0).collect()}
+        jobs = len(context.statusTracker().getJobIdsForGroup("huber-rounds"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert 15 in rounds and jobs < 15
