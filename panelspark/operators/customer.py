@@ -247,7 +247,8 @@ def split(df: DataFrame, key: str = "CustomerID", train_frac: float = 0.8, seed:
 
     d = df.withColumn("__u", u)
     thr = exact_percentiles(d, [stratify], "__u", [train_frac], ["__thr"])
-    return d.join(thr, stratify, "left").withColumn("is_train", F.col("__u") <= F.col("__thr")).drop("__u", "__thr")
+    # one row per class, so no row is dealt by its class: a shuffle would put a whole class into one task
+    return d.join(F.broadcast(thr), stratify, "left").withColumn("is_train", F.col("__u") <= F.col("__thr")).drop("__u", "__thr")
 
 
 # J7 (standard scaling fitted on train rows only) is ``relational.standard_scale(df, cols, fit_filter=...)``.

@@ -192,3 +192,23 @@ def test_conformal_intervals_collapse_on_a_perfectly_seasonal_series(spark):
     assert np.allclose(out["SeasonalNaive"], season)
     for L in (80, 95):
         assert np.allclose(out[f"SeasonalNaive_lo_{L}"], season) and np.allclose(out[f"SeasonalNaive_hi_{L}"], season)
+
+
+def test_stratified_split_leaves_rows_where_they_are(spark):
+    """A class of nearly all rows stays in many partitions; the classes' thresholds travel instead."""
+    from panelspark.operators import customer as cu
+
+    rows = [(i, int(i % 50 == 0) if i % 7 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "CustomerID long, flag int").repartition(8, "CustomerID")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    old = [spark.conf.get(k) for k in keys]
+    for k, v in zip(keys, ("-1", "false")):
+        spark.conf.set(k, v)
+    try:
+        got = cu.split(df, "CustomerID", 0.8, 42, stratify="flag").withColumn("part", F.spark_partition_id()).toPandas()
+    finally:
+        for k, v in zip(keys, old):
+            spark.conf.set(k, v)
+    assert len(got) == 2000 and got[got["flag"] == 0]["part"].nunique() == 8
+    share = got.dropna(subset=["flag"]).groupby("flag")["is_train"].apply(lambda x: x.astype(bool).mean())
+    assert all(abs(share - 0.8) < 0.05) and got[got["flag"].isna()]["is_train"].isna().all()
