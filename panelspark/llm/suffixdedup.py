@@ -41,6 +41,8 @@ LENGTH, GRAM = 50, 25
 ANCHOR_BITS = 48
 GROUP = 3 << 20
 BUCKETS_PER_PARTITION = 2
+#: Bytes of contexts whose suffixes are sorted at a time; the sort's arrays take some hundred times as much.
+SLICE = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 ANCHORS, TEXTS, CONTEXTS, PLACES = 0, 1, 2, 3
 ROW = "bucket int, kind int, grp binary, body binary, extra binary"
@@ -247,58 +249,151 @@ def _string_classes(data: np.ndarray, starts: np.ndarray, length: int) -> np.nda
     return out
 
 
+def _slices(keys: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of equal keys together, of ``SLICE`` bytes at most; a key of more bytes is alone."""
+    order = np.argsort(keys, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(keys[order])) + 1, len(order))
+    bytes_upto = np.concatenate([[0], np.cumsum(sizes[order])])
+    lo = 0
+    while lo < len(order):
+        fits = int(np.searchsorted(bytes_upto, bytes_upto[lo] + SLICE, side="right")) - 1
+        at = int(np.searchsorted(ends, fits, side="right")) - 1
+        hi = int(ends[at]) if at >= 0 and ends[at] > lo else int(ends[np.searchsorted(ends, lo, side="right")])
+        yield order[lo:hi]
+        lo = hi
+
+
+def _pieces(sizes: np.ndarray) -> Iterator[slice]:
+    """Neighbours of about ``SLICE`` bytes."""
+    upto, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE, side="left")) + 1
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _next_gram(data: np.ndarray, anchor: np.uint64, gram: int) -> np.ndarray:
+    """The place of the first gram with the given hash at or after each position."""
+    out = np.full(len(data), len(data))
+    for lo in range(0, len(data) - gram + 1, K.HASH_BYTES):
+        grams = K.byte_hash(data[lo:lo + K.HASH_BYTES + gram - 1]).windows(gram) >> np.uint64(64 - ANCHOR_BITS)
+        at = np.flatnonzero(grams == anchor) + lo
+        out[at] = at
+    return np.minimum.accumulate(out[::-1])[::-1]
+
+
+def _finer(bodies: list[bytes], anchor: np.uint64, length: int, gram: int, block: int):
+    """The runs of strings of some contexts of one anchor whose first gram of that hash is the same and lies at one of
+    ``block`` neighbouring offsets, as contexts of their own: texts, keys, numbers of strings, and the context that each
+    is from.  The key is what all strings with the gram at these offsets have beside it; equal strings have the gram at
+    one offset, so one key."""
+    text = K.Texts(bodies)
+    count = text.sizes - length + 1
+    owner = np.repeat(np.arange(len(count)), count)
+    start = _ranges(text.starts, count)
+    place = _next_gram(text.data, anchor, gram)[start]
+    at_block = (place - start) // block
+    new = np.ones(len(start), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1]) | (at_block[1:] != at_block[:-1])
+    at = np.flatnonzero(new)
+    begin, place, at_block, strings = start[at], place[at], at_block[at], np.diff(np.append(at, len(start)))
+    last = np.minimum(at_block * block + block - 1, length - gram)
+    keys = K.mix64(K.span_hash(text.data, place - at_block * block, place - last + length) + at_block.astype(np.uint64))
+    texts = [text.raw[a:b] for a, b in zip(begin.tolist(), (begin + strings + length - 1).tolist())]
+    return texts, keys, strings, owner[at]
+
+
+class _Distinct:
+    """Different contexts, in the order in which they came, and the smallest document of each."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.least: list[int] = []
+
+    def add(self, bodies: list[bytes], ranks: list[int]) -> np.ndarray:
+        """The number of each context."""
+        known, least, out = self.known, self.least, np.empty(len(bodies), np.int64)
+        for i, (body, r) in enumerate(zip(bodies, ranks)):
+            at = out[i] = known.setdefault(body, len(least))
+            if at == len(least):
+                least.append(r)
+            elif r < least[at]:
+                least[at] = r
+        return out
+
+
+def _smallest(bodies: list[bytes], least: np.ndarray, keys: np.ndarray, length: int, gram: int, block: int,
+              anchor: np.uint64 | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The smallest document of each string of the contexts, which equal strings can share only at equal keys: places of
+    contexts, and the documents of their strings one after another.  ``anchor``: of all, else the keys are the anchors."""
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    for part in _slices(keys, sizes):
+        own = [bodies[i] for i in part]
+        if block > 1 and int(sizes[part].sum()) > SLICE:
+            yield from _smallest_finer(own, part, least[part], length, gram, -(-block // 2),
+                                       keys[part[0]] if anchor is None else anchor)
+            continue
+        text = K.Texts(own)
+        data = text.data.copy()
+        data[text.ends] = 0
+        count = text.sizes - length + 1
+        classes = _string_classes(data, _ranges(text.starts, count), length)
+        smallest = np.full(int(classes.max()) + 1, NO_ID)
+        np.minimum.at(smallest, classes, np.repeat(least[part], count))
+        yield part, smallest[classes]
+
+
+def _smallest_finer(bodies, part, least, length, gram, block, anchor) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_smallest`` for the contexts of one key, by the finer keys of their runs; equal runs are merged."""
+    finer, keys, cuts = _Distinct(), [], []
+    for piece in _pieces(np.fromiter(map(len, bodies), np.int64, len(bodies))):
+        texts, own, strings, owner = _finer(bodies[piece], anchor, length, gram, block)
+        had = len(finer.least)
+        index = finer.add(texts, least[piece][owner].tolist())
+        seen, at = np.unique(index, return_index=True)
+        keys.append(own[at[seen >= had]])
+        cuts.append((part[piece], index.astype(np.int32), strings.astype(np.int32)))
+    texts = list(finer.known)
+    counts = np.fromiter(map(len, texts), np.int64, len(texts)) - length + 1
+    first = np.cumsum(counts) - counts
+    found = np.empty(int(counts.sum()), np.int64)
+    for at, values in _smallest(texts, np.array(finer.least, np.int64), np.concatenate(keys), length, gram, block, anchor):
+        found[_ranges(first[at], counts[at])] = values
+    for at, index, strings in cuts:
+        yield at, found[_ranges(first[index], strings)]
+
+
 def _answer_contexts(length: int, gram: int):
     def answer(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        known, bodies, least, asked = {}, [], [], []
+        different, asked = _Distinct(), []
         for _, _, _, body, extra in held:
             cut = 4 + int.from_bytes(extra[:4], "little")
             raw, ranks = B.unpack_bytes(body), B.unpack(extra[cut:], np.int64).tolist()
             ends = np.cumsum(B.unpack(extra[4:cut], np.uint32), dtype=np.int64).tolist()
-            own = []
-            for a, b, r in zip([0, *ends], ends, ranks):
-                context = raw[a:b]
-                at = known.setdefault(context, len(bodies))
-                if at == len(bodies):
-                    bodies.append(context)
-                    least.append(r)
-                elif r < least[at]:
-                    least[at] = r
-                own.append(at)
-            asked.append(own)
-        least = np.array(least, np.int64)
-        texts = K.Texts(bodies)
+            asked.append(different.add([raw[a:b] for a, b in zip([0, *ends], ends)], ranks))
+        bodies, least = list(different.known), np.array(different.least, np.int64)
+        del different
         anchor = np.empty(len(bodies), np.uint64)
-        lo = 0
-        while lo < len(bodies):  # a few MB at a time
-            hi = int(np.searchsorted(texts.ends, texts.starts[lo] + K.GROUP_BYTES, side="right"))
-            hi = max(hi, lo + 1)
-            part = texts.data[texts.starts[lo]:texts.ends[hi - 1]]
-            anchor[lo:hi] = anchors(part, length, gram)[texts.starts[lo:hi] - texts.starts[lo]]
-            lo = hi
+        for piece in _pieces(np.fromiter(map(len, bodies), np.int64, len(bodies))):
+            text = K.Texts(bodies[piece])
+            anchor[piece] = anchors(text.data, length, gram)[text.starts]
         # the smallest document of each string of a context, as runs of equal ones: how many runs, and for each the
         # document and the string where it begins; alone at its anchor, a context has strings of its own only
-        runs, values, begins = np.ones(len(bodies), np.int64), least, np.zeros(len(bodies), np.int64)
+        runs, several = np.ones(len(bodies), np.int64), []
         shared = np.flatnonzero(K.repeated(anchor))
-        if len(shared):
-            text = K.Texts([bodies[i] for i in shared])
-            data = text.data.copy()
-            data[text.ends] = 0
-            count = text.sizes - length + 1
-            first = np.cumsum(count) - count
-            owner = np.repeat(np.arange(len(shared)), count)
-            inside = np.arange(len(owner)) - first[owner]
-            classes = _string_classes(data, inside + text.starts[owner], length)
-            smallest = np.full(int(classes.max()) + 1, NO_ID)
-            np.minimum.at(smallest, classes, least[shared][owner])
-            found = smallest[classes]
+        for part, found in _smallest([bodies[i] for i in shared], least[shared], anchor[shared], length, gram,
+                                     length - gram + 1):
+            part = shared[part]
+            count = np.fromiter((len(bodies[i]) for i in part), np.int64, len(part)) - length + 1
+            inside = _ranges(np.zeros(len(part), np.int64), count)
             at = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (inside[1:] == 0)]))
-            runs[shared] = np.bincount(owner[at], minlength=len(shared))
-            at_run = np.cumsum(runs) - runs
-            place = np.repeat(at_run[shared], runs[shared]) + np.arange(len(at)) - np.searchsorted(
-                owner[at], owner[at])
-            values, begins = np.repeat(least, runs), np.zeros(int(runs.sum()), np.int64)
-            values[place], begins[place] = found[at], inside[at]
+            runs[part] = np.diff(np.searchsorted(at, np.cumsum(count)), prepend=0)
+            several.append((part, found[at], inside[at]))
         starts = np.cumsum(runs) - runs
+        values, begins = np.repeat(least, runs), np.zeros(int(runs.sum()), np.int64)
+        for part, found, inside in several:
+            place = _ranges(starts[part], runs[part])
+            values[place], begins[place] = found, inside
         for (bucket, _, group, _, _), own in zip(held, asked):
             index = _ranges(starts[own], runs[own])
             parts = [B.pack(runs[own].astype(np.uint32)), B.pack(values[index]), B.pack(begins[index].astype(np.uint32))]

@@ -62,6 +62,57 @@ def test_suffix_dedup_over_many_groups(spark, monkeypatch):
     assert got == C.repeats(rows)
 
 
+def _bucket_of(groups, length, gram):
+    """The rows of one bucket with the contexts of some groups of (id, text), and for each string its smallest id."""
+    import pyarrow as pa
+
+    held, least, strings = [], {}, []
+    for at, docs in enumerate(groups):
+        group = suffixdedup.Group(pa.array([i for i, _ in docs]), [t for _, t in docs], length, gram)
+        bodies, ranks = [], []
+        for a, n, owner in zip(group.run_start.tolist(), group.run_strings.tolist(), group.run_owner.tolist()):
+            bodies.append(group.texts.raw[a:a + n + length - 1])
+            ranks.append(int(group.rank[owner]))
+        sizes = blobs.pack(np.array(list(map(len, bodies)), np.uint32))
+        held.append((7, suffixdedup.CONTEXTS, b"%d" % at, blobs.pack_bytes(b"".join(bodies)),
+                     len(sizes).to_bytes(4, "little") + sizes + blobs.pack(np.array(ranks, np.int64))))
+        strings.append([[body[k:k + length] for k in range(len(body) - length + 1)] for body in bodies])
+        for own, r in zip(strings[-1], ranks):
+            for x in own:
+                least[x] = min(r, least.get(x, r))
+    return held, [[[least[x] for x in own] for own in group] for group in strings]
+
+
+@pytest.mark.parametrize("slice_bytes", [400, 5000, 1 << 19])
+def test_contexts_of_a_hot_anchor_are_sorted_in_slices(monkeypatch, slice_bytes):
+    """One line after many different ones, words repeated at many lengths, and whole copies."""
+    pick, length, gram = np.random.default_rng(8), suffixdedup.LENGTH, suffixdedup.GRAM
+    line, groups = C.words(5, 12), []
+    for g in range(30):
+        docs = []
+        for j in range(12):
+            i = g * 12 + j
+            docs.append((int(pick.integers(0, 1000)), "".join([C.words(50 + i % 200, 9), "\n", line, "\n", "the " * int(pick.integers(20, 90)),
+                                                              C.words(900 + i, 6)]).encode()))
+        groups.append(docs)
+    held, want = _bucket_of(groups, length, gram)
+    sizes, sort = [], suffixdedup.suffix_array
+    monkeypatch.setattr(suffixdedup, "SLICE", slice_bytes)
+    monkeypatch.setattr(suffixdedup, "suffix_array", lambda data, depth: (sizes.append(len(data)), sort(data, depth))[1])
+    for row, own in zip(suffixdedup._answer_contexts(length, gram)(held), want, strict=True):
+        _, _, _, (body,), (extra,) = (c.to_pylist() for c in row.columns)
+        n, values, begins = suffixdedup._split(body, extra)
+        n, begins = blobs.unpack(n, np.uint32).astype(int), blobs.unpack(begins, np.uint32).astype(int)
+        values, at = blobs.unpack(values, np.int64), 0
+        for k, least in zip(n.tolist(), own, strict=True):
+            assert begins[at] == 0
+            high = np.append(begins[at + 1:at + k], len(least))
+            assert np.repeat(values[at:at + k], high - begins[at:at + k]).tolist() == least
+            at += k
+    # with a line feed after each context of at least ``length`` bytes
+    assert sizes and max(sizes) <= max(slice_bytes, length) * (length + 1) / length
+
+
 # --- 3: encoding
 
 def test_units_equal_the_library(library):
