@@ -157,3 +157,89 @@ def test_portfolio_that_compounds_without_end_holds(spark, tmp_path):
     got = _closed(spark, src, lambda stream: online.online_portfolio(stream, coefs, 100.0, 0)).orderBy("ds").collect()
     assert len(got) == 240 and all(np.isfinite(r.cash) for r in got)
     assert got[-1].action == "HOLD" and got[0].action == "BUY" and max(r.cash for r in got) > 1e300
+
+
+def test_rows_reach_the_state_in_blocks(spark, monkeypatch):
+    """A row of the state function's input for many rows of a series; beats and series without a name stay apart."""
+    rows = [(f"s{i % 3}" if i % 4 else None, 1_000_000 * i, None if i % 7 == 0 else float(i), 0.5, False) for i in range(900)]
+    df = spark.createDataFrame([*rows, (None, 5, None, None, True)], "unique_id string, us long, y double, c double, beat boolean")
+    got = online._packed(df.coalesce(1), ("y", "c")).collect()
+    assert len(got) == 5 and sum(r.beat for r in got) == 1
+    found = []
+    for r in got:
+        if not r.beat:
+            us, y, c = online._opened(bytes(r.us), [bytes(r.y), bytes(r.c)])
+            assert r.last == us.max() and len(r.c) == 8 and (c == 0.5).all()
+            found += [(r.unique_id, int(a), None if np.isnan(b) else float(b)) for a, b in zip(us, y)]
+    assert sorted(found, key=repr) == sorted([r[:3] for r in rows], key=repr)
+
+
+def test_many_events_are_staged_in_more_pieces(spark, tmp_path, monkeypatch):
+    """A piece has so many rows on average, so a trigger's rows don't grow with the events; the replay is the same."""
+    monkeypatch.setattr(online, "PIECE_ROWS", 100)
+    monkeypatch.setattr(online, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(online, "OUT_ROWS", 11)
+    ev = spark.read.parquet(f"{SF001}/events.parquet").limit(950)
+    pattern, _, _, partitions = online.stage(ev, str(tmp_path / "staged"), 2)
+    assert len(os.listdir(pattern[:-2])) == 10 and partitions <= 2
+    held = spark.read.parquet(pattern)
+    assert held.count() == 950
+    panel = ev.select(F.col("event_type").alias("unique_id"), F.col("ts").alias("ds"), F.col("value").alias("y"))
+    got = online.replay(ev, lambda stream, delay: online.online_lag_features(stream, LAGS, delay), "staged", 2).toPandas()
+    want = ml.lag_features(panel, LAGS, date_feats=()).toPandas()
+    cols = ["unique_id", "ds", "y", "level_prev", *[f"lag{k}" for k in LAGS]]
+    got, want = (x[cols].sort_values(["unique_id", "ds", "y"]).reset_index(drop=True) for x in (got, want))
+    assert len(got) == len(want) and np.allclose(got[cols[2:]].fillna(-1e9).to_numpy(float), want[cols[2:]].fillna(-1e9).to_numpy(float))
+
+
+def test_few_series_are_dealt_to_states_evenly(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    series = spark.createDataFrame([(u,) for u in ("click", "view", "purchase", "signup", "error")], "event_type string")
+    n = online._state_partitions(series)
+    at = [r[0] for r in series.select(F.pmod(F.hash("event_type"), F.lit(n))).collect()]
+    assert n <= 20 and len(set(at)) == 5
+    assert online._state_partitions(series.limit(0)) == 200
+
+
+def test_portfolio_step_equals_a_loop():
+    pick, n = np.random.default_rng(4), 4000
+    price = pick.choice([0.0, -3.0, np.nan, 1e-300, 1e300, *np.round(pick.exponential(50, 40), 2)], n)
+    c, phi, q = np.full(n, 50.0), pick.choice([0.01, np.nan], n, p=[0.95, 0.05]), np.full(n, 20.0)
+    portfolio = online._Portfolio(10000.0, 11)
+    cash, shares, want = 10000.0, 0.0, []
+    for i in range(n):
+        p, nxt, signal, action = float(price[i]), float(c[i] + phi[i] * price[i]), "HOLD", "HOLD"
+        if i + 1 > 11:
+            signal = "BUY" if p < nxt - 20.0 and nxt > p else "SELL" if p > nxt + 20.0 and nxt < p else "HOLD"
+        if signal == "BUY" and cash > p > 0 and np.isfinite(cash / p):
+            k = int(np.floor(cash / p))
+            cash, shares, action = cash - k * p, shares + k, "BUY"
+        elif signal == "SELL" and shares > 0 and np.isfinite(cash + p * shares):
+            cash, shares, action = cash + p * shares, 0.0, "SELL"
+        want.append((i, p, nxt, signal, action, cash, shares, cash + shares * p))
+    model, got = None, []
+    for i in range(0, n, 700):
+        model, out = portfolio.step(model, np.arange(i, min(i + 700, n)), [x[i:i + 700] for x in (price, c, phi, q)])
+        got += zip(*(list(x) for x in out))
+    assert model == (cash, shares, n) and {w[4] for w in want} == {"BUY", "SELL", "HOLD"}
+    assert [tuple(map(str, map(lambda x: x.item() if hasattr(x, "item") else x, g))) for g in got] == [tuple(map(str, w)) for w in want]
+
+
+def test_pairs_take_the_value_before_the_hour(spark, tmp_path):
+    """The fits' pairs are written once, ordered in windows of an hour; ties, gaps, nulls and series without a name included."""
+    from pyspark.sql import Window
+
+    from panelspark.plans import q_stream
+
+    pick = np.random.default_rng(6)
+    rows = [(i, f"2024-01-0{1 + int(d)} {int(h):02d}:{int(m):02d}:00", 1, [None, "a", "b"][int(k)], None if i % 11 == 0 else float(i % 17), "")
+            for i, (d, h, m, k) in enumerate(zip(*(pick.integers(0, x, 600) for x in (3, 5, 3, 3))))]
+    rows += [(900 + i, None, 1, "a", float(i), "") for i in range(3)]
+    ev = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    ev = ev.withColumn("ts", F.to_timestamp_ntz("ts"))
+    ev.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    got = q_stream._pairs(spark, str(tmp_path))
+    w = Window.partitionBy("event_type").orderBy("ts", "value")
+    want = ev.select(F.col("event_type").alias("unique_id"), F.col("value").alias("y"), F.lag("value").over(w).alias("prev"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "Window" not in got._jdf.queryExecution().toString()
